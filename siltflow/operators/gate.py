@@ -27,3 +27,77 @@ def quote_hits(quotes: DataFrame, docs: DataFrame) -> DataFrame:
     short = keyed.where(F.size("inner") == 0)
     far = docs.join(short, T.quote_in(F.col("parts"), F.col("body"))).select("item_id", "doc_id")
     return near.unionByName(far)
+
+
+# ---------------------------------------------------------------- causes and verdicts
+
+#: Why an action isn't filed, and what each cause says about the matter.
+VERDICTS = {
+    "covered_elsewhere": "covered",
+    "wrong_page_ranked": "covered",
+    "packaging": "not_a_gap",
+    "docs_only": "not_a_gap",
+    "no_gap": "unverified",
+    "no_evidence": "unverified",
+    "not_in_corpus": "unverified",
+    "not_docs": "unverified",
+    "no_quote": "unverified",
+    "quote_missing": "unverified",
+}
+STRONG, LEAST_MATCHED = 0.55, 2
+
+
+def evidence_cause(actions: DataFrame, pages: DataFrame) -> DataFrame:
+    """actions (id, gap, evidence_url, quote) with cause: the first check that fails against pages (url, kind, body), or null.
+
+    Pages are joined by url to the actions alone, so bodies of pages that nobody cites are never looked at."""
+    p = pages.select(F.col("url").alias("evidence_url"), "kind", "body")
+    joined = actions.join(p, "evidence_url", "left")
+    none = lambda c: F.trim(F.coalesce(F.col(c), F.lit(""))) == ""
+    cause = (
+        F.when(none("gap"), "no_gap")
+        .when(F.col("evidence_url").isNull(), "no_evidence")
+        .when(F.col("kind").isNull(), "not_in_corpus")
+        .when(F.col("kind") != "docs", "not_docs")
+        .when(none("quote"), "no_quote")
+        .when(~T.quote_in(T.quote_parts(F.col("quote")), F.col("body")), "quote_missing")
+    )
+    return joined.withColumn("cause", cause).drop("kind", "body")
+
+
+def coverage_misses(hits: DataFrame, terms: DataFrame, read: DataFrame) -> DataFrame:
+    """Strong hits (qid, url, score, matched) that were not read and rank at least as high as the best that was: they may cover the gap.
+
+    A strong hit matches two terms (all, if there are fewer; terms is (qid, n)) and scores STRONG of the best at least."""
+    w = Window.partitionBy("qid")
+    h = hits.join(terms, "qid").join(read.select("url", F.lit(True).alias("was_read")), "url", "left")
+    h = h.withColumn("top", F.max("score").over(w)).withColumn("best_read", F.max(F.when(F.col("was_read"), F.col("score"))).over(w))
+    strong = (F.size("matched") >= F.least(F.lit(LEAST_MATCHED), F.col("n"))) & (F.col("score") >= STRONG * F.col("top"))
+    return h.where(strong & F.col("was_read").isNull() & (F.col("score") >= F.greatest(F.coalesce("best_read", F.lit(0.0)), STRONG * F.col("top")))).select("qid", "url", "score")
+
+
+def verdict_rollup(blocked: DataFrame, group: str) -> DataFrame:
+    """(group, verdict, n): covered if anything is, not_a_gap if all blocked actions are, else unverified; kept if nothing is blocked."""
+    names = F.create_map(*[F.lit(x) for kv in VERDICTS.items() for x in kv])
+    v = blocked.withColumn("v", F.when(F.col("cause").isNotNull(), names[F.col("cause")]))
+    return v.groupBy(group).agg(
+        F.when(F.count("v") == 0, "kept").when(F.coalesce(F.bool_or(F.col("v") == "covered"), F.lit(False)), "covered").when(F.bool_and(F.col("v") == "not_a_gap"), "not_a_gap").otherwise("unverified").alias("verdict"),
+        F.count("v").alias("n"),
+    )
+
+
+# ---------------------------------------------------------------- edits
+
+LEAST_ALLOWED, SHARE = 45, 0.2
+
+
+def allowed_words(passage: Column, page: Column) -> Column:
+    """How many words an edit may add: as many as the passage has, but not over a fifth of the page, and LEAST_ALLOWED in any case."""
+    return F.greatest(F.lit(LEAST_ALLOWED), F.least(passage, F.floor(page * SHARE + 0.5).cast("int")))
+
+
+def embed_budget(fields: DataFrame, key: str, order: str, size: Column, most_fields: int = 25, most: int = 6000) -> DataFrame:
+    """The leading fields of each message that fit: most_fields at most, and no more characters than most together."""
+    w = Window.partitionBy(key).orderBy(order)
+    out = fields.withColumn("place", F.row_number().over(w)).withColumn("total", F.sum(size).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    return out.where((F.col("place") <= most_fields) & (F.col("total") <= most))

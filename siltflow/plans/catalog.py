@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import scalars, search
+from . import rules, scalars, search, state_queries
 
-_MODULES = (search, scalars)
+_MODULES = (search, scalars, state_queries, rules)
 
 QUERIES: dict = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
 ORACLES: dict = {k: v for m in _MODULES for k, v in m.ORACLES.items()}

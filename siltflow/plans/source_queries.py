@@ -15,8 +15,12 @@ from .base import table
 from .scalars import SQL_URLS
 from .search import sql_collapse
 
-_S = F.col("page_id").cast("string")
-_AMP = F.replace(F.col("url"), F.lit("&"), F.lit("&amp;"))
+def _s():
+    return F.col("page_id").cast("string")
+
+
+def _amp():
+    return F.replace(F.col("url"), F.lit("&"), F.lit("&amp;"))
 
 
 def _xml(spark, sf_dir, head, item, tail, keep="true", by=10):
@@ -28,10 +32,10 @@ def _xml(spark, sf_dir, head, item, tail, keep="true", by=10):
 
 def _feeds(spark, sf_dir):
     rss = F.concat(
-        F.lit("<item><title><![CDATA[Page "), _S, F.lit(" & more]]></title><link>"), _AMP, F.lit("</link>"), F.when(F.col("page_id") % 3 == 0, F.concat(F.lit('<guid isPermaLink="false">g'), _S, F.lit("</guid>"))).otherwise(""),
-        F.lit("<pubDate>2024-01-02</pubDate><description>&lt;p&gt;Body "), _S, F.lit("&lt;/p&gt;</description></item>"),
+        F.lit("<item><title><![CDATA[Page "), _s(), F.lit(" & more]]></title><link>"), _amp(), F.lit("</link>"), F.when(F.col("page_id") % 3 == 0, F.concat(F.lit('<guid isPermaLink="false">g'), _s(), F.lit("</guid>"))).otherwise(""),
+        F.lit("<pubDate>2024-01-02</pubDate><description>&lt;p&gt;Body "), _s(), F.lit("&lt;/p&gt;</description></item>"),
     )
-    atom = F.concat(F.lit("<entry><title type=\"html\">Page "), _S, F.lit(' &amp; more</title><link href="'), _AMP, F.lit('"/><id>a'), _S, F.lit("</id><updated>2024-01-03</updated><summary type=\"html\">Body "), _S, F.lit("</summary></entry>"))
+    atom = F.concat(F.lit("<entry><title type=\"html\">Page "), _s(), F.lit(' &amp; more</title><link href="'), _amp(), F.lit('"/><id>a'), _s(), F.lit("</id><updated>2024-01-03</updated><summary type=\"html\">Body "), _s(), F.lit("</summary></entry>"))
     a = _xml(spark, sf_dir, "<rss version=\"2.0\"><channel><title>x</title>", rss, "</channel></rss>", "page_id % 2 = 0")
     b = _xml(spark, sf_dir, '<feed xmlns="http://www.w3.org/2005/Atom"><title>x</title>', atom, "</feed>", "page_id % 2 = 1")
     return a.unionByName(b)
@@ -43,7 +47,7 @@ def feed_entries(spark, sf_dir):
 
 
 def sitemap_entries(spark, sf_dir):
-    item = F.concat(F.lit("<url><loc>"), _AMP, F.lit("</loc>"), F.when(F.col("page_id") % 4 != 0, F.concat(F.lit("<lastmod>2024-01-"), F.lpad((F.col("page_id") % 28 + 1).cast("string"), 2, "0"), F.lit("</lastmod>"))).otherwise(""), F.lit("</url>"))
+    item = F.concat(F.lit("<url><loc>"), _amp(), F.lit("</loc>"), F.when(F.col("page_id") % 4 != 0, F.concat(F.lit("<lastmod>2024-01-"), F.lpad((F.col("page_id") % 28 + 1).cast("string"), 2, "0"), F.lit("</lastmod>"))).otherwise(""), F.lit("</url>"))
     x = _xml(spark, sf_dir, "<urlset>", item, "</urlset>", by=1)
     return S.articles(S.sitemap(x, "feed", F.col("xml")), F.lit("2024-01-10").cast("timestamp"), 40).select("url", "lastmod")
 
@@ -56,15 +60,15 @@ def llms_urls(spark, sf_dir):
 
 def llms_sections(spark, sf_dir):
     p = table(spark, sf_dir, "pages")
-    part = F.concat(F.when(F.col("page_id") % 2 == 0, F.concat(F.lit("# Title "), _S, F.lit("\n"))).otherwise(""), F.when(F.col("page_id") % 3 == 0, "Source: ").otherwise(""), U.canonical(F.col("url")), F.lit("\n# Inner "), _S, F.lit("\nText "), _S, F.lit("\n"))
+    part = F.concat(F.when(F.col("page_id") % 2 == 0, F.concat(F.lit("# Title "), _s(), F.lit("\n"))).otherwise(""), F.when(F.col("page_id") % 3 == 0, "Source: ").otherwise(""), U.canonical(F.col("url")), F.lit("\n# Inner "), _s(), F.lit("\nText "), _s(), F.lit("\n"))
     return S.full_pages(_xml(spark, sf_dir, "intro\n", part, "end"), "feed", F.col("xml")).select("feed", F.col("section").cast("long").alias("section"), "url", "title")
 
 
 def _markdown(spark, sf_dir):
     p = table(spark, sf_dir, "pages")
     md = F.concat(
-        F.when(F.col("page_id") % 2 == 0, F.concat(F.lit("---\ntitle: Front "), _S, F.lit("\n---\n"))).otherwise(""), F.lit("# Head "), _S,
-        F.lit("\n\nSome *bold* text with [a link](/docs/"), _S, F.lit(") and [here](#top) and [again](/docs/"), _S, F.lit(").\n\n![img](/x.png)\n```sh\nrun it\n```\n> `code` quoted\n"),
+        F.when(F.col("page_id") % 2 == 0, F.concat(F.lit("---\ntitle: Front "), _s(), F.lit("\n---\n"))).otherwise(""), F.lit("# Head "), _s(),
+        F.lit("\n\nSome *bold* text with [a link](/docs/"), _s(), F.lit(") and [here](#top) and [again](/docs/"), _s(), F.lit(").\n\n![img](/x.png)\n```sh\nrun it\n```\n> `code` quoted\n"),
     )
     return p.select("page_id", md.alias("md"))
 
@@ -113,7 +117,7 @@ def enrich_articles(spark, sf_dir):
 
 def collect_blog(spark, sf_dir):
     p = _pages(spark, sf_dir)
-    cards = p.where("page_id % 3 = 0").select(U.canonical(F.col("url")).alias("url"), F.concat(F.lit("Card "), _S).alias("title"), F.col("page_id").alias("pos"))
+    cards = p.where("page_id % 3 = 0").select(U.canonical(F.col("url")).alias("url"), F.concat(F.lit("Card "), _s()).alias("title"), F.col("page_id").alias("pos"))
     links = p.where("page_id % 2 = 0").select(U.canonical(F.col("url")).alias("url"), F.col("page_id").alias("pos"))
     return S.blog(cards, links, 100).select("url", "title")
 

@@ -19,7 +19,7 @@ def components(links: DataFrame, a: str = "a", b: str = "b", most_rounds: int =
     step is two aggregations and two joins over the edges, whose rows shrink to stars; no neighbourhood is ever collected, so a node with
     very many links is no hot task. Each round's edges are written, so a lost executor costs one round at most.
     """
-    edges = links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where((F.col(a) != F.col(b))).distinct()
+    edges = links.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct()
     edges = written(edges, "edges")
     seen = _stamp(edges)
     if not seen[0]:

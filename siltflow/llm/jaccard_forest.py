@@ -1,23 +1,31 @@
 """N-gram Jaccard join by a MinHash LSH forest.
 
 Each distinct text has a MinHash signature, cut into TREES labels of DEPTH values. A tree of the forest is the sorted list of one label of
-every text, in which a node of the prefix trie is a run of equal prefixes. The join starts at whole labels and shortens the prefixes step by
-step; every candidate pair is verified by its exact Jaccard similarity. After each step the recall so far is estimated from the links found
-(each stands for 1/p links, p the chance that a pair of its similarity meets at this depth) and the join stops when it reaches the target,
-or when the depth alone guarantees the target for a pair just at the threshold.
+every text, in which a node of the prefix trie is a run of equal prefixes. The join starts at whole labels; from the similarities of the links
+found there it estimates what share of all links each prefix length finds (a link of similarity s meets with chance 1 - (1 - s^d)^TREES at
+depth d) and shortens the prefixes to the longest length that reaches the target.
+
+Pairs are never rows. A run ties its texts to its least one, which is linear in its size; texts tied together, over any number of steps, form
+a candidate group, in which every two texts are verified by their exact Jaccard similarity. A large group is dealt into blocks, each pair of
+blocks a task, so that no task holds more than two. A task returns, for each text, how many links it has there and the least text that these
+links reach, so a group of copies of one another costs rows in proportion to its size.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
 from .shared import bounded_batches, by_text, mix, only, shingle_hashes, written
 
 TREES, DEPTH, THRESHOLD, TARGET = 20, 6, 0.8, 0.9999
+#: Least chance that the forest finds a pair just at the threshold, whatever the links found so far suggest.
+LEAST_CHANCE = 0.9995
+#: Texts in a block of a candidate group.
+BLOCK = 256
 
 _SEEDS = mix(np.arange(1, 2 * TREES * DEPTH + 1, dtype=np.uint64))
 _XOR, _MUL = (_SEEDS[: TREES * DEPTH] >> np.uint64(32)).astype(np.uint32), (_SEEDS[TREES * DEPTH :] >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
@@ -57,26 +65,7 @@ def _signatures(batches):
 def _sets(batches):
     for batch in batches:
         out = [np.unique(shingle_hashes(w.h[lo:hi])).tobytes() for _, w, lo, hi in by_text(batch.column("text").to_pylist())]
-        yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(out, pa.binary())], ["node", "sh"])
-
-
-def jaccard(x: bytes, y: bytes) -> float:
-    x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-    if len(y) < len(x):
-        x, y = y, x
-    at = np.searchsorted(y, x)
-    both = int((y[np.minimum(at, len(y) - 1)] == x).sum()) if len(x) else 0
-    return both / (len(x) + len(y) - both) if len(y) else 0.0
-
-
-def _verify(threshold: float):
-    def run(batches):
-        for batch in batches:
-            s = np.array([jaccard(x, y) for x, y in zip(batch.column("sa").to_pylist(), batch.column("sb").to_pylist(), strict=True)])
-            keep = pa.array(s >= threshold, pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep), pa.array(s, pa.float64()).filter(keep)], ["a", "b", "similarity"])
-
-    return run
+        yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("id", "component", "block", "blocks")], pa.array(out, pa.binary())], ["id", "component", "block", "blocks", "sh"])
 
 
 def chance(similarity, depth: int):
@@ -90,38 +79,132 @@ def with_nodes(docs: DataFrame) -> DataFrame:
     return only(docs, "doc_id", "text").select("doc_id", text.alias("text"), F.unhex(F.md5(text.cast("binary"))).alias("node"))
 
 
-def links(docs: DataFrame, threshold: float = THRESHOLD, target: float = TARGET) -> DataFrame:
-    """(a, b, similarity): each pair a < b of nodes (distinct texts) with Jaccard similarity of word shingles >= threshold, once.
+def shared(sets: list[np.ndarray]) -> np.ndarray:
+    """How many elements each two of the sets share."""
+    m = len(sets)
+    if m == 2:
+        x, y = sorted(sets, key=len)
+        at = np.minimum(np.searchsorted(y, x), len(y) - 1)
+        n = int((y[at] == x).sum())
+        return np.array([[len(sets[0]), n], [n, len(sets[1])]])
+    values, owner = np.concatenate(sets), np.repeat(np.arange(m), [len(s) for s in sets])
+    _, column, times = np.unique(values, return_inverse=True, return_counts=True)
+    keep = times[column] > 1
+    owner, column = owner[keep], np.unique(column[keep], return_inverse=True)[1]
+    out = np.zeros((m, m))
+    by = np.argsort(column, kind="stable")
+    owner, column = owner[by], column[by]
+    width = max(1, 4_000_000 // m)
+    for lo in range(0, int(column[-1]) + 1 if len(column) else 0, width):
+        a, b = np.searchsorted(column, [lo, lo + width])
+        part = np.zeros((m, width), np.float32)
+        part[owner[a:b], column[a:b] - lo] = 1
+        out += part @ part.T
+    np.fill_diagonal(out, [len(s) for s in sets])
+    return out.astype(np.int64)
+
+
+def roots(linked: np.ndarray) -> np.ndarray:
+    """For each row of a symmetric boolean matrix the least row of its component."""
+    root = np.arange(len(linked))
+    while True:
+        least = np.where(linked, root[None, :], len(root)).min(axis=1, initial=len(root))
+        new = np.minimum(root, least)
+        new = new[new]
+        if (new == root).all():
+            return root
+        root = new
+
+
+def _verify_group(ids: np.ndarray, side: np.ndarray, sets: list[np.ndarray], threshold: float):
+    """(id, links, root, stand) of the texts of a pair of blocks; within one block (all side 0) every two, else those of different sides.
+    stand: for how many links its links stand, each for 1 / its chance at full depth, and how many of these each depth, from 1 on, finds."""
+    by = np.argsort(ids, kind="stable")
+    ids, side, sets = ids[by], side[by], [sets[i] for i in by]
+    both = shared(sets).astype(float)
+    size = both.diagonal()
+    similarity = both / (size[:, None] + size[None, :] - both)
+    linked = similarity >= threshold
+    np.fill_diagonal(linked, False)
+    if side.any():
+        linked &= side[:, None] != side[None, :]
+    similarity = np.where(linked, similarity, 1.0)
+    one = np.where(linked, 1 / chance(similarity, DEPTH), 0)
+    stand = np.stack([one.sum(axis=1), *[(one * chance(similarity, d)).sum(axis=1) for d in range(1, DEPTH + 1)]], axis=1)
+    some = np.flatnonzero(linked.any(axis=1))
+    return ids[some], linked.sum(axis=1)[some], ids[roots(linked)][some], list(stand[some])
 
-    A text without words has no links. No pair is dropped for its bucket's size: copies are one node, a bucket's pairs are narrowed by the
-    size bound that the threshold implies, and hot buckets are split by Spark's skew join.
-    """
+
+def _verify(threshold: float):
+    def run(batches):
+        held: list[tuple] = []
+
+        def out():
+            if len(held) < 2:
+                return None
+            _, ids, side, raw = zip(*held, strict=True)
+            found = _verify_group(np.array(ids), np.array(side), [np.frombuffer(x, np.uint64) for x in raw], threshold)
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(found, (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.float64())), strict=True)], ["id", "links", "root", "stand"])
+
+        for batch in batches:
+            for row in zip(zip(*[batch.column(c).to_pylist() for c in ("component", "lo", "hi")], strict=True), *[batch.column(c).to_pylist() for c in ("id", "side", "sh")], strict=True):
+                if held and held[0][0] != row[0]:
+                    if (done := out()) is not None:
+                        yield done
+                    held = []
+                held.append(row)
+        if (done := out()) is not None:
+            yield done
+
+    return run
+
+
+def _groups(nodes: DataFrame, depth: int) -> DataFrame:
+    """(id, component): texts that share a prefix of this depth in some tree, directly or over others."""
+    wide = 1 + 4 * DEPTH
+    prefix = F.explode(F.expr(f"transform(sequence(0, {TREES - 1}), t -> substring(labels, t * {wide} + 1, {1 + 4 * depth}))"))
+    keys = nodes.select("id", prefix.alias("prefix"))
+    least = keys.groupBy("prefix").agg(F.min("id").alias("least"), F.count("*").alias("n")).where("n > 1").select("prefix", "least")
+    ties = keys.join(least, "prefix").where("id <> least").select(F.col("id").alias("a"), F.col("least").alias("b"))
+    return written(components(ties).select(F.col("node").alias("id"), "component"), "groups")
+
+
+def _found(base: DataFrame, nodes: DataFrame, depth: int, threshold: float) -> DataFrame:
+    """(id, links, root, stand): for each text and task the links verified there."""
+    tied = _groups(nodes, depth)
+    size = tied.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    place = F.row_number().over(Window.partitionBy("component").orderBy("n", "id"))
+    placed = tied.join(nodes.select("id", "node", "n", F.col("doc_id").alias("one")), "id").withColumn("block", F.floor((place - 1) / BLOCK).cast("int")).join(size, "component")
+    texts = placed.join(base, "node").where(F.col("one").eqNullSafe(F.col("doc_id"))).select("id", "component", "block", "blocks", "text")
+    schema = "id long, component long, block int, blocks int, sh binary"
+    sets = written(texts.mapInArrow(_sets, schema), "sets").dropDuplicates(["id"])
+    dealt = sets.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    lo, hi = F.least("block", "other"), F.greatest("block", "other")
+    dealt = dealt.select("component", lo.alias("lo"), hi.alias("hi"), (F.col("block") > F.col("other")).cast("int").alias("side"), "id", "sh")
+    dealt = dealt.repartition("component", "lo", "hi").sortWithinPartitions("component", "lo", "hi")
+    return written(dealt.mapInArrow(_verify(threshold), "id long, links long, root long, stand array<double>"), "links")
+
+
+def signatures(base: DataFrame) -> DataFrame:
+    """(id, node, doc_id, n, labels): a row for each distinct text with words, id numbering them; doc_id is of one of its rows."""
+    nodes = base.mapInArrow(_signatures, "doc_id long, node binary, n int, labels binary").where("n > 0").dropDuplicates(["node"])
+    return written(nodes.withColumn("id", F.monotonically_increasing_id()), "signatures")
+
+
+def links(docs: DataFrame, threshold: float = THRESHOLD, target: float = TARGET) -> tuple[DataFrame, DataFrame]:
+    """(nodes, found): the distinct texts, and for each text and task (id, links, root): the number of other texts with Jaccard similarity of
+    word shingles >= threshold there, and the least one that they reach. A pair of texts is in exactly one task. A text without words has no
+    links. Nothing is dropped for a run's or group's size."""
     bounded_batches(docs.sparkSession)
     base = with_nodes(docs)
-    nodes = base.mapInArrow(_signatures, "doc_id long, node binary, n int, labels binary").where("n > 0").dropDuplicates(["node"])
-    nodes = written(nodes, "signatures")
-    found = tried = None
-    for depth in range(DEPTH, 0, -1):
-        wide = 1 + 4 * DEPTH
-        keys = nodes.select("node", "n", F.explode(F.expr(f"transform(sequence(0, {TREES - 1}), t -> substring(labels, t * {wide} + 1, {1 + 4 * depth}))")).alias("prefix"))
-        x, y = keys.select(F.col("node").alias("a"), F.col("n").alias("na"), "prefix"), keys.select(F.col("node").alias("b"), F.col("n").alias("nb"), "prefix")
-        near = (F.col("a") < F.col("b")) & (F.col("na") >= threshold * F.col("nb")) & (F.col("nb") >= threshold * F.col("na"))
-        pairs = x.join(y, "prefix").where(near).select("a", "b").distinct()
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = written(pairs, "candidates")
-        tried = pairs if tried is None else tried.union(pairs)
-        ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        texts = ends.join(nodes.select("node", F.col("doc_id").alias("one")), "node").join(base, "node").where(F.col("one").eqNullSafe(F.col("doc_id")))
-        sets = written(texts.select("node", "text").mapInArrow(_sets, "node binary, sh binary"), "sets").dropDuplicates(["node"])
-        both = pairs.join(sets.select(F.col("node").alias("a"), F.col("sh").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("sh").alias("sb")), "b")
-        new = written(both.mapInArrow(_verify(threshold), "a binary, b binary, similarity double"), "links")
-        found = new if found is None else found.union(new)
-        p = F.lit(1.0) - F.pow(F.lit(1.0) - F.pow("similarity", F.lit(depth)), F.lit(TREES))
-        n, whole = found.agg(F.count("*"), F.sum(1 / p)).first()
-        if chance(threshold, depth) >= target or n and n / whole >= target and chance(threshold, depth) >= 0.999:
-            break
-    return found
+    nodes = signatures(base)
+    depth = DEPTH
+    found = _found(base, nodes, depth, threshold)
+    stand = found.agg(*[F.coalesce(F.sum(F.col("stand")[d]), F.lit(0.0)) for d in range(DEPTH + 1)]).first()
+    # shorten until the links' estimated recall and the chance of a pair just at the threshold are high enough
+    while depth > 1 and not (chance(threshold, depth) >= target or stand[0] and chance(threshold, depth) >= LEAST_CHANCE and stand[depth] / stand[0] >= target):
+        depth -= 1
+    return nodes, found if depth == DEPTH else _found(base, nodes, depth, threshold)
 
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, target: float = TARGET) -> DataFrame:
@@ -131,11 +214,11 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, target: float
     steps. n_links: other texts linked directly. Null and empty texts are copies of one another and have no links; repeated rows stay; an
     empty table gives an empty one; rows whose doc_id is null get the ids of their text's other rows, or null.
     """
-    found = links(docs, threshold, target)
+    nodes, found = links(docs, threshold, target)
     members = with_nodes(docs).select("doc_id", "node")
     copies = members.groupBy("node").agg(F.min("doc_id").alias("copy_of"))
-    degree = found.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
-    joined = written(components(found), "components").join(copies, "node").join(degree, "node")
+    degree = found.groupBy("id").agg(F.sum("links").alias("n_links"))
+    joined = written(components(found, "id", "root").withColumnRenamed("node", "id"), "components").join(degree, "id").join(nodes.select("id", "node"), "id").join(copies, "node")
     least = joined.groupBy("component").agg(F.min("copy_of").alias("class_id"))
     info = copies.join(joined.join(least, "component").select("node", "class_id", "n_links"), "node", "left")
     return members.join(info, "node").select("doc_id", F.coalesce("class_id", "copy_of").alias("class_id"), "copy_of", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))

@@ -15,6 +15,7 @@ from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -124,7 +125,25 @@ def contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD
     return next(iter(parts.values())) if parts else spark.createDataFrame([], _SCHEMA)
 
 
+def _contains(held, threshold: float):
+    @F.pandas_udf("boolean")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        block = Items(*held.value, threshold)
+        for batch in batches:
+            out = np.zeros(len(batch), bool)
+            for i, _, _ in block.search([t if isinstance(t, str) else None for t in batch]):
+                out[i] = True
+            yield pd.Series(out)
+
+    return run
+
+
 def decontaminate(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """docs without the rows whose text contains an item; the columns stay. A document with a null doc_id is judged by its text too."""
-    found = contaminated(docs, items, threshold).select("doc_id").distinct()
-    return docs.join(found, docs["doc_id"].eqNullSafe(found["doc_id"]), "left_anti")
+    """docs without the rows whose text contains an item; the columns stay. Each row is judged by its own text, so null and repeated ids
+    make no difference; nothing is shuffled or joined."""
+    spark = docs.sparkSession
+    bounded_batches(spark)
+    for ids, texts in _blocks(items):
+        held = spark.sparkContext.broadcast((ids, texts))  # at most BLOCK_CHARS
+        docs = docs.where(~_contains(held, threshold)(F.col("text")))
+    return docs

@@ -207,6 +207,18 @@ def links(docs: DataFrame, threshold: float = THRESHOLD, target: float = TARGET)
     return nodes, found if depth == DEPTH else _found(base, nodes, depth, threshold)
 
 
+def _classes(docs: DataFrame, threshold: float, target: float) -> tuple[DataFrame, DataFrame]:
+    """(copies, linked): (node, copy_of) of every distinct text, and (node, copy_of, n_links, class_id, first) of those with links; first is
+    the text that stands for its class, that of the least doc_id."""
+    nodes, found = links(docs, threshold, target)
+    copies = with_nodes(docs).groupBy("node").agg(F.min("doc_id").alias("copy_of"))
+    degree = found.groupBy("id").agg(F.sum("links").alias("n_links"))
+    joined = written(components(found, "id", "root").withColumnRenamed("node", "id"), "components").join(degree, "id").join(nodes.select("id", "node"), "id").join(copies, "node")
+    order = F.struct(F.col("copy_of").isNull(), "copy_of", "node")
+    least = joined.groupBy("component").agg(F.min("copy_of").alias("class_id"), F.min_by("node", order).alias("first"))
+    return copies, joined.join(least, "component").select("node", "copy_of", "n_links", "class_id", "first")
+
+
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, target: float = TARGET) -> DataFrame:
     """One row per row of docs: doc_id, class_id, copy_of, n_links.
 
@@ -214,19 +226,16 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, target: float
     steps. n_links: other texts linked directly. Null and empty texts are copies of one another and have no links; repeated rows stay; an
     empty table gives an empty one; rows whose doc_id is null get the ids of their text's other rows, or null.
     """
-    nodes, found = links(docs, threshold, target)
-    members = with_nodes(docs).select("doc_id", "node")
-    copies = members.groupBy("node").agg(F.min("doc_id").alias("copy_of"))
-    degree = found.groupBy("id").agg(F.sum("links").alias("n_links"))
-    joined = written(components(found, "id", "root").withColumnRenamed("node", "id"), "components").join(degree, "id").join(nodes.select("id", "node"), "id").join(copies, "node")
-    least = joined.groupBy("component").agg(F.min("copy_of").alias("class_id"))
-    info = copies.join(joined.join(least, "component").select("node", "class_id", "n_links"), "node", "left")
-    return members.join(info, "node").select("doc_id", F.coalesce("class_id", "copy_of").alias("class_id"), "copy_of", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
-
-
-def keep_one(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """docs with one row of each near-duplicate class: the one whose doc_id is the class_id; of repeated rows with that id, one."""
-    cols = docs.columns
-    stay = near_duplicates(docs, threshold).where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select("doc_id").distinct()
-    kept = docs.join(stay, docs["doc_id"].eqNullSafe(stay["doc_id"]), "left_semi")
-    return kept.dropDuplicates(["doc_id"]).select(*cols)
+    copies, linked = _classes(docs, threshold, target)
+    info = copies.join(linked.select("node", "class_id", "n_links"), "node", "left")
+    out = with_nodes(docs).select("doc_id", "node").join(info, "node")
+    return out.select("doc_id", F.coalesce("class_id", "copy_of").alias("class_id"), "copy_of", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+
+
+def keep_one(docs: DataFrame, threshold: float = THRESHOLD, target: float = TARGET) -> DataFrame:
+    """docs with one row of each near-duplicate class: of the text that stands for it, the row with the least doc_id; of equal ones, one."""
+    copies, linked = _classes(docs, threshold, target)
+    stay = copies.join(linked.where("node <> first").select("node"), "node", "left_anti")
+    text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
+    kept = docs.withColumn("_node", F.unhex(F.md5(text))).join(stay.select(F.col("node").alias("_node"), F.col("copy_of").alias("_least")), "_node")
+    return kept.where(F.col("doc_id").eqNullSafe(F.col("_least"))).dropDuplicates(["_node"]).select(*[F.col(f"`{c}`") for c in docs.columns])

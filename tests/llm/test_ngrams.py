@@ -74,9 +74,9 @@ def test_near_duplicates_equal_brute_force(spark, monkeypatch, block):
 
 
 def test_keep_one(spark):
-    rows = [(1, "a b c d e f", "en"), (1, "a b c d e f", "en"), (2, "a b c d e f", "de"), (3, None, "en"), (4, "", "en"), (None, "alone is this text here", "en")]
+    rows = [(1, "a b c d e f", "en"), (1, "a b c d e f", "en"), (2, "a b c d e f", "de"), (3, None, "en"), (4, "", "en"), (None, "alone is this text here", "en"), (None, "another one without an id", "en")]
     kept = jaccard_forest.keep_one(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()
-    assert sorted((r.doc_id is None, r.doc_id or 0) for r in kept) == [(False, 1), (False, 3), (True, 0)]
+    assert sorted((r.doc_id is None, r.doc_id or 0) for r in kept) == [(False, 1), (False, 3), (True, 0), (True, 0)]
 
 
 def test_empty_tables(spark):
@@ -128,6 +128,9 @@ def test_contamination_equals_brute_force(spark, monkeypatch, chars):
             if s and len(s & sets(t)) >= 0.8 * len(s) - 1e-9:
                 want.append((d, i, len(s), len(s & sets(t))))
     found = decontaminate.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    kept = decontaminate.decontaminate(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    bad = {t for d, t in docs if any(w[0] == d for w in want) and any(len(sets(x) & sets(t)) >= 0.8 * len(sets(x)) - 1e-9 for _, x in items if sets(x))}
+    assert sorted((r.doc_id or -1, r.text or "") for r in kept.collect()) == sorted((d or -1, t or "") for d, t in docs if t not in bad)
     key = lambda r: (r[0] is None, r[0] or 0, r[1])
     assert sorted([(r.doc_id, r.item_id, r.n_item, r.n_shared) for r in found.collect()], key=key) == sorted(want, key=key)
 

@@ -99,3 +99,40 @@ def picture(feed: Column, page: Column, page_is_generic: Column, anchored: Colum
     An entry that is a part of a page takes none of the page's."""
     own = F.when(~anchored, page)
     return F.coalesce(feed, F.when(~page_is_generic, own), screenshot, own, made)
+
+
+# Hedges before an embedded question, and how one with its stem missing opens.
+HEDGE = r"(?i)^(it (is|'s) )?(unclear|unknown|uncertain|not clear|open question|tbd)\b[ :,–-]*((on|about) )?"
+CLAUSE = ("whether", "if")
+
+
+def as_question(line: Column) -> Column:
+    """The line as a question: itself if it is one; else its last clause without a hedge, as a question if it opens like one or with whether
+    or if; what stands before that clause is kept. Null if it can't be one without being rewritten."""
+    text = T.collapse(line)
+    bare = F.regexp_replace(text, r"[ .?!]+$", "")
+    lead = F.regexp_extract(bare, r"^(.*(?:[.!?;:]| –) +)?(.*)$", 1)
+    body = F.trim(F.regexp_replace(F.regexp_extract(bare, r"^(.*(?:[.!?;:]| –) +)?(.*)$", 2), HEDGE, ""))
+    opener = F.regexp_extract(F.lower(body), "^[a-z']+", 0)
+    low, up = F.concat(F.lower(F.left(body, F.lit(1))), F.substring(body, 2, 1 << 20)), F.concat(F.upper(F.left(body, F.lit(1))), F.substring(body, 2, 1 << 20))
+    first = lead == ""
+    asked = F.when(opener.isin(*CLAUSE), F.concat(F.when(first, "Do we know ").otherwise("do we know "), low, F.lit("?"))).when(opener.isin(*routing.OPENERS), F.concat(F.when(first, up).otherwise(low), F.lit("?")))
+    return F.when(routing.is_question(text), text).otherwise(F.concat(lead, asked))
+
+
+def verify_docs(actions: DataFrame, product: str) -> DataFrame:
+    """actions (type, detail, topic, doc) checked against what was shown: building something that a doc covers becomes enhancing it, with the
+    doc cited; a claim that something is lacking cites the doc too, or becomes an open question where there is none."""
+    covered = F.col("doc").isNotNull()
+    building, claims = F.col("type") == "consider_building", F.col("detail").rlike(routing.gap_pattern(product))
+    return actions.withColumn("cites", F.when(covered & (building | claims), F.col("doc"))).withColumn("asks", ~covered & claims).withColumn("type", F.when(building & covered, "consider_enhancing").otherwise(F.col("type")))
+
+
+def top_up(named: DataFrame, held: DataFrame, key: str, most: int = 3) -> DataFrame:
+    """(key, doc): the overviews (first documents) of the topics that a row names (key, label, rank) and that are neither held (key, doc) nor of
+    a topic one of whose documents is held; the first most by rank."""
+    topics = named.sparkSession.createDataFrame([(t.label, d, i) for t in routing.TOPICS for i, d in enumerate(t.docs)], "label string, doc string, i int")
+    covered = held.join(F.broadcast(topics), "doc").select(key, "label").distinct()
+    missing = named.join(covered, [key, "label"], "left_anti").join(F.broadcast(topics.where("i = 0")), "label")
+    place = F.row_number().over(Window.partitionBy(key).orderBy("rank", "doc"))
+    return missing.withColumn("place", place).where(F.col("place") <= most).select(key, "doc")

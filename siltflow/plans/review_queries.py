@@ -9,7 +9,8 @@ from ..operators import retrieval as R
 from ..operators import review as V
 from ..operators import routing as Q
 from .base import sql_stems, table
-from .rules import _LINES, _any, _lines
+from .rules import _DOCS, _LINES, _TOPICS, _any, _lines
+from .scalars import _slug
 
 
 def topic_ties(spark, sf_dir):
@@ -83,7 +84,38 @@ def image_fallback(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", V.picture(opt(7, "feed"), opt(2, "page"), i % 3 == 0, i % 5 == 0, opt(4, "shot"), F.lit("made")).alias("image"))
 
 
-QUERIES = {f.__name__: f for f in (topic_ties, topic_by_name, page_action_gate, gate_chain, action_lead, merge_revision, review_states, no_action_check, post_images, image_fallback)}
+def question_repair(spark, sf_dir):
+    i = F.col("doc_id")
+    x = F.lower(F.element_at(T.words(F.concat(F.col("text"), F.lit(" word"))), 1))
+    line = F.when(i % 5 == 0, F.concat(F.lit("It is unclear whether "), x, F.lit(" holds."))).when(i % 5 == 1, F.concat(F.lit("The page is old: does "), x, F.lit(" hold"))).when(i % 5 == 2, F.concat(F.lit("what is "), x)).when(i % 5 == 3, F.concat(F.lit("Is "), x, F.lit(" so?"))).otherwise(x)
+    return table(spark, sf_dir, "documents").select("doc_id", V.as_question(line).alias("question"))
+
+
+def verify_docs(spark, sf_dir):
+    i = F.col("doc_id")
+    topic = Q.match_topics(table(spark, sf_dir, "documents"), "doc_id", F.col("text"), 1).select("doc_id", "label")
+    kind = F.when(i % 2 == 0, "consider_building").otherwise("consider_enhancing")
+    a = _lines(spark, sf_dir).join(topic, "doc_id", "left").select("doc_id", kind.alias("type"), F.col("line").alias("detail"), F.when(i % 3 != 0, F.col("label")).alias("doc"))
+    return V.verify_docs(a, "acme").select("doc_id", "type", "cites", "asks")
+
+
+def context_topup(spark, sf_dir):
+    named = Q.match_topics(table(spark, sf_dir, "documents"), "doc_id", F.col("text"))
+    held = Q.round_robin_docs(named.where("rank = 1"), "doc_id", 1).where("doc_id % 2 = 0").select("doc_id", "doc")
+    return V.top_up(named, held, "doc_id")
+
+
+def visual_paths(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    return d.select("doc_id", F.concat(F.lit("edits/"), T.slug(F.left("text", F.lit(80)), 60), F.lit("-"), F.left(F.sha1("text"), F.lit(12)), F.lit(".png")).alias("path"))
+
+
+def run_summary(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    return e.agg(F.count("*").alias("n"), F.countDistinct("event_type").alias("n_sources"), F.sum((F.col("event_type") == "error").cast("long")).alias("n_failed"), F.array_join(F.array_sort(F.collect_set("event_type")), ", ").alias("notes"))
+
+
+QUERIES = {f.__name__: f for f in (topic_ties, topic_by_name, page_action_gate, gate_chain, action_lead, merge_revision, review_states, no_action_check, post_images, image_fallback, question_repair, verify_docs, context_topup, visual_paths, run_summary)}
 
 _SKIP = ", ".join(f"'{s}'" for s in sorted({*R.STOP_STEMS, *{R.plain_stem(w) for t in Q.TOPICS for k in (t.label, *t.keywords) for w in k.lower().split()}}))
 _FAULT = f"""CASE WHEN trim(coalesce(copy, '')) = '' THEN 5 WHEN length(trim(copy)) < 40 AND NOT (starts_with(trim(copy), '|') AND len(string_split(copy, '|')) >= 3) THEN 4 WHEN regexp_matches(trim(copy), '{Q.INSTRUCTION}') THEN 2
@@ -111,4 +143,14 @@ r AS (SELECT *, row_number() OVER (PARTITION BY done ORDER BY id) AS n FROM t) S
 SELECT e.event_id AS id, coalesce(a.u, b.u, c.u) AS image FROM events e LEFT JOIN m a ON a.k = e.event_id + 1 LEFT JOIN m b ON b.k = e.event_id + 3 LEFT JOIN m c ON c.k = e.event_id + 5 WHERE e.event_id % 2 = 0""",
     "image_fallback": """SELECT event_id, coalesce(CASE WHEN event_id % 7 = 0 THEN 'feed' || event_id END, CASE WHEN event_id % 3 <> 0 AND event_id % 5 <> 0 AND event_id % 2 = 0 THEN 'page' || event_id END, CASE WHEN event_id % 4 = 0 THEN 'shot' || event_id END,
   CASE WHEN event_id % 5 <> 0 AND event_id % 2 = 0 THEN 'page' || event_id END, 'made') AS image FROM events""",
+    "question_repair": f"""WITH t AS (SELECT doc_id, regexp_extract_all(lower(text || ' word'), '[a-z0-9]+')[1] AS x FROM documents)
+SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'Do we know whether ' || x || ' holds?' WHEN 1 THEN 'The page is old: does ' || x || ' hold?' WHEN 2 THEN 'What is ' || x || '?' WHEN 3 THEN 'Is ' || x || ' so?'
+  ELSE CASE WHEN x IN ('whether', 'if') THEN 'Do we know ' || x || '?' WHEN x IN ({', '.join(repr(x) for x in Q.OPENERS)}) THEN upper(left(x, 1)) || substr(x, 2) || '?' END END AS question FROM t""",
+    "verify_docs": f"""WITH {_TOPICS}, {_LINES}, a AS (SELECT doc_id, line, doc_id % 2 = 0 AS building, regexp_matches(line, '{Q.gap_pattern('acme').replace(chr(39), chr(39) * 2)}') AS claims, CASE WHEN doc_id % 3 <> 0 THEN label END AS doc
+  FROM lines LEFT JOIN (SELECT doc_id, label FROM topics WHERE rank = 1) USING (doc_id))
+SELECT doc_id, CASE WHEN building AND doc IS NULL THEN 'consider_building' ELSE 'consider_enhancing' END AS type, CASE WHEN building OR claims THEN doc END AS cites, doc IS NULL AND claims AS asks FROM a""",
+    "context_topup": f"""WITH {_TOPICS}, c(label, docs) AS (VALUES {_DOCS}), n AS (SELECT doc_id, rank, label, docs[1] AS doc FROM topics JOIN c USING (label) WHERE NOT (doc_id % 2 = 0 AND rank = 1)),
+p AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY rank, doc) AS k FROM n) SELECT doc_id, doc FROM p WHERE k <= 3""",
+    "visual_paths": f"SELECT doc_id, 'edits/' || {_slug('left(text, 80)', 60)} || '-' || left(sha1(text), 12) || '.png' AS path FROM documents",
+    "run_summary": "SELECT count(*) AS n, count(DISTINCT event_type) AS n_sources, count(*) FILTER (event_type = 'error')::BIGINT AS n_failed, array_to_string(list_sort(list(DISTINCT event_type)), ', ') AS notes FROM events",
 }

@@ -31,11 +31,12 @@ def bounded_batches(spark: SparkSession) -> None:
 
 def work_dir(spark: SparkSession) -> str:
     """The shared folder for written intermediates: spark.checkpoint.dir, or a temporary folder where it is unset (tests)."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not root:
-        root = tempfile.mkdtemp(prefix="siltflow-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root
+    return spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or _temporary()
+
+
+@lru_cache(maxsize=None)
+def _temporary() -> str:
+    return tempfile.mkdtemp(prefix="siltflow-")
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

@@ -205,7 +205,10 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = K, factor: float = FA
                 a, ids, score = tree.search(qids, np.frombuffer(r["q"]).reshape(len(qids), -1), k, factor)
                 yield pa.RecordBatch.from_arrays([pa.array(qids[a]), pa.array(ids, pa.int64()), pa.array(score, pa.float64())], ["query_id", "vec_id", "score"])
 
-    pairs = trees.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(packed, ["dim", "block"]).repartition(min(50_000, shards * blocks))
+    # each pair of shard and block is a key of its own, so neither a shard nor a block is a hot one
+    key, n = ["dim", "shard", "block"], min(50_000, shards * blocks)
+    every = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
+    pairs = trees.withColumn("block", every(blocks)).repartition(n, *key).join(packed.withColumn("shard", every(shards)).repartition(n, *key), key)
     found = pairs.select("tree", "ids", "q").mapInArrow(run, "query_id long, vec_id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

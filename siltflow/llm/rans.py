@@ -9,8 +9,10 @@ checkpoints has a checksum, as have the block's ids as a whole. Blocks are rows
 from __future__ import annotations
 
 import math
+import os
 import zlib
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -18,14 +20,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .shared import bounded_batches, only, ragged, work_dir, written
+from .bpe import WHITE
+from .shared import bounded_batches, char_table, chunks, codepoints, only, ragged, span_hashes, work_dir, written
 
 PRECISION, LOW = 20, 1 << 31
 LANES, CHECKPOINT = 256, 128
 #: Ids after which a block ends with its document; documents that a part holds on average.
 BLOCK_IDS, PART_ROWS = 1 << 16, 20_000
+#: Parts at most; beyond, they grow, which costs no memory: a part is written as a stream of blocks.
+MOST_PARTS = 4096
 END = 2
-KEPT = 400_000
+#: Words kept in a worker, some 50 bytes each; a full store starts anew.
+KEPT = 1_200_000
 
 U64, U32 = np.uint64, np.uint32
 
@@ -118,8 +124,8 @@ def decode(block: dict, n: int, table: Table, first: int = 0, last: int | None =
 
 
 class Words:
-    """Encodes texts with a tokenizer of the library whose white space separates words that don't influence each other: each word is encoded
-    once and kept. Texts with separators that Python, but not the tokenizer, counts as white space are encoded whole."""
+    """Encodes texts with a tokenizer of the library whose white space separates words that don't influence each other: the library encodes
+    each word once, and its ids are kept by the word's hash in sorted arrays (some 50 bytes a word), so that whole chunks are looked up at once."""
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
@@ -127,31 +133,38 @@ class Words:
         self.clear()
 
     def clear(self) -> None:
-        self.number: dict[str, int] = {}
-        self.first, self.size, self.flat, self.total = [], [], [], 0
+        """Forgets the words kept."""
+        self.h, self.first, self.size, self.flat = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
 
-    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
-        if len(self.number) > KEPT:
-            self.clear()
-        words = [(t or "").split() if not any(c in t for c in "\x1c\x1d\x1e\x1f") else None for t in (t or "" for t in texts)]
-        new = list({w for ws in words if ws for w in ws if w not in self.number})
+    def _learn(self, h: np.ndarray, new: list[str]) -> None:
         for e in range(0, len(new), 10_000):
-            part = new[e : e + 10_000]
-            for w, enc in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                ids = enc.ids
-                self.number[w] = len(self.first)
-                self.first.append(self.total)
-                self.size.append(len(ids))
-                self.flat += ids
-                self.total += len(ids)
-        first, size, flat = np.array(self.first, np.int64), np.array(self.size, np.int64), np.array(self.flat, np.int64)
+            ids = [enc.ids for enc in self.tokenizer.encode_batch_fast(new[e : e + 10_000], add_special_tokens=False)]
+            size = np.fromiter(map(len, ids), np.int64, len(ids))
+            flat = np.fromiter(chain.from_iterable(ids), np.int32, int(size.sum()))
+            mine = h[e : e + 10_000]
+            at = np.searchsorted(self.h, mine)
+            self.first = np.insert(self.first, at, len(self.flat) + np.cumsum(size) - size)
+            self.size, self.h, self.flat = np.insert(self.size, at, size), np.insert(self.h, at, mine), np.append(self.flat, flat)
+
+    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         out = []
-        for t, ws in zip(texts, words, strict=True):
-            if ws is None:
-                out.append(np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, np.int64))
-            else:
-                at = np.fromiter(map(self.number.__getitem__, ws), np.int64, len(ws))
-                out.append(ragged(flat, first[at], size[at]))
+        texts = [t or "" for t in texts]
+        for lo, hi in chunks(texts):
+            if len(self.h) > KEPT:
+                self.clear()
+            joined = "\n".join(texts[lo:hi]) + "\n"
+            edge = np.flatnonzero(np.diff(char_table(WHITE + " ")[codepoints(joined)], prepend=np.uint8(1)))
+            start, end = edge[0::2], edge[1::2]
+            h, one, which = np.unique(span_hashes(joined, start, end), return_index=True, return_inverse=True)
+            at = np.searchsorted(self.h, h)
+            new = np.flatnonzero(self.h[np.minimum(at, len(self.h) - 1)] != h) if len(self.h) else np.arange(len(h))
+            self._learn(h[new], [joined[a:b] for a, b in zip(start[one[new]].tolist(), end[one[new]].tolist(), strict=True)])
+            at = np.searchsorted(self.h, h)[which]
+            size = self.size[at]
+            ids, stop = ragged(self.flat, self.first[at], size), np.append(0, np.cumsum(size))
+            length = np.fromiter(map(len, texts[lo:hi]), np.int64, hi - lo)
+            word = np.searchsorted(start, np.append(0, np.cumsum(length + 1)))
+            out += [ids[stop[a] : stop[b]] for a, b in zip(word[:-1].tolist(), word[1:].tolist(), strict=True)]
         return out
 
 
@@ -165,12 +178,11 @@ def tokenised(docs: DataFrame, path: str, end: int = END) -> DataFrame:
     bounded_batches(docs.sparkSession)
 
     def run(batches):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         words = _words(path)
         for batch in batches:
             texts = batch.column("text").to_pylist()
-            ids = []
-            for lo in range(0, len(texts), 200):
-                ids += [np.append(x, end).astype("<u4").tobytes() for x in words.encode(texts[lo : lo + 200])]
+            ids = [np.append(x, end).astype("<u4").tobytes() for x in words.encode(texts)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.binary())], ["doc_id", "ids"])
 
     return only(docs, "doc_id", "text").mapInArrow(run, "doc_id long, ids binary")
@@ -201,7 +213,7 @@ def write(docs: DataFrame, path: str, tokenizer: str) -> Table:
     ids first), and returns the frequency table that readers need. Empty tables give no blocks."""
     spark = docs.sparkSession
     ends = only(docs, "doc_id").agg(F.count("*"), F.count("doc_id")).first()
-    parts = max(1, math.ceil(ends[0] / PART_ROWS))
+    parts = min(MOST_PARTS, max(1, math.ceil(ends[0] / PART_ROWS)))
     cuts = sorted(set(only(docs, "doc_id").where("doc_id is not null").approxQuantile("doc_id", [i / parts for i in range(1, parts)], 0.1 / parts))) if parts > 1 and ends[1] else []
     tokens = written(tokenised(docs, tokenizer).withColumn("part", F.expr(f"size(filter(array({', '.join(f'{int(c)}L' for c in cuts)}), c -> c < coalesce(doc_id, {-(1 << 63) + 1}L)))") if cuts else F.lit(0)), "tokens")
     table = frequencies(tokens)

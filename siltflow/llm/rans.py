@@ -24,9 +24,9 @@ from .bpe import WHITE
 from .shared import bounded_batches, char_table, chunks, codepoints, only, ragged, span_hashes, work_dir, written
 
 PRECISION, LOW = 20, 1 << 31
-LANES, CHECKPOINT = 256, 128
+LANES, CHECKPOINT = 1024, 128
 #: Ids after which a block ends with its document; documents that a part holds on average.
-BLOCK_IDS, PART_ROWS = 1 << 16, 20_000
+BLOCK_IDS, PART_ROWS = 1 << 18, 20_000
 #: Parts at most; beyond, they grow, which costs no memory: a part is written as a stream of blocks.
 MOST_PARTS = 4096
 END = 2
@@ -149,7 +149,7 @@ class Words:
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         out = []
         texts = [t or "" for t in texts]
-        for lo, hi in chunks(texts):
+        for lo, hi in chunks(texts, 1_000_000):
             if len(self.h) > KEPT:
                 self.clear()
             joined = "\n".join(texts[lo:hi]) + "\n"
@@ -173,8 +173,13 @@ def _words(path: str) -> Words:
     return Words(path)
 
 
-def tokenised(docs: DataFrame, path: str, end: int = END) -> DataFrame:
-    """(doc_id, ids): the ids of each whole text, and the end id, as little-endian unsigned 32-bit integers. A null text counts as empty."""
+def width(path: str) -> str:
+    """The narrowest little-endian type for the ids of a tokenizer, used between the stages."""
+    return "<u2" if Tokenizer.from_file(path).get_vocab_size() <= 1 << 16 else "<u4"
+
+
+def tokenised(docs: DataFrame, path: str, kind: str = "<u4", end: int = END) -> DataFrame:
+    """(doc_id, ids): the ids of each whole text, and the end id, as little-endian unsigned integers. A null text counts as empty."""
     bounded_batches(docs.sparkSession)
 
     def run(batches):
@@ -182,19 +187,19 @@ def tokenised(docs: DataFrame, path: str, end: int = END) -> DataFrame:
         words = _words(path)
         for batch in batches:
             texts = batch.column("text").to_pylist()
-            ids = [np.append(x, end).astype("<u4").tobytes() for x in words.encode(texts)]
+            ids = [np.append(x, end).astype(kind).tobytes() for x in words.encode(texts)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.binary())], ["doc_id", "ids"])
 
     return only(docs, "doc_id", "text").mapInArrow(run, "doc_id long, ids binary")
 
 
-def frequencies(tokens: DataFrame) -> Table:
+def frequencies(tokens: DataFrame, kind: str = "<u4") -> Table:
     """The shared table, counted over all ids. What reaches the driver is as large as the vocabulary."""
 
     def run(batches):
         total = np.zeros(0, np.int64)
         for batch in batches:
-            flat = np.frombuffer(b"".join(batch.column("ids").to_pylist()), "<u4")
+            flat = np.frombuffer(b"".join(batch.column("ids").to_pylist()), kind)
             n = np.bincount(flat, minlength=len(total))
             n[: len(total)] += total
             total = n
@@ -215,8 +220,9 @@ def write(docs: DataFrame, path: str, tokenizer: str) -> Table:
     ends = only(docs, "doc_id").agg(F.count("*"), F.count("doc_id")).first()
     parts = min(MOST_PARTS, max(1, math.ceil(ends[0] / PART_ROWS)))
     cuts = sorted(set(only(docs, "doc_id").where("doc_id is not null").approxQuantile("doc_id", [i / parts for i in range(1, parts)], 0.1 / parts))) if parts > 1 and ends[1] else []
-    tokens = written(tokenised(docs, tokenizer).withColumn("part", F.expr(f"size(filter(array({', '.join(f'{int(c)}L' for c in cuts)}), c -> c < coalesce(doc_id, {-(1 << 63) + 1}L)))") if cuts else F.lit(0)), "tokens")
-    table = frequencies(tokens)
+    kind = width(tokenizer)
+    tokens = written(tokenised(docs, tokenizer, kind).withColumn("part", F.expr(f"size(filter(array({', '.join(f'{int(c)}L' for c in cuts)}), c -> c < coalesce(doc_id, {-(1 << 63) + 1}L)))") if cuts else F.lit(0)), "tokens")
+    table = frequencies(tokens, kind)
     held = spark.sparkContext.broadcast(table)
 
     def pack(part, at, block, ids, docs_of):
@@ -242,11 +248,11 @@ def write(docs: DataFrame, path: str, tokenizer: str) -> Table:
                 if ids and (p != part or size >= BLOCK_IDS):
                     rows.append(pack(part, at, block, ids, docs_of))
                     at, block, ids, docs_of, size = at + size, block + 1, [], [], 0
-                    if len(rows) >= 16:
+                    if len(rows) >= 4:
                         yield out()
                 if p != part:
                     part, at, block = p, 0, 0
-                x = np.frombuffer(raw.as_buffer(), "<u4").astype(np.int64)
+                x = np.frombuffer(raw.as_buffer(), kind).astype(np.int64)
                 ids.append(x)
                 docs_of.append(d)
                 size += len(x)

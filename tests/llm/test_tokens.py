@@ -59,12 +59,12 @@ def test_bpe_queries(spark):
     assert back[3] == TEXTS[3].encode() and back[1] == b""
 
 
-@settings(max_examples=40, deadline=None)
+@settings(max_examples=25, deadline=None)
 @given(st.integers(0, 10_000), st.integers(1, 2000), st.floats(0.2, 3))
 def test_rans_round_trip(seed, kinds, skew):
     rng = np.random.default_rng(seed)
     p = np.arange(1, kinds + 1) ** -skew
-    ids = rng.choice(kinds, size=int(rng.integers(1, 70_000)), p=p / p.sum()) * 3
+    ids = rng.choice(kinds, size=int(rng.integers(1, 300_000)), p=p / p.sum()) * 3
     table = rans.Table(*np.unique(ids, return_counts=True))
     assert int(table.freq.sum()) == 1 << rans.PRECISION
     block = rans.encode(ids, table)
@@ -76,11 +76,11 @@ def test_rans_round_trip(seed, kinds, skew):
 
 
 def test_rans_detects_damage():
-    ids = np.arange(5000) % 97
+    ids = np.arange(90_000) % 97
     table = rans.Table(*np.unique(ids, return_counts=True))
     block = rans.encode(ids, table)
     bad = bytearray(block["payload"])
-    bad[len(bad) // 2] ^= 1
+    bad[len(bad) // 4] ^= 1
     with pytest.raises((ValueError, IndexError)):
         rans.decode({**block, "payload": bytes(bad)}, len(ids), table)
 

@@ -27,7 +27,7 @@ STATES = "start letter digit other space white quote quote_r quote_v quote_l don
 CLASSES = "end letter one r v l e digit quote other space white".split()
 WHITE = r"\t\n\x0b\x0c\r\x85\xa0  -     　"
 #: Slices whose tokens are kept; a full store starts anew.
-KEPT = 300_000
+KEPT = 100_000
 _NONE = 1 << 60
 
 
@@ -281,5 +281,6 @@ def round_trip(docs: DataFrame, path: str) -> DataFrame:
                 ids_sha.append(hashlib.sha256(" ".join(map(code.decimal.__getitem__, ids.tolist())).encode()).hexdigest())
                 text_sha.append(hashlib.sha256(code.decode(ids)).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        code.kept.clear()  # the worker may serve other stages next
 
     return _text_of(docs.sparkSession, docs).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 #: Rows in an Arrow batch. With 64 MB a batch (Spark's own bound) this keeps a worker's memory level for long texts.
 BATCH_ROWS = 1_000
 #: Characters that a vectorised step holds at once; one longer text is a chunk of its own.
-CHUNK_CHARS = 1_000_000
+CHUNK_CHARS = 500_000
 #: Words in a shingle.
 SHINGLE = 5
 
@@ -60,7 +60,8 @@ CODEPOINTS = 0x110000
 @lru_cache(maxsize=None)
 def char_table(*classes: str) -> np.ndarray:
     """uint8 by code point: 0, or 1 + the index of the first of the regex classes that holds it."""
-    every = "".join(map(chr, range(0xD800))) + "".join(map(chr, range(0xE000, CODEPOINTS)))
+    codes = np.arange(CODEPOINTS, dtype="<u4")
+    every = codes[(codes < 0xD800) | (codes >= 0xE000)].tobytes().decode("utf-32-le")
     out = np.zeros(CODEPOINTS, np.uint8)
     for k, c in reversed(list(enumerate(classes, 1))):
         for m in regex.finditer(f"[{c}]+", every):
@@ -110,7 +111,7 @@ def _powers(base: int, n: int) -> np.ndarray:
 
 
 def _power(base: int, n: int) -> np.ndarray:
-    return _powers(base, 1 << max(20, int(n).bit_length()))[:n]
+    return _powers(base, 1 << max(19, int(n).bit_length()))[:n]
 
 
 def span_hashes(text: str, start: np.ndarray, end: np.ndarray) -> np.ndarray:

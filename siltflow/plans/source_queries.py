@@ -135,7 +135,7 @@ def collect_candidates(spark, sf_dir):
 
 def _edits(spark, sf_dir):
     d = table(spark, sf_dir, "documents").where("doc_id is not null")
-    before = F.substring_index(F.regexp_replace(T.collapse(F.left("text", F.lit(600))), "[|#$%&*!]", ""), " ", 40)
+    before = T.collapse(F.col("text"))
     after = F.concat(F.regexp_replace(before, r"(\S+) (\S+) (\S+)", "$1 $3"), F.lit(" and more words here"))
     return d.select("doc_id", before.alias("before"), after.alias("after"), F.col("text"))
 

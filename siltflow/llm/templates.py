@@ -40,16 +40,24 @@ DROPPED_NAMES = frozenset(
     "promo promoted sponsor sponsored cookie cookies consent gdpr notice notices notification alert popup modal newsletter subscribe subscription signup "
     "comment comments commentlist respond reply replies disqus share sharing social related recommended widget widgets pagination pager toolbar".split()
 )
+#: Words that a class or id may add to a dropped name (site-header, main_nav, ad-1); with any other word (has-sidebar, ad-free) it is kept.
+PLACES = frozenset("site global main primary secondary top bottom left right mobile desktop bar box list links area block wrapper container buttons".split())
 MAIN_NAMES = frozenset("article content post entry story main articlebody".split())
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>\"']*+(?:\"[^\"]*\"[^>\"']*+|'[^']*'[^>\"']*+)*+)>", re.S)
 _ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _NAME = re.compile(r"[a-z]+")
-_SPLIT = re.compile(r"[\s_-]+")
+_SPLIT = re.compile(r"[_-]+")
+
+
+def _drops(token: str) -> bool:
+    """Whether a class or id, taken whole, names what is none of the article."""
+    words = {w for w in _SPLIT.split(token) if w and not w.isdigit()}
+    return not words.isdisjoint(DROPPED_NAMES) and words <= DROPPED_NAMES | PLACES
 
 
 def _named(tag: str, attributes: str) -> tuple[str, bool]:
-    """(the element's name in paths, whether its text is no part of an article)."""
+    """(the element's name in paths, whether its text is no part of an article, unless the element holds the article)."""
     dropped = tag in DROPPED_TAGS
     if not attributes or "=" not in attributes:
         return tag, dropped
@@ -57,20 +65,21 @@ def _named(tag: str, attributes: str) -> tuple[str, bool]:
     if not found:
         return tag, dropped
     name = tag
-    words: set[str] = set()
+    tokens: list[str] = []
     for key in ("class", "id"):
         if v := found.get(key):
-            words.update(_SPLIT.split(v))
+            tokens += v.split()
             name += "." + ".".join(_NAME.findall(v)[:4])
     if role := found.get("role"):
-        name += "@" + role
+        name += "@" + "".join(_NAME.findall(role))
     if tag not in ("html", "body", "article", "main"):
-        dropped = dropped or found.get("role") in DROPPED_ROLES or not words.isdisjoint(DROPPED_NAMES)
+        dropped = dropped or found.get("role") in DROPPED_ROLES or any(map(_drops, tokens))
     return name, dropped
 
 
 class Page:
-    """elements: times of each path; blocks: (path, text) in page order, with dropped True for text that is none of an article."""
+    """elements: times of each path; blocks: (path, text, dropped) in page order. A path's part that ends in ! is an element whose text is none
+    of an article that is outside of it; dropped is True below an inline element of that kind, which paths leave out."""
 
     def __init__(self, source: str | None):
         self.elements: Counter = Counter()
@@ -108,6 +117,9 @@ class Page:
                         path, dropped = (stack[-1][1], stack[-1][2]) if stack else ("", False)
                         break
                 continue
+            if tag in ("svg", "math") and m[3].endswith("/"):
+                self.elements[f"{path}/{tag}"] += 1
+                continue
             if tag in RAW:
                 low = source.lower() if low is None else low
                 end = low.find(f"</{tag}", at)
@@ -133,9 +145,10 @@ class Page:
                     if t not in INLINE:
                         break
                 path, dropped = (stack[-1][1], stack[-1][2]) if stack else ("", False)
-                path = f"{path}/{name}"
+                path = f"{path}/{name}!" if gone else f"{path}/{name}"
                 self.elements[path] += 1
-            dropped = dropped or gone
+            else:
+                dropped = dropped or gone
             if not m[3].endswith("/") or tag not in INLINE:
                 stack.append((tag, path, dropped))
         if at < len(source):
@@ -199,8 +212,9 @@ def templates(pages: DataFrame) -> DataFrame:
     """(host, main): the path of the element that holds the article on the host's pages, or null if no element does so once a page.
 
     Candidates are elements in valid classes with one occurrence a page they are on. Slot text below a candidate is all text of its host that
-    isn't in a valid class and isn't in dropped parts. An article or main element, or one so named, that holds at least half as much as any is
-    taken before others; else the deepest that holds MAIN_SHARE of all.
+    isn't in a valid class and isn't in dropped parts below the candidate. An article or main element, or one so named, that holds at least half
+    as much as any is taken before others; else the deepest that holds MAIN_SHARE of all. An article or main element inside of a dropped part is
+    taken where nothing outside of such parts tells and it holds more than is outside.
     """
     toks = written(tokens(pages), "tokens")
     n = toks.where("path = '' and text = 0").select("host", F.col("pages").alias("n_pages"))
@@ -208,8 +222,9 @@ def templates(pages: DataFrame) -> DataFrame:
     text = toks.where("text <> 0 and not dropped").join(n, "host").where(~template_text)
     # every place above the text gets it: a path has as many prefixes as it is deep
     parts = F.split("path", "/")
-    depth = F.sequence(F.lit(1), F.size(parts))
-    slots = text.groupBy("host", "path").agg(F.sum("chars").alias("chars")).withColumn("above", F.explode(F.transform(depth, lambda i: F.array_join(F.slice(parts, F.lit(1), i), "/"))))
+    dropped = F.array_max(F.transform(parts, lambda x, i: F.when(x.endswith("!"), i + 1).otherwise(0)))  # the last dropped part's place
+    depth = F.sequence(dropped + 1, F.size(parts))
+    slots = text.groupBy("host", "path").agg(F.sum("chars").alias("chars")).where(dropped < F.size(parts)).withColumn("above", F.explode(F.transform(depth, lambda i: F.array_join(F.slice(parts, F.lit(1), i), "/"))))
     slots = slots.groupBy("host", F.col("above").alias("path")).agg(F.sum("chars").alias("slot"))
     own = toks.where("text = 0").join(n, "host").where((F.col("pages") >= SUPPORT * F.col("n_pages")) & (F.col("times") == F.col("pages")))
     found = own.select("host", "path").join(slots, ["host", "path"])
@@ -217,25 +232,36 @@ def templates(pages: DataFrame) -> DataFrame:
     tag = F.regexp_extract(last, "^[a-z0-9:-]*", 0)
     telling = F.when(tag == "article", 3).when((tag == "main") | last.contains("@main"), 2).when(F.arrays_overlap(F.split(last, "[.]"), F.array(*[F.lit(x) for x in sorted(MAIN_NAMES)])) & ~tag.isin("html", "body"), 1).otherwise(0)
     found = found.withColumn("telling", telling).withColumn("deep", F.size(F.split("path", "/")))
-    most = found.groupBy("host").agg(F.max("slot").alias("most"))
-    found = found.join(most, "host").where(((F.col("telling") > 0) & (F.col("slot") >= 0.5 * F.col("most"))) | (F.col("slot") >= MAIN_SHARE * F.col("most")))
+    found = found.withColumn("inside", F.col("path").contains("!"))
+    most = found.groupBy("host").agg(F.coalesce(F.max(F.when(~F.col("inside"), F.col("slot"))), F.lit(0)).alias("most"), F.coalesce(F.max(F.when(~F.col("inside"), F.col("telling"))), F.lit(0)).alias("tells"))
+    found = found.join(most, "host").where(~F.col("inside") | (F.col("telling") >= 2) & (F.col("tells") == 0) & (F.col("slot") > F.col("most"))).where(((F.col("telling") > 0) & (F.col("slot") >= 0.5 * F.col("most"))) | (F.col("slot") >= MAIN_SHARE * F.col("most")))
     best = F.max_by("path", F.struct("telling", "deep", "slot", "path"))
     return n.select("host").join(found.groupBy("host").agg(best.alias("main")), "host", "left")
 
 
 def main_text(source: str | None, main: str | None) -> str:
-    """The text of the page's element at main; where the page has none there, of its article, main or body, the first that has text."""
+    """The text of the page's element at main; where the page has none there, of its article, main or body, the first that has text; where all
+    of that is in dropped parts, of an article or main element in them."""
     blocks = [(p, t) for p, t, dropped in Page(source).blocks if not dropped]
 
     def below(test) -> str:
         return " ".join(t for p, t in blocks if test(p))
 
-    if main and (text := below(lambda p: p == main or p.startswith(main + "/"))):
+    def within(path: str, tag: str) -> bool:
+        """Whether an element of that tag is above the text, and no dropped part between."""
+        return any(x.split(".")[0].split("@")[0] == tag for x in path.rpartition("!")[2].split("/"))
+
+    if main and (text := below(lambda p: p == main or p.startswith(main + "/") and "!" not in p[len(main) :])):
+        return text
+    for tag in ("article", "main"):
+        if text := below(lambda p, tag=tag: "!" not in p and within(p, tag)):
+            return text
+    if text := below(lambda p: "!" not in p):
         return text
     for tag in ("article", "main"):
-        if text := below(lambda p, tag=tag: any(x.split(".")[0].split("@")[0] == tag for x in p.split("/"))):
+        if text := below(lambda p, tag=tag: within(p, tag)):
             return text
-    return below(lambda p: True)
+    return ""
 
 
 def extract(pages: DataFrame) -> DataFrame:

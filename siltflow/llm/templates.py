@@ -24,9 +24,7 @@ from .shared import bounded_batches, only, written
 
 #: Share of a host's pages that a valid class needs, and pages from which repeated text counts as the template's.
 SUPPORT, LEAST_PAGES = 0.5, 4
-#: Share of the host's slot text that a container without a telling name must hold.
-MAIN_SHARE = 0.6
-#: Hosts up to which the templates (under 1 KB each) are broadcast; more are joined by shuffling.
+#: Hosts and texts of templates up to which the templates are broadcast; more are joined by shuffling.
 BROADCAST_HOSTS = 50_000
 
 # Kinds of HTML elements, and names that tell what a part of a page is for.
@@ -156,6 +154,11 @@ class Page:
         flush()
 
 
+def _hash(text: str) -> int:
+    raw = text.encode("utf-8", "surrogatepass")
+    return 1 + zlib.crc32(raw) + (zlib.adler32(raw) << 31)
+
+
 def host_of(url: Column) -> Column:
     return F.regexp_extract(F.lower(F.coalesce(url, F.lit(""))), r"^\s*(?:[a-z][a-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1)
 
@@ -174,8 +177,7 @@ def _count(batches):
             for path, n in page.elements.items():
                 tokens[path, 0, False, 0] += n
             for path, text, dropped in page.blocks:
-                raw = text.encode("utf-8", "surrogatepass")
-                tokens[path, 1 + zlib.crc32(raw) + (zlib.adler32(raw) << 31), dropped, len(text)] += 1
+                tokens[path, _hash(text), dropped, len(text)] += 1
             for (path, text, dropped, size), n in tokens.items():
                 h = zlib.crc32(b"%d:%d" % (key, n))
                 s = sums.setdefault((host, path, text, dropped), [0] * 5)
@@ -209,11 +211,13 @@ def classes(toks: DataFrame) -> DataFrame:
 
 
 def templates(pages: DataFrame) -> DataFrame:
-    """(host, main): the path of the element that holds the article on the host's pages, or null if no element does so once a page.
+    """(host, main, own): the path of the element that holds the article on the host's pages, or null if no element does so once a page; if no
+    name tells which it is, own lists the template's own text below it, as path and hash.
 
     Candidates are elements in valid classes with one occurrence a page they are on. Slot text below a candidate is all text of its host that
     isn't in a valid class and isn't in dropped parts below the candidate. An article or main element, or one so named, that holds at least half
-    as much as any is taken before others; else the deepest that holds MAIN_SHARE of all. An article or main element inside of a dropped part is
+    as much as any is taken before others. Among equals the one that holds most is taken, and of those the deepest: what is left out around it is
+    the template's own text. An article or main element inside of a dropped part is
     taken where nothing outside of such parts tells and it holds more than is outside.
     """
     toks = written(tokens(pages), "tokens")
@@ -234,13 +238,19 @@ def templates(pages: DataFrame) -> DataFrame:
     found = found.withColumn("telling", telling).withColumn("deep", F.size(F.split("path", "/")))
     found = found.withColumn("inside", F.col("path").contains("!"))
     most = found.groupBy("host").agg(F.coalesce(F.max(F.when(~F.col("inside"), F.col("slot"))), F.lit(0)).alias("most"), F.coalesce(F.max(F.when(~F.col("inside"), F.col("telling"))), F.lit(0)).alias("tells"))
-    found = found.join(most, "host").where(~F.col("inside") | (F.col("telling") >= 2) & (F.col("tells") == 0) & (F.col("slot") > F.col("most"))).where(((F.col("telling") > 0) & (F.col("slot") >= 0.5 * F.col("most"))) | (F.col("slot") >= MAIN_SHARE * F.col("most")))
-    best = F.max_by("path", F.struct("telling", "deep", "slot", "path"))
-    return n.select("host").join(found.groupBy("host").agg(best.alias("main")), "host", "left")
-
-
-def main_text(source: str | None, main: str | None) -> str:
-    """The text of the page's element at main; where the page has none there, of its article, main or body, the first that has text; where all
+    found = found.join(most, "host").where(~F.col("inside") | (F.col("telling") >= 2) & (F.col("tells") == 0) & (F.col("slot") > F.col("most"))).where(((F.col("telling") > 0) & (F.col("slot") >= 0.5 * F.col("most"))) | (F.col("slot") == F.col("most")))
+    best = F.max_by(F.struct(F.col("path").alias("main"), "telling"), F.struct("telling", "slot", "deep", "path"))
+    chosen = written(found.groupBy("host").agg(best.alias("best")).select("host", "best.*"), "chosen")
+    out = n.select("host").join(chosen.select("host", "main"), "host", "left")
+    if chosen.where("telling = 0").isEmpty():
+        return out.withColumn("own", F.lit(None).cast("array<string>"))
+    own = toks.where("text <> 0").join(n, "host").where(template_text).join(chosen.where("telling = 0"), "host").where((F.col("path") == F.col("main")) | F.col("path").startswith(F.concat("main", F.lit("/"))))
+    own = own.groupBy("host").agg(F.collect_set(F.concat("path", F.lit(" "), F.col("text").cast("string"))).alias("own"))
+    return out.join(own, "host", "left")
+
+
+def main_text(source: str | None, main: str | None, own: list[str] | None = None) -> str:
+    """The text of the page's element at main, without the template's own if there is other; where the page has none there, of its article, main or body, the first that has text; where all
     of that is in dropped parts, of an article or main element in them."""
     blocks = [(p, t) for p, t, dropped in Page(source).blocks if not dropped]
 
@@ -251,8 +261,12 @@ def main_text(source: str | None, main: str | None) -> str:
         """Whether an element of that tag is above the text, and no dropped part between."""
         return any(x.split(".")[0].split("@")[0] == tag for x in path.rpartition("!")[2].split("/"))
 
-    if main and (text := below(lambda p: p == main or p.startswith(main + "/") and "!" not in p[len(main) :])):
-        return text
+    if main:
+        inside = [(p, t) for p, t in blocks if p == main or p.startswith(main + "/") and "!" not in p[len(main) :]]
+        template = set(own or ())
+        slots = [t for p, t in inside if f"{p} {_hash(t)}" not in template] if template else []
+        if text := " ".join(slots or [t for _, t in inside]):
+            return text
     for tag in ("article", "main"):
         if text := below(lambda p, tag=tag: "!" not in p and within(p, tag)):
             return text
@@ -272,11 +286,12 @@ def extract(pages: DataFrame) -> DataFrame:
     """
     known = written(templates(pages).where("main is not null"), "templates")
     base = only(pages, "page_id", "url", "html").withColumn("host", host_of(F.col("url")))
-    joined = base.join(F.broadcast(known) if known.count() <= BROADCAST_HOSTS else known, "host", "left")
+    size = known.agg(F.count("*") + F.coalesce(F.sum(F.when(F.col("own").isNotNull(), F.size("own"))), F.lit(0))).first()[0]
+    joined = base.join(F.broadcast(known) if size <= BROADCAST_HOSTS else known, "host", "left")
 
     def run(batches):
         for batch in batches:
-            text = [main_text(s, m) for s, m in zip(batch.column("html").to_pylist(), batch.column("main").to_pylist(), strict=True)]
+            text = [main_text(*x) for x in zip(*(batch.column(c).to_pylist() for c in ("html", "main", "own")), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(text, pa.string()), pa.array(list(map(len, text)), pa.int64())], ["page_id", "url", "text", "n_chars"])
 
-    return joined.select("page_id", "url", "html", "main").mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    return joined.select("page_id", "url", "html", "main", "own").mapInArrow(run, "page_id long, url string, text string, n_chars long")

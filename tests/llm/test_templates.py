@@ -26,3 +26,20 @@ def test_comments_are_no_article(spark):
 def test_self_closing_raw_elements_are_empty(spark, tag):
     page = lambda i: f"<body><article><p>A {i}</p><{tag} class='x'/><p>B {i}</p><{tag}><title>no</title></{tag}><p>C {i}</p></article></body>"
     assert texts(spark, page) == {i: f"A {i} B {i} C {i}" for i in range(8)}
+
+
+def test_outermost_of_equally_telling_containers(spark):
+    page = lambda i: f"<body><div class='x1'>Menu of the site</div><div class='post'><h1>Title {i}</h1><p>Lead {i}</p><div class='post-content'><p>{'Long text ' * 5}{i}</p></div></div></body>"
+    assert texts(spark, page) == {i: f"Title {i} Lead {i} {'Long text ' * 5}{i}" for i in range(8)}
+
+
+def test_no_slot_text_is_lost_where_no_name_tells(spark):
+    page = lambda i: f"<body><div class='x1'>Menu of the site</div><div class='x2'><h1>Title {i}</h1><p>Lead {i}</p><div class='x3'><p>{'Long text ' * 5}{i}</p></div></div><div class='x4'>Imprint</div></body>"
+    assert texts(spark, page) == {i: f"Title {i} Lead {i} {'Long text ' * 5}{i}" for i in range(8)}
+
+
+def test_template_text_is_left_out_where_the_slots_are_apart(spark):
+    page = lambda i: f"<body><div class='x1'>Menu of the site</div><h1>Title {i}</h1><div class='x3'><p>{'Long text ' * 5}{i}</p></div><div class='x4'>Imprint</div></body>"
+    assert texts(spark, page) == {i: f"Title {i} {'Long text ' * 5}{i}" for i in range(8)}
+    copies = lambda i: page(0 if i < 6 else i)
+    assert texts(spark, copies)[0].count("Long text") == 5

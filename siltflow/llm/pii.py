@@ -26,6 +26,8 @@ from .shared import bounded_batches, only
 
 KINDS = ("email", "ip", "card", "phone")
 SHAPES, ROUNDS, DAMPING, LEAST = 1 << 13, 12, 0.3, 0.9
+#: Largest change of a message at which passing ends.
+CHANGE = 1e-4
 #: Potential that holds a node in a pattern's span at its kind; bound of the trained potentials.
 HELD, MOST = 12.0, 4.0
 
@@ -172,8 +174,9 @@ def potentials(rows) -> Potentials:
     return Potentials(np.maximum(own, -HELD), pmi(seen["chain"]) / 2, pmi(seen["skip"]))
 
 
-def marginals(own: np.ndarray, edges: np.ndarray, pair: np.ndarray, rounds: int = ROUNDS) -> np.ndarray:
-    """Loopy sum-product: own (nodes, labels) log potentials, edges (m, 2), pair (m, labels, labels). Exact on forests, given enough rounds."""
+def marginals(own: np.ndarray, edges: np.ndarray, pair: np.ndarray, rounds: int | None = None) -> np.ndarray:
+    """Loopy sum-product: own (nodes, labels) log potentials, edges (m, 2), pair (m, labels, labels). Exact on forests, given enough rounds: if
+    none are given, until messages stay, at most ROUNDS and twice the nodes (no path is longer than the nodes, and damping delays)."""
     n, k = own.shape
     if not len(edges):
         out = own - own.max(axis=1, keepdims=True)
@@ -183,14 +186,17 @@ def marginals(own: np.ndarray, edges: np.ndarray, pair: np.ndarray, rounds: int
     m = len(edges)
     back = np.concatenate([np.arange(m, 2 * m), np.arange(m)])
     msg = np.zeros((2 * m, k))
-    for _ in range(rounds):
+    for _ in range(rounds or ROUNDS + 2 * n):
         belief = own.copy()
         np.add.at(belief, target, msg)
         x = (belief[source] - msg[back])[:, :, None] + table
         top = x.max(axis=1, keepdims=True)
         new = np.log(np.exp(x - top).sum(axis=1)) + top[:, 0]
         new -= new.max(axis=1, keepdims=True)
-        msg = DAMPING * msg + (1 - DAMPING) * new
+        new = DAMPING * msg + (1 - DAMPING) * new
+        change, msg = np.abs(new - msg).max(), new
+        if rounds is None and change < CHANGE:
+            break
     belief = own.copy()
     np.add.at(belief, target, msg)
     belief = np.exp(belief - belief.max(axis=1, keepdims=True))

@@ -20,7 +20,7 @@ import pyarrow as pa
 import tiktoken
 from pyspark.sql import DataFrame, SparkSession
 
-from .shared import bounded_batches, char_table, chunks, codepoints, only, ragged, span_hashes
+from .shared import bounded_batches, char_table, chunks, codepoints, distinct_slices, only, ragged
 
 # The states and the classes of characters that the published pattern distinguishes.
 STATES = "start letter digit other space white quote quote_r quote_v quote_l done".split()
@@ -177,13 +177,13 @@ class _Kept(dict):
 
     def __init__(self, ranks: dict[bytes, int]):
         super().__init__()
-        # the library's merging of one slice, which knows no pattern; merge() is the same in Python
-        self.merge = tiktoken.Encoding("slices", pat_str="x", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
+        # the library merges what its pattern matches, here a whole slice; merge() is the same in Python
+        self.merge = tiktoken.Encoding("slices", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={}).encode_ordinary
 
     def __missing__(self, piece: str) -> tuple[int, ...]:
         if len(self) >= KEPT:
             self.clear()
-        out = tuple(self.merge(piece.encode("utf-8", "surrogatepass")))
+        out = tuple(self.merge(piece))
         if len(piece) <= 64:
             self[piece] = out
         return out
@@ -216,7 +216,7 @@ class Coder:
                 last = np.flatnonzero(np.append(owner[1:] != owner[:-1], True))
                 end[last] = (at + size)[owner[last]]
             # equal slices are looked up once a chunk
-            _, one, which = np.unique(span_hashes(joined, where, end), return_index=True, return_inverse=True)
+            _, one, which = distinct_slices(codepoints(joined), where, end)
             ids = [self.kept[joined[a:b]] for a, b in zip(where[one].tolist(), end[one].tolist(), strict=True)]
             count = np.fromiter(map(len, ids), np.int64, len(ids))
             flat = np.fromiter(chain.from_iterable(ids), np.int32, int(count.sum()))

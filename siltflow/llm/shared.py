@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 BATCH_ROWS = 1_000
 #: Characters that a vectorised step holds at once; one longer text is a chunk of its own.
 CHUNK_CHARS = 500_000
+#: Characters that are hashed at once.
+PIECE_CHARS = 1 << 18
 #: Words in a shingle.
 SHINGLE = 5
 
@@ -30,8 +32,12 @@ def bounded_batches(spark: SparkSession) -> None:
 
 
 def work_dir(spark: SparkSession) -> str:
-    """The shared folder for written intermediates: spark.checkpoint.dir, or a temporary folder where it is unset (tests)."""
-    return spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or _temporary()
+    """The shared folder for written intermediates: spark.checkpoint.dir. Where it is unset, a temporary folder on one machine (tests); a
+    cluster's executors couldn't read that, so there it is an error."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not found and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+    return found or _temporary()
 
 
 @lru_cache(maxsize=None)
@@ -100,26 +106,63 @@ def _char_values() -> np.ndarray:
     return mix(np.arange(CODEPOINTS, dtype=U64) + U64(0x9E3779B97F4A7C15))
 
 
-_BASE, _INVERSE = 0x9E3779B97F4A7C15 | 1, pow(0x9E3779B97F4A7C15 | 1, -1, 1 << 64)
-
-
 @lru_cache(maxsize=4)
-def _powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n, U64(base))
-    out[0] = U64(1)
-    return np.multiply.accumulate(out)
-
-
-def _power(base: int, n: int) -> np.ndarray:
-    return _powers(base, 1 << max(19, int(n).bit_length()))[:n]
+def _place_values(n: int) -> np.ndarray:
+    return mix(np.arange(n, dtype=U64) * U64(0xD6E8FEB86659FD93) + U64(1))
+
+
+def span_hashes(text: str | np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each slice text[start:end] (a string, or its code points), all at once: the sum of a scrambled value of each character
+    in its place. Places and characters are scrambled together, so no pattern of exchanged characters cancels out, as it does in polynomials
+    modulo a power of two."""
+    cp = codepoints(text) if isinstance(text, str) else text
+    size = np.asarray(end) - start
+    out = np.zeros(len(size), U64)
+    full = np.flatnonzero(size)
+    most = _place_values(1 << max(10, int(size.max(initial=1) - 1).bit_length()))
+    piece = np.cumsum(size[full]) // PIECE_CHARS
+    for rows in np.split(full, np.flatnonzero(np.diff(piece)) + 1) if len(full) else ():
+        n = size[rows]
+        first = np.cumsum(n) - n
+        place = np.arange(int(n.sum())) - np.repeat(first, n)
+        x = _char_values()[cp[np.repeat(start[rows], n) + place]]
+        x += most[place]
+        x ^= x >> U64(32)
+        x *= U64(0xBF58476D1CE4E5B9)
+        x ^= x >> U64(29)
+        out[rows] = np.add.reduceat(x, first)
+    return mix(out + size.astype(U64))
+
+
+def same_runs(a: np.ndarray, a_first: np.ndarray, b: np.ndarray, b_first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """For each k whether a[a_first[k] :][: size[k]] equals b[b_first[k] :][: size[k]]."""
+    out = np.ones(len(size), bool)
+    odd = np.flatnonzero(ragged(a, a_first, size) != ragged(b, b_first, size))
+    if len(odd):
+        out[np.searchsorted(np.cumsum(size), odd, "right")] = False
+    return out
 
 
-def span_hashes(text: str, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each slice text[start:end], all at once from prefix sums."""
-    cp = codepoints(text)
-    total = np.zeros(len(cp) + 1, U64)
-    np.cumsum(_char_values()[cp] * _power(_BASE, len(cp)), out=total[1:])
-    return mix((total[end] - total[start]) * _power(_INVERSE, len(cp) + 1)[start] + (end - start).astype(U64))
+def distinct_slices(cp: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash of each distinct slice, an index of it among the slices, for each slice the place of its like in these): grouped by hash, then
+    compared character by character; a slice that only shares its hash with another is grouped by its text."""
+    h, one, which = np.unique(span_hashes(cp, start, end), return_index=True, return_inverse=True)
+    size = end - start
+    like = one[which]
+    same = size == size[like]
+    whole = np.flatnonzero(same)
+    same[whole] = same_runs(cp, start[whole], cp, start[like[whole]], size[whole])
+    if not same.all():
+        own: dict[bytes, int] = {}
+        more = []
+        for i in np.flatnonzero(~same).tolist():
+            key = cp[start[i] : end[i]].tobytes()
+            if key not in own:
+                own[key] = len(one) + len(more)
+                more.append(i)
+            which[i] = own[key]
+        h, one = np.append(h, span_hashes(cp, start[more], end[more])), np.append(one, more)
+    return h, one, which
 
 
 class Words:

@@ -12,26 +12,29 @@ import math
 import os
 import zlib
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from .bpe import WHITE
-from .shared import bounded_batches, char_table, chunks, codepoints, only, ragged, span_hashes, work_dir, written
+from .shared import bounded_batches, char_table, chunks, codepoints, only, ragged, same_runs, span_hashes, work_dir, written
 
 PRECISION, LOW = 20, 1 << 31
-LANES, CHECKPOINT = 1024, 128
-#: Ids after which a block ends with its document; documents that a part holds on average.
-BLOCK_IDS, PART_ROWS = 1 << 18, 20_000
-#: Parts at most; beyond, they grow, which costs no memory: a part is written as a stream of blocks.
-MOST_PARTS = 4096
+LANES, CHECKPOINT = 1024, 64
+#: Stretches between checkpoints that are decoded side by side; ids after which a block ends with its document.
+SIDE_BY_SIDE, BLOCK_IDS = 8, 1 << 18
+#: Ids of a part on average: the first up to MANY_PARTS parts, the second beyond, where more parts would burden the driver.
+PART_IDS, MANY_PARTS = (8_000_000, 128_000_000), 4096
 END = 2
-#: Words kept in a worker, some 50 bytes each; a full store starts anew.
-KEPT = 1_200_000
+#: Slices kept in a worker, some 100 bytes each; a full store starts anew.
+KEPT = 800_000
+# Signs that the tokenizer never joins with a letter before or after them; the first character beyond the letters that are told
+# apart from signs, and one before it that becomes more than a letter.
+SIGNS, LATIN, DOTTED = ".,;:!?()*&%#-", "\u0250", "\u0130"
 
 U64, U32 = np.uint64, np.uint32
 
@@ -96,78 +99,195 @@ def encode(ids: np.ndarray, table: Table) -> dict:
     return {"payload": payload.astype("<u4").tobytes(), "heads": heads, "sums": np.array(sums, "<u4").tobytes()}
 
 
+def _stretches(payload: np.ndarray, heads: np.ndarray, size: int, table: Table) -> np.ndarray:
+    """The ids, a row each, of stretches that all have so many: each starts at its checkpoint, and they advance side by side."""
+    at, x = heads[:, 0].astype(np.int64), heads[:, 1:].copy()
+    ids = np.empty((len(heads), size), np.int64)
+    for s in range(0, size, LANES):
+        y = x[:, : min(LANES, size - s)]
+        slot = y & U64((1 << PRECISION) - 1)
+        place = table.slots[slot.astype(np.int64)]
+        ids[:, s : s + LANES] = table.symbols[place]
+        y = table.freq[place] * (y >> U64(PRECISION)) + slot - table.start[place]
+        row, lane = np.nonzero(y < U64(LOW))
+        if len(row):
+            n = np.bincount(row, minlength=len(at))
+            first = np.cumsum(n) - n
+            y[row, lane] = (y[row, lane] << U64(32)) | payload[np.arange(len(row)) + (at - first)[row]]
+            at += n
+        x[:, : y.shape[1]] = y
+    return ids
+
+
 def decode(block: dict, n: int, table: Table, first: int = 0, last: int | None = None) -> np.ndarray:
     """The ids of a block of n, or of the stretches first to last (exclusive) between its checkpoints; each stretch's checksum is verified."""
     payload = np.frombuffer(block["payload"], "<u4").astype(U64)
     heads = np.frombuffer(block["heads"], U64).reshape(-1, LANES + 1)
-    sums = np.frombuffer(block["sums"], "<u4")
+    sums, size = np.frombuffer(block["sums"], "<u4"), CHECKPOINT * LANES
+    last = len(heads) if last is None else min(last, len(heads))
     out = []
-    for k in range(first, len(heads) if last is None else last):
-        at, x = int(heads[k, 0]), heads[k, 1:].copy()
-        ids = np.empty(min(n, (k + 1) * CHECKPOINT * LANES) - k * CHECKPOINT * LANES, np.int64)
-        for s in range(0, len(ids), LANES):
-            size = min(LANES, len(ids) - s)
-            y = x[:size]
-            slot = y & U64((1 << PRECISION) - 1)
-            place = table.slots[slot.astype(np.int64)]
-            ids[s : s + size] = table.symbols[place]
-            y = table.freq[place] * (y >> U64(PRECISION)) + slot - table.start[place]
-            empty = np.flatnonzero(y < U64(LOW))
-            if len(empty):
-                y[empty] = (y[empty] << U64(32)) | payload[at : at + len(empty)]
-                at += len(empty)
-            x[:size] = y
+    for k in range(first, last, SIDE_BY_SIDE):
+        stop = min(last, k + SIDE_BY_SIDE)
+        full = min(stop, n // size)  # but for the block's last one all stretches are full
+        if full > k:
+            out += list(_stretches(payload, heads[k:full], size, table))
+        if stop > full:
+            out += list(_stretches(payload, heads[full:stop], n - full * size, table))
+    for k, ids in enumerate(out, first):
         if zlib.crc32(ids.astype("<u4").tobytes()) != sums[k]:
             raise ValueError(f"stretch {k} of a block does not match its checksum")
-        out.append(ids)
     return np.concatenate([np.array([], np.int64), *out])
 
 
+class _Places:
+    """Where words are kept: an open hash table, looked up for many hashes at once."""
+
+    def __init__(self, most: int):
+        self.mask = (1 << (2 * most).bit_length()) - 1
+        self.slot, self.h = np.full(self.mask + 1, -1, np.int32), np.zeros(0, U64)
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """The place of each hash, -1 if it has none."""
+        out, at = np.full(len(h), -1, np.int32), (h & U64(self.mask)).astype(np.int64)
+        todo = np.arange(len(h))
+        while len(todo):
+            found = self.slot[at[todo]]
+            todo, found = todo[found >= 0], found[found >= 0]
+            same = self.h[found] == h[todo]
+            out[todo[same]] = found[same]
+            todo = todo[~same]
+            at[todo] = (at[todo] + 1) & self.mask
+        return out
+
+    def add(self, h: np.ndarray) -> None:
+        """Gives distinct new hashes the next places."""
+        place = np.arange(len(self.h), len(self.h) + len(h), dtype=np.int32)
+        self.h = np.append(self.h, h)
+        at = (h & U64(self.mask)).astype(np.int64)
+        todo = np.arange(len(h))
+        while len(todo):
+            free = todo[self.slot[at[todo]] < 0]
+            self.slot[at[free]] = place[free]
+            todo = todo[self.slot[at[todo]] != place[todo]]
+            at[todo] = (at[todo] + 1) & self.mask
+
+
 class Words:
-    """Encodes texts with a tokenizer of the library whose white space separates words that don't influence each other: the library encodes
-    each word once, and its ids are kept by the word's hash in sorted arrays (some 50 bytes a word), so that whole chunks are looked up at once."""
+    """Encodes texts with a tokenizer of the library that lower-cases, drops white space, and joins neither letters with SIGNS nor anything
+    over white space. So texts are cut at white space and between Latin letters and SIGNS, capitals are folded, and the library encodes each
+    slice once; its ids are kept by the slice's hash, beside its characters, which are compared at each hit. Some 100 bytes a slice."""
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.clear()
 
     def clear(self) -> None:
-        """Forgets the words kept."""
-        self.h, self.first, self.size, self.flat = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
-
-    def _learn(self, h: np.ndarray, new: list[str]) -> None:
-        for e in range(0, len(new), 10_000):
-            ids = [enc.ids for enc in self.tokenizer.encode_batch_fast(new[e : e + 10_000], add_special_tokens=False)]
-            size = np.fromiter(map(len, ids), np.int64, len(ids))
-            flat = np.fromiter(chain.from_iterable(ids), np.int32, int(size.sum()))
-            mine = h[e : e + 10_000]
-            at = np.searchsorted(self.h, mine)
-            self.first = np.insert(self.first, at, len(self.flat) + np.cumsum(size) - size)
-            self.size, self.h, self.flat = np.insert(self.size, at, size), np.insert(self.h, at, mine), np.append(self.flat, flat)
+        """Forgets the slices kept."""
+        self.places = _Places(KEPT)
+        #: by place: first id and how many; first character and how many
+        self.first, self.size, self.begin, self.length = (np.zeros(0, np.int32) for _ in range(4))
+        self.flat, self.chars = np.zeros(0, np.int32), np.zeros(0, U32)
+
+    def _encode(self, slices: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(the slices' ids one after another, how many each has). Slices of letters or of SIGNS alone end with the one id that ends a word,
+        so the library gets many at a time."""
+        size = np.zeros(len(slices), np.int64)
+        letters = [x.isalpha() and max(x) < LATIN and DOTTED not in x for x in slices]
+        plain = [i for i, x in enumerate(slices) if letters[i] or not x.strip(SIGNS)]
+        flat, done = [], []
+        for e in range(0, len(plain), 5_000):
+            part = plain[e : e + 5_000]
+            (enc,) = self.tokenizer.encode_batch_fast([" ".join([slices[i] for i in part])], add_special_tokens=False)
+            ids = np.array(enc.ids, np.int32)
+            last = np.flatnonzero(self.ends[ids])
+            if len(last) == len(part):  # else some slice is more than one word to this tokenizer
+                flat.append(ids)
+                size[part] = np.diff(last, prepend=-1)
+                done += part
+        if len(done) < len(slices):
+            odd = sorted(set(range(len(slices))).difference(done))
+            more = [np.array(x.ids, np.int32) for x in self.tokenizer.encode_batch_fast([slices[i] for i in odd], add_special_tokens=False)]
+            size[odd] = list(map(len, more))
+            flat += more
+            at = np.zeros(len(slices), np.int64)
+            order = [*done, *odd]
+            at[order] = np.cumsum(size[order]) - size[order]
+            return ragged(np.concatenate(flat), at, size), size
+        return np.concatenate([np.zeros(0, np.int32), *flat]), size
+
+    def _learn(self, h: np.ndarray, cp: np.ndarray, start: np.ndarray, end: np.ndarray) -> None:
+        text = cp.tobytes().decode("utf-32-le", "surrogatepass")
+        flat, size = self._encode([text[a:b] for a, b in zip(start.tolist(), end.tolist(), strict=True)])
+        self.places.add(h)
+        self.first = np.append(self.first, (len(self.flat) + np.cumsum(size) - size).astype(np.int32))
+        self.size, self.flat = np.append(self.size, size.astype(np.int32)), np.append(self.flat, flat)
+        length = (end - start).astype(np.int32)
+        self.begin = np.append(self.begin, (len(self.chars) + np.cumsum(length) - length).astype(np.int32))
+        self.length, self.chars = np.append(self.length, length), np.append(self.chars, ragged(cp, start, length))
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         out = []
         texts = [t or "" for t in texts]
         for lo, hi in chunks(texts, 1_000_000):
-            if len(self.h) > KEPT:
+            if len(self.places.h) > KEPT:
                 self.clear()
-            joined = "\n".join(texts[lo:hi]) + "\n"
-            edge = np.flatnonzero(np.diff(char_table(WHITE + " ")[codepoints(joined)], prepend=np.uint8(1)))
-            start, end = edge[0::2], edge[1::2]
-            h, one, which = np.unique(span_hashes(joined, start, end), return_index=True, return_inverse=True)
-            at = np.searchsorted(self.h, h)
-            new = np.flatnonzero(self.h[np.minimum(at, len(self.h) - 1)] != h) if len(self.h) else np.arange(len(h))
-            self._learn(h[new], [joined[a:b] for a, b in zip(start[one[new]].tolist(), end[one[new]].tolist(), strict=True)])
-            at = np.searchsorted(self.h, h)[which]
-            size = self.size[at]
-            ids, stop = ragged(self.flat, self.first[at], size), np.append(0, np.cumsum(size))
+            cp, start, end = _slices("\n".join(texts[lo:hi]) + "\n")
+            h = span_hashes(cp, start, end)
+            place = self.places.find(h)
+            new = np.flatnonzero(place < 0)
+            if len(new):  # one of the slices with a hash is kept
+                one, back = np.unique(h[new], return_index=True, return_inverse=True)[1:]
+                known = len(self.places.h)
+                self._learn(h[new[one]], cp, start[new[one]], end[new[one]])
+                place[new] = known + back
+            # a slice that only shares a kept one's hash is encoded here
+            same = self.length[place] == end - start
+            like = np.flatnonzero(same)
+            same[like] = same_runs(self.chars, self.begin[place[like]], cp, start[like], (end - start)[like])
+            first, n, flat = self.first[place], self.size[place], self.flat
+            if not same.all():
+                odd = np.flatnonzero(~same)
+                more, n[odd] = self._encode([cp[x:y].tobytes().decode("utf-32-le", "surrogatepass") for x, y in zip(start[odd].tolist(), end[odd].tolist(), strict=True)])
+                first[odd] = len(flat) + np.cumsum(n[odd]) - n[odd]
+                flat = np.append(flat, more)
+            ids, stop = ragged(flat, first, n), np.append(0, np.cumsum(n))
             length = np.fromiter(map(len, texts[lo:hi]), np.int64, hi - lo)
             word = np.searchsorted(start, np.append(0, np.cumsum(length + 1)))
-            out += [ids[stop[a] : stop[b]] for a, b in zip(word[:-1].tolist(), word[1:].tolist(), strict=True)]
+            out += [ids[stop[x] : stop[y]] for x, y in zip(word[:-1].tolist(), word[1:].tolist(), strict=True)]
         return out
 
 
+@lru_cache(maxsize=None)
+def _kinds() -> np.ndarray:
+    """By code point: 1 white space, 2 Latin letters, 3 SIGNS, else 0."""
+    out = char_table(WHITE + " ").copy()
+    out[: ord(LATIN)][char_table(r"\p{L}")[: ord(LATIN)] == 1] = 2
+    out[ord(DOTTED)] = 0
+    out[[ord(c) for c in SIGNS]] = 3
+    return out
+
+
+def _slices(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(code points, with capitals folded; first and last, exclusive, of each slice). Nothing is folded or cut inside of words where the text
+    may name a special token, and no capital before what may be a combining mark."""
+    cp = codepoints(text).copy()
+    kind = _kinds()[cp]
+    if "<|" in text:
+        edge = np.flatnonzero(np.diff((kind != 1).astype(np.int8), prepend=np.int8(0)))
+        return cp, edge[0::2], edge[1::2]
+    capital = ((cp >= 0x41) & (cp <= 0x5A) | (cp >= 0xC0) & (cp <= 0xDE) & (cp != 0xD7)) & (np.append(cp[1:], 0) < 0x300)
+    cp[capital] += U32(32)
+    before, here = kind[:-1], kind[1:]
+    cut = np.flatnonzero(((before == 1) != (here == 1)) | (before == 2) & (here == 3) | (before == 3) & (here == 2)) + 1
+    bound = np.concatenate([[0], cut, [len(cp)]]) if len(cp) else np.zeros(1, np.int64)
+    inside = kind[bound[:-1]] != 1
+    return cp, bound[:-1][inside], bound[1:][inside]
+
+
 @lru_cache(maxsize=2)
 def _words(path: str) -> Words:
     return Words(path)
@@ -179,103 +299,115 @@ def width(path: str) -> str:
 
 
 def tokenised(docs: DataFrame, path: str, kind: str = "<u4", end: int = END) -> DataFrame:
-    """(doc_id, ids): the ids of each whole text, and the end id, as little-endian unsigned integers. A null text counts as empty."""
+    """(doc_id, ids, n, counts): the ids of each whole text, and the end id, as little-endian unsigned integers, and how many; counts is null.
+    A null text counts as empty. Each task adds a row of its own at its end, without doc_id and ids: n is null, and counts has how often each
+    id occurred, as 64-bit integers."""
     bounded_batches(docs.sparkSession)
 
     def run(batches):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-        words = _words(path)
+        words, total = _words(path), np.zeros(0, np.int64)
+        names = ["doc_id", "ids", "n", "counts"]
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            ids = [np.append(x, end).astype(kind).tobytes() for x in words.encode(texts)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.binary())], ["doc_id", "ids"])
+            ids = [np.append(x, end) for x in words.encode(batch.column("text").to_pylist())]
+            seen = np.bincount(np.concatenate([np.zeros(0, np.int64), *ids]), minlength=len(total))
+            seen[: len(total)] += total
+            total = seen
+            n = pa.array(map(len, ids), pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([x.astype(kind).tobytes() for x in ids], pa.binary()), n, pa.nulls(len(ids), pa.binary())], names)
+        if len(total):
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.nulls(1, pa.int64()), pa.array([total.tobytes()], pa.binary())], names)
 
-    return only(docs, "doc_id", "text").mapInArrow(run, "doc_id long, ids binary")
+    return only(docs, "doc_id", "text").mapInArrow(run, "doc_id long, ids binary, n long, counts binary")
 
 
-def frequencies(tokens: DataFrame, kind: str = "<u4") -> Table:
-    """The shared table, counted over all ids. What reaches the driver is as large as the vocabulary."""
+def frequencies(tokens: DataFrame) -> Table:
+    """The shared table, from the counts of all tasks. What reaches the driver is as large as the vocabulary."""
 
     def run(batches):
         total = np.zeros(0, np.int64)
         for batch in batches:
-            flat = np.frombuffer(b"".join(batch.column("ids").to_pylist()), kind)
-            n = np.bincount(flat, minlength=len(total))
-            n[: len(total)] += total
-            total = n
+            for raw in batch.column("counts"):
+                seen = np.frombuffer(raw.as_buffer(), np.int64).copy()
+                if len(seen) < len(total):
+                    total, seen = seen, total
+                seen[: len(total)] += total
+                total = seen
         seen = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int64()), pa.array(total[seen], pa.int64())], ["symbol", "n"])
 
-    rows = tokens.select("ids").mapInArrow(run, "symbol long, n long").groupBy("symbol").agg(F.sum("n").alias("n")).orderBy("symbol").collect()
+    counts = tokens.where("counts is not null").select("counts")
+    rows = counts.mapInArrow(run, "symbol long, n long").groupBy("symbol").agg(F.sum("n").alias("n")).orderBy("symbol").collect()
     return Table(np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.int64))
 
 
-_BLOCK = "part int, block long, at long, n long, docs binary, sizes binary, crc long, payload binary, heads binary, sums binary"
+_BLOCK = "part int, block long, at long, n long, nulls long, docs binary, sizes binary, crc long, payload binary, heads binary, sums binary"
 
 
 def write(docs: DataFrame, path: str, tokenizer: str) -> Table:
-    """Writes the ids of docs under path in the binary format, in ascending order of doc_id (repeated ids in any order among themselves, null
-    ids first), and returns the frequency table that readers need. Empty tables give no blocks."""
+    """Writes the ids of docs under path in the binary format, in ascending order of doc_id (null ids first, repeated ids by a hash of their
+    tokens), and returns the frequency table that readers need. Empty tables give no blocks.
+
+    Parts are ranges of (doc_id, hash, row number), so they are even whatever ids repeat, and a part is written as a stream of blocks."""
     spark = docs.sparkSession
-    ends = only(docs, "doc_id").agg(F.count("*"), F.count("doc_id")).first()
-    parts = min(MOST_PARTS, max(1, math.ceil(ends[0] / PART_ROWS)))
-    cuts = sorted(set(only(docs, "doc_id").where("doc_id is not null").approxQuantile("doc_id", [i / parts for i in range(1, parts)], 0.1 / parts))) if parts > 1 and ends[1] else []
     kind = width(tokenizer)
-    tokens = written(tokenised(docs, tokenizer, kind).withColumn("part", F.expr(f"size(filter(array({', '.join(f'{int(c)}L' for c in cuts)}), c -> c < coalesce(doc_id, {-(1 << 63) + 1}L)))") if cuts else F.lit(0)), "tokens")
-    table = frequencies(tokens, kind)
+    found = tokenised(docs, tokenizer, kind).withColumn("tie", F.xxhash64("ids")).withColumn("row", F.monotonically_increasing_id())
+    tokens = written(found, "tokens")
+    table = frequencies(tokens)
     held = spark.sparkContext.broadcast(table)
+    total = tokens.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    parts = max(1, min(MANY_PARTS, math.ceil(total / PART_IDS[0])), math.ceil(total / PART_IDS[1]))
 
     def pack(part, at, block, ids, docs_of):
         flat = np.concatenate(ids)
         b = encode(flat, held.value)
-        known = np.array([-(1 << 63) if d is None else d for d in docs_of], np.int64)
+        nulls = sum(d is None for d in docs_of)
+        known = np.array([0 if d is None else d for d in docs_of], np.int64)
         sizes = np.array([len(x) for x in ids], np.int64)
-        return [part, block, at, len(flat), known.tobytes(), sizes.tobytes(), zlib.crc32(flat.astype("<u4").tobytes()), b["payload"], b["heads"], b["sums"]]
+        return [part, block, at, len(flat), nulls, known.tobytes(), sizes.tobytes(), zlib.crc32(flat.astype("<u4").tobytes()), b["payload"], b["heads"], b["sums"]]
 
     def run(batches):
-        part, at, block, ids, docs_of, size = None, 0, 0, [], [], 0
-        rows: list[list] = []
-        kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
+        part, at, block, ids, docs_of, size = TaskContext.get().partitionId(), 0, 0, [], [], 0
+        kinds = [pa.int32(), *[pa.int64()] * 4, pa.binary(), pa.binary(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
         names = [c.split()[0] for c in _BLOCK.split(", ")]
 
         def out():
-            batch = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
-            rows.clear()
-            return batch
+            row = pack(part, at, block, ids, docs_of)
+            return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, kinds, strict=True)], names)
 
         for batch in batches:
-            for p, d, raw in zip(batch.column("part").to_pylist(), batch.column("doc_id").to_pylist(), batch.column("ids"), strict=True):
-                if ids and (p != part or size >= BLOCK_IDS):
-                    rows.append(pack(part, at, block, ids, docs_of))
+            for d, raw in zip(batch.column("doc_id").to_pylist(), batch.column("ids"), strict=True):
+                if size >= BLOCK_IDS:
+                    yield out()
                     at, block, ids, docs_of, size = at + size, block + 1, [], [], 0
-                    if len(rows) >= 4:
-                        yield out()
-                if p != part:
-                    part, at, block = p, 0, 0
                 x = np.frombuffer(raw.as_buffer(), kind).astype(np.int64)
                 ids.append(x)
                 docs_of.append(d)
                 size += len(x)
         if ids:
-            rows.append(pack(part, at, block, ids, docs_of))
-        if rows:
             yield out()
 
-    dealt = tokens.repartition(max(1, len(cuts) + 1), "part").sortWithinPartitions("part", "doc_id")
-    dealt.select("part", "doc_id", "ids").mapInArrow(run, _BLOCK).write.parquet(path)
+    order = ("doc_id", "tie", "row")
+    dealt = tokens.where("n is not null").select(*order, "ids").repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    dealt.select("doc_id", "ids").mapInArrow(run, _BLOCK).write.parquet(path)
     return table
 
 
-def read(spark: SparkSession, path: str, table: Table) -> DataFrame:
-    """(doc_id, start, n_tokens, ids_crc32, ids): the documents of written files; start counts the ids of all documents before. Each block
-    is decoded by itself and verified against its checksums."""
+def _blocks(spark: SparkSession, path: str) -> tuple[DataFrame, dict[int, int], int]:
+    """(the blocks, the ids before each part, all ids). A row for each part reaches the driver."""
     blocks = spark.read.schema(_BLOCK).parquet(path)
-    # a row for each part, of about PART_ROWS documents: the ids before it
     totals = {r[0]: r[1] for r in blocks.groupBy("part").agg(F.sum("n")).collect()}
     before, sums = 0, {}
     for part in sorted(totals):
         sums[part] = before
         before += totals[part]
+    return blocks, sums, before
+
+
+def read(spark: SparkSession, path: str, table: Table) -> DataFrame:
+    """(doc_id, start, n_tokens, ids_crc32, ids): the documents of written files; start counts the ids of all documents before. Each block
+    is decoded by itself, its stretches side by side from their checkpoints, and verified against its checksums."""
+    blocks, sums, _ = _blocks(spark, path)
     held, base = spark.sparkContext.broadcast(table), spark.sparkContext.broadcast(sums)
 
     def run(batches):
@@ -290,7 +422,7 @@ def read(spark: SparkSession, path: str, table: Table) -> DataFrame:
                 each = [ids[b - n : b].tobytes() for b, n in zip(stop.tolist(), sizes.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(docs, pa.int64(), mask=docs == -(1 << 63)),
+                        pa.array(docs, pa.int64(), mask=np.arange(len(docs)) < r["nulls"]),
                         pa.array(base.value[r["part"]] + r["at"] + stop - sizes, pa.int64()),
                         pa.array(sizes, pa.int64()),
                         pa.array([zlib.crc32(x) for x in each], pa.int64()),
@@ -299,10 +431,30 @@ def read(spark: SparkSession, path: str, table: Table) -> DataFrame:
                     ["doc_id", "start", "n_tokens", "ids_crc32", "ids"],
                 )
 
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    bounded_batches(spark)
     return blocks.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long, ids binary")
 
 
+def read_range(spark: SparkSession, path: str, table: Table, first: int, last: int) -> DataFrame:
+    """(start, ids): the ids of the positions first to last (exclusive) of all ids, wherever documents end, in pieces at their position. Only
+    the stretches that the range meets are decoded, each a row of its own and so a task's work by itself, from its checkpoint."""
+    blocks, sums, _ = _blocks(spark, path)
+    held, base, size = spark.sparkContext.broadcast(table), spark.sparkContext.broadcast(sums), CHECKPOINT * LANES
+
+    def run(batches):
+        for batch in batches:
+            for r in batch.to_pylist():
+                at = base.value[r["part"]] + r["at"]
+                lo, hi = max(first, at), min(last, at + r["n"])
+                for k in range((lo - at) // size, -(-(hi - at) // size)) if hi > lo else ():
+                    ids, begin = decode(r, r["n"], held.value, k, k + 1), at + k * size
+                    ids = ids[max(0, lo - begin) : hi - begin]
+                    yield pa.RecordBatch.from_arrays([pa.array([max(lo, begin)], pa.int64()), pa.array([ids.astype("<u4").tobytes()], pa.binary())], ["start", "ids"])
+
+    bounded_batches(spark)
+    return blocks.mapInArrow(run, "start long, ids binary")
+
+
 def round_trip(docs: DataFrame, tokenizer: str, path: str | None = None) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of each row of docs, read back from the files that write() makes."""
     import uuid

@@ -84,7 +84,11 @@ def codepoints(text: str) -> np.ndarray:
 def ragged(values: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
     """The runs values[first : first + size], one after another."""
     before = np.cumsum(size) - size
-    return values[np.repeat(first - before, size) + np.arange(int(size.sum()))]
+    n = int(size.sum())
+    kind = np.int32 if max(n, len(values)) < 1 << 31 else np.int64
+    at = np.repeat((first - before).astype(kind), size)
+    at += np.arange(n, dtype=kind)
+    return values.take(at)
 
 
 # ---------------------------------------------------------------- hashing
@@ -124,9 +128,13 @@ def span_hashes(text: str | np.ndarray, start: np.ndarray, end: np.ndarray) -> n
     for rows in np.split(full, np.flatnonzero(np.diff(piece)) + 1) if len(full) else ():
         n = size[rows]
         first = np.cumsum(n) - n
-        place = np.arange(int(n.sum())) - np.repeat(first, n)
-        x = _char_values()[cp[np.repeat(start[rows], n) + place]]
-        x += most[place]
+        kind = np.int32 if len(cp) < 1 << 31 else np.int64
+        place = np.arange(int(n.sum()), dtype=kind)
+        place -= np.repeat(first.astype(kind), n)
+        at = np.repeat(start[rows].astype(kind), n)
+        at += place
+        x = _char_values().take(cp.take(at))
+        x += most.take(place)
         x ^= x >> U64(32)
         x *= U64(0xBF58476D1CE4E5B9)
         x ^= x >> U64(29)

@@ -3,10 +3,14 @@
 A token of a page is an element in its place (the path of tags and classes down to it) or a block of text in its place. Its occurrence vector
 says how often each page of the host has it; tokens with the same vector form an equivalence class. Vectors are compared by fingerprints, sums
 over pages of a hash of (page, count), so they come from one grouped aggregation with partial sums, however many pages a host has. Classes
-that half of the host's pages support are valid; by their paths they nest into the host's template. Text blocks in valid classes are the
-template's own text; what varies between them is the slots' text. The slot element, once on a page, that holds the article is chosen for the
-whole host by the slot text below it, and a second pass extracts that element of every page, without the parts whose tag or role is none of
-the article.
+that hold an element and that half of the host's pages support are valid; each has the place of its outermost element, and by these places they
+nest into the host's template. A block of text in a valid class whose place is above it is the template's own text; all other text fills slots.
+
+The article's slot is an element of a valid class that pages have once. Slot text adds up to the elements above it, and the one that holds the
+article is chosen by it: an article or main element (or one so named) that holds at least half of all, else the deepest that holds all. In
+the latter, where nothing tells what is the article, smaller elements are left out whose slots are lists: many short blocks, or blocks in
+iterated classes, whose elements repeat together on a page, as menus' and comments' do. A second pass extracts the slots of every page, without
+the template's own text and without the parts whose tag, role or name is none of the article.
 """
 
 from __future__ import annotations
@@ -22,16 +26,22 @@ from pyspark.sql import functions as F
 
 from .shared import bounded_batches, only, written
 
-#: Share of a host's pages that a valid class needs, and pages from which repeated text counts as the template's.
+#: Share of a host's pages that a valid class needs, and pages from which text in a class counts as the template's.
 SUPPORT, LEAST_PAGES = 0.5, 4
+#: Share of the text in the article's element from which repeated text isn't the template's but that of pages that are copies.
+COPIES = 0.4
+#: A list: this many blocks a page, at most so long on average; or this share of its text in iterated classes. It holds less than half of all.
+LIST_BLOCKS, LIST_CHARS, LIST_SHARE = 3, 40, 0.8
+#: Elements that a path names; deeper ones are in the last one's place. Characters of an element's name, then a checksum.
+MOST_DEEP, MOST_NAME = 64, 80
 #: Hosts and texts of templates up to which the templates are broadcast; more are joined by shuffling.
 BROADCAST_HOSTS = 50_000
 
 # Kinds of HTML elements, and names that tell what a part of a page is for.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template iframe textarea title svg math object select".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img".split())
-DROPPED_TAGS = frozenset("nav header footer aside form button dialog menu head".split()) | RAW
+RAW = frozenset("script style noscript template iframe textarea title svg".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark math nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img".split())
+DROPPED_TAGS = frozenset("nav header footer aside form button dialog menu head select datalist".split()) | RAW
 DROPPED_ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar".split())
 DROPPED_NAMES = frozenset(
     "nav navbar navigation menu menubar breadcrumb breadcrumbs header masthead topbar footer sidebar sidebars aside ad ads advert adverts advertisement advertising banner "
@@ -41,11 +51,15 @@ DROPPED_NAMES = frozenset(
 #: Words that a class or id may add to a dropped name (site-header, main_nav, ad-1); with any other word (has-sidebar, ad-free) it is kept.
 PLACES = frozenset("site global main primary secondary top bottom left right mobile desktop bar box list links area block wrapper container buttons".split())
 MAIN_NAMES = frozenset("article content post entry story main articlebody".split())
+#: Elements that a sibling's start closes.
+SIBLINGS = frozenset("li tr td th option dt dd".split())
 
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>\"']*+(?:\"[^\"]*\"[^>\"']*+|'[^']*'[^>\"']*+)*+)>", re.S)
+_OPEN = re.compile(r"(/?)([a-zA-Z][a-zA-Z0-9:-]*)")
+_REST = re.compile(r"(?:=\s*+(?:\"[^\"]*+\"|'[^']*+')|=|[^<>=]++)*+")
 _ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
-_NAME = re.compile(r"[a-z]+")
+_NAME = re.compile(r"[0-9]*[a-z][a-z0-9]*")
 _SPLIT = re.compile(r"[_-]+")
+_CLOSE = {tag: re.compile(f"(?ai)</{tag}(?![a-z0-9:-])[^>]*>") for tag in RAW}
 
 
 def _drops(token: str) -> bool:
@@ -54,9 +68,9 @@ def _drops(token: str) -> bool:
     return not words.isdisjoint(DROPPED_NAMES) and words <= DROPPED_NAMES | PLACES
 
 
-def _named(tag: str, attributes: str) -> tuple[str, bool]:
+def _named(tag: str, attributes: str, in_article: bool) -> tuple[str, bool]:
     """(the element's name in paths, whether its text is no part of an article, unless the element holds the article)."""
-    dropped = tag in DROPPED_TAGS
+    dropped = tag in DROPPED_TAGS and not (tag == "header" and in_article)
     if not attributes or "=" not in attributes:
         return tag, dropped
     found = {m[1].lower(): (m[2] or m[3] or m[4] or "").lower() for m in _ATTRIBUTE.finditer(attributes)}
@@ -67,88 +81,124 @@ def _named(tag: str, attributes: str) -> tuple[str, bool]:
     for key in ("class", "id"):
         if v := found.get(key):
             tokens += v.split()
-            name += "." + ".".join(_NAME.findall(v)[:4])
+            name += "." + ".".join(_NAME.findall(v))
     if role := found.get("role"):
         name += "@" + "".join(_NAME.findall(role))
+    if len(name) > MOST_NAME:
+        name = f"{name[:MOST_NAME]}.{zlib.crc32(name.encode('utf-8', 'surrogatepass'))}"
     if tag not in ("html", "body", "article", "main"):
         dropped = dropped or found.get("role") in DROPPED_ROLES or any(map(_drops, tokens))
     return name, dropped
 
 
+def _tags(source: str):
+    """(start, end, / or nothing, tag, attributes) of each tag of a page, and of comments and the like with an empty tag. Every character is
+    looked at a bounded number of times: a tag ends at the first > or before the first < that is in no attribute's quotes; what no > follows
+    is text."""
+    last, pos = source.rfind(">"), 0
+    while 0 <= (at := source.find("<", pos)) < last:
+        if source.startswith("<!--", at):
+            end = source.find("-->", at + 4)
+            pos = end + 3 if end >= 0 else len(source)
+            yield at, pos, "", "", ""
+        elif source[at + 1] in "!?":
+            pos = source.find(">", at) + 1
+            yield at, pos, "", "", ""
+        elif m := _OPEN.match(source, at + 1):
+            end = _REST.match(source, m.end()).end()
+            if end >= len(source):  # a quote that closes nowhere, or too late
+                end = source.find(">", m.end())
+            pos = yield at, end + (source[end] == ">"), m[1], m[2].lower(), source[m.end() : end]
+            pos = pos or end + (source[end] == ">")
+        else:
+            pos = at + 1
+
+
 class Page:
     """elements: times of each path; blocks: (path, text, dropped) in page order. A path's part that ends in ! is an element whose text is none
-    of an article that is outside of it; dropped is True below an inline element of that kind, which paths leave out."""
+    of an article that is outside of it; dropped is True below an inline element of that kind, or one too deep for paths, which leave it out.
+
+    The time is linear in the page, however malformed or deep it is."""
 
     def __init__(self, source: str | None):
         self.elements: Counter = Counter()
         self.blocks: list[tuple[str, str, bool]] = []
         source = source or ""
-        stack: list[tuple[str, str, bool]] = []  # tag, path, dropped
-        path, dropped, block, at = "", False, [], 0
-        low = None
+        # of each open element: tag, path, depth of the path, dropped, inside of an article, index of the nearest element that is not inline
+        stack: list[tuple[str, str, int, bool, bool, int]] = [("", "", 0, False, False, 0)]
+        opened: Counter = Counter()
+        never: set[str] = set()  # raw elements that nothing closes any more
+        block, at = [], 0
 
         def flush() -> None:
             if block:
                 text = " ".join(html.unescape("".join(block)).split())
                 block.clear()
                 if text:
-                    self.blocks.append((path, text, dropped))
-
-        pos = 0
-        while m := _TAG.search(source, pos):
-            if m.start() > at:
-                block.append(source[at : m.start()])
-            at = pos = m.end()
-            tag = m[2]
-            if tag is None:
-                continue
-            tag = tag.lower()
-            if m[1]:
-                if tag in INLINE:
-                    if not stack or stack[-1][0] != tag:
-                        continue
-                else:
-                    flush()
-                for i in range(len(stack) - 1, -1, -1):
-                    if stack[i][0] == tag:
-                        del stack[i:]
-                        path, dropped = (stack[-1][1], stack[-1][2]) if stack else ("", False)
-                        break
+                    self.blocks.append((stack[-1][1], text, stack[-1][3]))
+
+        def close(i: int) -> None:
+            for x in stack[i:]:
+                opened[x[0]] -= 1
+            del stack[i:]
+
+        tags = _tags(source)
+        move = None
+        while True:
+            try:
+                start, end, slash, tag, attributes = tags.send(move)
+            except StopIteration:
+                break
+            move = None
+            if start > at:
+                block.append(source[at:start])
+            at = end
+            if not tag:
                 continue
-            if tag in ("svg", "math") and m[3].endswith("/"):
-                self.elements[f"{path}/{tag}"] += 1
-                continue
-            if tag in RAW:
-                low = source.lower() if low is None else low
-                end = low.find(f"</{tag}", at)
-                close = source.find(">", end) if end >= 0 else -1
-                pos = at = close + 1 if close >= 0 else len(source)
+            empty = attributes.endswith("/")
+            if slash:
+                if tag in INLINE and stack[-1][0] != tag:
+                    continue
                 if tag not in INLINE:
                     flush()
-                self.elements[f"{path}/{tag}"] += 1
-                continue
-            if tag in VOID:
+                if opened[tag]:
+                    i = len(stack) - 1
+                    while stack[i][0] != tag:
+                        i -= 1
+                    close(i)
+            elif tag in RAW:
+                flush()
+                self.elements[f"{stack[-1][1]}/{tag}"] += 1
+                if not empty and tag not in never:
+                    if m := _CLOSE[tag].search(source, end):
+                        at = move = m.end()
+                    else:
+                        never.add(tag)
+                        if tag in ("script", "style"):  # nothing after it is text
+                            at = move = len(source)
+            elif tag in VOID:
                 if tag in ("br", "hr"):
                     block.append(" ")
-                continue
-            name, gone = _named(tag, m[3])
-            if tag not in INLINE:
+            elif tag in INLINE:
+                _, path, depth, dropped, article, nearest = stack[-1]
+                if not empty:
+                    stack.append((tag, path, depth, dropped or _named(tag, attributes, article)[1], article, nearest))
+                    opened[tag] += 1
+            else:
                 flush()
                 # what the new element closes silently: a paragraph, with what is open in it, or a sibling item
-                for i in range(len(stack) - 1, max(-1, len(stack) - 8), -1):
-                    t = stack[i][0]
-                    if t == "p" or t == tag and tag in ("li", "tr", "td", "th", "option", "dt", "dd"):
-                        del stack[i:]
-                        break
-                    if t not in INLINE:
-                        break
-                path, dropped = (stack[-1][1], stack[-1][2]) if stack else ("", False)
-                path = f"{path}/{name}!" if gone else f"{path}/{name}"
-                self.elements[path] += 1
-            else:
-                dropped = dropped or gone
-            if not m[3].endswith("/") or tag not in INLINE:
-                stack.append((tag, path, dropped))
+                i = stack[-1][5]
+                if stack[i][0] == "p" or stack[i][0] == tag and tag in SIBLINGS:
+                    close(i)
+                _, path, depth, dropped, article, _ = stack[-1]
+                name, gone = _named(tag, attributes, article)
+                if depth < MOST_DEEP:
+                    path, depth = f"{path}/{name}!" if gone else f"{path}/{name}", depth + 1
+                    self.elements[path] += 1
+                else:
+                    dropped = dropped or gone
+                stack.append((tag, path, depth, dropped, article or tag in ("article", "main"), len(stack)))
+                opened[tag] += 1
         if at < len(source):
             block.append(source[at:])
         flush()
@@ -200,58 +250,95 @@ def tokens(pages: DataFrame) -> DataFrame:
     return found.groupBy("host", "path", "text", "dropped").agg(*[F.sum(c).alias(c) for c in ("pages", "times", "chars", "f1", "f2")])
 
 
+def _sizes(toks: DataFrame) -> DataFrame:
+    """(host, n_pages): a row for each host."""
+    return toks.where("path = '' and text = 0").select("host", F.col("pages").alias("n_pages"))
+
+
+def _small(df: DataFrame) -> DataFrame:
+    """A written table to be joined: broadcast, behind a count of its rows."""
+    return F.broadcast(df) if df.count() <= BROADCAST_HOSTS else df
+
+
 def classes(toks: DataFrame) -> DataFrame:
-    """(host, f1, f2, support, size, times, paths): the valid equivalence classes of each host: tokens with one occurrence vector that half of
-    the host's pages have. paths lists the elements' places, outermost first, which is how classes nest."""
-    n = toks.where("path = '' and text = 0").select("host", F.col("pages").alias("n_pages"))
-    valid = toks.join(n, "host").where((F.col("pages") >= SUPPORT * F.col("n_pages")) & ((F.col("text") == 0) | (F.col("n_pages") >= LEAST_PAGES)))
-    return valid.groupBy("host", "f1", "f2").agg(
-        F.max("pages").alias("support"), F.count("*").alias("size"), F.max("times").alias("times"), F.array_sort(F.collect_set(F.when(F.col("text") == 0, F.col("path")))).alias("paths")
+    """(host, f1, f2, support, size, elements, times, place): the valid equivalence classes of each host: tokens with one occurrence vector,
+    an element among them, that half of the host's pages have. place is that of the outermost element, so that a class whose place is above
+    another's holds it; times counts each token on all pages."""
+    valid = toks.join(_sizes(toks), "host").where(F.col("pages") >= SUPPORT * F.col("n_pages"))
+    element = F.when(F.col("text") == 0, F.col("path"))
+    found = valid.groupBy("host", "f1", "f2").agg(
+        F.max("pages").alias("support"), F.count("*").alias("size"), F.count(element).alias("elements"), F.max("times").alias("times"), F.min_by(element, F.when(F.col("text") == 0, F.struct(F.char_length("path"), "path"))).alias("place")
     )
+    return found.where("place is not null")
+
+
+def _above(path: Column, first: Column | int = 1) -> Column:
+    """The path and those above it, from that many parts on."""
+    parts = F.split(path, "/")
+    return F.transform(F.sequence(F.lit(first) if isinstance(first, int) else first, F.size(parts)), lambda i: F.array_join(F.slice(parts, F.lit(1), i), "/"))
+
+
+def _below(path: Column, place: Column) -> Column:
+    return (path == place) | path.startswith(F.concat(place, F.lit("/")))
 
 
 def templates(pages: DataFrame) -> DataFrame:
-    """(host, main, own): the path of the element that holds the article on the host's pages, or null if no element does so once a page; if no
-    name tells which it is, own lists the template's own text below it, as path and hash.
+    """(host, main, own, lists): the path of the element that holds the article on the host's pages, or null if no element does so once a page;
+    own lists the template's own text below it, as path and hash, and lists the places below it that are left out. Both are null if empty.
 
     Candidates are elements in valid classes with one occurrence a page they are on. Slot text below a candidate is all text of its host that
-    isn't in a valid class and isn't in dropped parts below the candidate. An article or main element, or one so named, that holds at least half
-    as much as any is taken before others. Among equals the one that holds most is taken, and of those the deepest: what is left out around it is
-    the template's own text. An article or main element inside of a dropped part is
-    taken where nothing outside of such parts tells and it holds more than is outside.
+    isn't the template's own and isn't in dropped parts below the candidate. An article or main element, or one so named, that holds at least
+    half as much as any is taken before others. Among equals the one that holds most is taken, and of those the deepest: what is left out around
+    it is the template's own text. An article or main element inside of a dropped part is taken where nothing outside of such parts tells and
+    it holds more than is outside.
     """
     toks = written(tokens(pages), "tokens")
-    n = toks.where("path = '' and text = 0").select("host", F.col("pages").alias("n_pages"))
-    template_text = (F.col("pages") >= SUPPORT * F.col("n_pages")) & (F.col("n_pages") >= LEAST_PAGES) & (F.col("pages") < F.col("n_pages") * 1.01) & (F.col("chars") < 400 * F.col("pages"))
-    text = toks.where("text <> 0 and not dropped").join(n, "host").where(~template_text)
-    # every place above the text gets it: a path has as many prefixes as it is deep
+    n = _small(written(_sizes(toks), "hosts"))
+    known = written(classes(toks), "classes")
+    text = toks.where("text <> 0").join(n, "host").join(_small(known.select("host", "f1", "f2", "place")), ["host", "f1", "f2"], "left")
+    # text with the vector of elements above it is as fixed as they are
+    fixed = F.coalesce((F.col("n_pages") >= LEAST_PAGES) & ((F.col("place") == "") | _below(F.col("path"), F.col("place"))), F.lit(False))
+    text = written(text.select("host", "path", "text", "dropped", "times", "chars", "n_pages", fixed.alias("fixed")), "text")
+    iterated = _small(written(toks.where("text = 0").join(_small(known.where("elements > 1 and times > support").select("host", "f1", "f2")), ["host", "f1", "f2"]).select("host", "path").distinct(), "iterated"))
+    # every place above slot text gets it: a path has as many prefixes as it is deep, MOST_DEEP at most
     parts = F.split("path", "/")
-    dropped = F.array_max(F.transform(parts, lambda x, i: F.when(x.endswith("!"), i + 1).otherwise(0)))  # the last dropped part's place
-    depth = F.sequence(dropped + 1, F.size(parts))
-    slots = text.groupBy("host", "path").agg(F.sum("chars").alias("chars")).where(dropped < F.size(parts)).withColumn("above", F.explode(F.transform(depth, lambda i: F.array_join(F.slice(parts, F.lit(1), i), "/"))))
-    slots = slots.groupBy("host", F.col("above").alias("path")).agg(F.sum("chars").alias("slot"))
-    own = toks.where("text = 0").join(n, "host").where((F.col("pages") >= SUPPORT * F.col("n_pages")) & (F.col("times") == F.col("pages")))
-    found = own.select("host", "path").join(slots, ["host", "path"])
+    last_dropped = F.array_max(F.transform(parts, lambda x, i: F.when(x.endswith("!"), i + 1).otherwise(0)))
+    filled = text.where("not fixed and not dropped").groupBy("host", "path").agg(F.sum("chars").alias("chars"), F.sum("times").alias("blocks"))
+    repeats = filled.select("host", "path", F.explode(_above(F.col("path"))).alias("above")).join(iterated.withColumnRenamed("path", "above"), ["host", "above"], "left_semi").select("host", "path").distinct()
+    filled = filled.join(repeats.withColumn("repeats", F.lit(True)), ["host", "path"], "left").where(last_dropped < F.size(parts))
+    slots = filled.withColumn("above", F.explode(_above(F.col("path"), last_dropped + 1))).groupBy("host", F.col("above").alias("path")).agg(
+        F.sum("chars").alias("slot"), F.sum("blocks").alias("blocks"), F.sum(F.when(F.col("repeats"), F.col("chars")).otherwise(0)).alias("in_lists")
+    )
+    once = toks.where("text = 0 and times = pages").join(n, "host").where(F.col("pages") >= SUPPORT * F.col("n_pages"))
+    found = once.select("host", "path", "pages").join(slots, ["host", "path"])
     last = F.element_at(F.split("path", "/"), -1)
     tag = F.regexp_extract(last, "^[a-z0-9:-]*", 0)
-    telling = F.when(tag == "article", 3).when((tag == "main") | last.contains("@main"), 2).when(F.arrays_overlap(F.split(last, "[.]"), F.array(*[F.lit(x) for x in sorted(MAIN_NAMES)])) & ~tag.isin("html", "body"), 1).otherwise(0)
-    found = found.withColumn("telling", telling).withColumn("deep", F.size(F.split("path", "/")))
-    found = found.withColumn("inside", F.col("path").contains("!"))
-    most = found.groupBy("host").agg(F.coalesce(F.max(F.when(~F.col("inside"), F.col("slot"))), F.lit(0)).alias("most"), F.coalesce(F.max(F.when(~F.col("inside"), F.col("telling"))), F.lit(0)).alias("tells"))
-    found = found.join(most, "host").where(~F.col("inside") | (F.col("telling") >= 2) & (F.col("tells") == 0) & (F.col("slot") > F.col("most"))).where(((F.col("telling") > 0) & (F.col("slot") >= 0.5 * F.col("most"))) | (F.col("slot") == F.col("most")))
-    best = F.max_by(F.struct(F.col("path").alias("main"), "telling"), F.struct("telling", "slot", "deep", "path"))
-    chosen = written(found.groupBy("host").agg(best.alias("best")).select("host", "best.*"), "chosen")
-    out = n.select("host").join(chosen.select("host", "main"), "host", "left")
-    if chosen.where("telling = 0").isEmpty():
-        return out.withColumn("own", F.lit(None).cast("array<string>"))
-    own = toks.where("text <> 0").join(n, "host").where(template_text).join(chosen.where("telling = 0"), "host").where((F.col("path") == F.col("main")) | F.col("path").startswith(F.concat("main", F.lit("/"))))
-    own = own.groupBy("host").agg(F.collect_set(F.concat("path", F.lit(" "), F.col("text").cast("string"))).alias("own"))
-    return out.join(own, "host", "left")
-
-
-def main_text(source: str | None, main: str | None, own: list[str] | None = None) -> str:
-    """The text of the page's element at main, without the template's own if there is other; where the page has none there, of its article, main or body, the first that has text; where all
-    of that is in dropped parts, of an article or main element in them."""
+    named = F.arrays_overlap(F.split(last, "[.]"), F.array(*[F.lit(x) for x in sorted(MAIN_NAMES)]))
+    telling = F.when(tag == "article", 3).when((tag == "main") | last.contains("@main"), 2).when(named & ~tag.isin("html", "body"), 1).otherwise(0)
+    found = found.withColumn("telling", telling).withColumn("deep", F.size(F.split("path", "/"))).withColumn("inside", F.col("path").contains("!"))
+    found = written(found, "candidates")
+    outside = lambda c: F.coalesce(F.max(F.when(~F.col("inside"), F.col(c))), F.lit(0))
+    most = _small(written(found.groupBy("host").agg(outside("slot").alias("most"), outside("telling").alias("tells")), "most"))
+    fit = found.join(most, "host").where(~F.col("inside") | (F.col("telling") >= 2) & (F.col("tells") == 0) & (F.col("slot") > F.col("most")))
+    fit = fit.where(((F.col("telling") > 0) & (F.col("slot") >= 0.5 * F.col("most"))) | (F.col("slot") == F.col("most")))
+    best = F.max_by(F.struct(F.col("path").alias("main"), "telling", F.col("slot").alias("all")), F.struct("telling", "slot", "deep", "path"))
+    chosen = written(fit.groupBy("host").agg(best.alias("best")).select("host", "best.*"), "chosen")
+    held = _small(chosen)
+    # the template's own text in the element, unless there is so much that pages are copies
+    inside = text.where("not dropped").join(held, "host").where(_below(F.col("path"), F.col("main")))
+    copies = F.sum(F.when(F.col("fixed"), F.col("chars")).otherwise(0)) > COPIES * F.sum("chars")
+    own = inside.groupBy("host").agg(copies.alias("copies"), F.collect_set(F.when(F.col("fixed"), F.concat("path", F.lit(" "), F.col("text").cast("string")))).alias("own"))
+    own = own.where(~F.col("copies") & (F.size("own") > 0)).select("host", "own")
+    short = (F.col("blocks") >= LIST_BLOCKS * F.col("pages")) & (F.col("slot") <= LIST_CHARS * F.col("blocks"))
+    listed = found.join(held.where("telling = 0").select("host", "main", "all"), "host").where((F.col("path") != F.col("main")) & _below(F.col("path"), F.col("main")) & (F.col("slot") < 0.5 * F.col("all")))
+    listed = listed.where(short | (F.col("in_lists") >= LIST_SHARE * F.col("slot"))).groupBy("host").agg(F.collect_set("path").alias("lists"))
+    return n.select("host").join(_small(chosen.select("host", "main")), "host", "left").join(written(own, "own"), "host", "left").join(written(listed, "lists"), "host", "left")
+
+
+def main_text(source: str | None, main: str | None, own: list[str] | None = None, lists: list[str] | None = None) -> str:
+    """The slots' text of the page's element at main: without the template's own, if there is other, and what is below lists. Where the page
+    has none there, the text of its article, main or body, the first that has text; where all of that is in dropped parts, of an article or
+    main element in them."""
     blocks = [(p, t) for p, t, dropped in Page(source).blocks if not dropped]
 
     def below(test) -> str:
@@ -263,6 +350,8 @@ def main_text(source: str | None, main: str | None, own: list[str] | None = None
 
     if main:
         inside = [(p, t) for p, t in blocks if p == main or p.startswith(main + "/") and "!" not in p[len(main) :]]
+        if lists:
+            inside = [(p, t) for p, t in inside if not any(p == x or p.startswith(x + "/") for x in lists)] or inside
         template = set(own or ())
         slots = [t for p, t in inside if f"{p} {_hash(t)}" not in template] if template else []
         if text := " ".join(slots or [t for _, t in inside]):
@@ -286,12 +375,13 @@ def extract(pages: DataFrame) -> DataFrame:
     """
     known = written(templates(pages).where("main is not null"), "templates")
     base = only(pages, "page_id", "url", "html").withColumn("host", host_of(F.col("url")))
-    size = known.agg(F.count("*") + F.coalesce(F.sum(F.when(F.col("own").isNotNull(), F.size("own"))), F.lit(0))).first()[0]
+    listed = F.coalesce(F.size("own"), F.lit(0)) + F.coalesce(F.size("lists"), F.lit(0))
+    size = known.agg(F.count("*") + F.coalesce(F.sum(F.greatest(listed, F.lit(0))), F.lit(0))).first()[0]
     joined = base.join(F.broadcast(known) if size <= BROADCAST_HOSTS else known, "host", "left")
 
     def run(batches):
         for batch in batches:
-            text = [main_text(*x) for x in zip(*(batch.column(c).to_pylist() for c in ("html", "main", "own")), strict=True)]
+            text = [main_text(*x) for x in zip(*(batch.column(c).to_pylist() for c in ("html", "main", "own", "lists")), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(text, pa.string()), pa.array(list(map(len, text)), pa.int64())], ["page_id", "url", "text", "n_chars"])
 
-    return joined.select("page_id", "url", "html", "main", "own").mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    return joined.select("page_id", "url", "html", "main", "own", "lists").mapInArrow(run, "page_id long, url string, text string, n_chars long")

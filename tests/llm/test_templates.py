@@ -1,5 +1,8 @@
 """Pages whose article lies where names and markup mislead."""
 
+import random
+import time
+
 import pytest
 
 from siltflow.llm import templates
@@ -43,3 +46,62 @@ def test_template_text_is_left_out_where_the_slots_are_apart(spark):
     assert texts(spark, page) == {i: f"Title {i} {'Long text ' * 5}{i}" for i in range(8)}
     copies = lambda i: page(0 if i < 6 else i)
     assert texts(spark, copies)[0].count("Long text") == 5
+
+
+PARTS = ("menu", "text", "side", "replies", "imprint")
+
+
+def shuffled(i, salt):
+    """A page without telling names: the parts' classes differ by host, and their order as well."""
+    rng = random.Random(salt)
+    names = dict(zip(PARTS, rng.sample(["k1", "q7", "zx", "b2", "m9"], 5), strict=True))
+    body = {
+        "menu": "<ul>" + "".join(f"<li><a href='/{w}'>{w.title()}</a></li>" for w in ("home", "news", "about")) + "</ul>",
+        "text": f"<h1>Title {i}</h1><p>By Ann</p>" + "".join(f"<p>Sentence {k} of page {i} says quite a lot about its subject, and goes on.</p>" for k in range(4 + i % 3)),
+        "side": "".join(f"<div class='r{salt}'><h4>See {i * 7 + k}</h4><p>now</p></div>" for k in range(3)),
+        "replies": "".join(f"<div class='c{salt}'><h5>User {i + k}</h5><p>I think so, page {i}, number {k}</p></div>" for k in range(1 + i % 4)),
+        "imprint": "<p>All rights reserved</p>",
+    }
+    order = list(PARTS)
+    rng.shuffle(order)
+    return "<html><head><title>x</title></head><body>" + "".join(f"<div class='{names[p]}'>{body[p]}</div>" for p in order) + "</body></html>", f"Title {i} " + " ".join(f"Sentence {k} of page {i} says quite a lot about its subject, and goes on." for k in range(4 + i % 3))
+
+
+def test_shuffled_names(spark):
+    """What the pages share (menu, author, imprint) and what comes in lists (links, replies) goes, though no name tells."""
+    rows = [(100 * salt + i, f"https://h{salt}.example.com/{i}", shuffled(i, salt)[0]) for salt in range(6) for i in range(12)]
+    got = {r.page_id: r.text for r in templates.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {100 * salt + i: shuffled(i, salt)[1] for salt in range(6) for i in range(12)}
+
+
+def test_fixed_text_inside_of_an_article_goes_and_repeated_text_stays(spark):
+    page = lambda i: f"<body><article><h1>Title {i}</h1><p>{'Body text ' * 9}{i}</p><p>Follow us</p>{'<p>Same as ever</p>' * (i % 3)}</article></body>"
+    assert texts(spark, page) == {i: f"Title {i} {'Body text ' * 9}{i}" + " Same as ever" * (i % 3) for i in range(8)}
+
+
+PROBES = [
+    ("<article><p>one</p><svg/><p>two</p></article>", "one two"),
+    ("<article>a <math><mi>x</mi></math> b</article>", "a x b"),
+    ('<div class="wrap has-sidebar"><article>hi</article></div>', "hi"),
+    ('<div class="entry-header"><h1>Title</h1></div>', "Title"),
+    ('<p class="ad-hoc">x</p>', "x"),
+    ("<title>open <p>a</p>", "open a"),
+    ("<p>a<select><option>1<option>2</select>b<object>c</object>", "a b c"),
+    ("<article><header><h1>T</h1></header><p>x</article>", "T x"),
+    ("<a title=don't>x</a> it's <b>y</b>", "x it's y"),
+    ("x < y and z > w, a<b", "x < y and z > w, a<b"),
+    ("<p>İ</p><script>if (a</b) '</p>'</script><p>b", "İ b"),
+]
+
+
+@pytest.mark.parametrize("source,want", PROBES)
+def test_markup(source, want):
+    assert templates.main_text(source, None) == want
+
+
+@pytest.mark.parametrize("part", ['<a "', '<a "x>', '<a b=">"', "<!", "<!--", "<title>", "<svg>", "<div>", "<b><p>", "</x>", '<a b="', "<div></x>", "=", "<a =' "])
+def test_malformed_and_deep_pages_take_linear_time(part):
+    began = time.process_time()
+    page = templates.Page(part * (1_000_000 // len(part)))
+    assert time.process_time() - began < 5
+    assert sum(map(len, page.elements)) < 100_000

@@ -130,7 +130,9 @@ def test_classes(spark):
     rows = [(i, f"https://h.example.com/{i}", site(i, "<p>a</p>" * (1 + i % 3))) for i in range(9)]
     found = templates.classes(templates.tokens(spark.createDataFrame(rows, "page_id long, url string, html string"))).collect()
     once = max(found, key=lambda r: r["size"])
-    assert once.support == 9 and once.times == 9 and "/html/body/article/h1" in once.paths and not any("/html/body/article/p" in r.paths for r in [once])
+    assert (once.support, once.times, once.place) == (9, 9, "") and once.elements < once.size
+    paragraphs = next(r for r in found if r.place == "/html/body/article/p")
+    assert (paragraphs.support, paragraphs.times, paragraphs.elements) == (9, 18, 1)
 
 
 def test_nearest_equals_brute_force(spark, monkeypatch):

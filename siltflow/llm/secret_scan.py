@@ -4,8 +4,12 @@ Spans of the fixed patterns are always reported. Beside them every long token th
 inferred (hexadecimal, base 32, base 36 or base 64), and three statistics measure how far it is from uniform random characters: chi-squared
 over the alphabet, the number of runs of the alphabet's halves, and the serial correlation of neighbours. The last two become tail
 probabilities under randomness. Chi-squared becomes the probability of so even a token if it were prose (its non-central distribution, whose
-shift grows with the length, so that longer tokens carry more evidence), times the chance that prose keeps to the alphabet. A token is
-reported if the first two tests don't reject randomness and its prose probability passes the Benjamini-Hochberg bound over all tested tokens.
+shift grows with the length, so that longer tokens carry more evidence), times the chance that prose keeps to the alphabet; a token that the
+other two tests find not random has the probability 1. A token is reported if its probability passes the Benjamini-Hochberg bound over all
+tested tokens, those that the other tests reject among them.
+
+Arrays are never grown element by element: running sums and maxima double their reach step by step, so a text costs time in proportion to its
+length and the logarithm of its matches.
 """
 
 from __future__ import annotations
@@ -34,21 +38,48 @@ PROSE_MATCH, PROSE_HEX = 0.066, 0.35
 #: The false-discovery bound is evaluated at this many steps of a twentieth of a decade, however many tokens there are.
 STEPS = 4000
 
-_SPAN = "array<struct<start:int,end:int,size:int>>"
+_SPAN = "array<struct<start:int,end:int,size:int,found:string>>"
+
+
+def running(values: Column, join, back: bool = False) -> Column:
+    """At each place of the array the values up to it joined (from it on, if back), by an associative function of two columns."""
+    places = F.size(values)
+    steps = F.when(places > 1, F.transform(F.sequence(F.lit(0), F.ceil(F.log2(places)).cast("int") - 1), lambda k: F.expr("1") * F.pow(F.lit(2), k).cast("int"))).otherwise(F.expr("cast(array() as array<int>)"))
+
+    def reach(acc: Column, step: Column) -> Column:
+        other = lambda i: F.get(acc, i + step if back else i - step)
+        inside = (lambda i: i + step < F.size(acc)) if back else (lambda i: i >= step)
+        return F.transform(acc, lambda x, i: F.when(inside(i), join(x, other(i))).otherwise(x))
+
+    return F.aggregate(steps, values, reach)
 
 
 def find(text: Column, pattern: str, group: int = 0) -> Column:
-    """array<struct<start, end, size>> of the leftmost non-overlapping matches, in code points; size is the length of the pattern's group."""
+    """array<struct<start, end, size, found>> of the leftmost non-overlapping matches, in code points; size is the length of the pattern's
+    group, found the match."""
     whole = F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(1))
-    sizes = F.transform(F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(group + 1)), F.char_length)
-    gaps = F.transform(F.split(text, pattern, -1), F.char_length)  # one more than matches
-    rows = F.arrays_zip(F.slice(gaps, F.lit(1), F.size(whole)).alias("gap"), F.transform(whole, F.char_length).alias("len"), sizes.alias("size"))
+    sizes = F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(group + 1)) if group else whole
+    gaps = F.split(text, pattern, -1)  # one more than matches
+    rows = F.arrays_zip(F.slice(gaps, F.lit(1), F.size(whole)).alias("gap"), whole.alias("found"), sizes.alias("part"))
+    rows = F.transform(rows, lambda x: F.struct((F.char_length(x["gap"]) + F.char_length(x["found"])).alias("end"), F.char_length(x["found"]).alias("len"), F.char_length(x["part"]).alias("size"), x["found"].alias("found")))
+    # the first steps' result is bound once, then its ends are summed up
+    ends = F.transform(F.array(rows), lambda r: F.arrays_zip(r.alias("r"), running(F.transform(r, lambda x: x["end"]), lambda a, b: a + b).alias("end")))[0]
+    return F.transform(ends, lambda x: F.struct((x["end"] - x["r"]["len"]).alias("start"), x["end"].alias("end"), x["r"]["size"].alias("size"), x["r"]["found"].alias("found")))
+
+
+def outside(tokens: Column, base: Column) -> Column:
+    """The tokens that overlap no base span. Both are sorted by start; tokens don't overlap one another."""
+    mark = lambda x, kind, found: F.struct(x["start"].alias("start"), F.lit(kind).alias("kind"), x["end"].alias("end"), found.alias("found"))
+    every = F.array_sort(F.concat(F.transform(base, lambda b: mark(b, 0, F.lit(None).cast("string"))), F.transform(tokens, lambda t: mark(t, 1, t["found"]))))
 
-    def add(acc: Column, x: Column) -> Column:
-        a = acc["at"] + x["gap"]
-        return F.struct(F.concat(acc["out"], F.array(F.struct(a.alias("start"), (a + x["len"]).alias("end"), x["size"].alias("size")))).alias("out"), (a + x["len"]).alias("at"))
+    def free(every: Column) -> Column:
+        before = running(F.transform(every, lambda x: F.when(x["kind"] == 0, x["end"]).otherwise(-1)), F.greatest)
+        after = running(F.transform(every, lambda x: F.when(x["kind"] == 0, x["start"]).otherwise((1 << 31) - 1)), F.least, back=True)
+        rows = F.arrays_zip(every.alias("x"), before.alias("before"), after.alias("after"))
+        kept = F.filter(rows, lambda r: (r["x"]["kind"] == 1) & (r["before"] <= r["x"]["start"]) & (r["after"] >= r["x"]["end"]))
+        return F.transform(kept, lambda r: F.struct(r["x"]["start"].alias("start"), r["x"]["end"].alias("end"), r["x"]["found"].alias("token")))
 
-    return F.aggregate(rows, F.struct(F.expr(f"cast(array() as {_SPAN})").alias("out"), F.lit(0).alias("at")), add, lambda acc: acc["out"])
+    return F.transform(F.array(every), free)[0]
 
 
 def _spans(kind: str, found: Column) -> Column:
@@ -95,7 +126,7 @@ def battery(tokens: DataFrame, token: str = "token") -> DataFrame:
 
 def discovery_bound(tested: DataFrame, fdr: float = FDR) -> float:
     """The largest step t of log_p with tests * exp(t) <= fdr * (tests with log_p <= t), or minus infinity: Benjamini and Hochberg's rule
-    on a fixed grid. Only counts by step, STEPS at most, reach the driver."""
+    on a fixed grid, over all rows of tested. Only counts by step, STEPS at most, reach the driver."""
     width = math.log(10) / 20
     step = F.least(F.lit(STEPS), F.greatest(F.lit(0), F.floor(-F.col("log_p") / width))).cast("int")
     rows = {r[0]: r[1] for r in tested.groupBy(step.alias("s")).count().collect()}
@@ -126,14 +157,12 @@ def scan(docs: DataFrame, fdr: float = FDR) -> DataFrame:
         gate(text.rlike(TOKEN), find(text, TOKEN)).alias("token"),
     )
     base = F.array_sort(F.concat(*[_spans(k, F.col(k)) for k in KINDS[:3]]))
-    free = F.filter("token", lambda t: ~F.exists("base", lambda b: (b["start"] < t["end"]) & (b["end"] > t["start"])))
-    tokens = F.transform("free", lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end"), F.substring(F.col("text"), t["start"] + 1, t["size"]).alias("token")))
-    mixed = F.filter("tokens", lambda t: t["token"].rlike("[0-9]") & t["token"].rlike("[A-Za-z]"))
-    found = found.withColumn("base", base).withColumn("free", free).withColumn("tokens", tokens).select("doc_id", "base", mixed.alias("tokens"))
+    mixed = F.filter("token", lambda t: t["found"].rlike("[0-9]") & t["found"].rlike("[A-Za-z]"))
+    found = found.withColumn("base", base).withColumn("token", mixed).select("doc_id", "base", outside(F.col("token"), F.col("base")).alias("tokens"))
     # a row number of its own for each row, as doc_id may repeat or be null
     found = written(found.withColumn("row", F.monotonically_increasing_id()), "spans")
     each = found.where(F.size("tokens") > 0).select("row", F.explode("tokens").alias("t")).select("row", "t.start", "t.end", "t.token")
-    tested = written(battery(each).where((F.col("p_runs") >= TAIL) & (F.col("p_serial") >= TAIL)), "tested")
+    tested = written(battery(each).withColumn("log_p", F.when((F.col("p_runs") >= TAIL) & (F.col("p_serial") >= TAIL), F.col("log_p")).otherwise(0.0)), "tested")
     passed = tested.where(F.col("log_p") <= F.lit(discovery_bound(tested, fdr)))
     span = F.struct("start", F.lit(KINDS.index("random")).alias("k"), F.lit("random").alias("kind"), "end")
     added = passed.groupBy("row").agg(F.array_sort(F.collect_list(span)).alias("added"))

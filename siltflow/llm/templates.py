@@ -260,11 +260,11 @@ def _small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_HOSTS else df
 
 
-def classes(toks: DataFrame) -> DataFrame:
+def classes(toks: DataFrame, sizes: DataFrame | None = None) -> DataFrame:
     """(host, f1, f2, support, size, elements, times, place): the valid equivalence classes of each host: tokens with one occurrence vector,
     an element among them, that half of the host's pages have. place is that of the outermost element, so that a class whose place is above
     another's holds it; times counts each token on all pages."""
-    valid = toks.join(_sizes(toks), "host").where(F.col("pages") >= SUPPORT * F.col("n_pages"))
+    valid = toks.join(_sizes(toks) if sizes is None else sizes, "host").where(F.col("pages") >= SUPPORT * F.col("n_pages"))
     element = F.when(F.col("text") == 0, F.col("path"))
     found = valid.groupBy("host", "f1", "f2").agg(
         F.max("pages").alias("support"), F.count("*").alias("size"), F.count(element).alias("elements"), F.max("times").alias("times"), F.min_by(element, F.when(F.col("text") == 0, F.struct(F.char_length("path"), "path"))).alias("place")
@@ -294,7 +294,7 @@ def templates(pages: DataFrame) -> DataFrame:
     """
     toks = written(tokens(pages), "tokens")
     n = _small(written(_sizes(toks), "hosts"))
-    known = written(classes(toks), "classes")
+    known = written(classes(toks, n), "classes")
     text = toks.where("text <> 0").join(n, "host").join(_small(known.select("host", "f1", "f2", "place")), ["host", "f1", "f2"], "left")
     # text with the vector of elements above it is as fixed as they are
     fixed = F.coalesce((F.col("n_pages") >= LEAST_PAGES) & ((F.col("place") == "") | _below(F.col("path"), F.col("place"))), F.lit(False))

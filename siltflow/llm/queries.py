@@ -94,12 +94,18 @@ b AS (SELECT page_id, url, regexp_replace(regexp_replace(h, '</?(b|i|a|em|strong
 c AS (SELECT page_id, url, replace(replace(replace(replace(replace(h, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&amp;', '&') AS h FROM b),
 d AS (SELECT page_id, url, trim(regexp_replace(h, '\s+', ' ', 'g')) AS text FROM c)
 SELECT page_id, url, text, length(text)::BIGINT AS n_chars FROM d""",
+    # items of fewer than five words are sequences that a document has anywhere
     "op3_benchmark_decontamination": f"""
 WITH texts AS (SELECT 2 * doc_id AS key, text FROM documents UNION ALL SELECT 2 * item_id + 1, text FROM benchmark), {_SHINGLES},
-size AS (SELECT key, count(*) AS n FROM shingles WHERE key % 2 = 1 GROUP BY key),
-shared AS (SELECT d.key AS doc, i.key AS item, count(*) AS n FROM shingles d JOIN shingles i ON d.s = i.s AND d.key % 2 = 0 AND i.key % 2 = 1 GROUP BY 1, 2)
+size AS (SELECT key, count(*) AS n FROM shingles JOIN words USING (key) WHERE key % 2 = 1 AND len(w) >= 5 GROUP BY key),
+shared AS (SELECT d.key AS doc, i.key AS item, count(*) AS n FROM shingles d JOIN shingles i ON d.s = i.s AND d.key % 2 = 0 AND i.key % 2 = 1 GROUP BY 1, 2),
+short AS (SELECT key, len(w) AS k, array_to_string(w, ' ') AS s FROM words WHERE key % 2 = 1 AND len(w) BETWEEN 1 AND 4),
+sequences AS (
+  SELECT DISTINCT key, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS s
+  FROM words JOIN (SELECT DISTINCT k FROM short) ON len(w) >= k WHERE key % 2 = 0)
 SELECT (doc // 2)::BIGINT AS doc_id, (item // 2)::BIGINT AS item_id, size.n::INTEGER AS n_item, shared.n::INTEGER AS n_shared, shared.n / size.n::DOUBLE AS containment
-FROM shared JOIN size ON size.key = item WHERE shared.n >= 0.8 * size.n""",
+FROM shared JOIN size ON size.key = item WHERE shared.n >= 0.8 * size.n
+UNION ALL SELECT (q.key // 2)::BIGINT, (short.key // 2)::BIGINT, 1, 1, 1.0::DOUBLE FROM sequences q JOIN short ON q.s = short.s""",
     "op6_nearest_neighbours": """
 WITH v AS (
   SELECT vec_id, min(list_transform(embedding, lambda x: x::DOUBLE)) AS v FROM embeddings

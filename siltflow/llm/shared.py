@@ -197,17 +197,20 @@ class Words:
 _PLACES = [U64(int(x) | 1) for x in mix(np.arange(1, SHINGLE + 1, dtype=U64))]
 
 
+def sequence_hashes(h: np.ndarray, size: int) -> np.ndarray:
+    """The hashes of all sequences of so many words (SHINGLE at most) of one text, in order, repeats kept."""
+    n = len(h) - size + 1
+    if n <= 0 or not size:
+        return np.zeros(0, U64)
+    out = h[:n] * _PLACES[0]
+    for k in range(1, size):
+        out = out + h[k : n + k] * _PLACES[k]
+    return mix(out + U64(size % SHINGLE))
+
+
 def shingle_hashes(h: np.ndarray) -> np.ndarray:
     """The hashes of one text's shingles, in order, repeats kept. A text of fewer words has one shingle, all its words; one without words has none."""
-    n = len(h)
-    if not n:
-        return h
-    if n < SHINGLE:
-        return mix(np.array([sum(int(x) * int(p) for x, p in zip(h, _PLACES, strict=False)) + n & 0xFFFFFFFFFFFFFFFF], U64))
-    out = h[: n - SHINGLE + 1] * _PLACES[0]
-    for k in range(1, SHINGLE):
-        out = out + h[k : n - SHINGLE + 1 + k] * _PLACES[k]
-    return mix(out)
+    return sequence_hashes(h, min(len(h), SHINGLE))
 
 
 def shingle_words(words: list[str]) -> set[tuple[str, ...]]:

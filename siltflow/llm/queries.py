@@ -108,10 +108,9 @@ FROM shared JOIN size ON size.key = item WHERE shared.n >= 0.8 * size.n
 UNION ALL SELECT (q.key // 2)::BIGINT, (short.key // 2)::BIGINT, 1, 1, 1.0::DOUBLE FROM sequences q JOIN short ON q.s = short.s""",
     "op6_nearest_neighbours": """
 WITH v AS (
-  SELECT vec_id, min(list_transform(embedding, lambda x: x::DOUBLE)) AS v FROM embeddings
-  WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
-  GROUP BY vec_id),
-s AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v) AS score FROM v q JOIN v c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id AND len(q.v) = len(c.v)),
-r AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score FROM s)
+  SELECT row_number() OVER () AS n, vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+s AS (SELECT q.n, q.vec_id AS query_id, c.n AS m, c.vec_id, list_inner_product(q.v, c.v) AS score FROM v q JOIN v c ON q.vec_id % 20 = 0 AND q.n <> c.n AND len(q.v) = len(c.v)),
+r AS (SELECT query_id, row_number() OVER (PARTITION BY n ORDER BY score DESC, vec_id, m)::INTEGER AS rank, vec_id, score FROM s)
 SELECT * FROM r WHERE rank <= 20""",
 }

@@ -135,22 +135,39 @@ def test_classes(spark):
     assert (paragraphs.support, paragraphs.times, paragraphs.elements) == (9, 18, 1)
 
 
-def test_nearest_equals_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(vp_trees, "SHARD_ROWS", 150)
-    monkeypatch.setattr(vp_trees, "BLOCK_ROWS", 10)
+@pytest.mark.parametrize("shard,block,leaves", [(8192, 4096, 1024), (40, 10, 1024), (40, 10, 3)])
+def test_nearest_equals_brute_force(spark, monkeypatch, shard, block, leaves):
+    for name, value in (("SHARD_ROWS", shard), ("BLOCK_ROWS", block), ("MOST_LEAVES", leaves), ("BLOCKS_A_TASK", 3)):
+        monkeypatch.setattr(vp_trees, name, value)
     rng = np.random.default_rng(9)
-    x = rng.normal(size=(400, 6)).round(1)
-    x[50:90] = x[20]  # ties
-    rows = [(i, [float(v) for v in r]) for i, r in enumerate(x)] + [(500, None), (501, []), (502, [0.0] * 6), (503, [float("nan")] * 6), (504, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (505, [1.0, 2.0]), (None, [1.0] * 6), (3, [float(v) for v in x[3]])]
+    x = (rng.normal(size=(400, 6)) + rng.integers(0, 4, (400, 1)) * 5).round(1)
+    x[50:180] = x[20]  # ties, and a leaf of many parts
+    good = [(i, v) for i, v in enumerate(x)] + [(3, x[3]), (40, x[41]), (40, x[41]), (505, np.array([1.0, 2.0])), (500, np.array([2.0, 2.0])), (520, np.array([2.0, 1.0]))]
+    rows = [(i, [float(y) for y in v]) for i, v in good] + [(500, None), (501, []), (502, [0.0] * 6), (503, [float("nan")] * 6), (504, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (None, [1.0] * 6)]
     got = vp_trees.nearest(spark.createDataFrame([(i, v, 1) for i, v in rows], "vec_id long, embedding array<double>, shard int"), F.col("vec_id") % 20 == 0, k=7).collect()
-    want = {}
-    for q in range(0, 400, 20):
-        s = [(-float(vp_trees.exact(x[q : q + 1], x[i : i + 1])[0]), i) for i in range(400) if i != q]
-        want[q] = [(r + 1, i, -v) for r, (v, i) in enumerate(sorted(s)[:7])]
-    mine = {}
-    for r in got:
-        mine.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
-    assert {q: sorted(v) for q, v in mine.items()} == want
+    want = []
+    for n, (i, q) in enumerate(good):
+        if i % 20 == 0:
+            s = [(-float(vp_trees.exact(q[None], v[None])[0]), j) for m, (j, v) in enumerate(good) if m != n and len(v) == len(q)]
+            want += [(i, r + 1, j, -v) for r, (v, j) in enumerate(sorted(s)[:7])]
+    assert sorted(map(tuple, got)) == sorted(want)
+
+
+def test_top_tree_skips_leaves():
+    """Clusters far apart on a sphere: a query's bound reaches few leaves, and all that hold any of its nearest."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(16, 8))[rng.integers(0, 16, 4000)] * 20 + rng.normal(size=(4000, 8))
+    x /= np.sqrt((x**2).sum(axis=1, keepdims=True))
+    top = vp_trees.Top(x[:600], 16, float((x**2).sum(axis=1).max()))
+    leaf = top.leaf(x)
+    bounds = {k: [(d.min(), d.max()) for d in (top.between(x[leaf == k], v) for v in top.above[k])] for k in np.unique(leaf).tolist()}
+    q = x[::100]
+    score = q @ x.T
+    kth = np.sort(score, axis=1)[:, -10]
+    reached = top.reached(q, kth, bounds, 1.0)
+    for i in range(len(q)):
+        assert all(i in reached.get(k, ()) for k in set(leaf[score[i] >= kth[i]].tolist()))
+    assert sum(map(len, reached.values())) < 0.6 * len(q) * len(bounds)
 
 
 def test_relaxed_search_recalls_most():

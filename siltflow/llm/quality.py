@@ -22,8 +22,8 @@ LEAST = 0.5
 #: Groups up to which their table is broadcast (about 100 bytes each); a larger one is joined by shuffling, hot hosts split by the skew join.
 BROADCAST_GROUPS = 50_000
 STRENGTH = (2.0, 10_000.0)
-#: Most that a site may shift a document's log odds.
-MOST_SHIFT = 2.0
+#: Most that a site may shift a document's log odds, and most that these are by its text alone.
+MOST_SHIFT, MOST_EVIDENCE = 2.0, 20.0
 
 # The classes of characters whose shares are features, beside letters.
 _CLASSES = (r"\p{Lu}", r"\p{L}", r"\p{N}", r"\s", r"#$%&*^~=+<>{}\[\]\\@_", "|", "!", r"\p{P}")
@@ -88,21 +88,29 @@ def train(x: np.ndarray, y: np.ndarray, ridge: float = 0.3) -> np.ndarray:
 
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> np.ndarray:
-    """Weights from at most so many labelled rows; a document with several labels counts once, by the least."""
+    """Weights from at most so many labelled rows, those of least hash; a document with several labels counts once, by the least, and one with
+    several texts by the least too. The driver gets the rows' features, not their texts."""
     truth = only(labels, "doc_id", "quality").where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     chosen = truth.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    known = chosen.join(only(docs, "doc_id", "text"), "doc_id").dropDuplicates(["doc_id"]).select("doc_id", "text", "quality").toPandas().sort_values("doc_id")
-    return train(features(known["text"].tolist()), (known["quality"] > 0).to_numpy(float))
+    bounded_batches(docs.sparkSession)
+
+    @F.pandas_udf("array<double>")
+    def read(texts: pd.Series) -> pd.Series:
+        return pd.Series(list(features([t if isinstance(t, str) else None for t in texts])))
+
+    known = chosen.join(only(docs, "doc_id", "text"), "doc_id").groupBy("doc_id", "quality").agg(F.min("text").alias("text"))
+    found = known.select("doc_id", "quality", read("text").alias("x")).toPandas().sort_values("doc_id")
+    return train(np.array(found["x"].tolist()).reshape(-1, N_FEATURES), (found["quality"] > 0).to_numpy(float))
 
 
 def evidence(spark, weights: np.ndarray, text: Column) -> Column:
-    """The classifier's log odds of good quality."""
+    """The classifier's log odds of good quality, MOST_EVIDENCE at most either way."""
     bounded_batches(spark)
 
     @F.pandas_udf("double")
     def run(texts: pd.Series) -> pd.Series:
         z = _design(features([t if isinstance(t, str) else None for t in texts])) @ weights
-        return pd.Series(np.clip(np.round(z, 9), -20, 20), dtype="float64")
+        return pd.Series(np.clip(np.round(z, 9), -MOST_EVIDENCE, MOST_EVIDENCE), dtype="float64")
 
     return run(text)
 
@@ -120,42 +128,48 @@ def _strength(groups: DataFrame, mean: float) -> float:
     return float(np.clip(noise / spread if spread > 0 else STRENGTH[1], *STRENGTH))
 
 
-def score(docs: DataFrame, labels: DataFrame, host: Column | None = None, path: Column | None = None) -> DataFrame:
-    """docs' rows with evidence (log odds of the text alone), host_mean, path_mean (posterior means without the document itself), score
-    (posterior probability of good quality) and keep (score >= 0.5) added to doc_id, text, lang, source and n_chars.
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def score(docs: DataFrame, labels: DataFrame, host: Column | None = None, path: Column | None = None, columns: tuple[str, ...] = COLUMNS) -> DataFrame:
+    """columns of docs' rows with evidence (log odds of the text alone), host_mean, path_mean (posterior means without the document itself),
+    score (posterior probability of good quality) and keep (score >= LEAST) added. A site shifts a document's log odds by MOST_SHIFT at most.
 
     host defaults to source, path to lang below it; nulls are groups of their own. Empty texts are scored like any other, by features that
-    are all 0. Repeated rows repeat. Without usable labels the evidence is even and everything is kept.
+    are all 0. Repeated rows repeat. Without usable labels the evidence is even and everything is kept. Texts are read by the classifier once:
+    what it finds is written beside the columns, and the groups' sums and the scores come from there.
     """
     spark = docs.sparkSession
     weights = fit(docs, labels)
-    base = only(docs, "doc_id", "text", "lang", "source", "n_chars")
-    base = base.withColumn("host", F.coalesce(host if host is not None else F.col("source"), F.lit(""))).withColumn("path", F.coalesce(path if path is not None else F.col("lang"), F.lit("")))
-    base = base.withColumn("evidence", evidence(spark, weights, F.col("text"))).withColumn("p0", 1 / (1 + F.exp(-F.col("evidence"))))
-    sums = [F.count("*").alias("n"), F.sum("p0").alias("p"), F.sum(F.col("p0") * F.col("p0")).alias("pp")]
-    paths = written(base.groupBy("host", "path").agg(*sums), "paths")
-    hosts = paths.groupBy("host").agg(F.sum("n").alias("n"), F.sum("p").alias("p"), F.sum("pp").alias("pp"))
-    total = hosts.agg(F.sum("n"), F.sum("p")).first()
+    base = only(docs, *COLUMNS)
+    host, path = host if host is not None else F.col("source"), path if path is not None else F.col("lang")
+    place = F.struct(F.coalesce(host, F.lit("")).alias("host"), F.coalesce(path, F.lit("")).alias("path")).alias("_place")
+    base = written(base.select(*columns, place, evidence(spark, weights, F.col("text")).alias("evidence")), "evidence")
+    base = base.select("*", F.col("_place.host").alias("_host"), F.col("_place.path").alias("_path"), (1 / (1 + F.exp(-F.col("evidence")))).alias("_p0"))
+    sums = [F.count("*").alias("_n"), F.sum("_p0").alias("_p"), F.sum(F.col("_p0") * F.col("_p0")).alias("_pp")]
+    paths = written(base.groupBy("_host", "_path").agg(*sums), "paths")
+    hosts = paths.groupBy("_host").agg(*[F.sum(c).alias(c) for c in ("_n", "_p", "_pp")])
+    total = hosts.agg(F.sum("_n"), F.sum("_p")).first()
     mean = total[1] / total[0] if total[0] else 0.5
     mean = min(max(mean, 1e-4), 1 - 1e-4)
     k_host, k_path = _strength(hosts, mean), _strength(paths, mean)
-    groups = paths.select("host", "path", "n", "p").join(hosts.select("host", F.col("n").alias("host_n"), F.col("p").alias("host_p")), "host")
+    groups = paths.select("_host", "_path", "_n", "_p").join(hosts.select("_host", F.col("_n").alias("_host_n"), F.col("_p").alias("_host_p")), "_host")
     groups = F.broadcast(groups) if paths.count() <= BROADCAST_GROUPS else groups
-    out = base.join(groups, ["host", "path"])
-    out = out.withColumn("host_mean", (F.col("host_p") - F.col("p0") + k_host * mean) / (F.col("host_n") - 1 + k_host))
-    out = out.withColumn("path_mean", (F.col("p") - F.col("p0") + k_path * F.col("host_mean")) / (F.col("n") - 1 + k_path))
+    out = base.join(groups, ["_host", "_path"])
+    out = out.withColumn("host_mean", (F.col("_host_p") - F.col("_p0") + k_host * mean) / (F.col("_host_n") - 1 + k_host))
+    out = out.withColumn("path_mean", (F.col("_p") - F.col("_p0") + k_path * F.col("host_mean")) / (F.col("_n") - 1 + k_path))
     odds = lambda x: F.log(x / (1 - x))
     near = F.least(F.lit(1 - 1e-4), F.greatest(F.lit(1e-4), F.col("path_mean")))
     shift = F.least(F.lit(MOST_SHIFT), F.greatest(F.lit(-MOST_SHIFT), odds(near) - odds(F.lit(mean))))
     out = out.withColumn("score", 1 / (1 + F.exp(-(F.col("evidence") + shift)))).withColumn("keep", F.col("score") >= LEAST)
-    return out.select("doc_id", "text", "lang", "source", "n_chars", "evidence", "host_mean", "path_mean", "score", "keep")
+    return out.select(*columns, "evidence", "host_mean", "path_mean", "score", "keep")
 
 
 def report(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, evidence, host_mean, path_mean, score, keep) of each row of docs."""
-    return score(docs, labels).select("doc_id", "evidence", "host_mean", "path_mean", "score", "keep")
+    return score(docs, labels, columns=("doc_id",))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that are not rejected, with the columns doc_id, text, lang, source and n_chars."""
-    return score(docs, labels).where("keep").select("doc_id", "text", "lang", "source", "n_chars")
+    return score(docs, labels).where("keep").select(*COLUMNS)

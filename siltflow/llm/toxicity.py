@@ -14,11 +14,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import U64, Words, bounded_batches, chunks, mix, only, span_hashes
+from .shared import U64, Words, bounded_batches, chunks, mix, only, span_hashes, written
 
 BUCKETS, SIZE, WIDTHS, FILTERS, STEM = 1 << 15, 16, (1, 2, 3), 8, 5
 #: Labelled rows that training reads at most, those of least hash; a fifth of them calibrates the thresholds.
 TRAIN_ROWS = 12_000
+#: Characters of their texts at most: rows that would exceed it are left out of the sample.
+TRAIN_CHARS = 60_000_000
 EPOCHS, BATCH, RATE, SEED = 6, 32, 0.05, 7
 #: Texts to learn from, with repeats, where rows are few: up to ten times the epochs.
 LEAST_SEEN = 40_000
@@ -208,13 +210,20 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
-    """A model from the labelled rows that aren't held out: at most so many, those with the least hash of the id. Rows with a null label or
-    id are left out; a document that several label rows name counts once, with the greatest label."""
+def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, chars: int = TRAIN_CHARS) -> Model:
+    """A model from the labelled rows that aren't held out: at most so many, those with the least hash of the id, whose texts have so many
+    characters together. Rows with a null label or id are left out; a document that several label rows name counts once, with the greatest
+    label, and one that has several texts with the least."""
     truth = only(labels, "doc_id", "toxic").where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    chosen = truth.where(~held_out(F.col("doc_id"))).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    known = chosen.join(only(docs, "doc_id", "text"), "doc_id").dropDuplicates(["doc_id"]).select("doc_id", "text", "toxic")
-    pdf = known.toPandas().sort_values("doc_id")
+    order = F.xxhash64("doc_id")
+    chosen = truth.where(~held_out(F.col("doc_id"))).orderBy(order, "doc_id").limit(rows)
+    known = written(chosen.join(only(docs, "doc_id", "text"), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text")), "sample")
+    left, fit_in = chars, []
+    for r in known.select("doc_id", F.coalesce(F.char_length("text"), F.lit(0)).alias("n")).orderBy(order, "doc_id").collect():
+        if r["n"] <= left:
+            left -= r["n"]
+            fit_in.append((r["doc_id"],))
+    pdf = known.join(F.broadcast(docs.sparkSession.createDataFrame(fit_in, "doc_id long")), "doc_id").toPandas().sort_values("doc_id")
     return train(pdf["text"].tolist(), (pdf["toxic"] > 0).to_numpy(np.float32))
 
 

@@ -83,10 +83,8 @@ def test_site_posteriors_equal_brute_force(spark):
     docs, labels = rows(200)
     out = quality.report(spark.createDataFrame(docs, DOCS), spark.createDataFrame(labels, LABELS)).collect()
     p = 1 / (1 + np.exp(-np.array([r.evidence for r in out])))
-    place = {(i, t): (s or "", lang or "") for i, t, lang, s, _ in docs}
-    assert len(place) >= len(docs) - 1
     by_id = {i: (s or "", lang or "") for i, _, lang, s, _ in docs}
-    host = np.array([by_id[r.doc_id][0] for r in out])
+    host, path = (np.array(["\t".join(by_id[r.doc_id][:k]) for r in out]) for k in (1, 2))
     mean = min(max(p.mean(), 1e-4), 1 - 1e-4)
 
     def strength(groups):
@@ -98,9 +96,25 @@ def test_site_posteriors_equal_brute_force(spark):
         spread = ((n * (m - mean) ** 2).sum() - (len(n) - 1) * noise) / (n.sum() - (n**2).sum() / n.sum())
         return float(np.clip(noise / spread if spread > 0 else quality.STRENGTH[1], *quality.STRENGTH))
 
-    k = strength(host)
+    k, k_path = strength(host), strength(path)
     want = np.array([(p[host == h].sum() - p[i] + k * mean) / ((host == h).sum() - 1 + k) for i, h in enumerate(host)])
     assert np.allclose([r.host_mean for r in out], want, atol=1e-6)
+    want = np.array([(p[path == h].sum() - p[i] + k_path * want[i]) / ((path == h).sum() - 1 + k_path) for i, h in enumerate(path)])
+    assert np.allclose([r.path_mean for r in out], want, atol=1e-6)
+    odds = lambda x: np.log(x / (1 - x))
+    shift = np.clip(odds(np.clip(want, 1e-4, 1 - 1e-4)) - odds(mean), -quality.MOST_SHIFT, quality.MOST_SHIFT)
+    want = 1 / (1 + np.exp(-(np.array([r.evidence for r in out]) + shift)))
+    assert np.allclose([r.score for r in out], want, atol=1e-6) and [r.keep for r in out] == (np.array([r.score for r in out]) >= quality.LEAST).tolist()
+
+
+def test_models_do_not_depend_on_the_rows_order(spark):
+    """A repeated id with several texts gives one model, whatever comes first; the sample is bounded in characters."""
+    docs, labels = rows(60)
+    docs += [(5, "another text of the same id dolt", "en", "s0", 1), (7, "a third house", "en", "s0", 1)]
+    frames = [(spark.createDataFrame(x, DOCS).repartition(3), spark.createDataFrame(labels, LABELS)) for x in (docs, docs[::-1])]
+    assert np.array_equal(*[quality.fit(*f) for f in frames])
+    one, two = (toxicity.fit(*f, chars=4000) for f in frames)
+    assert np.array_equal(one.embed, two.embed) and one.base == two.base
 
 
 def test_quality_without_labels_keeps_all(spark):

@@ -117,8 +117,9 @@ def evidence(spark, weights: np.ndarray, text: Column) -> Column:
 
 def _strength(groups: DataFrame, mean: float) -> float:
     """How many documents the level above counts for: the beta prior whose variance is what the groups' means vary beyond sampling."""
-    row = groups.where("n > 1").agg(
-        F.sum("n").alias("n"), F.sum(F.col("n") * F.pow(F.col("p") / F.col("n") - mean, F.lit(2))).alias("between"), F.count("*").alias("groups"), F.sum(F.col("n") * F.col("n")).alias("nn"), F.sum(F.col("pp") - F.col("p") * F.col("p") / F.col("n")).alias("within")
+    n, p = F.col("_n"), F.col("_p")
+    row = groups.where(n > 1).agg(
+        F.sum(n).alias("n"), F.sum(n * F.pow(p / n - mean, F.lit(2))).alias("between"), F.count("*").alias("groups"), F.sum(n * n).alias("nn"), F.sum(F.col("_pp") - p * p / n).alias("within")
     ).first()
     if not row or not row["groups"] or row["groups"] < 2:
         return STRENGTH[1]

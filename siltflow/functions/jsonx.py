@@ -14,27 +14,20 @@ _FENCE = re.compile(r"```(?:json)?\s*\n(.*?)```", re.S)
 NO_ACTION = ("covered", "not_a_gap", "unverified", "irrelevant", "unanalyzed")
 
 
+#: What a scan for braces has to tell apart: a string, closed or not, and a brace.
+_PIECE = re.compile(r'"(?:[^"\\]|\\.)*(?:"|\\?\Z)|[{}]', re.S)
+
+
 def balanced(text: str | None) -> str | None:
     """The first balanced object of the first fenced block, or of the text; braces in strings don't count. Null if there is none."""
     text = text or ""
     if m := _FENCE.search(text):
         text = m[1]
-    start = text.find("{")
-    if start < 0:
-        return None
-    depth, quoted, escaped = 0, False, False
-    for i in range(start, len(text)):
-        c = text[i]
-        if quoted:
-            quoted, escaped = (c != '"' or escaped), (c == "\\" and not escaped)
-        elif c == '"':
-            quoted = True
-        elif c == "{":
-            depth += 1
-        elif c == "}":
-            depth -= 1
-            if not depth:
-                return text[start : i + 1]
+    start, depth = text.find("{"), 0
+    for m in _PIECE.finditer(text, start) if start >= 0 else ():
+        depth += {"{": 1, "}": -1}.get(m[0], 0)
+        if not depth:
+            return text[start : m.end()]
     return None
 
 

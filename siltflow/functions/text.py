@@ -37,11 +37,34 @@ def first_sentence(text: Column, most: int = 240) -> Column:
     return truncate(F.element_at(sentences(text), 1), most)
 
 
+def bound(value: Column, f) -> Column:
+    """f of a value that is worked out once, however often f uses it."""
+    return F.transform(F.array(value), f)[0]
+
+
+def _shorter(x: Column, n: int) -> Column:
+    return F.left(x, F.char_length(x) - n)
+
+
+def _ends(x: Column, longer_than: int, *endings: str) -> Column:
+    """Whether x is longer than that and has one of the endings."""
+    found = x.endswith(endings[0])
+    for e in endings[1:]:
+        found = found | x.endswith(e)
+    return (F.char_length(x) > longer_than) & found
+
+
 def stem(word: Column) -> Column:
-    """A light English stem: plural, -ing or -ed, final e, doubled consonant. A chain of replacements, as nested CASEs outgrow a method."""
-    plural = r"^(?=.{5,}$)(.*(?:s|x|z|ch|sh))es$|^(?=.{4,}$)(?!(?=.{5,}$).*(?:s|x|z|ch|sh)es$)(.*[^s])s$"
-    one = F.when(word.rlike("^.{2,}ies$"), F.regexp_replace(word, "ies$", "y")).otherwise(F.regexp_replace(word, plural, "$1$2"))
-    return F.regexp_replace(F.regexp_replace(F.regexp_replace(one, "^(?=.{5,}$)(.*?)(?:ing|ed)$", "$1"), "^(.{4,})e$", "$1"), r"([bdgklmnprt])\1$", "$1")
+    """A light English stem: plural, -ing or -ed, final e, doubled consonant. Each step is worked out once, as nested CASEs outgrow a method."""
+    steps = (
+        lambda x: F.when(_ends(x, 4, "ies"), F.concat(_shorter(x, 3), F.lit("y"))).when(_ends(x, 4, "ses", "xes", "zes", "ches", "shes"), _shorter(x, 2)).when(_ends(x, 3, "s") & ~x.endswith("ss"), _shorter(x, 1)).otherwise(x),
+        lambda x: F.when(_ends(x, 4, "ing"), _shorter(x, 3)).when(_ends(x, 4, "ed"), _shorter(x, 2)).otherwise(x),
+        lambda x: F.when(_ends(x, 4, "e"), _shorter(x, 1)).otherwise(x),
+        lambda x: F.when(F.right(x, F.lit(2)).isin([c * 2 for c in "bdgklmnprt"]), _shorter(x, 1)).otherwise(x),
+    )
+    for f in steps:
+        word = bound(word, f)
+    return word
 
 
 def words(text: Column) -> Column:
@@ -88,3 +111,25 @@ def join_names(names: Column, conjunction: str = "and") -> Column:
 def paragraphs(text: Column) -> Column:
     """What blank lines separate, trimmed, without empty ones."""
     return F.filter(F.transform(F.split(text, r"\n{2,}"), F.trim), lambda p: p != "")
+
+
+def folded(text: Column) -> Column:
+    """Only the letters and digits, in lower case."""
+    return F.regexp_replace(F.lower(text), "[^a-z0-9]+", "")
+
+
+def paragraph_with(text: Column, quote: Column) -> Column:
+    """The first paragraph that has the quote's letters and digits in a row, whatever is between them; null if none has, or there are none."""
+    return bound(folded(quote), lambda want: F.when(want != "", F.get(F.filter(paragraphs(text), lambda p: F.contains(folded(p), want)), F.lit(0))))
+
+
+def day(at: Column) -> Column:
+    """An instant's date, or unknown for the beginning of time, which stands for none."""
+    return F.when(at.isNull() | (F.unix_micros(at) == 0), "unknown").otherwise(F.date_format(at, "yyyy-MM-dd"))
+
+
+def parsed_date(text: Column) -> Column:
+    """A date as feeds and pages write it: an ISO instant or day, or an RFC 822 date; null rather than an error."""
+    trimmed = F.trim(text)
+    named = F.regexp_replace(trimmed, "^[A-Za-z]{3}, +", "")
+    return F.coalesce(F.try_to_timestamp(trimmed), F.try_to_timestamp(named, F.lit("d MMM yyyy HH:mm:ss Z")), F.try_to_timestamp(named, F.lit("d MMM yyyy HH:mm:ss z")), F.try_to_timestamp(named, F.lit("d MMM yyyy")))

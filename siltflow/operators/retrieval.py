@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions import urls as U
+from ..storage import written
 
 K1, B, TITLE_WEIGHT, OVERVIEW_BOOST, LEAST_TERM = 1.5, 0.75, 3, 1.2, 3
 #: Words too common to search for.
@@ -37,10 +39,9 @@ def searchable(term: Column) -> Column:
     return (F.char_length(term) >= LEAST_TERM) & ~term.isin(STOP_STEMS)
 
 
-def counted(rows: DataFrame, key: str, text: Column, weight: int = 1) -> DataFrame:
-    """(key, term, f): weighted frequencies of stems. Counted by word first, so each word of a text is stemmed once."""
-    raw = rows.select(key, F.explode(T.words(text)).alias("word")).groupBy(key, "word").agg((F.count("*") * weight).alias("f"))
-    return raw.select(key, T.stem(F.col("word")).alias("term"), "f").where(searchable(F.col("term")))
+def terms(text: Column) -> Column:
+    """The searchable stems of a text, in order, repeats kept: null texts have none."""
+    return F.filter(F.transform(T.words(F.coalesce(text, F.lit(""))), T.stem), searchable)
 
 
 @dataclass
@@ -54,13 +55,24 @@ class Index:
     stats: DataFrame
 
 
-def build(pages: DataFrame) -> Index:
-    """pages: url, title, text, section, kind, overview. Pages without text aren't indexed; statistics are over all others."""
-    held = pages.where(F.trim(F.coalesce("text", F.lit(""))) != "")
-    both = counted(held, "url", F.coalesce("text", F.lit(""))).unionByName(counted(held, "url", F.coalesce("title", F.lit("")), TITLE_WEIGHT))
-    tf = both.groupBy("url", "term").agg(F.sum("f").alias("f"))
-    length = held.select("url").join(tf.groupBy("url").agg(F.sum("f").alias("len")), "url", "left").select("url", F.coalesce("len", F.lit(0)).alias("len"))
-    return Index(held, tf, length, tf.groupBy("term").agg(F.count("*").alias("df")), length.agg(F.count("*").alias("n"), F.avg("len").alias("avg")))
+def build(pages: DataFrame, store: str | None = None) -> Index:
+    """pages: url, title, text, section, kind, overview. Pages without text aren't indexed; statistics are over all others. A page without a
+    title has one made of its url. store: a folder; its tables are written there once, and every search reads them."""
+    held = pages.where(F.trim(F.coalesce("text", F.lit(""))) != "").withColumn("title", F.coalesce(F.nullif(F.trim("title"), F.lit("")), U.title(F.col("url").cast("string"))))
+    # both texts of a page are stemmed in one pass; every token is stemmed once
+    weighed = F.array(F.struct(terms(F.col("text")).alias("t"), F.lit(1).alias("w")), F.struct(terms(F.col("title")).alias("t"), F.lit(TITLE_WEIGHT).alias("w")))
+    each = held.select("url", F.explode(weighed).alias("x")).select("url", F.explode("x.t").alias("term"), "x.w")
+    tf = each.groupBy("url", "term").agg(F.sum("w").cast("long").alias("f"))
+    keep = (lambda df, name: written(df, f"{store}/{name}")) if store else (lambda df, name: df)
+    tf = keep(tf, "tf")
+    length = keep(held.select("url").join(tf.groupBy("url").agg(F.sum("f").alias("len")), "url", "left").select("url", F.coalesce("len", F.lit(0)).alias("len")), "length")
+    df = keep(tf.groupBy("term").agg(F.count("*").alias("df")), "df")
+    return Index(held, tf, length, df, keep(length.agg(F.count("*").alias("n"), F.avg("len").alias("avg")), "stats"))
+
+
+def stored(pages: DataFrame, store: str) -> Index:
+    """The index that build() left in a folder, of the same pages."""
+    return Index(pages.where(F.trim(F.coalesce("text", F.lit(""))) != ""), *[pages.sparkSession.read.parquet(f"{store}/{name}") for name in ("tf", "length", "df", "stats")])
 
 
 def query_terms(queries: DataFrame) -> DataFrame:
@@ -73,6 +85,7 @@ def scores(index: Index, queries: DataFrame, kinds: list[str] | None = None) ->
     """(qid, url, score, matched, section): BM25 with the overview boost, rounded to 6 places; kinds restrict the pages, not the statistics."""
     n = F.col("n")
     idf = F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    # only postings of terms that are asked for are joined and scored
     terms = query_terms(queries).join(index.df, "term").crossJoin(F.broadcast(index.stats)).select("qid", "term", "pos", idf.alias("idf"), "avg")
     pages = index.pages.select("url", "section", "kind", "overview")
     pages = pages.where(F.col("kind").isin(kinds)) if kinds else pages
@@ -96,12 +109,18 @@ def search(index: Index, queries: DataFrame, limit: int = 10, per_section: int |
 def excerpts(hits: DataFrame, pages: DataFrame, queries: DataFrame, most: int = 700, extra: int = 4) -> DataFrame:
     """(qid, url, excerpt): the first sentence and up to extra others with most distinct query terms, in text order. Texts are joined to hits
     alone, after ranking."""
-    terms = query_terms(queries).groupBy("qid").agg(F.collect_set("term").alias("terms"))
-    held = hits.select("qid", "url").join(terms, "qid").join(pages.select("url", "text"), "url")
+    asked = query_terms(queries).groupBy("qid").agg(F.collect_set("term").alias("terms"))
+    held = hits.select("qid", "url").join(asked, "qid").join(pages.select("url", "text"), "url")
     each = held.select("qid", "url", "terms", F.posexplode(T.sentences(F.col("text"))).alias("i", "s"))
-    stems = F.transform(T.words(F.col("s")), T.stem)
+    stems = terms(F.col("s"))
     each = each.withColumn("n", F.size(F.array_intersect(stems, "terms")))
     place = F.row_number().over(Window.partitionBy("qid", "url").orderBy(F.desc(F.col("i") == 0), F.desc("n"), "i"))
     kept = each.withColumn("place", place).where((F.col("place") <= extra + 1) & ((F.col("i") == 0) | (F.col("n") > 0)))
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "s"))), lambda x: x["s"]), " ")
     return kept.groupBy("qid", "url").agg(joined.alias("whole")).select("qid", "url", T.truncate(F.col("whole"), most).alias("excerpt"))
+
+
+def signal_text(title: Column, raw: Column) -> Column:
+    """What a signal says of itself: its title, the description, and the body, preview or text of its raw fields (JSON), by blank lines."""
+    said = lambda *names: F.coalesce(*[F.when(F.trim(F.get_json_object(raw, f"$.{n}")) != "", F.get_json_object(raw, f"$.{n}")) for n in names])
+    return F.concat_ws("\n\n", F.when(F.trim(title) != "", title), said("description"), said("body", "preview", "text"))

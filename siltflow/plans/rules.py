@@ -8,7 +8,7 @@ from ..functions import text as T
 from ..operators import gate as G
 from ..operators import retrieval as R
 from ..operators import routing as Q
-from .base import corpus, questions, table
+from .base import corpus, indexed, questions, table
 from .scalars import _nq, _parts
 from .search import SQL_INDEX, sql_collapse, sql_sentences, sql_truncate
 
@@ -121,7 +121,7 @@ def verdict_rollup(spark, sf_dir):
 
 def coverage_misses(spark, sf_dir):
     asked = questions(spark, sf_dir)
-    hits = R.search(R.build(corpus(spark, sf_dir)), asked, limit=8, per_section=3)
+    hits = R.search(indexed(spark, sf_dir), asked, limit=8, per_section=3)
     n = R.query_terms(asked).groupBy("qid").agg(F.count("*").alias("n"))
     read = _docs(spark, sf_dir).where("doc_id % 4 = 0").select(F.col("doc_id").alias("url"))
     return G.coverage_misses(hits, n, read)
@@ -132,7 +132,7 @@ def context_union(spark, sf_dir):
     from pyspark.sql import Window
 
     pages, asked = corpus(spark, sf_dir), questions(spark, sf_dir)
-    hits = R.search(R.build(pages), asked, limit=10, per_section=4).select("qid", "url", "section", "rank")
+    hits = R.search(indexed(spark, sf_dir), asked, limit=10, per_section=4).select("qid", "url", "section", "rank")
     sections = hits.groupBy("qid", "section").agg(F.min("rank").alias("best"))
     over = pages.where("overview").select("url", "section").join(sections, "section").join(hits.select("qid", "url"), ["qid", "url"], "left_anti")
     place = F.row_number().over(Window.partitionBy("qid").orderBy("best", "url"))

@@ -5,31 +5,31 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import retrieval as R
-from .base import SQL_CORPUS, corpus, questions, sql_stems
+from .base import SQL_CORPUS, corpus, indexed, questions, sql_stems
 
 
 def _search(**options):
     def run(spark, sf_dir):
-        return R.search(R.build(corpus(spark, sf_dir)), questions(spark, sf_dir), **options).select("qid", "rank", "url", "score", F.array_join("matched", " ").alias("matched"))
+        return R.search(indexed(spark, sf_dir), questions(spark, sf_dir), **options).select("qid", "rank", "url", "score", F.array_join("matched", " ").alias("matched"))
 
     return run
 
 
 def doc_frequency(spark, sf_dir):
-    return R.build(corpus(spark, sf_dir)).df
+    return indexed(spark, sf_dir).df
 
 
 def doc_length_stats(spark, sf_dir):
-    return R.build(corpus(spark, sf_dir)).stats.select("n", F.round("avg", 6).alias("avg_len"))
+    return indexed(spark, sf_dir).stats.select("n", F.round("avg", 6).alias("avg_len"))
 
 
 def term_frequency_weighted(spark, sf_dir):
-    return R.build(corpus(spark, sf_dir)).tf
+    return indexed(spark, sf_dir).tf
 
 
 def best_excerpt(spark, sf_dir):
     pages, asked = corpus(spark, sf_dir), questions(spark, sf_dir)
-    return R.excerpts(R.search(R.build(pages), asked, limit=3), pages, asked)
+    return R.excerpts(R.search(indexed(spark, sf_dir), asked, limit=3), pages, asked)
 
 
 QUERIES = {

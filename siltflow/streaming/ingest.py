@@ -2,19 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.signals import KEY, new_items
-
-
-def work_dir(spark: SparkSession) -> str:
-    """The shared folder, or a temporary one where none is set (tests)."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return root or tempfile.mkdtemp(prefix="siltflow-")
+from ..storage import work_dir
 
 
 def ingest(stream: DataFrame, store: str, checkpoint: str, keys: tuple[str, ...] = KEY, order: str = "ord") -> None:

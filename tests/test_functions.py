@@ -61,7 +61,8 @@ def test_diff_table(a, b):
     spans = D.diff(" ".join(a), " ".join(b))
     kept = sum(len(s["text"].split()) for s in spans if s["kind"] == "same")
     assert kept == lcs(a, b)[0][0]
-    assert "".join(s["text"] for s in spans if s["kind"] != "removed").split() == b
+    assert " ".join(s["text"] for s in spans if s["kind"] != "removed").split() == b
+    assert "".join(s["text"] for s in D.after_spans(" ".join(a), " ".join(b))) == " ".join(b) == "".join(r["text"] for r in D.copy_runs(" ".join(a), " ".join(b)))
 
 
 def test_diff_pinned():
@@ -70,7 +71,14 @@ def test_diff_pinned():
     assert [s["kind"] for s in D.diff("w " * 700, "a b c")] == ["removed", "added"]
     assert D.loose_span("hello world", "say Hello,  WORLD! now") == (4, 18)
     assert D.loose_span("absent", "text") is None
-    assert [s["kind"] for s in D.copy_runs(D.diff("a b c", "x a b y"))] == ["new"]
+    assert D.copy_runs("a b c", "x a b y") == [{"kind": "new", "text": "x a b y"}]
+    same, gone, new = D.diff("Railway bills by the minute, always.", "railway Bills by the second – always")[:3]
+    assert (same["text"], gone["text"], new["text"]) == ("Railway bills by the ", "minute, ", "second – ")
+    assert D.summary(D.diff("One, two", "one two!")) == "no words changed, only punctuation or casing"
+    runs = D.copy_runs("it keeps one two three four five", "Now it keeps one two three four five and more")
+    assert [(r["kind"], r["text"]) for r in runs] == [("new", "Now"), ("kept", " it keeps one two three four five "), ("new", "and more")]
+    assert [[r["kind"] for r in p] for p in D.edit_runs("a b c", "a b c\n\nd e")] == [["kept"], ["new"]]
+    assert [[r["kind"] for r in p] for p in D.edit_runs("a b c", "a b c", "insert")] == [["new"]]
 
 
 def test_balanced_json():
@@ -78,6 +86,7 @@ def test_balanced_json():
     assert J.balanced('```json\n{"a": 1}\n``` {"b": 2}') == '{"a": 1}'
     assert J.balanced("{") is None and J.balanced(None) is None
     assert J.balanced('{"a": "\\"}"}') == '{"a": "\\"}"}'
+    assert J.balanced('{"a": "never closed }') is None and J.balanced('{"a": 1}} {') == '{"a": 1}'
 
 
 def test_markup():

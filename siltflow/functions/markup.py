@@ -224,7 +224,7 @@ def plain_column(html: Column) -> Column:
 def markdown_text(md: Column) -> Column:
     """Markdown as plain text: no front matter, fences, images or marks; links as their labels."""
     x = F.regexp_replace(md, r"^---\n(?s:.*?)\n---\n", "")
-    x = F.regexp_replace(x, r"(?m)^```.*$", " ")
+    x = F.regexp_replace(x, r"(?s)```.*?```", " ")
     x = F.regexp_replace(x, r"!\[[^\]]*\]\([^)]*\)", " ")
     x = F.regexp_replace(x, r"\[([^\]]*)\]\([^)]*\)", "$1")
     x = F.regexp_replace(x, r"(?m)^#{1,6} +", "")

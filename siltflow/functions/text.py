@@ -110,7 +110,7 @@ def join_names(names: Column, conjunction: str = "and") -> Column:
 
 def paragraphs(text: Column) -> Column:
     """What blank lines separate, trimmed, without empty ones."""
-    return F.filter(F.transform(F.split(text, r"\n{2,}"), F.trim), lambda p: p != "")
+    return F.filter(F.transform(F.split(text, r"\n{2,}"), lambda p: F.trim(p)), lambda p: p != "")
 
 
 def folded(text: Column) -> Column:

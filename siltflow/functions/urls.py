@@ -67,3 +67,121 @@ def section(url: Column) -> Column:
 def is_article(url: Column, prefix: str = "/") -> Column:
     """Under the prefix, two segments at least, none of a listing."""
     return part(url, 3).startswith(prefix) & (F.size(segments(url)) >= 2) & ~F.arrays_overlap(F.transform(segments(url), F.lower), F.array(*map(F.lit, LISTING)))
+
+
+# ---------------------------------------------------------------- which pages are what
+
+#: A deployment's documentation hosts and own site, the pages among the documents that compare or help to move, and the site's
+#: pages that may be edited. The test tables' hosts stand for them.
+DOCS_HOSTS, SITE_HOSTS = ("docs.example.com", "docs.example.net"), ("example.com", "www.example.com")
+COMPARE_PATHS, EDITABLE_PATHS = ("/platform/compare-to", "/platform/migrate-from"), ("/pricing", "/features")
+
+
+def _host(url: Column) -> Column:
+    return F.regexp_replace(F.lower(part(url, 2)), ":[0-9]+$", "")
+
+
+def _under(url: Column, prefixes, joined: str = "/") -> Column:
+    """Whether the path is one of the prefixes or goes on below it."""
+    path = F.regexp_replace(part(url, 3), "/+$", "")
+    found = F.lit(False)
+    for p in prefixes:
+        found = found | (path == p) | path.startswith(p + joined)
+    return found
+
+
+def is_docs(url: Column, hosts=DOCS_HOSTS, compare=COMPARE_PATHS) -> Column:
+    """A page that says what the product does: any of the documentation hosts' but those that compare or help to move."""
+    return _host(url).isin(*hosts) & ~_under(url, compare, "-")
+
+
+def is_editable(url: Column, hosts=DOCS_HOSTS, sites=SITE_HOSTS, compare=COMPARE_PATHS, paths=EDITABLE_PATHS) -> Column:
+    """A page that an edit may name: those that compare or help to move, and some of the site's own; never a page of the product's documents."""
+    return (_host(url).isin(*hosts) & _under(url, compare, "-")) | (_host(url).isin(*sites) & _under(url, paths))
+
+
+def markdown_for(url: Column, hosts=DOCS_HOSTS) -> Column:
+    """The address of a document's markdown; null on other hosts."""
+    path = part(url, 3)
+    bare = F.concat(F.lower(part(url, 1)), F.lit("://"), F.lower(part(url, 2)))
+    return F.when(_host(url).isin(*hosts), F.when(path.endswith(".md"), F.trim(url)).otherwise(F.concat(bare, F.regexp_replace(path, "/+$", ""), F.lit(".md"), part(url, 4))))
+
+
+def page_name(url: Column) -> Column:
+    """How a sentence names a page: the ... page, by its title; one without a path by its address."""
+    return F.when(F.size(segments(url)) > 0, F.concat(F.lit("the "), F.lower(title(url)), F.lit(" page"))).otherwise(F.trim(url))
+
+
+# ---------------------------------------------------------------- addresses made
+
+
+def quoted(text: Column) -> Column:
+    """Percent-encoded, spaces too."""
+    return F.replace(F.url_encode(text), F.lit("+"), F.lit("%20"))
+
+
+def user_lookup(base: str, user: Column) -> Column:
+    return F.concat(F.lit(f"{base}/users/by/username/"), quoted(user))
+
+
+def timeline(base: str, user_id: Column, most: Column) -> Column:
+    """A user's latest posts, without reposts and replies, 5 to 100 of them, with their media."""
+    n = F.greatest(F.lit(5), F.least(F.lit(100), most)).cast("string")
+    return F.concat(F.lit(f"{base}/users/"), quoted(user_id), F.lit("/tweets?max_results="), n, F.lit("&tweet.fields=created_at%2Centities%2Cattachments&expansions=attachments.media_keys&media.fields=url%2Cpreview_image_url%2Ctype&exclude=retweets%2Creplies"))
+
+
+def blob(repository: str, branch: str, path: Column) -> Column:
+    """Where a file of a repository is shown, its path encoded segment by segment."""
+    return F.concat(F.lit(f"https://github.com/{repository}/blob/{branch}/"), F.array_join(F.transform(F.split(path, "/"), quoted), "/"), F.lit("?raw=true"))
+
+
+#: Query parameters that sign an address for a while.
+CREDENTIALS = ("token", "jwt")
+
+
+def carries_credential(url: Column) -> Column:
+    """Whether an address has a parameter that lets its holder in."""
+    names = F.transform(F.split(F.substring(part(url, 4), 2, 1 << 20), "&"), lambda p: F.substring_index(p, "=", 1))
+    return F.exists(names, lambda n: n.isin(*CREDENTIALS))
+
+
+def screenshot(template: str, url: Column) -> Column:
+    """The template with the address in its place, encoded or as it is; without a place it is put at the end."""
+    if "{encodedUrl}" in template:
+        a, b = template.split("{encodedUrl}", 1)
+        return F.concat(F.lit(a), quoted(url), F.lit(b))
+    a, b = template.split("{url}", 1) if "{url}" in template else (template, "")
+    return F.concat(F.lit(a), url, F.lit(b))
+
+
+def card(base: str, label: Column, title: Column, most: int = 90) -> Column:
+    """A drawn card that names the maker and the feature."""
+    from .text import truncate
+
+    return F.concat(F.lit(f"{base}?text="), quoted(truncate(F.concat(label, F.lit("\n"), title), most)), F.lit("&font=source-sans-pro"))
+
+
+def entry_url(raw: Column, url: Column) -> Column:
+    """An entry's own address: the one its raw fields (JSON) keep, with the anchor, else the signal's."""
+    return F.coalesce(F.nullif(F.trim(F.get_json_object(raw, "$.entryUrl")), F.lit("")), url)
+
+
+def is_anchored(url: Column) -> Column:
+    return F.coalesce(url.rlike("#.+"), F.lit(False))
+
+
+def is_generic_preview(url: Column) -> Column:
+    """Whether a picture is a site's default card: default beside what it is for, in either order."""
+    kinds = "(?:seo|og|share|social)"
+    return F.lower(url).rlike(f"default[-_.]?{kinds}|{kinds}[-_.]?default")
+
+
+def visual_paths(folder: str, url: Column, claim: Column, proposed: Column, day: Column) -> Column:
+    """struct<before, after>: the files of a page edit's pictures. The digest is of the page, both sides of the edit and the day, so that the same
+    edit of a day reuses them and another day takes new ones."""
+    from .text import slug
+
+    digest = F.left(F.sha1(F.concat_ws("\n", url, claim, F.coalesce(proposed, F.lit("")), day)), F.lit(10))
+    name = F.coalesce(F.nullif(slug(F.array_join(segments(url), "-"), 60), F.lit("")), F.lit("page"))
+    stem = F.concat(F.lit(f"{folder}/"), name, F.lit("-"), digest)
+    return F.struct(F.concat(stem, F.lit("-before.png")).alias("before"), F.concat(stem, F.lit("-after.png")).alias("after"))

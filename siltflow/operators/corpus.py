@@ -5,6 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import text as T
+from ..functions import urls as U
+from ..storage import written
+
+#: What each kind of page is evidence of.
+EVIDENCE = {"docs": "what the product does", "marketing": "copy, never evidence of what the product does", "changelog": "what was shipped and when"}
 #: How a page can be found, most trusted first; ages in days after which pages are read again; missed runs before retirement.
 SOURCES = ("sitemap", "llms", "crawl", "catalog", "changelog")
 HOT_DAYS, HOT_AGE, COLD_AGE, BUDGET, MISSES = 3, 3, 14, 600, 2
@@ -36,6 +42,12 @@ def plan_refresh(found: DataFrame, meta: DataFrame, now: Column, budget: int = B
     return wanted.join(kept, "url", "left").select("url", "wanted", F.coalesce("planned", F.lit(False)).alias("planned"))
 
 
+def refresh_summary(plan: DataFrame) -> DataFrame:
+    """(n_fresh, n_due, n_deferred) of plan_refresh(): what is read as new and as due, and what the budget leaves for later."""
+    n = lambda test, name: F.coalesce(F.sum(test.cast("long")), F.lit(0)).alias(name)
+    return plan.agg(n(F.col("planned") & (F.col("wanted") == "fresh"), "n_fresh"), n(F.col("planned") & (F.col("wanted") == "due"), "n_due"), n(~F.col("planned"), "n_deferred"))
+
+
 def bookkeeping(meta: DataFrame, found: DataFrame, gone: DataFrame) -> DataFrame:
     """(url, seen, streak, sources, retire): pages found get streak 0 and their sources; others one more and none; retired at MISSES or when gone."""
     joined = meta.join(found.select("url", F.col("sources").alias("now_sources")), "url", "left").join(gone.select("url", F.lit(True).alias("is_gone")), "url", "left")
@@ -92,6 +104,44 @@ def live(pages: DataFrame, kinds: list[str] | None = None) -> DataFrame:
     return out.where(F.col("kind").isin(kinds)) if kinds else out
 
 
+def page_meta(pages: DataFrame) -> DataFrame:
+    """Pages without what is long: a projection that a column store never reads."""
+    return pages.drop("text", "mentions")
+
+
+def pages_by_url(pages: DataFrame, urls: list[str]) -> DataFrame:
+    """The pages at these addresses, in the order asked for, with their place in it; a list that a caller writes out, so it is broadcast."""
+    asked = pages.sparkSession.createDataFrame([(u, i) for i, u in enumerate(dict.fromkeys(urls))], "url string, place int")
+    return pages.join(F.broadcast(asked), "url").orderBy("place")
+
+
+def with_defaults(pages: DataFrame) -> DataFrame:
+    """Rows as they read if they were written before a column was: a page of the documents without a known hash, which is read again."""
+    at = F.coalesce("fetched_at", F.timestamp_seconds(F.lit(0)))
+    none = F.expr("cast(array() as array<string>)")
+    fill = {
+        "title": F.coalesce("title", F.lit("")), "text": F.coalesce("text", F.lit("")), "mentions": F.coalesce("mentions", none), "kind": F.coalesce("kind", F.lit("docs")), "content_hash": F.coalesce("content_hash", F.lit("")),
+        "fetched_at": at, "changed_at": F.coalesce("changed_at", at), "discovered_from": F.coalesce("discovered_from", none), "missing_streak": F.coalesce("missing_streak", F.lit(0)),
+    }
+    return pages.select(*[fill[c].alias(c) if c in fill else c for c in pages.columns])
+
+
+def page_file(url: Column, title: Column, kind: Column, fetched_at: Column, changed_at: Column, text: Column) -> Column:
+    """A page as a file of the workspace: what it is, where it came from, and its text."""
+    named = F.coalesce(F.nullif(F.trim(title), F.lit("")), U.title(url))
+    said = F.create_map(*[F.lit(x) for kv in EVIDENCE.items() for x in kv])[kind]
+    line = lambda name, value: F.concat(F.lit(f"{name}: "), value, F.lit("\n"))
+    return F.concat(F.lit("---\n"), line("url", url), line("title", named), line("kind", kind), line("evidence", said), line("read", T.day(fetched_at)), line("last_changed", T.day(changed_at)), F.lit("---\n\n# "), named, F.lit("\n\n"), text, F.lit("\n"))
+
+
+def write_workspace(pages: DataFrame, path: str) -> DataFrame:
+    """Writes the workspace of pages (url, section, slug, title, kind, fetched_at, changed_at, text): a table (path, content) of one file a page
+    with text, anew each time, so that a retired page leaves nothing. Returns it as read back."""
+    held = pages.where(F.trim(F.coalesce("text", F.lit(""))) != "")
+    content = page_file(F.col("url").cast("string"), F.col("title"), F.col("kind"), F.col("fetched_at"), F.col("changed_at"), F.col("text"))
+    return written(workspace_paths(held).join(held.select("url", content.alias("content")), "url").select("path", "content"), path)
+
+
 def workspace_paths(pages: DataFrame) -> DataFrame:
     """(url, path) from (url, section, slug): one file a page; slugs that collide get -2, -3 and so on in url order."""
     n = F.row_number().over(Window.partitionBy("section", "slug").orderBy("url"))

@@ -9,40 +9,55 @@ from ..functions import text as T
 
 # ---------------------------------------------------------------- quotes
 
+#: Characters of a word's piece by which words that hold it are found.
+LEAST_PIECE = 4
 
 def quote_hits(quotes: DataFrame, docs: DataFrame) -> DataFrame:
     """(item_id, doc_id): quotes (item_id, parts) all of whose parts occur in docs (doc_id, body, normalised).
 
-    Candidates come from an equi join: documents that hold the quote's rarest inner word (the first and last of a part may be cut words, so
-    only whole inner words are keys). Quotes without an inner word are compared with every document, by blocks of quotes.
+    A part may be cut in a word at either end, so only words inside of it are surely whole in a document. Candidates come from an equi join by
+    the rarest of these; texts are compared with their candidates alone. A quote without such a word has parts of two words at most: it is
+    compared with the documents that hold, at the end of a word, the first word of its longest part (all that is in front of the cut).
     """
-    inner = F.flatten(F.transform("parts", lambda p: F.slice(F.split(p, " "), F.lit(2), F.greatest(F.size(F.split(p, " ")) - 2, F.lit(0)))))
+    split = F.transform("parts", lambda p: F.split(p, " "))
+    inner = F.flatten(F.transform(split, lambda w: F.slice(w, F.lit(2), F.greatest(F.size(w) - 2, F.lit(0)))))
     keyed = quotes.withColumn("inner", F.array_distinct(inner))
     words = docs.select("doc_id", F.explode(F.array_distinct(F.split("body", " "))).alias("word"))
     wanted = keyed.select("item_id", F.explode("inner").alias("word"))
     counts = words.join(wanted.select("word").distinct(), "word", "left_semi").groupBy("word").agg(F.count("*").alias("n"))
     rarest = wanted.join(counts, "word", "left").groupBy("item_id").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "word")).alias("k")).where("k.n > 0").select("item_id", F.col("k.word").alias("word"))
     pairs = words.join(rarest, "word").select("doc_id", "item_id")
-    near = pairs.join(quotes, "item_id").join(docs, "doc_id").where(T.quote_in(F.col("parts"), F.col("body"))).select("item_id", "doc_id")
-    short = keyed.where(F.size("inner") == 0)
-    far = docs.join(short, T.quote_in(F.col("parts"), F.col("body"))).select("item_id", "doc_id")
-    return near.unionByName(far)
+    # parts of one or two words: the first ends a word of the document (two words), or is anywhere in one; words are compared, not texts
+    short = keyed.where(F.size("inner") == 0).select("item_id", F.element_at(F.array_sort(F.transform("parts", lambda p: F.struct((-F.char_length(p)).alias("n"), p.alias("p")))), 1)["p"].alias("part"))
+    short = short.select("item_id", F.substring_index("part", " ", 1).alias("start"), F.contains("part", F.lit(" ")).alias("two"))
+    pieces = short.select("item_id", "start", "two", F.left("start", F.lit(LEAST_PIECE)).alias("piece"))
+    vocabulary = words.select("word").distinct()
+    grams = vocabulary.where(F.char_length("word") >= 1).select("word", F.explode(F.transform(F.sequence(F.lit(1), F.char_length("word")), lambda i: F.substring(F.col("word"), i, F.lit(LEAST_PIECE)))).alias("piece")).distinct()
+    ends = grams.join(pieces, "piece").where(F.when(F.col("two"), F.col("word").endswith(F.col("start"))).otherwise(F.contains("word", F.col("start")))).select("word", "item_id").distinct()
+    every = pairs.unionByName(words.join(ends, "word").select("doc_id", "item_id")).distinct()
+    return every.join(quotes, "item_id").join(docs, "doc_id").where(T.quote_in(F.col("parts"), F.col("body"))).select("item_id", "doc_id")
 
 
 # ---------------------------------------------------------------- causes and verdicts
 
 #: Why an action isn't filed, and what each cause says about the matter.
 VERDICTS = {
-    "covered_elsewhere": "covered",
-    "wrong_page_ranked": "covered",
+    "covered_elsewhere": "already_covered",
+    "wrong_page_ranked": "already_covered",
     "packaging": "not_a_gap",
     "docs_only": "not_a_gap",
+    "page_edit_out_of_proportion": "not_a_gap",
     "no_gap": "unverified",
     "no_evidence": "unverified",
     "not_in_corpus": "unverified",
     "not_docs": "unverified",
     "no_quote": "unverified",
     "quote_missing": "unverified",
+    "page_edit_no_page": "unverified",
+    "page_edit_no_edit": "unverified",
+    "page_edit_no_copy": "unverified",
+    "page_edit_unusable": "unverified",
+    "page_edit_stale_claim": "unverified",
 }
 STRONG, LEAST_MATCHED = 0.55, 2
 
@@ -65,23 +80,33 @@ def evidence_cause(actions: DataFrame, pages: DataFrame) -> DataFrame:
     return joined.withColumn("cause", cause).drop("kind", "body")
 
 
+def strong_hits(hits: DataFrame, terms: DataFrame) -> DataFrame:
+    """hits (qid, url, score, matched) that match two terms (all, if there are fewer; terms is (qid, n)) and score STRONG of the best at least,
+    with top, the best score of their query."""
+    top = F.max("score").over(Window.partitionBy("qid"))
+    h = hits.join(terms, "qid").withColumn("top", top)
+    return h.where((F.size("matched") >= F.least(F.lit(LEAST_MATCHED), F.col("n"))) & (F.col("score") >= STRONG * F.col("top")))
+
+
 def coverage_misses(hits: DataFrame, terms: DataFrame, read: DataFrame) -> DataFrame:
-    """Strong hits (qid, url, score, matched) that were not read and rank at least as high as the best that was: they may cover the gap.
+    """Strong hits (qid, url, score) that were not read and rank at least as high as the best strong hit that was: they may cover the gap. read:
+    (url), or (qid, url) where each query has pages of its own."""
+    key = [c for c in ("qid", "url") if c in read.columns]
+    h = strong_hits(hits, terms).join(read.select(*key, F.lit(True).alias("was_read")).distinct(), key, "left")
+    best = F.max(F.when(F.col("was_read"), F.col("score"))).over(Window.partitionBy("qid"))
+    h = h.withColumn("best_read", best)
+    return h.where(F.col("was_read").isNull() & (F.col("score") >= F.greatest(F.coalesce("best_read", F.lit(0.0)), STRONG * F.col("top")))).select("qid", "url", "score")
+
 
-    A strong hit matches two terms (all, if there are fewer; terms is (qid, n)) and scores STRONG of the best at least."""
-    w = Window.partitionBy("qid")
-    h = hits.join(terms, "qid").join(read.select("url", F.lit(True).alias("was_read")), "url", "left")
-    h = h.withColumn("top", F.max("score").over(w)).withColumn("best_read", F.max(F.when(F.col("was_read"), F.col("score"))).over(w))
-    strong = (F.size("matched") >= F.least(F.lit(LEAST_MATCHED), F.col("n"))) & (F.col("score") >= STRONG * F.col("top"))
-    return h.where(strong & F.col("was_read").isNull() & (F.col("score") >= F.greatest(F.coalesce("best_read", F.lit(0.0)), STRONG * F.col("top")))).select("qid", "url", "score")
+def verdict_of(cause: Column) -> Column:
+    return F.create_map(*[F.lit(x) for kv in VERDICTS.items() for x in kv])[cause]
 
 
 def verdict_rollup(blocked: DataFrame, group: str) -> DataFrame:
     """(group, verdict, n): covered if anything is, not_a_gap if all blocked actions are, else unverified; kept if nothing is blocked."""
-    names = F.create_map(*[F.lit(x) for kv in VERDICTS.items() for x in kv])
-    v = blocked.withColumn("v", F.when(F.col("cause").isNotNull(), names[F.col("cause")]))
+    v = blocked.withColumn("v", F.when(F.col("cause").isNotNull(), verdict_of(F.col("cause"))))
     return v.groupBy(group).agg(
-        F.when(F.count("v") == 0, "kept").when(F.coalesce(F.bool_or(F.col("v") == "covered"), F.lit(False)), "covered").when(F.bool_and(F.col("v") == "not_a_gap"), "not_a_gap").otherwise("unverified").alias("verdict"),
+        F.when(F.count("v") == 0, "kept").when(F.coalesce(F.bool_or(F.col("v") == "already_covered"), F.lit(False)), "already_covered").when(F.bool_and(F.col("v") == "not_a_gap"), "not_a_gap").otherwise("unverified").alias("verdict"),
         F.count("v").alias("n"),
     )
 
@@ -96,6 +121,20 @@ def allowed_words(passage: Column, page: Column) -> Column:
     return F.greatest(F.lit(LEAST_ALLOWED), F.least(passage, F.floor(page * SHARE + 0.5).cast("int")))
 
 
+def measure_edit(claim: Column, proposed: Column, kind: Column, page: Column) -> Column:
+    """struct<added, passage, page, allowed, too_much>: the words an edit adds, those of the passage whose place it takes or that it joins (the
+    paragraph of the page that has the claim, else the claim), those of the page, and how many it may add. Null where there is nothing to
+    measure: no copy or no page."""
+    from ..functions.diff import changed_column
+
+    there = (F.trim(F.coalesce(proposed, F.lit(""))) != "") & (F.trim(F.coalesce(page, F.lit(""))) != "")
+    passage = F.coalesce(T.paragraph_with(page, claim), claim, F.lit(""))
+    inserts = F.coalesce(kind, F.lit("replace")) == "insert"
+    added = F.when(inserts, T.word_count(proposed)).otherwise(changed_column(F.coalesce(claim, F.lit("")), F.coalesce(proposed, F.lit("")))["added"])
+    counted = F.struct(added.alias("added"), T.word_count(passage).alias("passage"), T.word_count(page).alias("page"))
+    return F.when(there, T.bound(counted, lambda c: F.struct(c["added"].alias("added"), c["passage"].alias("passage"), c["page"].alias("page"), allowed_words(c["passage"], c["page"]).alias("allowed"), (c["added"] > allowed_words(c["passage"], c["page"])).alias("too_much"))))
+
+
 def embed_budget(fields: DataFrame, key: str, order: str, size: Column, most_fields: int = 25, most: int = 6000) -> DataFrame:
     """The leading fields of each message that fit: most_fields at most, and no more characters than most together."""
     w = Window.partitionBy(key).orderBy(order)

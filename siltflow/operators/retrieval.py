@@ -13,7 +13,10 @@ from ..storage import written
 
 K1, B, TITLE_WEIGHT, OVERVIEW_BOOST, LEAST_TERM = 1.5, 0.75, 3, 1.2, 3
 #: Words too common to search for.
-STOP = "a an and are as at be but by can do for from has have how if in into is it its more new not now of on or our that the their this to use using was we what when which will with you your".split()
+STOP = (
+    "a about after all also an and any are as at be been but by can do does for from has have how if in into is it its more need new no not of on one only or other our out over see set so some than "
+    "that the their them then there these this those to up use used using want was we what when where which who will with would you your"
+).split()
 
 
 def plain_stem(w: str) -> str:
@@ -120,6 +123,18 @@ def excerpts(hits: DataFrame, pages: DataFrame, queries: DataFrame, most: int =
     return kept.groupBy("qid", "url").agg(joined.alias("whole")).select("qid", "url", T.truncate(F.col("whole"), most).alias("excerpt"))
 
 
+def context(index: Index, signals: DataFrame, overviews: DataFrame, limit: int = 10, per_section: int = 4, most_routed: int = 3) -> DataFrame:
+    """(qid, url, why, place): the pages that a signal (qid, text, topics) is read beside: those that a search ranks highest, and the overviews
+    (label, url) of its topics that are held and not among them, the first most_routed."""
+    found = search(index, signals.select("qid", "text"), limit, per_section)
+    hits = found.select("qid", "url", F.lit("search").alias("why"), F.col("rank").cast("int").alias("place"))
+    routed = signals.select("qid", F.posexplode("topics").alias("place", "label")).join(F.broadcast(overviews), "label")  # the catalog: a row a topic
+    routed = routed.join(index.pages.select("url"), "url", "left_semi").join(hits.select("qid", "url"), ["qid", "url"], "left_anti").groupBy("qid", "url").agg(F.min("place").alias("place"))
+    nth = F.row_number().over(Window.partitionBy("qid").orderBy("place", "url"))
+    routed = routed.withColumn("place", nth).where(F.col("place") <= most_routed)
+    return hits.unionByName(routed.select("qid", "url", F.lit("overview").alias("why"), (limit + F.col("place")).cast("int").alias("place")))
+
+
 def signal_text(title: Column, raw: Column) -> Column:
     """What a signal says of itself: its title, the description, and the body, preview or text of its raw fields (JSON), by blank lines."""
     said = lambda *names: F.coalesce(*[F.when(F.trim(F.get_json_object(raw, f"$.{n}")) != "", F.get_json_object(raw, f"$.{n}")) for n in names])

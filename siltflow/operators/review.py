@@ -1,90 +1,68 @@
-"""What happens to an action after it is proposed: topic guard, page edits, wording, review and revision; and pictures for it."""
+"""Reviews of filed actions and what a rewrite may change; pictures; documents that a verdict names after the fact."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import text as T
+from ..functions import urls as U
 from . import routing
-from .retrieval import STOP_STEMS, plain_stem
-
-# The work that an action's first word may name, the order in which faults of an edit are told, and what a review may decide.
-VERBS = (
-    "add allow answer bring build close correct create cut drop edit expand expose extend fix give introduce let link make match mention move name note offer open point publish put raise remove "
-    "rename replace say schedule ship show state support surface swap track turn update wire write"
-).split()
-FAULTS = ("out_of_proportion", "instruction", "placeholder", "too_short", "missing")
-SWAPPABLE = ("consider_building", "consider_enhancing")
-
-
-def topic_terms(title: Column, topics: tuple[routing.Topic, ...] = routing.TOPICS) -> Column:
-    """The discriminating stems of a title, each once, without the catalog's own vocabulary."""
-    own = sorted({plain_stem(w) for t in topics for k in (t.label, *t.keywords) for w in k.lower().split()})
-    skipped = F.array(*map(F.lit, sorted({*own, *STOP_STEMS})))
-    return F.array_except(F.array_distinct(F.filter(F.transform(T.words(title), T.stem), lambda s: (F.char_length(s) >= 3) & ~s.rlike("^[0-9]+$"))), skipped)
-
-
-def ties(text: Column, terms: Column) -> Column:
-    """Whether a text speaks of the topic: one of its terms as a whole stem. A topic without terms can't be missed."""
-    return (F.size(terms) == 0) | F.arrays_overlap(F.transform(T.words(text), T.stem), terms)
-
-
-def find_topic(name: Column, topics: tuple[routing.Topic, ...] = routing.TOPICS) -> Column:
-    """The catalog's label for a name: equal, else contained in it or containing it, else by a keyword; null if none fits."""
-    low = F.lower(F.trim(name))
-    first = lambda test: F.coalesce(*[F.when(test(t), F.lit(t.label)) for t in topics])
-    return F.coalesce(
-        first(lambda t: low == t.label.lower()), first(lambda t: (low != "") & (low.contains(t.label.lower()) | F.lit(t.label.lower()).contains(low))), first(lambda t: low.isin([k.lower() for k in t.keywords]))
-    )
-
-
-def page_cause(refs: DataFrame, key: str) -> DataFrame:
-    """(key, cause) from refs (key, editable, suggested, copy, too_much, holds): why an action on pages isn't filed, or null. Faults count only
-    if all editable refs have one; the first in the fixed order is told."""
-    fault = F.coalesce(routing.copy_fault(F.col("copy")), F.when(F.col("too_much"), "out_of_proportion"))
-    e = refs.withColumn("fault", F.when(F.col("editable"), fault)).withColumn("ok", F.col("editable") & fault.isNull())
-    worst = F.element_at(F.array(*map(F.lit, FAULTS)), F.min(F.when(F.col("editable"), F.array_position(F.array(*map(F.lit, FAULTS)), F.col("fault")))).cast("int"))
-    g = e.groupBy(key).agg(F.bool_or("editable").alias("any_page"), F.bool_or(F.col("editable") & F.col("suggested")).alias("any_edit"), F.bool_or("ok").alias("any_ok"), worst.alias("worst"), F.bool_or(F.col("editable") & F.col("holds")).alias("any_holds"))
-    cause = (
-        F.when(~F.col("any_page"), "page_edit_no_page").when(~F.col("any_edit"), "page_edit_no_edit")
-        .when(~F.col("any_ok"), F.when(F.col("worst") == "out_of_proportion", "page_edit_out_of_proportion").when(F.col("worst") == "missing", "page_edit_no_copy").otherwise("page_edit_unusable"))
-        .when(~F.col("any_holds"), "page_edit_stale_claim")
+from .actions import PRODUCT, REF, empty
+
+#: The labels that a review leaves; the one that makes it happen once.
+LABELS = {"agree": "review:agreed", "revise": "review:revised", "drop": "review:dropped", "unconfirmed": "review:unconfirmed", "skipped": "review:skipped"}
+DONE = "review-pass:done"
+EDIT = "struct<url:string,proposed_text:string,suggested_edit:string,edit_kind:string>"
+
+
+def merge_revision(actions: DataFrame, editable=U.is_editable) -> DataFrame:
+    """actions (type, detail, feature, gap, evidence_url, evidence_quote, impact, refs) with a rewrite (new_type, new_detail, new_feature, new_gap,
+    new_evidence_url, new_evidence_quote, edits) and a review (review_impact) folded in, and refused, what was not allowed.
+
+    Types swap only among the product ones; features only to those of the catalog, in its spelling; impact moves only if the reviewer moved it;
+    edits replace those on pages that are cited already and may be edited, the last of a page's.
+    """
+    swaps = F.col("type").isin(*PRODUCT) & F.col("new_type").isin(*PRODUCT)
+    named = routing.find_topic(F.col("new_feature"))
+    urls = F.transform("refs", lambda r: r["url"])
+    allowed = F.filter(F.coalesce("edits", empty(EDIT)), lambda e: F.array_contains(urls, e["url"]) & editable(e["url"]))
+
+    def edited(r: Column) -> Column:
+        mine = F.filter(allowed, lambda e: e["url"] == r["url"])
+        last = F.get(mine, F.size(mine) - 1)
+        pick = lambda c: F.coalesce(last[c], r[c]).alias(c)
+        return F.struct(r["url"].alias("url"), r["claim"].alias("claim"), pick("suggested_edit"), pick("proposed_text"), pick("edit_kind")).cast(REF)
+
+    no = lambda test, name: F.when(F.coalesce(test, F.lit(False)), name)
+    refused = F.array(
+        no(F.col("new_type") != F.col("type"), F.when(~swaps, "type")), no(F.col("new_feature").isNotNull() & ~F.col("new_feature").eqNullSafe(F.col("feature")) & named.isNull(), F.lit("feature")),
+        no(F.size(F.coalesce("edits", empty(EDIT))) > F.size(allowed), F.lit("edits")),
     )
-    return g.select(key, cause.alias("cause"))
-
-
-def gate_chain(docs_only: Column, page: Column, packaging: Column, evidence: Column, covered: Column) -> Column:
-    """The first cause that applies, in the gate's order."""
-    return F.coalesce(F.when(docs_only, "docs_only"), page, F.when(packaging, "packaging"), evidence, F.when(covered, "covered_elsewhere"))
-
-
-def lead(detail: Column, page: Column) -> Column:
-    """detail if its first word names work, else with what is to be done put in front."""
-    works = F.lower(detail).rlike(rf"^({'|'.join(VERBS)})\b")
-    return F.when(works, detail).otherwise(F.concat(F.lit("Update "), page, F.lit(": "), detail))
-
-
-def merge_revision(actions: DataFrame) -> DataFrame:
-    """actions (type, feature, impact and new_type, new_feature, review_impact) revised: types swap only among the product ones, features only
-    to those of the catalog, impact only if the reviewer moved it."""
-    both = F.col("type").isin(*SWAPPABLE) & F.col("new_type").isin(*SWAPPABLE)
-    return actions.withColumn("type", F.when(both, F.col("new_type")).otherwise(F.col("type"))).withColumn("feature", F.coalesce(find_topic(F.col("new_feature")), "feature")).withColumn("impact", F.coalesce("review_impact", "impact"))
+    fresh = lambda c: F.coalesce(f"new_{c}", c)
+    out = actions.withColumn("refused", F.filter(refused, lambda x: x.isNotNull())).withColumn("refs", F.transform("refs", edited)).withColumn("type", F.when(swaps, F.col("new_type")).otherwise(F.col("type")))
+    out = out.withColumn("feature", F.coalesce(named, "feature")).withColumn("impact", F.coalesce("review_impact", "impact"))
+    for c in ("detail", "gap", "evidence_url", "evidence_quote"):
+        out = out.withColumn(c, fresh(c))
+    return out
 
 
 def review_states(targets: DataFrame, budget: int) -> DataFrame:
     """(id, state) of targets (id, done, verdict): reviewed ones stay as they are; of the others the first budget are reviewed, whether or not
-    the reviewer answers (a null verdict is unconfirmed); the rest are skipped."""
+    the reviewer answers (without an answer it is skipped); the rest are skipped."""
     # ranks only what a sorted limit takes, so no window holds all rows
     taken = targets.where(~F.col("done")).orderBy("id").limit(budget).select("id", F.lit(True).alias("taken"))
     v = F.col("verdict")
-    state = F.when(F.col("done"), "left").when(F.col("taken"), F.when(v.isin("agree", "drop", "revise"), v).otherwise("unconfirmed")).otherwise("skipped")
+    state = F.when(F.col("done"), "left").when(F.col("taken"), F.when(v.isin("agree", "drop", "revise"), v).otherwise("skipped")).otherwise("skipped")
     return targets.join(taken, "id", "left").select("id", state.alias("state"))
 
 
-def checked_no_action(kind: Column, evidence: Column, held: Column) -> Column:
-    """A verdict that rests on pages needs one that is held, else it is unverified."""
-    return F.when(kind.isin("covered", "not_a_gap") & (F.size(F.array_intersect(evidence, held)) == 0), "unverified").otherwise(kind)
+def review_labels(labels: Column, state: Column, confirmed: Column) -> Column:
+    """The labels that an issue has afterwards: those it had, the state's own and, but for a skip, the one that says it is done. A rewrite that
+    the checks did not confirm is unconfirmed; one left alone keeps its labels."""
+    known = F.when((state == "revise") & ~confirmed, "unconfirmed").otherwise(state)
+    own = F.create_map(*[F.lit(x) for kv in LABELS.items() for x in kv])[known]
+    added = F.filter(F.array(own, F.when(state != "skipped", F.lit(DONE))), lambda x: x.isNotNull())
+    return F.when(state == "left", labels).otherwise(F.array_distinct(F.concat(labels, added)))
 
 
 def post_images(posts: DataFrame, media: DataFrame) -> DataFrame:
@@ -94,45 +72,21 @@ def post_images(posts: DataFrame, media: DataFrame) -> DataFrame:
     return posts.select("id").join(found.groupBy("id").agg(F.min_by("u", "pos").alias("image")), "id", "left")
 
 
-def picture(feed: Column, page: Column, page_is_generic: Column, anchored: Column, screenshot: Column, made: Column) -> Column:
-    """The picture of a signal: the feed's own, the page's if it is the page's own, a screenshot, the page's generic one, one that is made.
-    An entry that is a part of a page takes none of the page's."""
+def picture(feed: Column, page: Column, anchored: Column, shot: Column, made: Column) -> Column:
+    """struct<url, origin>, the picture of a signal: the feed's own; the page's, if it is not a default card; a screenshot; the page's default
+    card; one that is made. An entry that is a part of a page takes none of the page's."""
     own = F.when(~anchored, page)
-    return F.coalesce(feed, F.when(~page_is_generic, own), screenshot, own, made)
-
-
-# Hedges before an embedded question, and how one with its stem missing opens.
-HEDGE = r"(?i)^(it (is|'s) )?(unclear|unknown|uncertain|not clear|open question|tbd)\b[ :,–-]*((on|about) )?"
-CLAUSE = ("whether", "if")
-
-
-def as_question(line: Column) -> Column:
-    """The line as a question: itself if it is one; else its last clause without a hedge, as a question if it opens like one or with whether
-    or if; what stands before that clause is kept. Null if it can't be one without being rewritten."""
-    text = T.collapse(line)
-    bare = F.regexp_replace(text, r"[ .?!]+$", "")
-    lead = F.regexp_extract(bare, r"^(.*(?:[.!?;:]| –) +)?(.*)$", 1)
-    body = F.trim(F.regexp_replace(F.regexp_extract(bare, r"^(.*(?:[.!?;:]| –) +)?(.*)$", 2), HEDGE, ""))
-    opener = F.regexp_extract(F.lower(body), "^[a-z']+", 0)
-    low, up = F.concat(F.lower(F.left(body, F.lit(1))), F.substring(body, 2, 1 << 20)), F.concat(F.upper(F.left(body, F.lit(1))), F.substring(body, 2, 1 << 20))
-    first = lead == ""
-    asked = F.when(opener.isin(*CLAUSE), F.concat(F.when(first, "Do we know ").otherwise("do we know "), low, F.lit("?"))).when(opener.isin(*routing.OPENERS), F.concat(F.when(first, up).otherwise(low), F.lit("?")))
-    return F.when(routing.is_question(text), text).otherwise(F.concat(lead, asked))
-
-
-def verify_docs(actions: DataFrame, product: str) -> DataFrame:
-    """actions (type, detail, topic, doc) checked against what was shown: building something that a doc covers becomes enhancing it, with the
-    doc cited; a claim that something is lacking cites the doc too, or becomes an open question where there is none."""
-    covered = F.col("doc").isNotNull()
-    building, claims = F.col("type") == "consider_building", F.col("detail").rlike(routing.gap_pattern(product))
-    return actions.withColumn("cites", F.when(covered & (building | claims), F.col("doc"))).withColumn("asks", ~covered & claims).withColumn("type", F.when(building & covered, "consider_enhancing").otherwise(F.col("type")))
+    generic = U.is_generic_preview(F.coalesce(own, F.lit("")))
+    each = ((feed, "feed"), (F.when(~generic, own), "page"), (shot, "screenshot"), (own, "page"), (made, "generated"))
+    return F.coalesce(*[F.when(u.isNotNull(), F.struct(u.alias("url"), F.lit(o).alias("origin"))) for u, o in each])
 
 
 def top_up(named: DataFrame, held: DataFrame, key: str, most: int = 3) -> DataFrame:
     """(key, doc): the overviews (first documents) of the topics that a row names (key, label, rank) and that are neither held (key, doc) nor of
     a topic one of whose documents is held; the first most by rank."""
     topics = named.sparkSession.createDataFrame([(t.label, d, i) for t in routing.TOPICS for i, d in enumerate(t.docs)], "label string, doc string, i int")
-    covered = held.join(F.broadcast(topics), "doc").select(key, "label").distinct()
-    missing = named.join(covered, [key, "label"], "left_anti").join(F.broadcast(topics.where("i = 0")), "label")
+    covered = held.withColumn("label", routing.topic_of_doc(F.col("doc"))).where("label is not null").select(key, "label").distinct()
+    # the catalog is a fixed table of a few rows
+    missing = named.join(covered, [key, "label"], "left_anti").join(F.broadcast(topics.where("i = 0")), "label").join(held.select(key, "doc"), [key, "doc"], "left_anti")
     place = F.row_number().over(Window.partitionBy(key).orderBy("rank", "doc"))
     return missing.withColumn("place", place).where(F.col("place") <= most).select(key, "doc")

@@ -43,10 +43,16 @@ def select_for_analysis(batch: DataFrame, stored: DataFrame, now: Column, per_so
     return placed.orderBy(*newest).limit(per_run).drop("n_stored")
 
 
-def pending(analyses: DataFrame, items: DataFrame, since: Column, limit: int) -> DataFrame:
-    """Analyses that were not posted, with their items, oldest first; ties by id."""
-    waiting = analyses.where(F.col("posted_at").isNull() & (F.col("created_at") >= since))
-    return waiting.join(items, "item_id").orderBy("created_at", "id").limit(limit)
+def pending(analyses: DataFrame, items: DataFrame, since: Column, limit: int, readable: Column | None = None) -> DataFrame:
+    """Analyses that were not posted, with their items, oldest first; ties by id. readable: a condition on the joined row; one whose payload can't
+    be read is skipped, so that it never takes a place of the limit."""
+    waiting = analyses.where(F.col("posted_at").isNull() & (F.col("created_at") >= since)).join(items, "item_id")
+    return (waiting.where(F.coalesce(readable, F.lit(False))) if readable is not None else waiting).orderBy("created_at", "id").limit(limit)
+
+
+def count_by_source(stored: DataFrame) -> DataFrame:
+    """(source, n, n_keys) of the stored signals."""
+    return stored.groupBy("source").agg(F.count("*").alias("n"), F.countDistinct("external_id").alias("n_keys"))
 
 
 def schedule_day(ts: Column) -> Column:
@@ -58,3 +64,12 @@ def quiet_days(runs: DataFrame, claimed: DataFrame) -> DataFrame:
     """Days that deserve the nothing-happened message: sources were read, nothing new, no alerts, and the day isn't claimed yet."""
     quiet = runs.where("alerts = 0 and new_items = 0 and sources_read > 0")
     return quiet.join(claimed.select("day"), "day", "left_anti")
+
+
+def read_paths(steps: DataFrame, key: str, order: str, step: Column) -> DataFrame:
+    """(key, path, place): the files that were read in a transcript, each once, in the order of their first reading. A step (JSON) is a reading if
+    it is a call of a tool, and the tool reads: listing or searching a file is not knowing what it says."""
+    field = lambda path: F.get_json_object(step, path)
+    read = steps.where((field("$.type") == "toolCall") & (field("$.message.type") == "read") & (F.trim(field("$.message.args.path")) != ""))
+    first = read.select(key, order, field("$.message.args.path").alias("path")).groupBy(key, "path").agg(F.min(order).alias("first"))
+    return first.select(key, "path", F.row_number().over(Window.partitionBy(key).orderBy("first", "path")).alias("place"))

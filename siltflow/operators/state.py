@@ -1,7 +1,8 @@
-"""Keyed tables in Parquet snapshots, and the outbox of side effects.
+"""Keyed tables in Parquet, in memory and behind a fallback; issues; and the outbox of side effects.
 
-Parquet has no MERGE: a change writes a new snapshot folder, then a small pointer row that names it. Readers follow the newest pointer, so a
-write that fails half-way is never seen. One writer a table is assumed.
+Parquet has no MERGE: a change writes a new folder, then a small pointer row that names the folders of the table. Readers follow the newest
+pointer, so a write that fails half-way is never seen. Inserts add a folder; only changes of stored rows write a whole snapshot. One writer a
+table is assumed.
 """
 
 from __future__ import annotations
@@ -9,22 +10,34 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..storage import file_system, written
 from . import corpus, signals
 
+#: Parts of a table that were appended one by one before they become one snapshot.
+MOST_PARTS = 16
+
+
+def item_id(source: Column, external_id: Column) -> Column:
+    """An item's id follows from its key, so that a task that runs again gives the same."""
+    return F.sha1(F.concat_ws("|", source, external_id))
+
 
 class Store:
-    """Tables of signals, pages, claims, analyses and days under one path."""
+    """Tables of signals, pages, claims, analyses, days, issues and what happened to them, under one path. write=False reads a real store and
+    leaves nothing behind: inserts return rows with ids of their own, every day can be claimed."""
 
     #: The tables' columns.
     TABLES = {
-        "items": "source string, external_id string, title string, url string, published_at timestamp, raw string",
+        "items": "id string, source string, external_id string, title string, url string, published_at timestamp, raw string",
         "pages": "url string, title string, content_hash string, fetched_at timestamp, changed_at timestamp, last_used_at timestamp, retired_at timestamp",
         "claims": "url string, name string, paragraph string, heading string",
         "analyses": "id string, item_id string, analysis string, posted_at timestamp, created_at timestamp",
         "days": "day date, posted_at timestamp",
+        "issues": "number long, title string, body string, labels array<string>, state string, reason string",
+        "issue_events": "number long, kind string, body string",
     }
 
     def __init__(self, spark: SparkSession, root: str, write: bool = True):
@@ -39,34 +52,96 @@ class Store:
             raise
 
     def read(self, name: str) -> DataFrame:
+        """The table as the newest pointer has it: its snapshot, and the rows appended since."""
         pointers = self._pointers(name)
         last = pointers.orderBy(F.desc("version")).first() if pointers is not None else None
         if last is None:
             return self.spark.createDataFrame([], self.TABLES[name])
-        return self.spark.read.schema(self.TABLES[name]).parquet(last["path"])
+        return self.spark.read.schema(self.TABLES[name]).parquet(*last["path"].split("\n"))
+
+    def _point(self, name: str, paths: list[str]) -> None:
+        pointers = self._pointers(name)
+        version = 1 + ((pointers.agg(F.max("version")).first()[0] or 0) if pointers is not None else 0)
+        self.spark.createDataFrame([(version, "\n".join(paths))], "version long, path string").coalesce(1).write.mode("append").json(f"{self.root}/{name}/_pointer")
+
+    def _save(self, name: str, df: DataFrame) -> str:
+        columns = [f.name for f in self.spark.createDataFrame([], self.TABLES[name]).schema]
+        path = f"{self.root}/{name}/part-{uuid.uuid4().hex}"
+        df.select(*columns).write.parquet(path)
+        return path
 
     def replace(self, name: str, df: DataFrame) -> None:
         """Writes a whole snapshot, then points to it. A read-only store does neither."""
+        if self.write:
+            self._point(name, [self._save(name, df)])
+
+    def append(self, name: str, df: DataFrame) -> None:
+        """Adds rows beside the snapshot, which is not written again; past MOST_PARTS all become one snapshot."""
         if not self.write:
             return
-        columns = [f.name for f in self.spark.createDataFrame([], self.TABLES[name]).schema]
-        path = f"{self.root}/{name}/snapshot-{uuid.uuid4().hex}"
-        df.select(*columns).write.parquet(path)
         pointers = self._pointers(name)
-        version = 1 + ((pointers.agg(F.max("version")).first()[0] or 0) if pointers is not None else 0)
-        self.spark.createDataFrame([(version, path)], "version long, path string").coalesce(1).write.mode("append").json(f"{self.root}/{name}/_pointer")
+        last = pointers.orderBy(F.desc("version")).first() if pointers is not None else None
+        paths = [*(last["path"].split("\n") if last else ()), self._save(name, df)]
+        self._point(name, paths)
+        if len(paths) > MOST_PARTS:
+            self.replace(name, self.read(name))
+
+    def vacuum(self, name: str) -> int:
+        """Removes the parts of a table that its newest pointer doesn't name, and older pointers; returns how many parts went. Not while others read."""
+        pointers = self._pointers(name)
+        last = pointers.orderBy(F.desc("version")).first() if pointers is not None else None
+        if last is None or not self.write:
+            return 0
+        held = {x.rsplit("/", 1)[-1] for x in last["path"].split("\n")}
+        fs, at = file_system(self.spark, f"{self.root}/{name}")
+        gone = [x.getPath() for x in fs.listStatus(at) if x.getPath().getName().startswith("part-") and x.getPath().getName() not in held]
+        for path in gone:
+            fs.delete(path, True)
+        return len(gone)
 
     def insert_new(self, batch: DataFrame) -> DataFrame:
-        """Insert-if-absent of items (with an ord column); returns the rows that were new."""
+        """Insert-if-absent of items (with an ord column); returns the rows that were new, with their ids."""
         new = signals.new_items(batch, self.read("items"))
         if not self.write:
-            return new
-        path = f"{self.root}/items/new-{uuid.uuid4().hex}"
-        new.write.parquet(path)
-        new = self.spark.read.schema(new.schema).parquet(path)
-        self.replace("items", self.read("items").unionByName(new.drop("ord")))
+            place = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("ord"))  # a day's batch
+            return new.withColumn("id", F.concat(F.lit("dry-run-"), place))
+        new = written(new.withColumn("id", item_id(*[F.col(c) for c in signals.KEY])), f"{self.root}/items/new-{uuid.uuid4().hex}")
+        self.append("items", new.drop("ord"))
         return new
 
+    def find_item(self, source: str, external_id: str) -> str | None:
+        """The id of a stored item; null if there is none."""
+        row = self.read("items").where((F.col("source") == source) & (F.col("external_id") == external_id)).select("id").first()
+        return row["id"] if row else None
+
+    def known_keys(self, batch: DataFrame) -> DataFrame:
+        return signals.known(batch, self.read("items"))
+
+    def count_items(self, source: str) -> int:
+        return self.read("items").where(F.col("source") == source).count()
+
+    def page_meta(self) -> DataFrame:
+        return corpus.page_meta(self.read("pages"))
+
+    def get_pages(self, urls: list[str]) -> DataFrame:
+        return corpus.pages_by_url(self.read("pages"), urls)
+
+    def unposted(self, since: Column, limit: int) -> DataFrame:
+        items = self.read("items").select(F.col("id").alias("item_id"), "title", "url")
+        return signals.pending(self.read("analyses"), items, since, limit)
+
+    def record_run(self, books: DataFrame, used: DataFrame, now: Column) -> None:
+        """Retirements and last uses of a run, from bookkeeping() and the pages (url) that were used."""
+        p = self.read("pages").join(books.select("url", "retire"), "url", "left").join(used.select("url", F.lit(True).alias("used")), "url", "left")
+        gone = F.coalesce("retire", F.lit(False))
+        out = p.withColumn("retired_at", F.when(gone, F.coalesce("retired_at", now)).otherwise(F.col("retired_at"))).withColumn("last_used_at", F.when(F.col("used"), now).otherwise(F.col("last_used_at")))
+        self.replace("pages", out)
+
+    def claims_about(self, name: str, limit: int) -> DataFrame:
+        from . import routing
+
+        return routing.ranked_claims(self.read("claims").where(F.col("name") == name), name, limit)
+
     def save_pages(self, pages: DataFrame, now: Column) -> None:
         self.replace("pages", corpus.upsert(self.read("pages"), pages, now))
 
@@ -74,7 +149,7 @@ class Store:
         self.replace("claims", corpus.replace_by_url(self.read("claims"), urls, claims))
 
     def record(self, analyses: DataFrame) -> None:
-        self.replace("analyses", self.read("analyses").unionByName(analyses))
+        self.append("analyses", analyses)
 
     def mark_posted(self, ids: DataFrame, now: Column) -> None:
         a = self.read("analyses").join(ids.select("id", F.lit(True).alias("_now")), "id", "left")
@@ -88,20 +163,131 @@ class Store:
         if days.where(F.col("day") == F.lit(day).cast("date")).limit(1).count():
             return False
         row = self.spark.range(1).select(F.lit(day).cast("date").alias("day"), now.alias("posted_at"))
-        self.replace("days", days.unionByName(row))
+        self.append("days", row)
         return True
 
 
-def with_fallback(open_store: Callable[[], Store], fallback: Callable[[], Store], unreachable: Callable[[Exception], bool]) -> Store:
-    """The first store, or the other for good if the first can't be reached; further errors are raised."""
+class MemoryStore(Store):
+    """The same without a path: tables are held as DataFrames, analyses are not kept, and nothing outlives the process."""
+
+    def __init__(self, spark: SparkSession):
+        super().__init__(spark, "")
+        self.tables: dict[str, DataFrame] = {}
+
+    def read(self, name: str) -> DataFrame:
+        return self.tables[name] if name in self.tables else self.spark.createDataFrame([], self.TABLES[name])
+
+    def replace(self, name: str, df: DataFrame) -> None:
+        columns = [f.name for f in self.spark.createDataFrame([], self.TABLES[name]).schema]
+        self.tables[name] = written(df.select(*columns))
+
+    def append(self, name: str, df: DataFrame) -> None:
+        columns = [f.name for f in self.spark.createDataFrame([], self.TABLES[name]).schema]
+        self.tables[name] = self.read(name).unionByName(written(df.select(*columns)))
+
+    def insert_new(self, batch: DataFrame) -> DataFrame:
+        new = written(signals.new_items(batch, self.read("items")).withColumn("id", item_id(*[F.col(c) for c in signals.KEY])))
+        self.append("items", new.drop("ord"))
+        return new
+
+    def record(self, analyses: DataFrame) -> None:
+        """Keeps nothing, so there is never a backlog."""
+
+    def mark_posted(self, ids: DataFrame, now: Column) -> None:
+        """There is nothing to mark."""
+
+
+class Fallback:
+    """A store until it can't be reached, then another for good. Whatever fails for another reason is raised. Every method of a store can be
+    called; a call that finds the first unreachable is made again on the other."""
+
+    def __init__(self, store: Store, other: Callable[[], Store], unreachable: Callable[[Exception], bool]):
+        self._store, self._other, self._unreachable, self.fell_back = store, other, unreachable, False
+
+    def __getattr__(self, name: str):
+        def call(*args, **kwargs):
+            try:
+                return getattr(self._store, name)(*args, **kwargs)
+            except Exception as e:
+                if self.fell_back or not self._unreachable(e):
+                    raise
+                self._store, self.fell_back = self._other(), True
+                return getattr(self._store, name)(*args, **kwargs)
+
+        found = getattr(self._store, name)
+        return call if callable(found) else found
+
+
+class Issues:
+    """Issues as tables of a store. check: raises for labels that are not accepted; an issue is then filed without them, since it matters more
+    than its labels. Nothing here fails a run: what can't be done returns None or False. A read-only store says what would be done."""
+
+    def __init__(self, store: Store, check: Callable[[list[str]], None] = lambda labels: None):
+        self.store, self.check = store, check
+
+    def _labels(self, labels: list[str]) -> list[str]:
+        try:
+            self.check(labels)
+            return labels
+        except ValueError:
+            return []
+
+    def create(self, title: str, body: str, labels: list[str]) -> int | None:
+        """The new issue's number, or None."""
+        if not self.store.write:
+            return None
+        try:
+            number = 1 + (self.store.read("issues").agg(F.max("number")).first()[0] or 0)
+            self._event(number, "opened", title)
+            self.store.append("issues", self.store.spark.createDataFrame([(number, title, body, self._labels(labels), "open", None)], Store.TABLES["issues"]))
+            return number
+        except Exception:  # noqa: BLE001
+            return None
+
+    def _event(self, number: int, kind: str, body: str) -> None:
+        self.store.append("issue_events", self.store.spark.createDataFrame([(number, kind, body)], Store.TABLES["issue_events"]))
+
+    def update(self, number: int | None, **patch) -> bool:
+        """Changes an issue's title, body, labels, state or reason; labels that are not accepted are left out of the patch."""
+        if number is None or not self.store.write:
+            return False
+        try:
+            if "labels" in patch and self._labels(patch["labels"]) != patch["labels"]:
+                del patch["labels"]
+            kinds = dict(c.split(" ", 1) for c in Store.TABLES["issues"].split(", "))
+            issues = self.store.read("issues")
+            if not issues.where(F.col("number") == number).limit(1).count():
+                return False
+            for c, v in patch.items():
+                new = F.array(*map(F.lit, v)).cast(kinds[c]) if isinstance(v, list) else F.lit(v).cast(kinds[c])
+                issues = issues.withColumn(c, F.when(F.col("number") == number, new).otherwise(F.col(c)))
+            self.store.replace("issues", issues)
+            self._event(number, "updated", ", ".join(sorted(patch)))
+            return True
+        except Exception:  # noqa: BLE001
+            return False
+
+    def comment(self, number: int | None, body: str) -> bool:
+        if number is None or not self.store.write:
+            return False
+        self._event(number, "comment", body)
+        return True
+
+    def close(self, number: int | None, reason: str, labels: list[str] | None = None) -> bool:
+        """Closed with its labels in one change, so that it is never closed and unlabelled."""
+        return self.update(number, state="closed", reason=reason, **({"labels": labels} if labels else {}))
+
+
+def with_fallback(open_store: Callable[[], Store], fallback: Callable[[], Store], unreachable: Callable[[Exception], bool]) -> Fallback:
+    """The first store, or the other for good from the first call on that can't reach it, its opening among them; other errors are raised."""
     try:
-        store = open_store()
-        store.read("items").limit(1).count()
-        return store
+        return Fallback(open_store(), fallback, unreachable)
     except Exception as e:
         if not unreachable(e):
             raise
-        return fallback()
+        out = Fallback(fallback(), fallback, unreachable)
+        out.fell_back = True
+        return out
 
 
 def deliver(outbox: DataFrame, post: Callable[[dict], bool], most: int = 100) -> list[str]:
@@ -115,3 +301,14 @@ def deliver(outbox: DataFrame, post: Callable[[dict], bool], most: int = 100) ->
         except Exception:  # noqa: BLE001
             continue
     return done
+
+
+def write_messages(messages: DataFrame, path: str) -> None:
+    """Messages as JSON lines, for a dry run to be looked at and replayed."""
+    messages.write.mode("overwrite").json(path)
+
+
+def write_artifact(messages: DataFrame, path: str, made: Column) -> None:
+    """One text a message (id, text, payload): as it is read, and the payload as it is sent. made: what it was made by, and of what."""
+    text = F.concat(F.lit("# Message "), F.col("id").cast("string"), F.lit("\n\n"), made, F.lit("\n\n## As it is read\n\n"), F.col("text"), F.lit("\n\n## Payload\n\n```json\n"), F.col("payload"), F.lit("\n```\n"))
+    messages.select(F.col("id").cast("string").alias("id"), text.alias("value")).write.mode("overwrite").parquet(path)

@@ -5,40 +5,77 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import text as T
 from ..operators import routing, signals
-from ..operators.state import Store, deliver
+from ..operators.state import Store, deliver, item_id
 
 
 @dataclass
 class Summary:
+    """What a run did; as text, one line and its notes."""
+
+    candidates: int = 0
     new_items: int = 0
     analysed: int = 0
+    retried: int = 0
     posted: int = 0
     quiet: bool = False
     notes: list[str] = field(default_factory=list)
 
+    def __str__(self) -> str:
+        seeded = self.new_items - self.analysed
+        line = f"{self.candidates} candidates, {self.new_items} new ({seeded} seeded), {self.analysed} analysed" + f", {self.retried} retried" * bool(self.retried) + f", {self.posted} posted" + ", nothing to report" * self.quiet
+        return "\n".join([line, *(f"note: {n}" for n in self.notes)])
+
+
+#: What a run without a model says of itself; labels that changelogs open with; lengths of what is restated.
+UNANALYZED = "No model analysis ran, so nothing has been assessed and nothing is recommended. The open questions name where to start."
+LABELS = ("description", "summary", "overview", "what's new", "tl;dr")
+MOST_LEAD, MOST_POINT, MOST_POINTS, MOST_CLAIM, MOST_REFS = 280, 160, 3, 240, 2
+
 
-def heuristic(items: DataFrame) -> DataFrame:
-    """What can be said of an item by rules alone: its impact and a lead."""
-    text = F.concat_ws(" ", "title", "raw")
-    return items.withColumn("analysis", F.to_json(F.struct(routing.impact(text).alias("impact"), F.col("title").alias("lead"), F.lit("unanalyzed").alias("no_action"))))
+def heuristic(items: DataFrame, maker: Column | None = None, refs: Column | None = None) -> DataFrame:
+    """items (title, raw) with analysis, a JSON text: what can be said by rules alone. It restates the signal: its impact, a summary, up to
+    MOST_POINTS points, the first MOST_REFS of refs (array of struct<url, claim>, pages that it touches), no action, and where to start."""
+    maker = F.coalesce(maker if maker is not None else F.lit(None).cast("string"), F.lit("The source"))
+    raw = lambda *names: F.coalesce(*[F.when(F.trim(F.get_json_object("raw", f"$.{n}")) != "", F.get_json_object("raw", f"$.{n}")) for n in names])
+    bare = lambda x: F.regexp_replace(F.trim(x), rf"(?i)^({'|'.join(LABELS)}) *[:–—-] *", "")
+    body = F.coalesce(raw("body", "preview", "text"), F.lit(""))
+    said = T.sentences(bare(body))
+    described = T.truncate(bare(raw("description")), MOST_LEAD)
+    lead = F.coalesce(described, F.nullif(T.truncate(F.array_join(F.slice(said, 1, 2), " "), MOST_LEAD), F.lit("")))
+    summary = F.coalesce(F.concat(maker, F.lit(": "), T.first_sentence(lead)), F.concat(maker, F.lit(' published "'), F.col("title"), F.lit('".')))
+    rest = F.slice(T.sentences(lead), 2, MOST_POINTS)
+    points = F.filter(F.transform(F.when(F.size(rest) > 0, rest).otherwise(F.slice(said, 2, MOST_POINTS)), lambda s: T.truncate(F.trim(s), MOST_POINT)), lambda s: s != "")
+    none = F.expr("cast(array() as array<struct<url:string,claim:string>>)")
+    cited = F.transform(F.slice(refs if refs is not None else none, 1, MOST_REFS), lambda r: F.struct(r["url"].alias("url"), T.truncate(r["claim"], MOST_CLAIM).alias("claim")))
+    questions = F.transform(cited, lambda r: F.concat(F.lit("Nobody has read "), r["url"], F.lit(" against this launch: does anything it says change?")))
+    analysis = F.struct(
+        routing.impact(F.concat_ws(" ", "title", body)).alias("impact"), summary.alias("summary"), F.coalesce(points, F.expr("cast(array() as array<string>)")).alias("key_points"),
+        F.struct(F.lit("unanalyzed").alias("kind"), F.lit(UNANALYZED).alias("reason"), F.transform(cited, lambda r: F.struct(r["url"].alias("url"))).alias("evidence")).alias("no_action"), cited.alias("product_refs"),
+        questions.alias("open_questions"),
+    )
+    return items.withColumn("analysis", F.to_json(analysis))
 
 
 def run(store: Store, batch: DataFrame, now: str, day: str, post: Callable[[dict], bool], analyse: Callable[[DataFrame], DataFrame] = heuristic, sources_read: int = 1) -> Summary:
     """batch: items with ord. Waiting analyses are read before new ones are recorded, so none is posted twice in a run."""
     at = F.lit(now).cast("timestamp")
-    out = Summary()
-    waiting = [r["id"] for r in store.read("analyses").where(F.col("posted_at").isNull() & (F.col("created_at") >= at - F.expr(f"interval {signals.RETRY_DAYS} days"))).select("id").limit(signals.PER_RUN).collect()]
+    out = Summary(candidates=batch.count())
+    since = at - F.expr(f"interval {signals.RETRY_DAYS} days")
+    readable = F.get_json_object("analysis", "$").isNotNull()
+    waiting = [r["id"] for r in signals.pending(store.read("analyses"), store.read("items").select(F.col("id").alias("item_id")), since, signals.PER_RUN, readable).select("id").collect()]  # the oldest first
     stored = store.read("items")
     chosen = signals.select_for_analysis(batch, stored, at)
     picked = chosen.select(*signals.KEY).toPandas()  # PER_RUN rows at most
     out.new_items = store.insert_new(batch).count()
     fresh = batch.sparkSession.createDataFrame(picked, chosen.select(*signals.KEY).schema) if len(picked) else chosen.select(*signals.KEY).limit(0)
     items = signals.first_in_batch(batch).join(fresh, list(signals.KEY), "left_semi")
-    rows = analyse(items).select(F.sha1(F.concat_ws("|", *signals.KEY)).alias("id"), F.concat_ws("|", *signals.KEY).alias("item_id"), "analysis", F.lit(None).cast("timestamp").alias("posted_at"), at.alias("created_at"))
+    key = item_id(*[F.col(c) for c in signals.KEY])
+    rows = analyse(items).select(F.sha1(F.concat(F.lit("analysis "), key)).alias("id"), key.alias("item_id"), "analysis", F.lit(None).cast("timestamp").alias("posted_at"), at.alias("created_at"))
     out.analysed = len(picked)
     if out.analysed:
         store.record(rows)
@@ -46,7 +83,7 @@ def run(store: Store, batch: DataFrame, now: str, day: str, post: Callable[[dict
     if waiting or out.analysed:
         todo = outbox.where(F.col("id").isin(waiting) | (F.col("created_at") == at)).select("id", F.col("analysis").alias("payload"))
         done = deliver(todo, post)
-        out.posted = len(done)
+        out.posted, out.retried = len(done), len(set(done) & set(waiting))
         if done:
             store.mark_posted(batch.sparkSession.createDataFrame([(d,) for d in done], "id string"), at)
     elif not out.new_items and sources_read and store.claim_day(day, at):

@@ -40,8 +40,10 @@ def quote_verify(spark, sf_dir):
 
 
 def quote_ellipsis(spark, sf_dir):
+    """Items as quotes with an ellipsis in the middle: whole, but for the word that the ellipsis stands for."""
     b = table(spark, sf_dir, "benchmark").select("item_id", "text")
-    quote = F.concat(F.left("text", F.lit(40)), F.lit(" … "), F.right("text", F.lit(40)))
+    middle = F.floor(F.char_length("text") / 2).cast("int")
+    quote = F.concat(F.left("text", middle), F.lit(" … "), F.substring("text", middle + 8, F.char_length("text")))
     parts = T.quote_parts(quote)
     return b.select("item_id", F.size(parts).cast("long").alias("n_parts"), T.quote_in(parts, T.normal_quote(F.col("text"))).alias("appears"))
 
@@ -51,6 +53,66 @@ def join_names(spark, sf_dir):
     return n.select("n_regionkey", T.join_names(F.col("names")).alias("joined"))
 
 
+def page_targets(spark, sf_dir):
+    """Pages under a deployment's hosts: which are documents, which may be edited, and where their markdown is."""
+    n = F.col("page_id") % 6
+    path = F.when(n == 0, "/platform/compare-to-acme").when(n == 1, "/platform/migrate-from-acme/").when(n == 2, "/pricing").when(n == 3, "/pricing-old").otherwise(F.regexp_replace(U.part(F.col("url"), 3), "/+$", ""))
+    host = F.element_at(F.array(*map(F.lit, ("https://docs.example.com", "https://Example.com", "https://www.example.com:443", "https://other.example.org"))), (F.floor(F.col("page_id") / 6) % 4 + 1).cast("int"))
+    p = table(spark, sf_dir, "pages").select("page_id", F.concat(host, path).alias("u"))
+    return p.select("page_id", U.is_docs(F.col("u")).alias("docs"), U.is_editable(F.col("u")).alias("editable"), U.markdown_for(F.col("u")).alias("markdown"), U.page_name(F.col("u")).alias("name"))
+
+
+def url_builders(spark, sf_dir):
+    p = table(spark, sf_dir, "pages").select("page_id", F.trim("url").alias("u"))
+    u, i = F.col("u"), F.col("page_id")
+    signed = F.concat(u, F.when(F.contains(u, F.lit("?")), "&").otherwise("?"), F.when(i % 2 == 0, "token=x").otherwise("tokens=x"))
+    return p.select(
+        "page_id", U.screenshot("https://shot.example.com/?u={encodedUrl}&w=9", u).alias("shot"), U.screenshot("https://shot.example.com/", u).alias("plain_shot"), U.timeline("https://api.example.com/2", i.cast("string"), i % 200).alias("timeline"),
+        U.user_lookup("https://api.example.com/2", F.concat(F.lit("a b"), i.cast("string"))).alias("lookup"), U.blob("o/r", "main", F.concat(F.lit("a dir/"), i.cast("string"), F.lit(".png"))).alias("blob"),
+        U.carries_credential(F.regexp_replace(signed, "#.*$", "")).alias("signed"), U.card("https://card.example.com/png", F.lit("Maker"), i.cast("string")).alias("card"),
+    )
+
+
+def paragraph_with(spark, sf_dir):
+    """The paragraph of each document, its lines as paragraphs, that holds the middle of the text."""
+    d = table(spark, sf_dir, "documents")
+    text = F.col("text")
+    quote = F.upper(F.substring(text, F.floor(F.char_length(text) / 2).cast("int"), F.lit(12)))
+    return d.select("doc_id", T.paragraph_with(F.replace(text, F.lit("\n"), F.lit("\n\n")), quote).alias("paragraph"))
+
+
+def capture_day(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    at = F.when(F.col("event_id") % 10 == 0, F.timestamp_seconds(F.lit(0))).when(F.col("event_id") % 10 != 1, F.col("ts"))
+    return e.select("event_id", T.day(at).alias("day"))
+
+
+def parse_date(spark, sf_dir):
+    """Dates in the ways in which feeds write them, and others that are none."""
+    e = table(spark, sf_dir, "events")
+    n, ts = F.col("event_id") % 5, F.col("ts")
+    text = F.when(n == 0, F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss'Z'")).when(n == 1, F.date_format(ts, "EEE, d MMM yyyy HH:mm:ss +0000")).when(n == 2, F.date_format(ts, "yyyy-MM-dd")).when(n == 3, F.date_format(ts, "d MMM yyyy HH:mm:ss 'GMT'")).otherwise(F.lit("last week"))
+    return e.select("event_id", F.date_format(T.parsed_date(text), "yyyy-MM-dd HH:mm:ss").alias("parsed"))
+
+
+def signal_text(spark, sf_dir):
+    from ..operators.retrieval import signal_text as said
+
+    d, i = table(spark, sf_dir, "documents"), F.col("doc_id")
+    raw = F.to_json(F.struct(F.when(i % 2 == 0, F.concat(F.lit("About "), i.cast("string"))).alias("description"), F.when(i % 3 == 0, F.lit(" ")).alias("body"), F.when(i % 5 != 0, F.col("text")).alias("text")))
+    return d.select("doc_id", said(F.when(i % 7 != 0, F.concat(F.lit("Signal "), i.cast("string"))).otherwise(""), raw).alias("said"))
+
+
+def open_questions(spark, sf_dir):
+    """Lines of each document's first word, some of them questions, some that can be made one, some twice."""
+    from ..operators.routing import open_questions as asked
+
+    i = F.col("doc_id")
+    x = F.lower(F.element_at(T.words(F.concat(F.col("text"), F.lit(" word"))), 1))
+    lines = F.array(F.concat(F.lit("Unclear if "), x, F.lit(" holds.")), F.concat(F.lit("Is it "), x, F.lit("?")), F.concat(F.lit("Nobody knows: why "), x), F.concat(F.lit("The "), x, F.lit(" is here.")), F.concat(F.lit("is it "), x), F.lit(" "))
+    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(asked(F.slice(lines, F.lit(1), (i % 7).cast("int")), 3), "|").alias("asked"))
+
+
 QUERIES = {
     "text_sha1": _documents(digest=lambda t: F.sha1(F.coalesce(t, F.lit("")))),
     "collapse_whitespace": _documents(collapsed=T.collapse),
@@ -60,7 +122,7 @@ QUERIES = {
     "first_sentence": _documents(first=T.first_sentence),
     "word_count": _documents(n_words=lambda t: T.word_count(t).cast("long")),
     "normalize_quote": _documents(normal=T.normal_quote),
-    "slugify": _documents(slug=lambda t: T.slug(F.left(t, F.lit(200))), path_slug=lambda t: T.slug(F.left(t, F.lit(200)), 60)),
+    "slugify": _documents(slug=T.slug, path_slug=lambda t: T.slug(t, 60)),
     "escape_markup": _documents(escaped=T.escape_markup),
     "paragraphs": _documents(n_paragraphs=lambda t: F.size(T.paragraphs(F.regexp_replace(t, "\n", "\n\n"))).cast("long")),
     "join_names": join_names,
@@ -72,7 +134,15 @@ QUERIES = {
     "title_from_url": _pages(title=U.title),
     "section_of": _pages(section=U.section),
     "article_url": _pages(is_article=U.is_article),
-    "anchored_entry": _pages(anchored=lambda u: u.rlike("#.+"), markdown_url=lambda u: F.concat(U.canonical(u), F.lit(".md"))),
+    "anchored_entry": _pages(anchored=lambda u: U.is_anchored(F.trim(u)), entry=lambda u: U.entry_url(F.when(U.is_anchored(F.trim(u)), F.concat(F.lit('{"entryUrl": " '), F.trim(u), F.lit(' "}'))), F.lit("none"))),
+    "page_targets": page_targets,
+    "url_builders": url_builders,
+    "generic_preview": _pages(generic=lambda u: U.is_generic_preview(F.concat(u, F.when(F.char_length(u) % 3 == 0, "/og-default.png").when(F.char_length(u) % 3 == 1, "/default_share.png").otherwise("/default.png")))),
+    "paragraph_with": paragraph_with,
+    "capture_day": capture_day,
+    "parse_date": parse_date,
+    "signal_text": signal_text,
+    "open_questions": open_questions,
 }
 
 _WS = r"[ \t\n\r\f\x0B\x{A0}]"
@@ -114,13 +184,13 @@ SELECT doc_id, translate(t, '“”‘’', '""' || chr(39) || chr(39)) AS clean
     "first_sentence": f"WITH s AS (SELECT doc_id, {sql_sentences('text')}[1] AS s FROM documents) SELECT doc_id, {sql_truncate('s', 240)} AS first FROM s",
     "word_count": f"SELECT doc_id, len(list_filter(string_split_regex(lower(text), '{_WS}+'), lambda w: regexp_matches(w, '[a-z0-9]')))::BIGINT AS n_words FROM documents",
     "normalize_quote": f"SELECT doc_id, {_nq('text')} AS normal FROM documents",
-    "slugify": f"SELECT doc_id, {_slug('left(text, 200)', 40)} AS slug, {_slug('left(text, 200)', 60)} AS path_slug FROM documents",
+    "slugify": f"SELECT doc_id, {_slug('text', 40)} AS slug, {_slug('text', 60)} AS path_slug FROM documents",
     "escape_markup": r"SELECT doc_id, regexp_replace(text, '([\\*_~`|>])', '\\\1', 'g') AS escaped FROM documents",
     "paragraphs": "SELECT doc_id, len(list_filter(string_split_regex(replace(text, chr(10), chr(10) || chr(10)), '\\n{2,}'), lambda p: trim(p) <> ''))::BIGINT AS n_paragraphs FROM documents",
     "join_names": "WITH n AS (SELECT n_regionkey, list_sort(list(n_name)) AS l FROM nation GROUP BY 1) SELECT n_regionkey, CASE WHEN len(l) = 1 THEN l[1] ELSE array_to_string(l[:-2], ', ') || ' and ' || l[-1] END AS joined FROM n",
     "quote_verify": f"""WITH q AS (SELECT item_id, {_parts('text')} AS parts FROM benchmark), d AS (SELECT doc_id, {_nq("coalesce(text, '')")} AS body FROM documents)
 SELECT item_id, doc_id FROM q JOIN d ON len(parts) > 0 AND len(list_filter(parts, lambda p: NOT contains(body, p))) = 0""",
-    "quote_ellipsis": f"""WITH q AS (SELECT item_id, {_parts("left(text, 40) || ' … ' || right(text, 40)")} AS parts, {_nq('text')} AS body FROM benchmark)
+    "quote_ellipsis": f"""WITH q AS (SELECT item_id, {_parts("left(text, length(text) // 2) || ' … ' || substr(text, length(text) // 2 + 8)")} AS parts, {_nq('text')} AS body FROM benchmark)
 SELECT item_id, len(parts)::BIGINT AS n_parts, len(parts) > 0 AND len(list_filter(parts, lambda p: NOT contains(body, p))) = 0 AS appears FROM q""",
     "normalize_url": f"WITH {SQL_URLS} SELECT page_id, normal, CASE WHEN authority = '' THEN url ELSE normal || fragment END AS with_fragment FROM u",
     "canonical_url": f"WITH {SQL_URLS} SELECT page_id, canonical FROM u",
@@ -131,5 +201,24 @@ SELECT page_id, CASE WHEN host = '' OR path IN ('', '/') OR regexp_matches(lower
 SELECT page_id, CASE WHEN t = '' THEN authority ELSE upper(left(t, 1)) || substr(t, 2) END AS title FROM t""",
     "section_of": f"WITH {SQL_URLS} SELECT page_id, coalesce(segs[1], nullif(authority, ''), 'other') AS section FROM u",
     "article_url": f"""WITH {SQL_URLS} SELECT page_id, starts_with(path, '/') AND len(segs) >= 2 AND len(list_filter(segs, lambda s: lower(s) IN ({', '.join(repr(x) for x in U.LISTING)}))) = 0 AS is_article FROM u""",
-    "anchored_entry": f"WITH {SQL_URLS} SELECT page_id, regexp_matches(url, '#.+') AS anchored, canonical || '.md' AS markdown_url FROM u",
+    "anchored_entry": "SELECT page_id, regexp_matches(trim(url), '#.+') AS anchored, CASE WHEN regexp_matches(trim(url), '#.+') THEN trim(url) ELSE 'none' END AS entry FROM pages",
+    "page_targets": f"""WITH {SQL_URLS}, p AS (SELECT page_id, CASE page_id % 6 WHEN 0 THEN '/platform/compare-to-acme' WHEN 1 THEN '/platform/migrate-from-acme/' WHEN 2 THEN '/pricing' WHEN 3 THEN '/pricing-old' ELSE bare END AS path, page_id // 6 % 4 AS h FROM u),
+q AS (SELECT page_id, path, h, regexp_replace(path, '/+$', '') AS bare, starts_with(path, '/platform/') AS compares, list_filter(string_split(path, '/'), lambda s: s <> '') AS segs FROM p),
+t AS (SELECT *, trim(regexp_replace(url_decode(coalesce(segs[-1], '')), '[-_]+', ' ', 'g')) AS t, ['https://docs.example.com', 'https://Example.com', 'https://www.example.com:443', 'https://other.example.org'][h + 1] AS base FROM q)
+SELECT page_id, h = 0 AND NOT compares AS docs, (h = 0 AND compares) OR (h IN (1, 2) AND bare = '/pricing') AS editable, CASE WHEN h = 0 THEN CASE WHEN ends_with(path, '.md') THEN base || path ELSE base || bare || '.md' END END AS markdown,
+  CASE WHEN len(segs) > 0 THEN 'the ' || lower(CASE WHEN t = '' THEN lower(replace(base, 'https://', '')) ELSE t END) || ' page' ELSE base || path END AS name FROM t""",
+    "url_builders": """WITH e AS (SELECT page_id, trim(url) AS u, replace(url_encode(trim(url)), '+', '%20') AS enc FROM pages)
+SELECT page_id, 'https://shot.example.com/?u=' || enc || '&w=9' AS shot, 'https://shot.example.com/' || u AS plain_shot,
+  'https://api.example.com/2/users/' || page_id || '/tweets?max_results=' || greatest(5, least(100, page_id % 200)) || '&tweet.fields=created_at%2Centities%2Cattachments&expansions=attachments.media_keys&media.fields=url%2Cpreview_image_url%2Ctype&exclude=retweets%2Creplies' AS timeline,
+  'https://api.example.com/2/users/by/username/a%20b' || page_id AS lookup, 'https://github.com/o/r/blob/main/a%20dir/' || page_id || '.png?raw=true' AS blob, page_id % 2 = 0 AND NOT contains(u, '#') AS signed,
+  'https://card.example.com/png?text=Maker%0A' || page_id || '&font=source-sans-pro' AS card FROM e""",
+    "generic_preview": "SELECT page_id, length(url) % 3 < 2 AS generic FROM pages",
+    "paragraph_with": """WITH q AS (SELECT doc_id, text, regexp_replace(lower(substr(text, length(text) // 2, 12)), '[^a-z0-9]+', '', 'g') AS q FROM documents)
+SELECT doc_id, CASE WHEN q <> '' THEN list_filter(list_filter(list_transform(string_split_regex(replace(text, chr(10), chr(10) || chr(10)), '\\n{2,}'), lambda p: trim(p)), lambda p: p <> ''), lambda p: contains(regexp_replace(lower(p), '[^a-z0-9]+', '', 'g'), q))[1] END AS paragraph FROM q""",
+    "capture_day": "SELECT event_id, CASE WHEN event_id % 10 < 2 THEN 'unknown' ELSE strftime(ts, '%Y-%m-%d') END AS day FROM events",
+    "parse_date": "SELECT event_id, CASE event_id % 5 WHEN 2 THEN strftime(ts, '%Y-%m-%d') || ' 00:00:00' WHEN 4 THEN NULL ELSE strftime(ts, '%Y-%m-%d %H:%M:%S') END AS parsed FROM events",
+    "signal_text": """SELECT doc_id, concat_ws(chr(10) || chr(10), CASE WHEN doc_id % 7 <> 0 THEN 'Signal ' || doc_id END, CASE WHEN doc_id % 2 = 0 THEN 'About ' || doc_id END, CASE WHEN doc_id % 5 <> 0 AND trim(text) <> '' THEN text END) AS said FROM documents""",
+    "open_questions": """WITH t AS (SELECT doc_id, regexp_extract_all(lower(text || ' word'), '[a-z0-9]+')[1] AS x FROM documents),
+q AS (SELECT doc_id, [CASE WHEN doc_id % 7 > 0 THEN 'Do we know if ' || x || ' holds?' END, CASE WHEN doc_id % 7 > 1 THEN 'Is it ' || x || '?' END, CASE WHEN doc_id % 7 > 2 THEN 'Nobody knows: why ' || x || '?' END] AS l FROM t)
+SELECT doc_id, array_to_string(list_filter(l, lambda v: v IS NOT NULL), '|') AS asked FROM q""",
 }

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import urls as U
 from ..operators import corpus as C
 from ..operators import signals as S
+from ..operators.state import Issues, MemoryStore, Store, item_id, write_artifact
+from ..sources.fetch import is_gone
+from ..storage import work_dir
 from .base import table
 from .scalars import SQL_URLS, _slug
 
@@ -37,7 +42,14 @@ def known_keys(spark, sf_dir):
 
 
 def count_by_source(spark, sf_dir):
-    return _items(spark, sf_dir)[1].groupBy("source").agg(F.count("*").alias("n"), F.countDistinct("external_id").alias("n_keys"))
+    return S.count_by_source(_items(spark, sf_dir)[1])
+
+
+def item_lookup(spark, sf_dir):
+    """The ids of stored items, looked up by every signal's key; null for those that aren't stored."""
+    new, stored = _items(spark, sf_dir)
+    ids = stored.groupBy(*S.KEY).agg(F.min("ord").alias("first")).select(*S.KEY, item_id(F.col("source"), F.col("external_id").cast("string")).alias("id"))
+    return new.select("ord", *S.KEY).join(ids, list(S.KEY), "left").select("ord", "id")
 
 
 def lookback(spark, sf_dir):
@@ -52,10 +64,12 @@ def select_for_analysis(spark, sf_dir):
 
 
 def pending_retry(spark, sf_dir):
+    """Open orders as analyses that wait; one of seven can't be read."""
     o = table(spark, sf_dir, "orders")
-    analyses = o.select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("item_id"), F.col("o_orderdate").alias("created_at"), F.when(F.col("o_orderstatus") != "O", F.col("o_orderdate")).alias("posted_at"))
+    payload = F.when(F.col("o_orderkey") % 7 == 0, "{broken").otherwise('{"summary": "x"}')
+    a = o.select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("item_id"), F.when(F.col("o_orderstatus") != "O", F.col("o_orderdate")).alias("posted_at"), F.col("o_orderdate").alias("created_at"), payload.alias("analysis"))
     items = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("item_id"), F.col("c_name").alias("title"))
-    return S.pending(analyses, items, F.lit("1997-01-01").cast("timestamp"), 25).select("id", "item_id", "title")
+    return S.pending(a, items, F.lit("1997-01-01").cast("timestamp"), 25, F.get_json_object("analysis", "$.summary").isNotNull()).select("id", "item_id", "title")
 
 
 def schedule_day(spark, sf_dir):
@@ -72,9 +86,11 @@ def quiet_day(spark, sf_dir):
 
 
 def _found(spark, sf_dir):
-    p = table(spark, sf_dir, "pages")
-    part = lambda k, name, kind: p.where(F.col("page_id") % k == 0).select(U.canonical(F.col("url")).alias("url"), F.lit(name).alias("source"), F.lit(kind).alias("kind"))
-    return C.merge_discoveries(part(3, "crawl", "marketing").unionByName(part(2, "sitemap", "docs")).unionByName(part(5, "changelog", "changelog")))
+    """Every page as found by one source or several: by its id, and those that no other source has in a list."""
+    p, i = table(spark, sf_dir, "pages"), F.col("page_id")
+    part = lambda keep, name, kind: p.where(keep).select(U.canonical(F.col("url")).alias("url"), F.lit(name).alias("source"), F.lit(kind).alias("kind"))
+    listed = part((i % 3 != 0) & (i % 2 != 0) & (i % 5 != 0), "llms", "docs")
+    return C.merge_discoveries(part(i % 3 == 0, "crawl", "marketing").unionByName(part(i % 2 == 0, "sitemap", "docs")).unionByName(part(i % 5 == 0, "changelog", "changelog")).unionByName(listed))
 
 
 def merge_discoveries(spark, sf_dir):
@@ -82,8 +98,10 @@ def merge_discoveries(spark, sf_dir):
 
 
 def _meta(spark, sf_dir):
-    """Stored pages made from the first of each canonical url: hashes, ages and streaks follow from the page id."""
-    p = table(spark, sf_dir, "pages").select(F.col("page_id"), U.canonical(F.col("url")).alias("url")).groupBy("url").agg(F.min("page_id").alias("id")).where("id % 4 <> 0")
+    """Stored pages, made from the first of each canonical url: three of four are stored already (the others are new), and each has an older page
+    beside it that is found no more. Hashes, ages and streaks follow from the page id."""
+    p = table(spark, sf_dir, "pages").select(F.col("page_id"), U.canonical(F.col("url")).alias("url")).groupBy("url").agg(F.min("page_id").alias("id"))
+    p = p.where("id % 4 <> 0").unionByName(p.select(F.concat("url", F.lit("/old")).alias("url"), "id"))
     day = lambda n: F.timestamp_micros(F.unix_micros(_now()) - n * 86_400_000_000)
     return p.select(
         "url",
@@ -103,6 +121,10 @@ def plan_refresh(spark, sf_dir):
     return C.plan_refresh(_found(spark, sf_dir), _meta(spark, sf_dir), _now(), 60)
 
 
+def refresh_summary(spark, sf_dir):
+    return C.refresh_summary(plan_refresh(spark, sf_dir))
+
+
 def _books(spark, sf_dir):
     meta = _meta(spark, sf_dir)
     return C.bookkeeping(meta, _found(spark, sf_dir), meta.where("id % 17 = 0"))
@@ -158,6 +180,115 @@ def toc(spark, sf_dir):
     return C.contents(paths.join(p.select(F.col("page_id").alias("url"), "section"), "url"))
 
 
+def _corpus_pages(spark, sf_dir):
+    """documents as stored pages, some written before columns were added."""
+    i = F.col("doc_id")
+    none = lambda k, c: F.when(i % k != 0, c)
+    return table(spark, sf_dir, "documents").where("doc_id is not null").select(
+        F.concat(F.lit("https://docs.example.com/"), "source", F.lit("/"), F.col("doc_id")).alias("url"), none(3, F.substring_index("text", "\n", 1)).alias("title"), none(50, F.col("text")).alias("text"),
+        none(5, F.array(F.col("lang"))).alias("mentions"), none(7, F.when(i % 2 == 0, "marketing").otherwise("changelog")).alias("kind"), none(4, F.concat(F.lit("h"), i.cast("string"))).alias("content_hash"),
+        none(11, F.timestamp_seconds(1_700_000_000 + i * 86_400)).alias("fetched_at"), none(2, F.timestamp_seconds(1_600_000_000 + i * 86_400)).alias("changed_at"), none(9, F.array(F.lit("crawl"))).alias("discovered_from"),
+        none(8, (i % 3).cast("int")).alias("missing_streak"), "source", "doc_id",
+    )
+
+
+def page_defaults(spark, sf_dir):
+    p = C.with_defaults(_corpus_pages(spark, sf_dir))
+    at = lambda c: F.date_format(c, "yyyy-MM-dd").alias(c)
+    return p.select("doc_id", "title", F.char_length("text").cast("long").alias("n_text"), F.size("mentions").cast("long").alias("n_mentions"), "kind", "content_hash", at("fetched_at"), at("changed_at"), F.size("discovered_from").cast("long").alias("n_sources"), "missing_streak")
+
+
+def page_meta(spark, sf_dir):
+    m = C.page_meta(_corpus_pages(spark, sf_dir))
+    assert "text" not in m.columns and "mentions" not in m.columns
+    return m.select("url", "title", "kind", "content_hash")
+
+
+def pages_by_url(spark, sf_dir):
+    """Every page of a list, in the order of the list: each tenth document's, the last first."""
+    regions = [r[0] for r in table(spark, sf_dir, "region").select("r_regionkey").collect()]
+    ids = sorted({10 * k + r for k in range(21) for r in regions}, reverse=True)
+    pages = _corpus_pages(spark, sf_dir).withColumn("url", F.col("doc_id").cast("string"))
+    return C.pages_by_url(pages, [str(i) for i in ids] + ["none"]).select("url", "kind", "place")
+
+
+def gone_pages(spark, sf_dir):
+    """Pages as a server answers for them: which are gone for good."""
+    p = table(spark, sf_dir, "pages")
+    return p.select("page_id", is_gone(F.element_at(F.array(*map(F.lit, (200, 404, 410, 500, 0))), (F.col("page_id") % 5 + 1).cast("int"))).alias("gone"))
+
+
+def workspace_files(spark, sf_dir):
+    p = C.with_defaults(_corpus_pages(spark, sf_dir)).withColumn("section", U.section(F.col("url"))).withColumn("slug", T.slug(F.concat(F.lit("p "), (F.col("doc_id") % 40).cast("string")), 80))
+    files = C.write_workspace(p, f"{work_dir(spark)}/workspace-{uuid.uuid4().hex}")
+    return files.select("path", F.sha1("content").alias("digest"))
+
+
+def store_roundtrip(spark, sf_dir):
+    """A day of events into a store, in two batches that overlap, as it reads afterwards; what the dry run of a third batch would add is not in it."""
+    return _stored(Store(spark, f"{work_dir(spark)}/store-{uuid.uuid4().hex}"), spark, sf_dir)
+
+
+def memory_store(spark, sf_dir):
+    return _stored(MemoryStore(spark), spark, sf_dir)
+
+
+def _stored(store, spark, sf_dir):
+    e = table(spark, sf_dir, "events").where("ts < timestamp '2024-01-04 00:00:00'")
+    none = F.lit(None).cast("string")
+    items = e.select(F.col("event_id").alias("ord"), F.col("event_type").alias("source"), (F.col("event_id") * 7 % 503).cast("string").alias("external_id"), F.lit("t").alias("title"), none.alias("url"), F.col("ts").alias("published_at"), none.alias("raw"))
+    store.insert_new(items.where("published_at < timestamp '2024-01-03 00:00:00'"))
+    store.insert_new(items.where("published_at >= timestamp '2024-01-02 00:00:00'"))
+    store.vacuum("items") if store.root else None
+    return store.read("items").select("id", "source", "external_id", F.date_format("published_at", "yyyy-MM-dd HH:mm:ss").alias("published_at"))
+
+
+def dry_run(spark, sf_dir):
+    """What a run would add to an empty store that it may not write."""
+    store = Store(spark, f"{work_dir(spark)}/dry-{uuid.uuid4().hex}", write=False)
+    e = table(spark, sf_dir, "events").where("ts >= timestamp '2024-01-30 00:00:00'").select(F.col("event_id").alias("ord"), F.col("event_type").alias("source"), F.col("user_id").cast("string").alias("external_id"))
+    return store.insert_new(e).select("id", "source", "external_id")
+
+
+def issue_tables(spark, sf_dir):
+    """Issues of every region: opened, some with labels that are refused, then changed, commented on or closed."""
+
+    def check(labels):
+        if any(x.endswith("1") for x in labels):
+            raise ValueError(labels)
+
+    store = Store(spark, f"{work_dir(spark)}/issues-{uuid.uuid4().hex}")
+    issues = Issues(store, check)
+    for r in table(spark, sf_dir, "region").orderBy("r_regionkey").collect():  # one issue after another, as they are numbered
+        k = r["r_regionkey"]
+        n = issues.create(r["r_name"], "body", [f"label-{k}"])
+        if k % 2 == 0:
+            issues.comment(n, "seen")
+        else:
+            issues.close(n, "not_planned", ["done"])
+    return store.read("issues").select("number", "title", F.array_join("labels", ",").alias("labels"), "state", "reason")
+
+
+def run_artifact(spark, sf_dir):
+    """Each nation's message as a text to look at, with its payload."""
+    path = f"{work_dir(spark)}/artifact-{uuid.uuid4().hex}"
+    n = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("text"), F.to_json(F.struct("n_name")).alias("payload"))
+    write_artifact(n, path, F.lit("Made by rules."))
+    return spark.read.parquet(path).select("id", F.sha1("value").alias("digest"))
+
+
+def heuristic_analysis(spark, sf_dir):
+    """Documents as signals, restated by rules."""
+    from .cycle import heuristic
+
+    i = F.col("doc_id")
+    raw = F.to_json(F.struct(F.when(i % 3 == 0, F.concat(F.lit("Summary: It is "), i.cast("string"), F.lit(". Now faster. More."))).alias("description"), F.when(i % 3 != 2, F.lit("The body. Second one here. Third one.")).alias("body")))
+    refs = F.slice(F.array(*[F.struct(F.concat(F.lit(f"https://e{k}.example/"), i.cast("string")).alias("url"), F.lit("claim").alias("claim")) for k in range(3)]), F.lit(1), (i % 4).cast("int"))
+    a = heuristic(table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("Signal "), i.cast("string")).alias("title"), raw.alias("raw")), F.lit("Acme"), refs)
+    get = lambda path: F.get_json_object("analysis", path)
+    return a.select("doc_id", get("$.impact").alias("impact"), get("$.summary").alias("summary"), F.array_join(F.from_json(get("$.key_points"), "array<string>"), "|").alias("points"), get("$.no_action.kind").alias("kind"), F.size(F.from_json(get("$.open_questions"), "array<string>")).cast("long").alias("n_questions"))
+
+
 def stream_dedupe(spark, sf_dir):
     from ..streaming.ingest import dedupe_stream
 
@@ -167,8 +298,9 @@ def stream_dedupe(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        dedupe_insert, known_keys, count_by_source, lookback, select_for_analysis, pending_retry, schedule_day, quiet_day, merge_discoveries, plan_refresh, plan_bookkeeping,
-        record_corpus_run, merge_corpus, page_upsert, replace_claims, live_corpus, workspace_paths, toc, stream_dedupe,
+        dedupe_insert, known_keys, count_by_source, item_lookup, lookback, select_for_analysis, pending_retry, schedule_day, quiet_day, merge_discoveries, plan_refresh, refresh_summary, plan_bookkeeping,
+        record_corpus_run, merge_corpus, page_upsert, replace_claims, live_corpus, page_defaults, page_meta, pages_by_url, gone_pages, workspace_paths, workspace_files, toc, store_roundtrip, memory_store, dry_run,
+        issue_tables, run_artifact, heuristic_analysis, stream_dedupe,
     )
 }
 
@@ -179,13 +311,13 @@ fresh AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY source, exter
 _DAY = "CAST(ts AT TIME ZONE 'UTC' AT TIME ZONE 'America/Los_Angeles' AS DATE)"
 _FOUND = f"""{SQL_URLS},
 disc AS (SELECT canonical AS url, 'crawl' AS source, 3 AS o, 'marketing' AS kind FROM u WHERE page_id % 3 = 0 UNION ALL SELECT canonical, 'sitemap', 1, 'docs' FROM u WHERE page_id % 2 = 0
-  UNION ALL SELECT canonical, 'changelog', 5, 'changelog' FROM u WHERE page_id % 5 = 0),
+  UNION ALL SELECT canonical, 'changelog', 5, 'changelog' FROM u WHERE page_id % 5 = 0 UNION ALL SELECT canonical, 'llms', 2, 'docs' FROM u WHERE page_id % 3 <> 0 AND page_id % 2 <> 0 AND page_id % 5 <> 0),
 found AS (SELECT url, arg_min(kind, o) AS kind, array_to_string(list_transform(list_sort(list_distinct(list((o, source)))), lambda x: x[2]), ',') AS sources FROM disc GROUP BY url)"""
 _N = f"TIMESTAMP '{NOW}'"
-_META = f"""{_FOUND},
+_META = f"""{_FOUND}, firsts AS (SELECT canonical AS url, min(page_id) AS id FROM u GROUP BY 1),
 meta AS (SELECT url, id, 'Page ' || id AS title, CASE WHEN id % 11 = 0 THEN '' ELSE 'h' || (id % 3) END AS content_hash, {_N} - to_days((id % 20)::INTEGER) AS fetched_at, {_N} - to_days((id % 30)::INTEGER) AS changed_at,
   CASE WHEN id % 3 = 0 THEN {_N} - to_days((id % 6)::INTEGER) END AS last_used_at, (id % 3)::INTEGER AS missing_streak, 'catalog' AS discovered_from, CASE WHEN id % 13 = 0 THEN {_N} - to_days(2) END AS retired_at
-  FROM (SELECT canonical AS url, min(page_id) AS id FROM u GROUP BY 1) WHERE id % 4 <> 0),
+  FROM (SELECT url, id FROM firsts WHERE id % 4 <> 0 UNION ALL SELECT url || '/old', id FROM firsts)),
 books AS (SELECT m.url, f.url IS NOT NULL AS seen, (CASE WHEN f.url IS NOT NULL THEN 0 ELSE missing_streak + 1 END)::INTEGER AS streak, coalesce(f.sources, '') AS sources, id % 17 = 0 OR (f.url IS NULL AND missing_streak + 1 >= 2) AS retire
   FROM meta m LEFT JOIN found f USING (url)),
 read AS (SELECT url, 'New ' || url AS title, 'h1' AS content_hash FROM found WHERE kind = 'docs')"""
@@ -194,6 +326,13 @@ _PATHS = f"""{SQL_URLS}, t AS (SELECT page_id, coalesce(segs[1], nullif(authorit
 s AS (SELECT page_id, section, {_slug("(CASE WHEN t = '' THEN authority ELSE t END)", 80)} AS slug FROM t),
 paths AS (SELECT page_id, section, section || '/' || slug || CASE WHEN n > 1 THEN '-' || n ELSE '' END || '.md' AS path FROM (SELECT *, row_number() OVER (PARTITION BY section, slug ORDER BY page_id) AS n FROM s))"""
 
+_PAGES = """p AS (SELECT doc_id, source, 'https://docs.example.com/' || source || '/' || doc_id AS url, CASE WHEN doc_id % 3 <> 0 THEN string_split(text, chr(10))[1] END AS title, CASE WHEN doc_id % 50 <> 0 THEN text END AS text,
+  CASE WHEN doc_id % 7 <> 0 THEN CASE WHEN doc_id % 2 = 0 THEN 'marketing' ELSE 'changelog' END END AS kind, CASE WHEN doc_id % 4 <> 0 THEN 'h' || doc_id END AS content_hash,
+  CASE WHEN doc_id % 11 <> 0 THEN TIMESTAMP '1970-01-01 00:00:00' + to_seconds(1700000000 + doc_id * 86400) END AS fetched_at, CASE WHEN doc_id % 2 <> 0 THEN TIMESTAMP '1970-01-01 00:00:00' + to_seconds(1600000000 + doc_id * 86400) END AS changed_at FROM documents)"""
+_STORED = """WITH i AS (SELECT event_id, event_type AS source, (event_id * 7 % 503)::VARCHAR AS external_id, ts, CASE WHEN ts < TIMESTAMP '2024-01-03 00:00:00' THEN 1 ELSE 2 END AS batch FROM events WHERE ts < TIMESTAMP '2024-01-04 00:00:00'),
+f AS (SELECT *, row_number() OVER (PARTITION BY source, external_id ORDER BY batch, event_id) AS k FROM i)
+SELECT sha1(source || '|' || external_id) AS id, source, external_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS published_at FROM f WHERE k = 1"""
+
 ORACLES = {
     "dedupe_insert": f"WITH {_ITEMS} SELECT source, external_id, ord FROM fresh",
     "stream_dedupe": "SELECT source, external_id, ord FROM (SELECT event_type AS source, user_id AS external_id, event_id AS ord, row_number() OVER (PARTITION BY event_type, user_id ORDER BY event_id) AS k FROM events) WHERE k = 1",
@@ -203,7 +342,7 @@ ORACLES = {
     "select_for_analysis": f"""WITH {_ITEMS}, ready AS (SELECT * FROM fresh WHERE source IN (SELECT source FROM stored) AND published_at >= {_N} - INTERVAL 7 DAY),
 p AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY published_at DESC, ord)::INTEGER AS place FROM ready)
 SELECT ord, source, external_id, place FROM p WHERE place <= 8 ORDER BY published_at DESC, ord LIMIT 12""",
-    "pending_retry": "SELECT o_orderkey AS id, o_custkey AS item_id, c_name AS title FROM orders JOIN customer ON c_custkey = o_custkey WHERE o_orderstatus = 'O' AND o_orderdate >= TIMESTAMP '1997-01-01' ORDER BY o_orderdate, o_orderkey LIMIT 25",
+    "pending_retry": "SELECT o_orderkey AS id, o_custkey AS item_id, c_name AS title FROM orders JOIN customer ON c_custkey = o_custkey WHERE o_orderstatus = 'O' AND o_orderkey % 7 <> 0 AND o_orderdate >= TIMESTAMP '1997-01-01' ORDER BY o_orderdate, o_orderkey LIMIT 25",
     "schedule_day": f"SELECT {_DAY}::VARCHAR AS day, count(*) AS n FROM events GROUP BY 1",
     "quiet_day": f"""WITH r AS (SELECT {_DAY} AS day, count(*) FILTER (event_id % 500 = 7) AS alerts, count(*) FILTER (event_id % 400 = 0) AS new_items, count(DISTINCT event_type) AS sources_read FROM events GROUP BY 1)
 SELECT day::VARCHAR AS day, sources_read FROM r WHERE alerts = 0 AND new_items = 0 AND sources_read > 0 AND day(day) % 5 <> 0""",
@@ -222,4 +361,25 @@ SELECT url, title, content_hash, {_TS('fetched_at')}, {_TS('changed_at')}, {_TS(
     "live_corpus": "SELECT doc_id AS url, lang AS kind FROM documents WHERE doc_id % 9 <> 0 AND lang IN ('en', 'de')",
     "workspace_paths": f"WITH {_PATHS} SELECT page_id, path FROM paths",
     "toc": f"WITH {_PATHS} SELECT section, count(*) AS n_pages, min(path) AS first_path, max(path) AS last_path FROM paths GROUP BY section",
+    "item_lookup": f"""WITH {_ITEMS} SELECT n.ord, CASE WHEN EXISTS (SELECT 1 FROM stored s WHERE s.source = n.source AND s.external_id = n.external_id) THEN sha1(n.source || '|' || n.external_id) END AS id FROM new n""",
+    "refresh_summary": f"""SELECT count(*) FILTER (planned AND wanted = 'fresh')::BIGINT AS n_fresh, count(*) FILTER (planned AND wanted = 'due')::BIGINT AS n_due, count(*) FILTER (NOT planned)::BIGINT AS n_deferred FROM (WITH {_META}, j AS (SELECT f.url, m.fetched_at, CASE WHEN m.url IS NULL THEN 'fresh' WHEN m.content_hash = '' OR {_N} - m.fetched_at > (CASE WHEN m.last_used_at >= {_N} - INTERVAL 3 DAY THEN INTERVAL 3 DAY ELSE INTERVAL 14 DAY END) THEN 'due' END AS wanted
+  FROM found f LEFT JOIN meta m USING (url)), p AS (SELECT *, row_number() OVER (ORDER BY wanted = 'due', CASE WHEN wanted = 'due' THEN fetched_at END, url) AS k FROM j WHERE wanted IS NOT NULL)
+SELECT url, wanted, k <= 60 AS planned FROM p)""",
+    "page_defaults": f"""WITH {_PAGES}, d AS (SELECT *, coalesce(fetched_at, TIMESTAMP '1970-01-01 00:00:00') AS seen FROM p) SELECT doc_id, coalesce(title, '') AS title, length(coalesce(text, ''))::BIGINT AS n_text, CASE WHEN doc_id % 5 <> 0 THEN 1 ELSE 0 END::BIGINT AS n_mentions, coalesce(kind, 'docs') AS kind,
+  coalesce(content_hash, '') AS content_hash, strftime(seen, '%Y-%m-%d') AS fetched_at, strftime(coalesce(changed_at, seen), '%Y-%m-%d') AS changed_at, CASE WHEN doc_id % 9 <> 0 THEN 1 ELSE 0 END::BIGINT AS n_sources, (CASE WHEN doc_id % 8 <> 0 THEN doc_id % 3 ELSE 0 END)::INTEGER AS missing_streak FROM d""",
+    "page_meta": f"WITH {_PAGES} SELECT url, title, kind, content_hash FROM p",
+    "pages_by_url": f"""WITH {_PAGES}, k AS (SELECT DISTINCT t.x * 10 + r_regionkey AS k FROM region, range(0, 21) t(x)), o AS (SELECT k, (row_number() OVER (ORDER BY k DESC) - 1)::INTEGER AS place FROM k)
+SELECT doc_id::VARCHAR AS url, kind, place FROM p JOIN o ON k = doc_id""",
+    "gone_pages": "SELECT page_id, page_id % 5 IN (1, 2) AS gone FROM pages",
+    "workspace_files": f"""WITH {_PAGES}, d AS (SELECT *, coalesce(fetched_at, TIMESTAMP '1970-01-01 00:00:00') AS seen, coalesce(nullif(trim(title), ''), doc_id::VARCHAR) AS named, coalesce(kind, 'docs') AS k, 'p-' || (doc_id % 40) AS slug FROM p WHERE trim(coalesce(text, '')) <> ''),
+f AS (SELECT *, row_number() OVER (PARTITION BY source, slug ORDER BY url) AS n, CASE WHEN fetched_at IS NULL THEN 'unknown' ELSE strftime(seen, '%Y-%m-%d') END AS read, CASE WHEN coalesce(changed_at, fetched_at) IS NULL THEN 'unknown' ELSE strftime(coalesce(changed_at, seen), '%Y-%m-%d') END AS changed,
+  CASE k WHEN 'docs' THEN 'what the product does' WHEN 'marketing' THEN 'copy, never evidence of what the product does' ELSE 'what was shipped and when' END AS evidence FROM d)
+SELECT source || '/' || slug || CASE WHEN n > 1 THEN '-' || n ELSE '' END || '.md' AS path, sha1(array_to_string(['---', 'url: ' || url, 'title: ' || named, 'kind: ' || k, 'evidence: ' || evidence, 'read: ' || read, 'last_changed: ' || changed, '---', '', '# ' || named, '', text, ''], chr(10))) AS digest FROM f""",
+    "store_roundtrip": _STORED,
+    "memory_store": _STORED,
+    "dry_run": "SELECT 'dry-run-' || row_number() OVER (ORDER BY event_id) AS id, event_type AS source, user_id::VARCHAR AS external_id FROM (SELECT *, row_number() OVER (PARTITION BY event_type, user_id ORDER BY event_id) AS k FROM events WHERE ts >= TIMESTAMP '2024-01-30 00:00:00') WHERE k = 1",
+    "issue_tables": "SELECT (r_regionkey + 1)::BIGINT AS number, r_name AS title, CASE WHEN r_regionkey % 2 = 1 THEN 'done' WHEN r_regionkey % 10 = 1 THEN '' ELSE 'label-' || r_regionkey END AS labels, CASE WHEN r_regionkey % 2 = 1 THEN 'closed' ELSE 'open' END AS state, CASE WHEN r_regionkey % 2 = 1 THEN 'not_planned' END AS reason FROM region",
+    "run_artifact": """SELECT n_nationkey::VARCHAR AS id, sha1('# Message ' || n_nationkey || chr(10) || chr(10) || 'Made by rules.' || chr(10) || chr(10) || '## As it is read' || chr(10) || chr(10) || n_name || chr(10) || chr(10) || '## Payload' || chr(10) || chr(10) || '```json' || chr(10) || '{"n_name":"' || n_name || '"}' || chr(10) || '```' || chr(10)) AS digest FROM nation""",
+    "heuristic_analysis": """SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'minor' ELSE 'minor' END AS impact, CASE doc_id % 3 WHEN 0 THEN 'Acme: It is ' || doc_id || '.' WHEN 1 THEN 'Acme: The body.' ELSE 'Acme published "Signal ' || doc_id || '".' END AS summary,
+  CASE doc_id % 3 WHEN 0 THEN 'Now faster.|More.' WHEN 1 THEN 'Second one here.' ELSE '' END AS points, 'unanalyzed' AS kind, least(2, doc_id % 4)::BIGINT AS n_questions FROM documents""",
 }

@@ -5,30 +5,50 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import markup as M
 from ..functions import urls as U
+from ..functions.text import collapse, parsed_date, truncate
+from ..storage import written
 
 # The elements of feeds and sitemaps that are read.
-RSS = "channel struct<item: array<struct<title: string, link: string, guid: struct<_VALUE: string, _isPermaLink: string>, description: string, pubDate: string, `content:encoded`: string>>>"
-ATOM = "entry array<struct<title: struct<_VALUE: string, _type: string>, link: array<struct<_href: string, _rel: string, _VALUE: string>>, id: string, summary: struct<_VALUE: string, _type: string>, content: struct<_VALUE: string, _type: string>, published: string, updated: string>>"
+_TEXT = "struct<_VALUE: string, _type: string>"
+_MEDIA = "array<struct<_url: string, _href: string, _type: string, _VALUE: string>>"
+_PICTURES = f"`media:content`: {_MEDIA}, `media:thumbnail`: {_MEDIA}, enclosure: {_MEDIA}, image: {_MEDIA}"
+_ITEM = (
+    f"struct<title: string, link: string, guid: struct<_VALUE: string, _isPermaLink: string>, id: string, description: string, summary: {_TEXT}, content: {_TEXT}, pubDate: string, published: string, updated: string, "
+    f"`content:encoded`: string, {_PICTURES}>"
+)
+_ENTRY = f"struct<title: {_TEXT}, link: array<struct<_href: string, _rel: string, _VALUE: string>>, id: string, guid: string, summary: {_TEXT}, content: {_TEXT}, description: string, published: string, updated: string, pubDate: string, `content:encoded`: string, {_PICTURES}>"
+#: A feed's items stand in the channel of rss, or in one that is the root itself; entries in a feed.
+RSS = f"channel struct<item: array<{_ITEM}>>, item array<{_ITEM}>"
+ATOM = f"entry array<{_ENTRY}>"
 SITEMAP = "url array<struct<loc: string, lastmod: string>>, sitemap array<struct<loc: string>>"
 BODY = 8000
+CHILDREN = 4
 
 
 def _blank(c: Column) -> Column:
     return F.nullif(F.trim(c), F.lit(""))
 
 
+def _attached(e: Column) -> Column:
+    """The first picture attached to an entry: no other type than an image's, and an address on the web."""
+    each = F.flatten(F.filter(F.array(*[e[c] for c in ("media:content", "media:thumbnail", "enclosure", "image")]), lambda x: x.isNotNull()))
+    fit = F.filter(each, lambda m: (_blank(m["_type"]).isNull() | m["_type"].startswith("image/")) & F.coalesce(_blank(m["_url"]), _blank(m["_href"]), _blank(m["_VALUE"])).startswith("http"))
+    return F.get(F.transform(fit, lambda m: F.coalesce(_blank(m["_url"]), _blank(m["_href"]), _blank(m["_VALUE"]))), F.lit(0))
+
+
 def entries(rows: DataFrame, key: str, xml: Column) -> DataFrame:
-    """(key, pos, title, link, guid, published, body) of RSS and Atom feeds; entries with neither title nor link are left out."""
+    """(key, pos, title, link, guid, published, body, image) of RSS and Atom feeds; entries with neither title nor link are left out. The body is
+    the first that there is of content:encoded, content, summary and description, as it stands; image is attached."""
     both = rows.select(key, F.from_xml(xml, RSS).alias("r"), F.from_xml(xml, ATOM).alias("a"))
-    rss = both.select(key, F.posexplode("r.channel.item").alias("pos", "e")).select(
-        key, "pos", _blank(F.col("e.title")).alias("title"), _blank(F.col("e.link")).alias("link"), _blank(F.col("e.guid._VALUE")).alias("guid"), _blank(F.col("e.pubDate")).alias("published"),
-        F.coalesce(_blank(F.col("e.`content:encoded`")), _blank(F.col("e.description"))).alias("body"),
-    )
-    atom = both.select(key, F.posexplode("a.entry").alias("pos", "e")).select(
-        key, "pos", _blank(F.col("e.title._VALUE")).alias("title"), _blank(F.col("e.link")[0]["_href"]).alias("link"), _blank(F.col("e.id")).alias("guid"), F.coalesce(_blank(F.col("e.published")), _blank(F.col("e.updated"))).alias("published"),
-        F.coalesce(_blank(F.col("e.content._VALUE")), _blank(F.col("e.summary._VALUE"))).alias("body"),
+    parts = lambda e, title, link, guid, value: (
+        title.alias("title"), link.alias("link"), guid.alias("guid"), F.coalesce(*[_blank(e[c]) for c in ("pubDate", "published", "updated")]).alias("published"),
+        F.coalesce(_blank(e["content:encoded"]), _blank(e["content"]["_VALUE"]), _blank(e["summary"]["_VALUE"]), _blank(value)).alias("body"), _attached(e).alias("image"),
     )
+    e = F.col("e")
+    rss = both.select(key, F.posexplode(F.coalesce("r.channel.item", "r.item")).alias("pos", "e")).select(key, "pos", *parts(e, _blank(e["title"]), _blank(e["link"]), F.coalesce(_blank(e["guid"]["_VALUE"]), _blank(e["id"])), e["description"]))
+    atom = both.select(key, F.posexplode("a.entry").alias("pos", "e")).select(key, "pos", *parts(e, _blank(e["title"]["_VALUE"]), F.coalesce(_blank(F.get(e["link"], F.lit(0))["_href"]), _blank(F.get(e["link"], F.lit(0))["_VALUE"])), F.coalesce(_blank(e["guid"]), _blank(e["id"])), e["description"]))
     return rss.unionByName(atom).where(F.col("title").isNotNull() | F.col("link").isNotNull())
 
 
@@ -37,8 +57,13 @@ def external_id(guid: Column, link: Column, title: Column, published: Column) ->
 
 
 def items(found: DataFrame, key: str) -> DataFrame:
-    """entries() as signals: the external id is the guid, else the link, else a digest of title and date."""
-    return found.select(key, "pos", external_id(F.col("guid"), F.col("link"), F.col("title"), F.col("published")).alias("external_id"), F.coalesce("title", "link").alias("title"), F.col("link").alias("url"), "published", F.left("body", F.lit(BODY)).alias("body"))
+    """entries() as signals: the external id is the guid, else the link, else a digest of title and date. url has no anchor; entry_url is the
+    entry's own, where its anchor tells them apart. published_at is null where the date can't be read."""
+    plain, own = U.normalize(F.col("link")), U.normalize(F.col("link"), True)
+    return found.select(
+        key, "pos", external_id(F.col("guid"), F.col("link"), F.col("title"), F.col("published")).alias("external_id"), F.coalesce("title", "link").alias("title"), F.col("link").alias("url"), "published",
+        F.left("body", F.lit(BODY)).alias("body"), "image", F.when(own != plain, own).alias("entry_url"), parsed_date(F.col("published")).alias("published_at"),
+    )
 
 
 def sitemap(rows: DataFrame, key: str, xml: Column) -> DataFrame:
@@ -87,15 +112,68 @@ def full_pages(rows: DataFrame, key: str, text: Column) -> DataFrame:
     return opens.join(inside, [key, "section"], "left").select(key, "section", "url", F.coalesce("before", "after").alias("title"), F.trim(F.coalesce("body", F.lit(""))).alias("body"))
 
 
+def follow(top: DataFrame, key: str, read, most: int = CHILDREN) -> DataFrame:
+    """(key, pos, url, lastmod) of sitemaps (key, xml): the pages of a sitemap that lists some; of one that lists only others, those of its first
+    most ones, one level down. read: a function from rows (url) to (url, body), whose failures have a null body and cost their rows alone."""
+    found = sitemap(top, key, F.col("xml"))
+    direct = found.where(~F.col("child"))
+    place = F.row_number().over(Window.partitionBy(key).orderBy("pos"))
+    # sitemaps without pages of their own, and the first of their children
+    wanted = found.where("child").join(direct.select(key).distinct(), key, "left_anti").withColumn("n", place).where(F.col("n") <= most).select(key, "n", "url")
+    bodies = read(wanted.select("url").distinct()).where("body is not null").select("url", F.col("body").alias("xml"))
+    below = sitemap(wanted.join(bodies, "url").select(F.struct(key, "n").alias("at"), "xml"), "at", F.col("xml")).where(~F.col("child"))
+    order = F.row_number().over(Window.partitionBy(f"at.{key}").orderBy("at.n", "pos"))
+    return direct.select(key, "pos", "url", "lastmod").unionByName(below.select(F.col(f"at.{key}").alias(key), (order - 1).alias("pos"), "url", "lastmod"))
+
+
+def read_pages(pages: DataFrame, key: str = "url") -> DataFrame:
+    """(key, title, text, links) of pages (key, markdown, html): from the markdown where there is any that says something, else from the HTML; a
+    page without a title has one made of its address."""
+    md, page = M.markdown_text(F.col("markdown")), M.page_column(F.col("html"))
+    read = pages.withColumn("md", F.coalesce(md, F.lit(""))).withColumn("p", page)
+    from_md = F.col("md") != ""
+    prose = F.array_join(F.transform(F.filter("p.blocks", lambda b: b["text"].rlike(r"[.!?]$") & (F.size(F.split(b["text"], " ")) >= 6)), lambda b: b["text"]), " ")
+    title = F.coalesce(_blank(F.when(from_md, M.markdown_title(F.col("markdown"))).otherwise(F.col("p.title"))), U.title(F.col(key)))
+    hrefs = F.regexp_extract_all("html", F.lit("(?i)href\\s*=\\s*[\"']([^\"'#]+)[\"']"), F.lit(1))
+    links = F.array_distinct(F.when(from_md, M.markdown_links(F.col("markdown"))).otherwise(F.coalesce(hrefs, F.expr("cast(array() as array<string>)"))))
+    return read.select(key, title.alias("title"), F.when(from_md, F.col("md")).otherwise(F.coalesce(_blank(prose), F.col("p.text"))).alias("text"), links.alias("links"))
+
+
+def enrich(signals: DataFrame, pages: DataFrame, source: str = "blog") -> DataFrame:
+    """signals (id, source, title, published_at) of one source with what their pages (id, title, published, text, image) say: the page's title if
+    there is one, the date that was known or else the page's, the text and the picture. Others, and those whose page was not read, stay."""
+    p = pages.select("id", F.col("title").alias("_title"), F.col("published").alias("_published"), F.left("text", F.lit(BODY)).alias("_body"), F.col("image").alias("_image"))
+    out = signals.join(p, "id", "left")
+    mine = F.col("source") == source
+    return out.select(
+        *[c for c in signals.columns if c not in ("title", "published_at")], F.when(mine, F.coalesce(_blank(F.col("_title")), "title")).otherwise(F.col("title")).alias("title"),
+        F.when(mine, F.coalesce("published_at", parsed_date(F.col("_published")))).otherwise(F.col("published_at")).alias("published_at"), F.when(mine, F.col("_body")).alias("body"), F.when(mine, F.col("_image")).alias("image"),
+    )
+
+
+#: The schema of a timeline's reply, how many posts count, and how long a post's title is.
+TIMELINE = "data array<struct<id: string, text: string, created_at: string, attachments: struct<media_keys: array<string>>>>, includes struct<media: array<struct<media_key: string, type: string, url: string, preview_image_url: string>>>"
+MOST_POSTS, POST_TITLE = 10, 120
+
+
+def timeline_posts(replies: DataFrame, key: str, json: Column, most: int = MOST_POSTS) -> DataFrame:
+    """(key, pos, external_id, title, published_at, text, image) of replies: the first most posts, without reposts and answers (RT and @ at their
+    start, where the address did not leave them out). A post's picture is the first of its attachments, in their order, that has one."""
+    r = replies.select(key, F.from_json(json, TIMELINE).alias("t"))
+    mine = F.filter("t.data", lambda p: ~p["text"].rlike("^(RT )?@"))
+    posts = r.select(key, F.posexplode(F.slice(mine, 1, most)).alias("pos", "p"), F.coalesce("t.includes.media", F.expr("cast(array() as array<struct<media_key:string,type:string,url:string,preview_image_url:string>>)")).alias("media"))
+    of = lambda k: F.get(F.filter("media", lambda m: m["media_key"] == k), F.lit(0))
+    images = F.filter(F.transform(F.coalesce("p.attachments.media_keys", F.expr("cast(array() as array<string>)")), lambda k: F.coalesce(of(k)["url"], of(k)["preview_image_url"])), lambda u: u.isNotNull())
+    return posts.select(key, "pos", F.col("p.id").alias("external_id"), truncate(collapse(F.col("p.text")), POST_TITLE).alias("title"), F.try_to_timestamp("p.created_at").alias("published_at"), F.col("p.text").alias("text"), F.get(images, F.lit(0)).alias("image"))
+
+
 def collect(spark, sources: dict, schema: str) -> tuple[DataFrame, int, list[str]]:
-    """The union of all sources (name -> function that returns a DataFrame), how many were read, and notes on those that failed: one that
-    fails costs its own rows, never the run."""
+    """The union of all sources (name -> function that returns a DataFrame), how many were read, and notes on those that failed. Each is run and
+    written by itself, so one that fails, while it is planned or while it runs, costs its own rows, never the run."""
     out, read, notes = spark.createDataFrame([], schema), 0, []
     for name, f in sources.items():
         try:
-            part = f()
-            part.schema  # noqa: B018  fails here if it can't be planned
-            out = out.unionByName(part)
+            out = out.unionByName(written(f().select(*out.columns)))
             read += 1
         except Exception as e:  # noqa: BLE001
             notes.append(f"{name}: {type(e).__name__}")

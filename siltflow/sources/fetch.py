@@ -2,44 +2,74 @@
 
 from __future__ import annotations
 
+import json
 import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
-#: Statuses worth another attempt, and the first pause in seconds; pauses double.
-RETRIED, PAUSE, ATTEMPTS = frozenset({408, 425, 429}), 0.5, 3
+#: Statuses worth another attempt, and the first pause in seconds; pauses double. Statuses of pages that are gone for good.
+RETRIED, PAUSE, ATTEMPTS, GONE = frozenset({408, 425, 429}), 0.5, 3, (404, 410)
 
+#: Opens an address by a method (GET, HEAD): (status, content type, body). It raises OSError where there is no answer.
+Opener = Callable[[str, str], tuple[int, str, str]]
 
-class Gone(Exception):
-    """The page no longer exists (404, 410)."""
 
-
-def fetch(url: str, opener: Callable[[str], tuple[int, str]], attempts: int = ATTEMPTS, sleep: Callable[[float], None] = time.sleep) -> tuple[int, str | None]:
-    """(status, body): retried on 408, 425, 429, 5xx and network errors; other failures at once. Status 0: no answer."""
-    status = 0
-    for n in range(attempts):
-        if n:
-            sleep(PAUSE * 2 ** (n - 1))
+def fetch(url: str, opener: Opener, attempts: int = ATTEMPTS, sleep: Callable[[float], None] = time.sleep, method: str = "GET") -> tuple[int, str | None, str | None, int]:
+    """(status, content type, body, attempts made): retried on 408, 425, 429, 5xx and network errors; other failures at once. Status 0: no
+    answer. Type and body are None unless the status tells success."""
+    status, n = 0, 0
+    for n in range(1, attempts + 1):
+        if n > 1:
+            sleep(PAUSE * 2 ** (n - 2))
         try:
-            status, body = opener(url)
+            status, kind, body = opener(url, method)
         except OSError:
             status = 0
             continue
         if status < 400:
-            return status, body
+            return status, kind, body, n
         if status not in RETRIED and status < 500:
             break
-    return status, None
+    return status, None, None, n
 
 
-def fetch_all(rows: DataFrame, opener: Callable[[str], tuple[int, str]], url: str = "url") -> DataFrame:
-    """(url, status, body) of each row; a page that can't be read costs its own row only. Spread rows over partitions to spread requests."""
+def fetch_all(rows: DataFrame, opener: Opener, url: str = "url", attempts: int = ATTEMPTS, sleep: Callable[[float], None] = time.sleep, method: str = "GET") -> DataFrame:
+    """(url, status, content_type, body, attempts) of each row; a page that can't be read costs its own row only. Spread rows over partitions to
+    spread requests."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            got = [fetch(u, opener) for u in pdf[url]]
-            yield pd.DataFrame({"url": pdf[url], "status": [s for s, _ in got], "body": [b for _, b in got]})
+            got = [fetch(u, opener, attempts, sleep, method) for u in pdf[url]]
+            yield pd.DataFrame({"url": pdf[url], **{c: [g[i] for g in got] for i, c in enumerate(("status", "content_type", "body", "attempts"))}})
+
+    return rows.select(url).mapInPandas(run, "url string, status int, content_type string, body string, attempts int")
+
+
+def is_gone(status: Column) -> Column:
+    """Whether a page no longer exists, which retires it at once; no other failure does."""
+    return status.isin(*GONE)
+
+
+def content_type(rows: DataFrame, opener: Opener, url: str = "url") -> DataFrame:
+    """(url, content_type): what a page says it is, by a HEAD request, in one attempt; null where it fails."""
+    return fetch_all(rows, opener, url, 1, method="HEAD").select("url", "content_type")
+
+
+def fetch_json(rows: DataFrame, opener: Opener, schema: str, url: str = "url", **options) -> DataFrame:
+    """(url, status, value): the bodies read as JSON of a schema; null where there is none or it isn't valid."""
+
+    @F.pandas_udf("boolean")
+    def valid(bodies: pd.Series) -> pd.Series:
+        def one(b):
+            try:
+                json.loads(b)
+                return True
+            except (TypeError, ValueError):
+                return False
+
+        return bodies.map(one).astype(bool)
 
-    return rows.select(url).mapInPandas(run, "url string, status int, body string")
+    return fetch_all(rows, opener, url, **options).select("url", "status", F.when(valid("body"), F.from_json("body", schema)).alias("value"))

@@ -102,7 +102,7 @@ def test_markup():
 
 def test_markdown(spark):
     md = "---\ntitle: T\n---\n# H\n\nSome *bold* [link](/a) [here](#x) ![i](/i.png)\n```sh\ncode\n```"
-    assert column(spark, [md], M.markdown_text) == ["H Some bold link here code"]
+    assert column(spark, [md], M.markdown_text) == ["H Some bold link here"]
     assert column(spark, [md, "# H\nx", "plain"], M.markdown_title) == ["T", "H", None]
     assert column(spark, [md], M.markdown_links) == [["/a"]]
 

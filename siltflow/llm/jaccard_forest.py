@@ -1,13 +1,14 @@
 """N-gram Jaccard join by a MinHash LSH forest.
 
 Each distinct text has a MinHash signature, cut into TREES labels of DEPTH values. A tree of the forest is the sorted list of one label of
-every text, in which a node of the prefix trie is a run of equal prefixes. The join starts at whole labels; from the similarities of the links
-found there it estimates what share of all links each prefix length finds (a link of similarity s meets with chance 1 - (1 - s^d)^TREES at
-depth d) and shortens the prefixes to the longest length that reaches the target.
+every text, in which a node of the prefix trie is a run of equal prefixes. A pair of similarity s meets with chance 1 - (1 - s^d)^TREES at depth
+d. The join starts at the longest prefixes that find a pair just at the threshold with LEAST_CHANCE; from the similarities of the links found
+there it estimates what share of all links they are, and shortens the prefixes, by one value at a time, until that reaches the target.
 
 Pairs are never rows. A run ties its texts to its least one, which is linear in its size; texts tied together, over any number of steps, form
-a candidate group, in which every two texts are verified by their exact Jaccard similarity. A large group is dealt into blocks, each pair of
-blocks a task, so that no task holds more than two. A task returns, for each text, how many links it has there and the least text that these
+a candidate group, in which every two texts are verified by their exact Jaccard similarity, as the number of a text's links is part of the
+result. A large group is dealt into blocks by a hash, of so many texts and shingles at most on average, each pair of blocks a task, so that no
+task holds more than two. A task returns, for each text, how many links it has there and the least text that these
 links reach, so a group of copies of one another costs rows in proportion to its size.
 """
 
@@ -15,7 +16,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
@@ -24,8 +25,8 @@ from .shared import bounded_batches, by_text, mix, only, shingle_hashes, written
 TREES, DEPTH, THRESHOLD, TARGET = 20, 6, 0.8, 0.9999
 #: Least chance that the forest finds a pair just at the threshold, whatever the links found so far suggest.
 LEAST_CHANCE = 0.9995
-#: Texts in a block of a candidate group.
-BLOCK = 256
+#: Texts, and shingles of them, in a block of a candidate group.
+BLOCK, BLOCK_SHINGLES = 256, 2_000_000
 
 _SEEDS = mix(np.arange(1, 2 * TREES * DEPTH + 1, dtype=np.uint64))
 _XOR, _MUL = (_SEEDS[: TREES * DEPTH] >> np.uint64(32)).astype(np.uint32), (_SEEDS[TREES * DEPTH :] >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
@@ -116,9 +117,9 @@ def roots(linked: np.ndarray) -> np.ndarray:
         root = new
 
 
-def _verify_group(ids: np.ndarray, side: np.ndarray, sets: list[np.ndarray], threshold: float):
+def _verify_group(ids: np.ndarray, side: np.ndarray, sets: list[np.ndarray], threshold: float, depth: int = DEPTH):
     """(id, links, root, stand) of the texts of a pair of blocks; within one block (all side 0) every two, else those of different sides.
-    stand: for how many links its links stand, each for 1 / its chance at full depth, and how many of these each depth, from 1 on, finds."""
+    stand: for how many links its links stand, each for 1 / its chance at this depth, and how many of these each depth, from 1 on, finds."""
     by = np.argsort(ids, kind="stable")
     ids, side, sets = ids[by], side[by], [sets[i] for i in by]
     both = shared(sets).astype(float)
@@ -129,13 +130,13 @@ def _verify_group(ids: np.ndarray, side: np.ndarray, sets: list[np.ndarray], thr
     if side.any():
         linked &= side[:, None] != side[None, :]
     similarity = np.where(linked, similarity, 1.0)
-    one = np.where(linked, 1 / chance(similarity, DEPTH), 0)
+    one = np.where(linked, 1 / chance(similarity, depth), 0)
     stand = np.stack([one.sum(axis=1), *[(one * chance(similarity, d)).sum(axis=1) for d in range(1, DEPTH + 1)]], axis=1)
     some = np.flatnonzero(linked.any(axis=1))
     return ids[some], linked.sum(axis=1)[some], ids[roots(linked)][some], list(stand[some])
 
 
-def _verify(threshold: float):
+def _verify(threshold: float, depth: int):
     def run(batches):
         held: list[tuple] = []
 
@@ -143,7 +144,7 @@ def _verify(threshold: float):
             if len(held) < 2:
                 return None
             _, ids, side, raw = zip(*held, strict=True)
-            found = _verify_group(np.array(ids), np.array(side), [np.frombuffer(x, np.uint64) for x in raw], threshold)
+            found = _verify_group(np.array(ids), np.array(side), [np.frombuffer(x, np.uint64) for x in raw], threshold, depth)
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(found, (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.float64())), strict=True)], ["id", "links", "root", "stand"])
 
         for batch in batches:
@@ -172,17 +173,18 @@ def _groups(nodes: DataFrame, depth: int) -> DataFrame:
 def _found(base: DataFrame, nodes: DataFrame, depth: int, threshold: float) -> DataFrame:
     """(id, links, root, stand): for each text and task the links verified there."""
     tied = _groups(nodes, depth)
-    size = tied.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    place = F.row_number().over(Window.partitionBy("component").orderBy("n", "id"))
-    placed = tied.join(nodes.select("id", "node", "n", F.col("doc_id").alias("one")), "id").withColumn("block", F.floor((place - 1) / BLOCK).cast("int")).join(size, "component")
-    texts = placed.join(base, "node").where(F.col("one").eqNullSafe(F.col("doc_id"))).select("id", "component", "block", "blocks", "text")
+    held = tied.join(nodes.select("id", F.col("node").alias("of"), "n", F.col("doc_id").alias("one")), "id")
+    size = held.groupBy("component").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+    placed = held.join(size, "component").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    # by the id too, so that copies of one text don't meet in one key
+    texts = placed.join(base, (F.col("of") == F.col("node")) & F.col("one").eqNullSafe(F.col("doc_id"))).select("id", "component", "block", "blocks", "text")
     schema = "id long, component long, block int, blocks int, sh binary"
     sets = written(texts.mapInArrow(_sets, schema), "sets").dropDuplicates(["id"])
     dealt = sets.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     lo, hi = F.least("block", "other"), F.greatest("block", "other")
     dealt = dealt.select("component", lo.alias("lo"), hi.alias("hi"), (F.col("block") > F.col("other")).cast("int").alias("side"), "id", "sh")
     dealt = dealt.repartition("component", "lo", "hi").sortWithinPartitions("component", "lo", "hi")
-    return written(dealt.mapInArrow(_verify(threshold), "id long, links long, root long, stand array<double>"), "links")
+    return written(dealt.mapInArrow(_verify(threshold, depth), "id long, links long, root long, stand array<double>"), "links")
 
 
 def signatures(base: DataFrame) -> DataFrame:
@@ -198,13 +200,15 @@ def links(docs: DataFrame, threshold: float = THRESHOLD, target: float = TARGET)
     bounded_batches(docs.sparkSession)
     base = with_nodes(docs)
     nodes = signatures(base)
-    depth = DEPTH
-    found = _found(base, nodes, depth, threshold)
-    stand = found.agg(*[F.coalesce(F.sum(F.col("stand")[d]), F.lit(0.0)) for d in range(DEPTH + 1)]).first()
-    # shorten until the links' estimated recall and the chance of a pair just at the threshold are high enough
-    while depth > 1 and not (chance(threshold, depth) >= target or stand[0] and chance(threshold, depth) >= LEAST_CHANCE and stand[depth] / stand[0] >= target):
+    depth = max((d for d in range(1, DEPTH + 1) if chance(threshold, d) >= LEAST_CHANCE), default=1)
+    while True:
+        found = _found(base, nodes, depth, threshold)
+        if depth == 1 or chance(threshold, depth) >= target:
+            return nodes, found
+        every, mine = found.agg(*[F.coalesce(F.sum(F.col("stand")[d]), F.lit(0.0)) for d in (0, depth)]).first()
+        if mine >= target * every:
+            return nodes, found
         depth -= 1
-    return nodes, found if depth == DEPTH else _found(base, nodes, depth, threshold)
 
 
 def _classes(docs: DataFrame, threshold: float, target: float) -> tuple[DataFrame, DataFrame]:

@@ -26,6 +26,8 @@ from .shared import bounded_batches, only
 
 KINDS = ("email", "ip", "card", "phone")
 SHAPES, ROUNDS, DAMPING, LEAST = 1 << 13, 12, 0.3, 0.9
+#: Characters between neighbours on the chain; further apart, tokens say nothing of one another but by skips.
+NEAR = 40
 #: Largest change of a message at which passing ends.
 CHANGE = 1e-4
 #: Potential that holds a node in a pattern's span at its kind; bound of the trained potentials.
@@ -88,8 +90,8 @@ def _length(n: int) -> str:
 
 
 def shape(token: str) -> str:
-    """Digit runs become d and their length's class, letter runs a; other characters stay; 24 characters at most."""
-    return _RUN.sub(lambda m: "d" + _length(len(m[0])) if m[0][0].isdigit() else "a", token[:200])[:24]
+    """Digit runs become d and their length's class, letter runs a; other characters stay."""
+    return _RUN.sub(lambda m: "d" + _length(len(m[0])) if m[0][0].isdigit() else "a", token)
 
 
 class Field:
@@ -125,7 +127,7 @@ class Field:
             while k < len(spans) and spans[k][0] < self.end[i]:
                 self.fixed[i] = 1 + spans[k][2]
                 k += 1
-        self.chain = [(i, i + 1) for i in range(n - 1) if self.start[i + 1] - self.end[i] <= 40]
+        self.chain = [(i, i + 1) for i in range(n - 1) if self.start[i + 1] - self.end[i] <= NEAR]
         last, self.skip = {}, []
         for i, mine in enumerate(keys):
             for key in mine:

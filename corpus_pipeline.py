@@ -2,6 +2,10 @@
 
 STAGES lists (name, function); a function takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as
 the next one's docs. All but the last return the columns of documents; the last returns each text's encoding.
+
+In every stage a null text counts as empty but stays null in what is handed on; a row with a null id, and rows that repeat an id or a text, are
+rows like any other (near duplicates but for copies of a text, of which one row stays); further columns of any name are left out; an empty table
+gives an empty one; a text of any length is read whole. Ties are broken by the least doc_id, then by the text's digest.
 """
 
 from __future__ import annotations
@@ -18,27 +22,28 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier rejects go."""
+    """Documents that the quality classifier rejects go. Empty texts are judged like others, by features that are all 0; without labels all stay."""
     return quality.keep_good(docs, table(spark, sf_dir, "labels"))
 
 
 def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate class stays, that of the least doc_id."""
+    """One document of each near-duplicate class stays, that of the least doc_id. Null and empty texts are copies of one another; a text of fewer
+    than five words is one shingle, so that it is near to texts of exactly its words alone."""
     return jaccard_forest.keep_one(only(docs, *COLUMNS))
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that contain a benchmark item go."""
+    """Documents that contain a benchmark item go, each judged by its own text. A text or item without words contains, or is in, nothing."""
     return decontaminate.decontaminate(only(docs, *COLUMNS), table(spark, sf_dir, "benchmark"))
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data is masked; n_chars follows the text."""
+    """Personal data is masked; n_chars follows the text. Null texts stay null, and so does their n_chars; every row stays."""
     return pii.mask(only(docs, *COLUMNS))
 
 
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each text is encoded and decoded: doc_id, n_tokens and the digests of both."""
+    """Each text is encoded and decoded: doc_id, n_tokens and the digests of both. Null and empty texts have no ids, and the digests of nothing."""
     return bpe.round_trip(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 

@@ -72,8 +72,8 @@ def test_diff_pinned():
     assert D.loose_span("hello world", "say Hello,  WORLD! now") == (4, 18)
     assert D.loose_span("absent", "text") is None
     assert D.copy_runs("a b c", "x a b y") == [{"kind": "new", "text": "x a b y"}]
-    same, gone, new = D.diff("Railway bills by the minute, always.", "railway Bills by the second – always")[:3]
-    assert (same["text"], gone["text"], new["text"]) == ("Railway bills by the ", "minute, ", "second – ")
+    same, gone, new = D.diff("Acme bills by the minute, always.", "acme Bills by the second – always")[:3]
+    assert (same["text"], gone["text"], new["text"]) == ("Acme bills by the ", "minute, ", "second – ")
     assert D.summary(D.diff("One, two", "one two!")) == "no words changed, only punctuation or casing"
     runs = D.copy_runs("it keeps one two three four five", "Now it keeps one two three four five and more")
     assert [(r["kind"], r["text"]) for r in runs] == [("new", "Now"), ("kept", " it keeps one two three four five "), ("new", "and more")]

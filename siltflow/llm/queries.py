@@ -1,4 +1,4 @@
-"""The queries op1 to op10 and the pipeline, with their DuckDB equivalents."""
+"""The queries op1 to op13, with their DuckDB equivalents."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, jaccard_forest, pii, quality, rans, secret_scan, templates, toxicity, vp_trees
+from . import bpe, decontaminate, exact_topk, jaccard_forest, pii, quality, rans, secret_scan, templates, toxicity, vp_trees
 from .shared import table
 
 
@@ -62,6 +62,11 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.report(table(spark, sf_dir, "documents"))
 
 
+def op11_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 highest integer inner products of every twentieth vector with all others."""
+    return exact_topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -75,6 +80,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_token_ids,
         op9_quality,
         op10_secrets,
+        op11_exact_topk,
     )
 }
 
@@ -122,5 +128,12 @@ WITH v AS (
   WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
 s AS (SELECT q.n, q.vec_id AS query_id, c.n AS m, c.vec_id, list_inner_product(q.v, c.v) AS score FROM v q JOIN v c ON q.vec_id % 20 = 0 AND q.n <> c.n AND len(q.v) = len(c.v)),
 r AS (SELECT query_id, row_number() OVER (PARTITION BY n ORDER BY score DESC, vec_id, m)::INTEGER AS rank, vec_id, score FROM s)
+SELECT * FROM r WHERE rank <= 20""",
+    "op11_exact_topk": """
+WITH v AS (
+  SELECT row_number() OVER () AS n, vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+s AS (SELECT q.n, q.vec_id AS query_id, c.n AS m, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score FROM v q JOIN v c ON q.vec_id % 20 = 0 AND q.n <> c.n AND len(q.v) = len(c.v)),
+r AS (SELECT query_id, row_number() OVER (PARTITION BY n ORDER BY score DESC, vec_id, m)::INTEGER AS rank, vec_id, score FROM s)
 SELECT * FROM r WHERE rank <= 20""",
 }

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, exact_topk, jaccard_forest, pii, quality, rans, secret_scan, templates, toxicity, vp_trees
+from . import bpe, decontaminate, erasure, exact_topk, jaccard_forest, pii, quality, rans, secret_scan, templates, toxicity, vp_trees
 from .shared import table
 
 
@@ -67,6 +67,11 @@ def op11_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
+def op12_erasure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The shop's tables laid out in files, and the victims erased from them: a row for each file that is left, from what is in it."""
+    return erasure.report(erasure.rewrite(*(table(spark, sf_dir, name) for name in ("clients", "clicks", "sales", "sale_lines"))))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -81,6 +86,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op9_quality,
         op10_secrets,
         op11_exact_topk,
+        op12_erasure,
     )
 }
 

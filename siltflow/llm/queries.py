@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, erasure, exact_topk, jaccard_forest, pii, quality, rans, secret_scan, templates, toxicity, vp_trees
+from . import alignment, bpe, decontaminate, erasure, exact_topk, jaccard_forest, pii, quality, rans, secret_scan, templates, toxicity, vp_trees
 from .shared import table
 
 
@@ -72,6 +72,11 @@ def op12_erasure(spark: SparkSession, sf_dir: str) -> DataFrame:
     return erasure.report(erasure.rewrite(*(table(spark, sf_dir, name) for name in ("clients", "clicks", "sales", "sale_lines"))))
 
 
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text's tokens by two tokenizers, grouped where both end at one byte, and their links by how common these are."""
+    return alignment.report(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -87,6 +92,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op10_secrets,
         op11_exact_topk,
         op12_erasure,
+        op13_token_alignment,
     )
 }
 

@@ -1,15 +1,19 @@
-"""BM25 retrieval with a cap per section, batched over any number of queries."""
+"""BM25 retrieval with a cap per section, batched over any number of queries, on a stored index that changes by segments."""
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import hashlib
+import inspect
+import json
+import uuid
+from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import urls as U
-from ..storage import written
+from ..storage import commit, latest, work_dir, written
 
 K1, B, TITLE_WEIGHT, OVERVIEW_BOOST, LEAST_TERM = 1.5, 0.75, 3, 1.2, 3
 #: Words too common to search for.
@@ -47,35 +51,150 @@ def terms(text: Column) -> Column:
     return F.filter(F.transform(T.words(F.coalesce(text, F.lit(""))), T.stem), searchable)
 
 
-@dataclass
 class Index:
-    """tf(url, term, f), length(url, len), df(term, df), stats(n, avg) and the pages (url, title, text, section, kind, overview)."""
+    """A stored index of pages (url, title, text, section, kind, overview), made of segments that are written once.
 
-    pages: DataFrame
-    tf: DataFrame
-    length: DataFrame
-    df: DataFrame
-    stats: DataFrame
+    A segment has docs (url, hash, len, section, kind, overview, terms, fs), blocks of postings (term, section, kind, top, urls, fs, lens), terms
+    (term, df), dead (seg, url: pages of earlier segments that it replaces or drops) and a line of counts in the manifest. df and counts of a
+    segment have what it takes away subtracted, so that sums over segments are those of the pages that are alive. top is the greatest gain in a
+    block, without the idf, at the average length of its time.
+    """
 
+    def __init__(self, pages: DataFrame, store: str, segments: list[dict]):
+        self.pages, self.store, self.segments = pages, store, segments
 
-def build(pages: DataFrame, store: str | None = None) -> Index:
-    """pages: url, title, text, section, kind, overview. Pages without text aren't indexed; statistics are over all others. A page without a
-    title has one made of its url. store: a folder; its tables are written there once, and every search reads them."""
+    def table(self, name: str) -> DataFrame:
+        """One of the tables over all segments, with seg."""
+        spark, out = self.pages.sparkSession, None
+        for s in self.segments:
+            df = spark.read.parquet(f"{self.store}/{s['name']}/{name}")
+            df = df if name == "dead" else df.withColumn("seg", F.lit(s["name"]))
+            out = df if out is None else out.unionByName(df)
+        return out
+
+    @property
+    def docs(self) -> DataFrame:
+        """The pages that are alive."""
+        docs = self.table("docs")
+        return docs if len(self.segments) == 1 else docs.join(self.table("dead"), ["seg", "url"], "left_anti")
+
+    @property
+    def tf(self) -> DataFrame:
+        return self.docs.select("url", F.explode(F.arrays_zip("terms", "fs")).alias("x")).select("url", F.col("x.terms").alias("term"), F.col("x.fs").alias("f"))
+
+    @property
+    def df(self) -> DataFrame:
+        return self.table("terms").groupBy("term").agg(F.sum("df").alias("df")).where("df > 0")
+
+    @property
+    def length(self) -> DataFrame:
+        return self.docs.select("url", "len")
+
+    @property
+    def counts(self) -> tuple[int, float]:
+        """Pages, and their average length (1 if there are none, or none has terms)."""
+        n, total = (sum(s[k] for s in self.segments) for k in ("n", "total"))
+        return n, (total / n if n and total else 1.0)
+
+    @property
+    def stats(self) -> DataFrame:
+        n, total = (sum(s[k] for s in self.segments) for k in ("n", "total"))
+        return self.pages.sparkSession.createDataFrame([(n, total / n if n else None)], "n long, avg double")
+
+
+#: Postings of a block on average, and blocks of a term by gain: one for each so large a step of it.
+BLOCK_ROWS, GAIN_STEP = 1024, 0.25
+#: Pages that are scored first for each query (and section, if these are capped), of its blocks with the greatest gains.
+SEED_ROWS, SEED_BLOCKS = 256, 8
+SLACK = 1e-5  # scores are rounded to 6 places
+
+
+def gain(f: Column, length: Column, average: float) -> Column:
+    """What a term adds to a page's score, without its idf."""
+    return f * (K1 + 1) / (f + K1 * (1 - B + B * length / average))
+
+
+@lru_cache(maxsize=None)
+def version() -> str:
+    """Changes with the code that makes an index."""
+    return hashlib.sha1((inspect.getsource(T) + inspect.getsource(inspect.getmodule(version))).encode()).hexdigest()[:12]
+
+
+def _held(pages: DataFrame) -> DataFrame:
+    """Pages that have text, with a title made of the url where there is none, and a digest of all that the index knows of them."""
     held = pages.where(F.trim(F.coalesce("text", F.lit(""))) != "").withColumn("title", F.coalesce(F.nullif(F.trim("title"), F.lit("")), U.title(F.col("url").cast("string"))))
-    # both texts of a page are stemmed in one pass; every token is stemmed once
-    weighed = F.array(F.struct(terms(F.col("text")).alias("t"), F.lit(1).alias("w")), F.struct(terms(F.col("title")).alias("t"), F.lit(TITLE_WEIGHT).alias("w")))
-    each = held.select("url", F.explode(weighed).alias("x")).select("url", F.explode("x.t").alias("term"), "x.w")
-    tf = each.groupBy("url", "term").agg(F.sum("w").cast("long").alias("f"))
-    keep = (lambda df, name: written(df, f"{store}/{name}")) if store else (lambda df, name: df)
-    tf = keep(tf, "tf")
-    length = keep(held.select("url").join(tf.groupBy("url").agg(F.sum("f").alias("len")), "url", "left").select("url", F.coalesce("len", F.lit(0)).alias("len")), "length")
-    df = keep(tf.groupBy("term").agg(F.count("*").alias("df")), "df")
-    return Index(held, tf, length, df, keep(length.agg(F.count("*").alias("n"), F.avg("len").alias("avg")), "stats"))
+    return held.withColumn("hash", F.sha1(F.to_json(F.struct("title", "text", "section", "kind", "overview"))))
+
+
+def _segment(store: str, name: str, held: DataFrame, dead: DataFrame, dropped: DataFrame, before: tuple[int, int]) -> dict:
+    """Writes a segment of pages; dead: (seg, url) that it takes away, dropped: their docs. before: pages and total length so far."""
+    spark, to = held.sparkSession, f"{store}/{name}"
+    weighed = F.array(F.struct(T.words(F.coalesce("text", F.lit(""))).alias("t"), F.lit(1).alias("w")), F.struct(T.words(F.coalesce("title", F.lit(""))).alias("t"), F.lit(TITLE_WEIGHT).alias("w")))
+    each = held.select("url", F.explode(weighed).alias("x")).select("url", F.explode("x.t").alias("word"), "x.w")
+    # a page's distinct words are stemmed, not its tokens
+    stems = each.groupBy("url", "word").agg(F.sum("w").alias("f")).select("url", T.stem(F.col("word")).alias("term"), "f").where(searchable(F.col("term")))
+    tf = stems.groupBy("url", "term").agg(F.sum("f").cast("long").alias("f"))
+    lists = tf.groupBy("url").agg(F.array_sort(F.collect_list(F.struct("term", "f"))).alias("x"))
+    zero = lambda kind: F.array().cast(kind)
+    docs = held.select("url", "hash", "section", "kind", "overview").join(lists, "url", "left")
+    docs = docs.select("url", "hash", "section", "kind", "overview", F.coalesce(F.col("x.term"), zero("array<string>")).alias("terms"), F.coalesce(F.col("x.f"), zero("array<bigint>")).alias("fs"))
+    docs = written(docs.withColumn("len", F.aggregate("fs", F.lit(0).cast("long"), lambda a, f: a + f)), f"{to}/docs")
+    dead = written(dead, f"{to}/dead")
+    new = docs.agg(F.count("*"), F.coalesce(F.sum("len"), F.lit(0))).first()
+    old = dropped.agg(F.count("*"), F.coalesce(F.sum("len"), F.lit(0))).first()
+    n, total = new[0] - old[0], new[1] - old[1]
+    average = (before[1] + total) / (before[0] + n) if before[0] + n and before[1] + total else 1.0
+    posted = docs.select("url", "len", "section", "kind", F.explode(F.arrays_zip("terms", "fs")).alias("x")).select(F.col("x.terms").alias("term"), "section", "kind", "url", F.col("x.fs").alias("f"), "len")
+    own = gain(F.col("f"), F.col("len"), average)
+    posted = posted.withColumn("gain", own).withColumn("level", F.floor(F.col("gain") / GAIN_STEP).cast("int"))
+    key = ("term", "section", "kind", "level")
+    # only lists of several blocks are cut by a hash of the page
+    many = posted.groupBy(*key).agg(F.ceil(F.count("*") / BLOCK_ROWS).alias("parts")).where("parts > 1")
+    null_safe = [F.col(f"p.{k}").eqNullSafe(F.col(f"m.{k}")) for k in key]
+    cut = posted.alias("p").join(many.alias("m"), null_safe, "left").select("p.*", F.coalesce(F.pmod(F.xxhash64("p.url"), F.col("m.parts")), F.lit(0)).alias("part"))
+    blocks = cut.groupBy(*key, "part").agg(F.max("gain").alias("top"), F.count("*").cast("int").alias("n"), F.collect_list(F.struct("url", "f", "len")).alias("x"))
+    blocks.select("term", "section", "kind", "top", "n", F.col("x.url").alias("urls"), F.col("x.f").alias("fs"), F.col("x.len").alias("lens")).sortWithinPartitions("term").write.parquet(f"{to}/blocks")
+    signed = docs.select(F.explode("terms").alias("term"), F.lit(1).alias("d")).unionByName(dropped.select(F.explode("terms").alias("term"), F.lit(-1).alias("d")))
+    signed.groupBy("term").agg(F.sum("d").alias("df")).where("df <> 0").write.parquet(f"{to}/terms")
+    return {"name": name, "n": n, "total": total, "avg": average}
 
 
-def stored(pages: DataFrame, store: str) -> Index:
-    """The index that build() left in a folder, of the same pages."""
-    return Index(pages.where(F.trim(F.coalesce("text", F.lit(""))) != ""), *[pages.sparkSession.read.parquet(f"{store}/{name}") for name in ("tf", "length", "df", "stats")])
+def build(pages: DataFrame, store: str | None = None) -> Index:
+    """An index of pages (url, title, text, section, kind, overview) in a folder, a new one if none is named. Pages without text aren't indexed;
+    statistics are over all others. urls are unique."""
+    spark = pages.sparkSession
+    store = store or f"{work_dir(spark)}/index-{uuid.uuid4().hex}"
+    held, name = _held(pages), f"seg-{uuid.uuid4().hex}"
+    none = held.select(F.lit("").alias("seg"), "url").limit(0)
+    first = _segment(store, name, held, none, spark.createDataFrame([], "len long, terms array<string>"), (0, 0))
+    commit(spark, f"{store}/manifest", 0, json.dumps([first]))
+    return stored(pages, store)
+
+
+def stored(pages: DataFrame, store: str) -> Index | None:
+    """The index that a folder has of pages; None if it has none, or was never finished."""
+    found = latest(pages.sparkSession, f"{store}/manifest")
+    return Index(pages.where(F.trim(F.coalesce("text", F.lit(""))) != ""), store, json.loads(found[1])) if found else None
+
+
+def update(index: Index, pages: DataFrame) -> Index:
+    """The index after pages took the place of those that it was made of: only what is new or differs is read into terms, as a segment of its own;
+    what differs or is gone is dead in the segments before."""
+    spark = pages.sparkSession
+    number, text = latest(spark, f"{index.store}/manifest")
+    index = Index(index.pages, index.store, json.loads(text))
+    held, docs = _held(pages), index.docs
+    now, was = held.select("url", "hash"), docs.select("seg", "url", F.col("hash").alias("old"))
+    name = f"seg-{uuid.uuid4().hex}"
+    differ = written(now.join(was, "url", "full").where(~F.col("hash").eqNullSafe(F.col("old"))), f"{index.store}/{name}/differ")
+    new, dead = differ.where("hash is not null").select("url"), differ.where("old is not null").select("seg", "url")
+    if not differ.take(1):
+        return Index(stored(pages, index.store).pages, index.store, index.segments)
+    dropped = index.table("docs").join(dead, ["seg", "url"], "left_semi").select("len", "terms")
+    before = tuple(sum(s[k] for s in index.segments) for k in ("n", "total"))
+    segment = _segment(index.store, name, held.join(new, "url", "left_semi"), dead, dropped, before)
+    commit(spark, f"{index.store}/manifest", number + 1, json.dumps([*index.segments, segment]))
+    return stored(pages, index.store)
 
 
 def query_terms(queries: DataFrame) -> DataFrame:
@@ -84,24 +203,19 @@ def query_terms(queries: DataFrame) -> DataFrame:
     return raw.where(searchable(F.col("term"))).groupBy("qid", "term").agg(F.min("pos").alias("pos"))
 
 
-def scores(index: Index, queries: DataFrame, kinds: list[str] | None = None) -> DataFrame:
-    """(qid, url, score, matched, section): BM25 with the overview boost, rounded to 6 places; kinds restrict the pages, not the statistics."""
-    n = F.col("n")
-    idf = F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    # only postings of terms that are asked for are joined and scored
-    terms = query_terms(queries).join(index.df, "term").crossJoin(F.broadcast(index.stats)).select("qid", "term", "pos", idf.alias("idf"), "avg")
-    pages = index.pages.select("url", "section", "kind", "overview")
-    pages = pages.where(F.col("kind").isin(kinds)) if kinds else pages
-    f = F.col("f")
-    gain = F.col("idf") * (f * (K1 + 1)) / (f + K1 * (1 - B + B * F.col("len") / F.col("avg")))
-    hits = terms.join(index.tf, "term").join(index.length, "url").groupBy("qid", "url").agg(F.sum(gain).alias("raw"), F.array_sort(F.collect_list(F.struct("pos", "term"))).alias("m"))
-    hits = hits.join(pages, "url").withColumn("score", F.round(F.when(F.col("overview"), F.col("raw") * OVERVIEW_BOOST).otherwise(F.col("raw")), 6))
-    return hits.where("score > 0").select("qid", "url", "score", F.col("m.term").alias("matched"), "section")
+def _scored(index: Index, found: DataFrame, lists: DataFrame, average: float) -> DataFrame:
+    """(qid, url, score, matched, section) of pages (qid, seg, url): BM25 with the overview boost, rounded to 6 places. lists: (qid, asked,
+    idfs), a query's terms in their order."""
+    docs = index.docs.select("seg", "url", "len", "section", "overview", "terms", "fs")
+    held = found.join(docs, ["seg", "url"]).join(lists, "qid").withColumn("matched", F.array_intersect("asked", "terms"))
+    at = lambda values, keys, x: F.element_at(values, F.array_position(keys, x).cast("int"))
+    add = lambda total, t: total + at("idfs", "asked", t) * gain(at("fs", "terms", t), F.col("len"), average)
+    raw = F.aggregate("matched", F.lit(0.0), add)
+    score = F.round(F.when(F.col("overview"), raw * OVERVIEW_BOOST).otherwise(raw), 6)
+    return held.select("qid", "url", score.alias("score"), "matched", "section").where("score > 0")
 
 
-def search(index: Index, queries: DataFrame, limit: int = 10, per_section: int | None = 2, kinds: list[str] | None = None) -> DataFrame:
-    """scores() with a rank: at most per_section of a section, then the best limit, by score, then url."""
-    found = scores(index, queries, kinds)
+def _ranked(found: DataFrame, limit: int, per_section: int | None) -> DataFrame:
     if per_section:
         place = F.row_number().over(Window.partitionBy("qid", "section").orderBy(F.desc("score"), "url"))
         found = found.withColumn("place", place).where(F.col("place") <= per_section).drop("place")
@@ -109,6 +223,55 @@ def search(index: Index, queries: DataFrame, limit: int = 10, per_section: int |
     return found.withColumn("rank", rank).where(F.col("rank") <= limit)
 
 
+def search(index: Index, queries: DataFrame, limit: int = 10, per_section: int | None = 2, kinds: list[str] | None = None) -> DataFrame:
+    """(qid, url, score, matched, section, rank): at most per_section pages of a section, then the best limit, by score, then url. kinds restrict
+    the pages, not the statistics.
+
+    Postings that can't matter aren't read. Each query's terms are ordered by the most that they can add (w). First some pages of the blocks with
+    the greatest gains are scored; their limit-th score (and, of a section, their per_section-th) is a score that a result has to reach. A page
+    that does is found by the term that stands highest in the order of those it has: terms below add at most the sum of their w. So a block is
+    read only if that sum and its own greatest gain reach the score, and of the block such postings. A term that all pages have adds next to
+    nothing, and is looked up in the pages that others found.
+    """
+    n, average = index.counts
+    if not index.segments:
+        raise ValueError("the index has no segment")
+    df = index.table("terms").join(query_terms(queries).select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.sum("df").alias("df")).where("df > 0")
+    asked = written(query_terms(queries).join(df, "term").withColumn("idf", F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))))
+    lists = asked.groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("pos", "term", "idf"))).alias("x")).select("qid", F.col("x.term").alias("asked"), F.col("x.idf").alias("idfs"))
+    # gains of a segment's time are off by the change of the average length at most
+    grown = F.lit(1.0)
+    for s in index.segments:
+        grown = F.when(F.col("seg") == s["name"], max(1.0, average / s["avg"])).otherwise(grown)
+    blocks = index.table("blocks").withColumn("top", F.col("top") * grown)
+    blocks = blocks.where(F.col("kind").isin(kinds)) if kinds else blocks
+    wanted = blocks.join(asked.select("term").distinct(), "term", "left_semi")
+    most = wanted.groupBy("term").agg(F.max("top").alias("most"))
+    weighed = asked.join(most, "term").withColumn("w", F.col("idf") * F.col("most"))
+    below = F.coalesce(F.sum("w").over(Window.partitionBy("qid").orderBy("w", "term").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    weighed = written(weighed.withColumn("below", below).select("qid", "term", "idf", "below"))
+    # the first pages to be scored
+    section = F.col("section") if per_section else F.lit(None).cast("string")
+    nth = F.row_number().over(Window.partitionBy("term", section).orderBy(F.desc("top"), "n", F.col("urls")[0]))
+    best = wanted.withColumn("nth", nth).where(F.col("nth") <= SEED_BLOCKS).drop("nth")
+    can = weighed.join(best, "term").withColumn("section", section)
+    so_far = F.coalesce(F.sum("n").over(Window.partitionBy("qid", "section").orderBy(F.desc(F.col("idf") * F.col("top")), "term", F.col("urls")[0]).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    chosen = can.withColumn("so_far", so_far).where(F.col("so_far") < SEED_ROWS)
+    seeds = chosen.select("qid", "seg", F.explode("urls").alias("url")).distinct()
+    scored = written(_scored(index, seeds, lists, average))
+    least = _ranked(scored, limit, per_section).where(F.col("rank") == limit).select("qid", (F.col("score") - SLACK).alias("least"))
+    reach = weighed.join(least, "qid", "left")
+    met = reach.join(blocks, "term")
+    if per_section:
+        place = F.row_number().over(Window.partitionBy("qid", "section").orderBy(F.desc("score"), "url"))
+        own = scored.withColumn("place", place).where(F.col("place") == per_section).select(F.col("qid").alias("q"), F.col("section").alias("its"), (F.col("score") - SLACK).alias("own"))
+        met = met.join(own, (F.col("q") == F.col("qid")) & F.col("its").eqNullSafe(F.col("section")), "left").withColumn("least", F.greatest("least", "own"))
+    reaches = lambda added: (F.col("below") + F.col("idf") * added) * OVERVIEW_BOOST >= F.coalesce("least", F.lit(0.0))
+    postings = met.where(reaches(F.col("top"))).select("qid", "seg", "idf", "below", "least", F.explode(F.arrays_zip("urls", "fs", "lens")).alias("x"))
+    found = postings.where(reaches(gain(F.col("x.fs"), F.col("x.lens"), average))).select("qid", "seg", F.col("x.urls").alias("url")).distinct()
+    return _ranked(_scored(index, found, lists, average), limit, per_section)
+
+
 def excerpts(hits: DataFrame, pages: DataFrame, queries: DataFrame, most: int = 700, extra: int = 4) -> DataFrame:
     """(qid, url, excerpt): the first sentence and up to extra others with most distinct query terms, in text order. Texts are joined to hits
     alone, after ranking."""

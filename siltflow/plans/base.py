@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import retrieval
-from ..storage import exists, fingerprint, work_dir
+from ..storage import fingerprint, work_dir
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,13 +22,11 @@ def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def indexed(spark: SparkSession, sf_dir: str) -> retrieval.Index:
-    """The search index of corpus(), built once for many queries: stored in the shared folder under what its files look like, so that it is
-    built anew when they change. Its statistics are written last, so a half-built index is never read."""
+    """The search index of corpus(), built once for many queries: stored in the shared folder under what its files look like and the code that
+    made it, so that it is built anew when either changes. Its manifest is written last, so a half-built index is never read."""
     pages = corpus(spark, sf_dir)
-    store = f"{work_dir(spark)}/index-{fingerprint(spark, f'{sf_dir}/documents.parquet')}"
-    if exists(spark, f"{store}/stats/_SUCCESS"):
-        return retrieval.stored(pages, store)
-    return retrieval.build(pages, store)
+    store = f"{work_dir(spark)}/index-{retrieval.version()}-{fingerprint(spark, f'{sf_dir}/documents.parquet')}"
+    return retrieval.stored(pages, store) or retrieval.build(pages, store)
 
 
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -55,3 +55,34 @@ def fingerprint(spark: SparkSession, path: str) -> str:
             rows.append(f"{f.getPath().toString()} {f.getLen()} {f.getModificationTime()}")
         seen.update("\n".join(sorted(rows)).encode())
     return seen.hexdigest()
+
+
+def commit(spark: SparkSession, folder: str, number: int, text: str) -> None:
+    """Writes a text as the folder's next state: under a temporary name that is then renamed to the number. If another session was first, its
+    state stays, and this is an error, except for number 0, whose states are equal."""
+    fs, at = file_system(spark, folder)
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    fs.mkdirs(at)
+    draft, final = path(f"{folder}/.draft-{uuid.uuid4().hex}"), path(f"{folder}/{number:09d}")
+    out = fs.create(draft)
+    out.write(bytearray(text.encode()))
+    out.close()
+    if fs.exists(final) or not fs.rename(draft, final):
+        fs.delete(draft, False)
+        if number:
+            raise RuntimeError(f"another session has written state {number} of {folder}")
+
+
+def latest(spark: SparkSession, folder: str) -> tuple[int, str] | None:
+    """(number, text) of a folder's latest state, if it has any."""
+    fs, at = file_system(spark, folder)
+    if not fs.exists(at):
+        return None
+    names = sorted(n for f in fs.listStatus(at) if (n := f.getPath().getName()).isdigit())
+    if not names:
+        return None
+    source = fs.open(spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{names[-1]}"))
+    try:
+        return int(names[-1]), spark._jvm.org.apache.commons.io.IOUtils.toString(source, "UTF-8")
+    finally:
+        source.close()

@@ -40,8 +40,8 @@ def test_search_without_known_words(spark, index):
 
 def test_kinds_filter_after_statistics(spark, index):
     q = ask(spark, "volume")
-    every = {r.url: r.score for r in R.scores(index, q).collect()}
-    some = {r.url: r.score for r in R.scores(index, q, ["marketing"]).collect()}
+    every = {r.url: r.score for r in R.search(index, q, 100, None).collect()}
+    some = {r.url: r.score for r in R.search(index, q, 100, None, ["marketing"]).collect()}
     assert some == {"ov": every["ov"]}
 
 

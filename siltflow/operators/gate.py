@@ -2,40 +2,44 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.grams import grams_column
+from ..storage import commit, latest, written
 
 # ---------------------------------------------------------------- quotes
 
-#: Characters of a word's piece by which words that hold it are found.
-LEAST_PIECE = 4
 
-def quote_hits(quotes: DataFrame, docs: DataFrame) -> DataFrame:
-    """(item_id, doc_id): quotes (item_id, parts) all of whose parts occur in docs (doc_id, body, normalised).
+def quote_index(docs: DataFrame, store: str | None = None) -> DataFrame:
+    """(gram, doc_id): the grams by which docs (doc_id, body, normalised) are found, as a table in a folder, which is read if it is there."""
+    spark = docs.sparkSession
+    if store and (found := latest(spark, f"{store}/manifest")):
+        return spark.read.parquet(f"{store}/{found[1]}")
+    name = f"grams-{uuid.uuid4().hex}"
+    table = written(docs.select(F.explode(grams_column(F.col("body"))).alias("gram"), "doc_id"), store and f"{store}/{name}")
+    if store:
+        commit(spark, f"{store}/manifest", 0, name)
+    return table
+
+
+def quote_hits(quotes: DataFrame, docs: DataFrame, index: DataFrame | None = None) -> DataFrame:
+    """(item_id, doc_id): quotes (item_id, parts) all of whose parts occur in docs (doc_id, body, normalised). index: of docs, else one is made.
 
-    A part may be cut in a word at either end, so only words inside of it are surely whole in a document. Candidates come from an equi join by
-    the rarest of these; texts are compared with their candidates alone. A quote without such a word has parts of two words at most: it is
-    compared with the documents that hold, at the end of a word, the first word of its longest part (all that is in front of the cut).
+    A document that has a part has the part's grams. Of all grams of a quote's parts the rarest, by an equi join with the index, gives the
+    candidates, and texts are compared with their candidates alone. Parts are of LEAST characters at least, as `quote_parts` gives them; a quote
+    all of whose parts are shorter has no gram and so no hit.
     """
-    split = F.transform("parts", lambda p: F.split(p, " "))
-    inner = F.flatten(F.transform(split, lambda w: F.slice(w, F.lit(2), F.greatest(F.size(w) - 2, F.lit(0)))))
-    keyed = quotes.withColumn("inner", F.array_distinct(inner))
-    words = docs.select("doc_id", F.explode(F.array_distinct(F.split("body", " "))).alias("word"))
-    wanted = keyed.select("item_id", F.explode("inner").alias("word"))
-    counts = words.join(wanted.select("word").distinct(), "word", "left_semi").groupBy("word").agg(F.count("*").alias("n"))
-    rarest = wanted.join(counts, "word", "left").groupBy("item_id").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "word")).alias("k")).where("k.n > 0").select("item_id", F.col("k.word").alias("word"))
-    pairs = words.join(rarest, "word").select("doc_id", "item_id")
-    # parts of one or two words: the first ends a word of the document (two words), or is anywhere in one; words are compared, not texts
-    short = keyed.where(F.size("inner") == 0).select("item_id", F.element_at(F.array_sort(F.transform("parts", lambda p: F.struct((-F.char_length(p)).alias("n"), p.alias("p")))), 1)["p"].alias("part"))
-    short = short.select("item_id", F.substring_index("part", " ", 1).alias("start"), F.contains("part", F.lit(" ")).alias("two"))
-    pieces = short.select("item_id", "start", "two", F.left("start", F.lit(LEAST_PIECE)).alias("piece"))
-    vocabulary = words.select("word").distinct()
-    grams = vocabulary.where(F.char_length("word") >= 1).select("word", F.explode(F.transform(F.sequence(F.lit(1), F.char_length("word")), lambda i: F.substring(F.col("word"), i, F.lit(LEAST_PIECE)))).alias("piece")).distinct()
-    ends = grams.join(pieces, "piece").where(F.when(F.col("two"), F.col("word").endswith(F.col("start"))).otherwise(F.contains("word", F.col("start")))).select("word", "item_id").distinct()
-    every = pairs.unionByName(words.join(ends, "word").select("doc_id", "item_id")).distinct()
-    return every.join(quotes, "item_id").join(docs, "doc_id").where(T.quote_in(F.col("parts"), F.col("body"))).select("item_id", "doc_id")
+    index = quote_index(docs) if index is None else index
+    wanted = written(quotes.select("item_id", F.explode(F.array_distinct("parts")).alias("part")).select("item_id", F.explode(grams_column(F.col("part"))).alias("gram")).distinct())
+    counts = index.join(wanted.select("gram").distinct(), "gram", "left_semi").groupBy("gram").agg(F.count("*").alias("n"))
+    # a gram that no document has rules the quote out
+    rarest = wanted.join(counts, "gram", "left").groupBy("item_id").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("k")).where("k.n > 0").select("item_id", F.col("k.gram").alias("gram"))
+    pairs = index.join(rarest, "gram").select("doc_id", "item_id")
+    return pairs.join(quotes, "item_id").join(docs, "doc_id").where(T.quote_in(F.col("parts"), F.col("body"))).select("item_id", "doc_id")
 
 
 # ---------------------------------------------------------------- causes and verdicts

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.patterns import needle_counts
 
 # ---------------------------------------------------------------- catalogs
 
@@ -84,24 +85,26 @@ def collapsed(name: Column) -> Column:
 # ---------------------------------------------------------------- topics and capabilities
 
 
-def occurrences(text: Column, needle: str) -> Column:
-    """Of a short needle, how often it is a word, or its plural; of others, how often they occur, without overlaps. text is lower case."""
-    if len(needle) <= 4 and " " not in needle:
-        return F.regexp_count(text, F.lit(f"(?<![A-Za-z0-9_]){re.escape(needle)}(?:e?s)?(?![A-Za-z0-9_])"))
-    return ((F.char_length(text) - F.char_length(F.replace(text, F.lit(needle), F.lit("")))) / len(needle)).cast("int")
+def _best(counted: Column, weights: list[tuple[str, list[tuple[int, int]], list[tuple[int, int]]]], name: str) -> Column:
+    """array<struct<loss, name>> of those with a score, best first, from counts of needles: by name the weights of each occurrence of needles,
+    and of needles that occur at all. loss is the score below zero, so that ties go by name."""
 
+    def scored(n: Column) -> Column:
+        total = lambda each, any_: sum([n[i] * w for i, w in each] + [F.when(n[i] > 0, w).otherwise(0) for i, w in any_], F.lit(0))
+        every = F.array(*[F.struct((-total(each, any_)).cast("long").alias("loss"), F.lit(label).alias(name)) for label, each, any_ in weights])
+        return F.array_sort(F.filter(every, lambda x: x["loss"] < 0))
 
-def topic_score(text: Column, topic: Topic) -> Column:
-    weight = lambda i, k: FIRST if i == 0 else PHRASE if " " in k else 1
-    total = sum((occurrences(text, k) * weight(i, k) for i, k in enumerate(topic.keywords)), F.lit(0))
-    label = topic.label.lower()
-    return total if label in topic.keywords else total + F.when(occurrences(text, label) > 0, LABEL).otherwise(0)
+    return T.bound(counted, scored)
 
 
 def scored_topics(text: Column, topics: tuple[Topic, ...] = TOPICS) -> Column:
-    """array<struct<loss, label>> of the topics with a hit, best first; loss is the score below zero, so that ties go by label."""
-    each = lambda low: F.array(*[F.struct((-topic_score(low, t)).cast("long").alias("loss"), F.lit(t.label).alias("label")) for t in topics])
-    return T.bound(F.lower(F.coalesce(text, F.lit(""))), lambda low: F.array_sort(F.filter(each(low), lambda t: t["loss"] < 0)))
+    """array<struct<loss, label>> of the topics with a hit, best first. All keywords of all topics are counted in one pass over the text: short
+    ones as words or their plurals, others wherever they are."""
+    names = sorted({k for t in topics for k in (*t.keywords, t.label.lower())})
+    at = {k: i for i, k in enumerate(names)}
+    weight = lambda i, k: FIRST if i == 0 else PHRASE if " " in k else 1
+    weights = [(t.label, [(at[k], weight(i, k)) for i, k in enumerate(t.keywords)], [] if t.label.lower() in t.keywords else [(at[t.label.lower()], LABEL)]) for t in topics]
+    return _best(needle_counts(F.lower(F.coalesce(text, F.lit(""))), names), weights, "label")
 
 
 def top_topics(text: Column, most: int = 3, topics: tuple[Topic, ...] = TOPICS) -> Column:
@@ -142,8 +145,10 @@ def topics_for_action(feature: Column, detail: Column, topics: tuple[Topic, ...]
 
 def match_capabilities(text: Column, capabilities: tuple[Capability, ...] = CAPABILITIES) -> Column:
     """The names of the capabilities one of whose keywords is anywhere in the text, in the catalog's order."""
-    low = F.lower(F.coalesce(text, F.lit("")))
-    return F.filter(F.array(*[F.when(any_of(low, c.keywords), F.lit(c.name)) for c in capabilities]), lambda x: x.isNotNull())
+    names = sorted({k for c in capabilities for k in c.keywords})
+    at = {k: i for i, k in enumerate(names)}
+    found = lambda n: F.array(*[F.when(F.greatest(*[n[at[k]] for k in c.keywords], F.lit(0)) > 0, F.lit(c.name)) for c in capabilities])
+    return F.filter(T.bound(needle_counts(F.lower(F.coalesce(text, F.lit(""))), names, words=False), found), lambda x: x.isNotNull())
 
 
 def _lookup(pairs, key: Column) -> Column:
@@ -156,13 +161,14 @@ def docs_for_text(text: Column, most: int = 6, most_capability: int = 3, topics:
     of_capabilities = F.slice(F.array_distinct(F.flatten(F.transform(match_capabilities(text, capabilities), lambda c: _lookup(((x.name, x.docs) for x in capabilities), c)))), 1, most_capability)
     depth = max(len(t.docs) for t in topics)
 
-    def routed(labels: Column) -> Column:
+    def routed(x: Column) -> Column:
+        labels, of_capabilities = x["labels"], x["first"]
         nth = lambda k: F.transform(labels, lambda n: F.get(_lookup(((t.label, t.docs) for t in topics), n), F.lit(k)))
         turns = [nth(k) for k in range(depth)]
         every = F.array_distinct(F.filter(F.concat(of_capabilities, *turns), lambda x: x.isNotNull()))
         return F.when(F.size(labels) > 0, F.slice(every, 1, most)).otherwise(strings(()))
 
-    return T.bound(top_topics(text, 3, topics), routed)
+    return T.bound(F.struct(top_topics(text, 3, topics).alias("labels"), of_capabilities.alias("first")), routed)
 
 
 def round_robin_docs(matched: DataFrame, key: str, most: int = 6, topics: tuple[Topic, ...] = TOPICS) -> DataFrame:
@@ -193,9 +199,10 @@ def teams_owning(feature: Column, teams: tuple[Team, ...] = TEAMS) -> Column:
 def scored_teams(text: Column, teams: tuple[Team, ...] = TEAMS) -> Column:
     """array<struct<loss, team>> of the teams with a hit, best first: OWNED for each surface that a team owns and the text names, KEYWORD for
     each of its keywords."""
-    low = collapsed(F.coalesce(text, F.lit("")))
-    score = lambda low, t: sum((F.contains(low, F.lit(x.lower())).cast("int") * w for w, names in ((OWNED, t.owns), (KEYWORD, t.keywords)) for x in names), F.lit(0))
-    return T.bound(low, lambda low: F.array_sort(F.filter(F.array(*[F.struct((-score(low, t)).cast("long").alias("loss"), F.lit(t.name).alias("team")) for t in teams]), lambda x: x["loss"] < 0)))
+    names = sorted({x.lower() for t in teams for x in (*t.owns, *t.keywords)})
+    at = {k: i for i, k in enumerate(names)}
+    weights = [(t.name, [], [(at[x.lower()], w) for w, kind in ((OWNED, t.owns), (KEYWORD, t.keywords)) for x in kind]) for t in teams]
+    return _best(needle_counts(collapsed(F.coalesce(text, F.lit(""))), names, words=False), weights, "team")
 
 
 def match_teams(rows: DataFrame, key: str, text: Column, most: int = 3, teams: tuple[Team, ...] = TEAMS) -> DataFrame:
@@ -438,22 +445,24 @@ def signal_topic(title: Column, summary: Column, topics: tuple[Topic, ...] = TOP
     phrases = {c.name: [stemmed(k) for k in c.keywords] for c in capabilities}
     every = lambda found, by: F.array_distinct(F.flatten(F.transform(found, lambda n: _lookup(by.items(), n))))
 
-    def of(labels: Column) -> Column:
-        vocabulary = every(labels, words)
+    def of(x: Column) -> Column:
+        labels, vocabulary = x["labels"], every(x["labels"], words)
         known = F.flatten(F.transform(vocabulary, lambda p: F.split(p, " ")))
         telling = F.filter(F.transform(T.words(text), T.stem), lambda s: (F.char_length(s) >= 3) & ~s.rlike("^[0-9]+$") & ~s.isin(skipped))
-        return F.struct(F.array_except(F.array_distinct(telling), known).alias("terms"), every(match_capabilities(text, capabilities), phrases).alias("phrases"), labels.alias("topics"), vocabulary.alias("vocabulary"))
+        return F.struct(F.array_except(F.array_distinct(telling), known).alias("terms"), every(x["names"], phrases).alias("phrases"), labels.alias("topics"), vocabulary.alias("vocabulary"))
 
-    return T.bound(top_topics(text, 3, topics), of)
+    return T.bound(F.struct(top_topics(text, 3, topics).alias("labels"), match_capabilities(text, capabilities).alias("names")), of)
 
 
 def ties_to(text: Column, topic: Column) -> Column:
     """Whether a text speaks of a signal_topic(): by its phrases or terms, as whole stems; where it has neither, by its vocabulary. What has
     none of them can't be missed."""
 
-    def tied(said: Column) -> Column:
+    def tied(x: Column) -> Column:
+        said, topic = x["said"], x["topic"]
         hits = lambda needles: F.exists(needles, lambda n: (n != "") & F.contains(said, F.concat(F.lit(" "), n, F.lit(" "))))
         sharp = (F.size(topic["phrases"]) > 0) | (F.size(topic["terms"]) > 0)
         return F.when(sharp, hits(topic["phrases"]) | hits(topic["terms"])).otherwise((F.size(topic["vocabulary"]) == 0) | hits(topic["vocabulary"]))
 
-    return T.bound(F.concat(F.lit(" "), F.array_join(F.transform(T.words(F.coalesce(text, F.lit(""))), T.stem), " "), F.lit(" ")), tied)
+    said = F.concat(F.lit(" "), F.array_join(F.transform(T.words(F.coalesce(text, F.lit(""))), T.stem), " "), F.lit(" "))
+    return T.bound(F.struct(said.alias("said"), topic.alias("topic")), tied)

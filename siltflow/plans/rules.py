@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.patterns import needle_counts
 from ..operators import gate as G
 from ..operators import messages as M
 from ..operators import retrieval as R
 from ..operators import routing as Q
 from ..operators import signals as S
-from .base import indexed, questions, table
+from .base import bodies, indexed, questions, quotable, table
 from .scalars import SQL_URLS, _nq, _parts
 from .search import SQL_INDEX, sql_collapse, sql_sentences, sql_truncate
 
@@ -43,8 +44,8 @@ def topic_match(spark, sf_dir):
 
 
 def keyword_occurrences(spark, sf_dir):
-    low = F.lower("text")
-    return _docs(spark, sf_dir).select("doc_id", *[Q.occurrences(low, k).cast("long").alias(n) for n, k in (("n_short", "the"), ("n_phrase", "of the"), ("n_part", "thing"))])
+    counted = _docs(spark, sf_dir).select("doc_id", needle_counts(F.lower("text"), ("the", "of the", "thing")).alias("n"))
+    return counted.select("doc_id", *[F.col("n")[i].cast("long").alias(name) for i, name in enumerate(("n_short", "n_phrase", "n_part"))])
 
 
 def route_teams(spark, sf_dir):
@@ -133,9 +134,8 @@ def diversify_claims(spark, sf_dir):
 def _actions(spark, sf_dir):
     """Benchmark items as actions: gaps, cited documents and quotes, some of them missing or wrong."""
     b = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), "text")
-    docs = _docs(spark, sf_dir).select("doc_id", T.normal_quote(F.coalesce("text", F.lit(""))).alias("body"))
     quotes = b.select(F.col("id").alias("item_id"), T.quote_parts(F.col("text")).alias("parts")).where(F.size("parts") > 0)
-    hit = G.quote_hits(quotes, docs).groupBy("item_id").agg(F.min("doc_id").alias("hit")).withColumnRenamed("item_id", "id")
+    hit = G.quote_hits(quotes, bodies(spark, sf_dir), quotable(spark, sf_dir)).groupBy("item_id").agg(F.min("doc_id").alias("hit")).withColumnRenamed("item_id", "id")
     i = F.col("id")
     return b.join(hit, "id", "left").select(
         "id",

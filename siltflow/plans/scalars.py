@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import urls as U
-from .base import table
+from ..operators.gate import quote_hits
+from .base import bodies, quotable, table
 from .search import sql_collapse, sql_sentences, sql_truncate
 
 
@@ -31,12 +32,9 @@ def sentence_split(spark, sf_dir):
 
 
 def quote_verify(spark, sf_dir):
-    """Benchmark items as quotes, searched in documents that hold the rarest of their words, so that texts are compared with few quotes."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", T.normal_quote(F.coalesce("text", F.lit(""))).alias("body"))
+    """Benchmark items as quotes, compared with the documents that have the rarest of their grams."""
     quotes = table(spark, sf_dir, "benchmark").select("item_id", T.quote_parts(F.col("text")).alias("parts")).where(F.size("parts") > 0)
-    from ..operators.gate import quote_hits
-
-    return quote_hits(quotes, docs)
+    return quote_hits(quotes, bodies(spark, sf_dir), quotable(spark, sf_dir))
 
 
 def quote_ellipsis(spark, sf_dir):

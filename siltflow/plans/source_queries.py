@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import diff as D
@@ -11,8 +13,10 @@ from ..functions import replies as J
 from ..functions import text as T
 from ..functions import urls as U
 from ..operators import gate as G
+from ..sources import crawl as C
 from ..sources import feeds as S
 from ..sources import fetch as X
+from ..storage import work_dir
 from .base import table
 from .scalars import SQL_URLS
 from .search import sql_collapse, sql_truncate
@@ -132,31 +136,43 @@ def enrich_articles(spark, sf_dir):
 
 
 def fetched(spark, sf_dir):
-    """Pages read from a server that needs a second attempt for some, and has lost, moved or broken others; it answers by the address alone."""
-
-    class Server:
-        def __init__(self):
-            self.asked = {}
-
-        def __call__(self, url, method):
-            k = int(url.rsplit("/", 1)[1])
-            n = self.asked[url] = self.asked.get(url, 0) + 1
-            if k % 7 == 1 and n < 2:
-                raise OSError("reset")
-            if k % 7 == 2 and n < 3:
-                return 503, "", ""
-            if k % 7 == 3:
-                return 404, "", ""
-            if k % 7 == 4:
-                return 429, "", ""
-            if k % 7 == 5:
-                raise OSError("unreachable")
-            return 200, "image/png" if method == "HEAD" else "text/html", f'{{"k": {k}}}' if k % 7 == 6 else "{"
-
-    rows = _pages(spark, sf_dir).select(F.concat(F.lit("https://s.example/"), _s()).alias("url"))
-    got = X.fetch_json(rows, Server(), "k long", sleep=lambda s: None).select("url", "status", F.col("value.k").alias("k"))
-    seen = X.fetch_all(rows, Server(), sleep=lambda s: None).select("url", "attempts")
-    return got.join(seen, "url").join(X.content_type(rows, Server()), "url").select("url", "status", "attempts", "k", "content_type", X.is_gone(F.col("status")).alias("gone"))
+    """Every page read by the data source from saved answers: some are lost, some answer in JSON. What is read is what was saved."""
+    folder = f"{work_dir(spark)}/answers-{uuid.uuid4().hex}"
+    i = F.col("page_id")
+    pages = _pages(spark, sf_dir).select("page_id", F.concat(F.coalesce("url", F.lit("")), F.lit("/"), _s()).alias("url"), F.when(i % 7 == 6, F.concat(F.lit('{"k": '), _s(), F.lit("}"))).otherwise(F.coalesce("html", F.lit(""))).alias("body"))
+    X.save(pages.where(i % 7 != 3), folder)
+    own = {"opener": "siltflow.sources.fetch:saved_opener", "folder": folder, "pause": "none"}
+    got = X.fetch_all(pages, **own).select("url", "status", "attempts", F.char_length("body").cast("long").alias("n_chars"))
+    told = X.fetch_json(pages, "k long", **own).select("url", F.col("value.k").alias("k"))
+    return got.join(told, "url").join(X.content_type(pages, **own), "url").select("url", "status", "attempts", "n_chars", "k", "content_type", X.is_gone(F.col("status")).alias("gone"))
+
+
+DOCS, CRAWL_BUDGET, CRAWL_LEVELS = "https://docs.example.com/p/", 90, 3
+
+
+def _linked(spark, sf_dir):
+    """pages at addresses of their own, each linking to two others besides what it links to anyway."""
+    at = lambda n: F.concat(F.lit(DOCS), n.cast("string"))
+    i = F.col("page_id")
+    link = lambda n: F.concat(F.lit(' <a href="'), at(n), F.lit('">more</a>'))
+    return _pages(spark, sf_dir).select("page_id", at(i).alias("url"), F.concat(F.coalesce("html", F.lit("")), link(i * 3 + 1), link(i * 5 + 2)).alias("html"))
+
+
+def crawled(spark, sf_dir):
+    """A refresh's reading: a third of the pages is listed, a part of these is held, and links of what is read are followed within the budget."""
+    i = F.col("page_id")
+    pages = _linked(spark, sf_dir)
+    now = F.lit("2024-02-01 00:00:00").cast("timestamp")
+    found = pages.where(i % 3 == 0).select("url", F.lit("docs").alias("kind"), F.lit("sitemap").alias("source"))
+    day = lambda n: F.timestamp_micros(F.unix_micros(now) - n * 86_400_000_000)
+    meta = pages.where(i % 4 == 0).select("url", F.lit("h").alias("content_hash"), day(i % 30).alias("fetched_at"), F.lit(None).cast("timestamp").alias("last_used_at"))
+
+    def read(rows):
+        got = rows.join(pages, "url", "left")
+        status = F.when(i.isNull() | (i % 11 == 5), 404).when(i % 13 == 6, 0).otherwise(200)
+        return got.select("url", status.alias("status"), F.when(status == 200, M.links_column(F.col("html"), F.col("url"))).alias("links"))
+
+    return C.crawl(found, meta, read, now, CRAWL_BUDGET, CRAWL_LEVELS, lambda u: u.startswith(DOCS))[0].select("url", "level", "status")
 
 
 def child_sitemaps(spark, sf_dir):
@@ -164,13 +180,15 @@ def child_sitemaps(spark, sf_dir):
     p = _pages(spark, sf_dir).select((F.col("page_id") % 4).alias("feed"), "page_id")
     index = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(5)), lambda k: F.concat(F.lit("<sitemap><loc>https://s.example/"), F.col("feed"), F.lit("/"), k, F.lit("</loc></sitemap>"))), "")
     pages = F.array_join(F.transform(F.array_sort(F.collect_list("page_id")), lambda i: F.concat(F.lit("<url><loc>https://p.example/"), i, F.lit("</loc></url>"))), "")
-    top = p.groupBy("feed").agg(pages.alias("pages")).select("feed", F.when(F.col("feed") % 2 == 0, F.concat(F.lit("<sitemapindex>"), index, F.lit("</sitemapindex>"))).otherwise(F.concat(F.lit("<urlset>"), "pages", F.lit("</urlset>"))).alias("xml"))
+    top = p.groupBy("feed").agg(pages.alias("pages")).select("feed", F.when(F.col("feed") % 2 == 0, F.concat(F.lit("<sitemapindex>"), index, F.lit("</sitemapindex>"))).when(F.col("feed") == 1, F.concat(F.lit("<sitemapindex>"), index, "pages", F.lit("</sitemapindex>"))).otherwise(F.concat(F.lit("<urlset>"), "pages", F.lit("</urlset>"))).alias("xml"))
 
     def read(rows):
         body = F.concat(F.lit("<urlset><url><loc>"), "url", F.lit("/a</loc></url><url><loc>"), "url", F.lit("/b</loc><lastmod>2024-01-02</lastmod></url></urlset>"))
         return rows.select("url", F.when(~F.col("url").endswith("/2"), body).alias("body"))
 
-    return S.follow(top, "feed", read)
+    # the collector's rule for even feeds, discovery's (children always) for all
+    every = S.follow(top, "feed", read, always=True)
+    return S.follow(top, "feed", read).withColumn("rule", F.lit("collect")).unionByName(every.withColumn("rule", F.lit("discover")))
 
 
 def timeline_items(spark, sf_dir):
@@ -296,7 +314,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         feed_entries, sitemap_entries, llms_urls, llms_sections, markdown_page, extract_links_count, html_title, html_blocks, prose_blocks, article_cards, image_urls, enrich_articles, collect_blog,
-        collect_candidates, read_pages, fetched, child_sitemaps, timeline_items, analysis_replies, review_replies, alert_roundtrip, word_diff, copy_runs, edit_proportion, loose_span, balanced_json, props_json, payload_roundtrip,
+        collect_candidates, read_pages, fetched, crawled, child_sitemaps, timeline_items, analysis_replies, review_replies, alert_roundtrip, word_diff, copy_runs, edit_proportion, loose_span, balanced_json, props_json, payload_roundtrip,
     )
 }
 
@@ -323,11 +341,25 @@ f AS (SELECT *, row_number() OVER (PARTITION BY url ORDER BY pos) AS n FROM e WH
 SELECT id, CASE WHEN blog THEN 'blog' ELSE 'feed' END AS source, CASE WHEN blog AND read AND title <> '' THEN title ELSE 'old' END AS title, CASE WHEN id % 3 = 0 THEN '2024-01-05' WHEN blog AND read THEN '2024-02-01' END AS published_at,
   CASE WHEN blog AND read THEN 'text' END AS body, CASE WHEN blog AND read THEN 'i' || id END AS image FROM t""",
     "read_pages": """SELECT 'https://docs.example.com/a-page/' || page_id AS url, CASE WHEN page_id % 3 = 0 THEN 'Head' WHEN page_id % 5 = 0 THEN 'short' END AS begins, CASE WHEN page_id % 3 = 0 THEN '/docs/' || page_id WHEN page_id % 5 = 0 THEN '/x' END AS link, page_id % 6 = 0 AS front FROM pages""",
-    "fetched": """WITH k AS (SELECT page_id, page_id % 7 AS r FROM pages) SELECT 'https://s.example/' || page_id AS url, CASE r WHEN 3 THEN 404 WHEN 4 THEN 429 WHEN 5 THEN 0 ELSE 200 END::INTEGER AS status, CASE r WHEN 1 THEN 2 WHEN 2 THEN 3 WHEN 4 THEN 3 WHEN 5 THEN 3 ELSE 1 END::INTEGER AS attempts,
-  CASE WHEN r = 6 THEN page_id END AS k, CASE WHEN r IN (0, 6) THEN 'image/png' END AS content_type, r = 3 AS gone FROM k""",
+    "fetched": """WITH k AS (SELECT coalesce(url, '') || '/' || page_id AS url, page_id, page_id % 7 AS r, ltrim(coalesce(html, ''), chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' ') AS t, coalesce(html, '') AS html FROM pages)
+SELECT url, CASE WHEN r = 3 THEN 404 ELSE 200 END::INTEGER AS status, 1::INTEGER AS attempts, CASE WHEN r = 6 THEN length('{"k": ' || page_id || '}') WHEN r <> 3 THEN length(html) END::BIGINT AS n_chars, CASE WHEN r = 6 THEN page_id END AS k,
+  CASE WHEN r = 6 THEN 'application/json' WHEN r <> 3 THEN CASE WHEN t LIKE '<%' THEN 'text/html' WHEN t LIKE '{%' OR t LIKE '[%' THEN 'application/json' ELSE 'text/plain' END END AS content_type, r = 3 AS gone FROM k""",
+    "crawled": f"""WITH p AS (SELECT page_id AS i, CASE WHEN page_id % 11 = 5 THEN 404 WHEN page_id % 13 = 6 THEN 0 ELSE 200 END AS status FROM pages),
+wanted AS (SELECT i, i % 4 = 0 AS held, '{DOCS}' || i AS url FROM p WHERE i % 3 = 0 AND (i % 4 <> 0 OR i % 30 > 14)),
+l0 AS (SELECT i, 0 AS level FROM wanted ORDER BY held, CASE WHEN held THEN -(i % 30) END, url LIMIT {CRAWL_BUDGET})
+, n1 AS (SELECT count(*) AS n FROM (SELECT i FROM l0) JOIN p USING (i) WHERE status = 200),
+c1 AS (SELECT DISTINCT unnest([i * 3 + 1, i * 5 + 2]) AS i FROM l0 JOIN p USING (i) WHERE status = 200),
+l1 AS (SELECT i, 1 AS level FROM (SELECT i, row_number() OVER (ORDER BY '{DOCS}' || i) AS place FROM c1 WHERE i NOT IN (SELECT i FROM p WHERE i % 4 = 0) AND i NOT IN (SELECT i FROM l0)), n1 WHERE place <= {CRAWL_BUDGET} - n), n2 AS (SELECT count(*) AS n FROM (SELECT i FROM l0 UNION ALL SELECT i FROM l1) JOIN p USING (i) WHERE status = 200),
+c2 AS (SELECT DISTINCT unnest([i * 3 + 1, i * 5 + 2]) AS i FROM l1 JOIN p USING (i) WHERE status = 200),
+l2 AS (SELECT i, 2 AS level FROM (SELECT i, row_number() OVER (ORDER BY '{DOCS}' || i) AS place FROM c2 WHERE i NOT IN (SELECT i FROM p WHERE i % 4 = 0) AND i NOT IN (SELECT i FROM l0) AND i NOT IN (SELECT i FROM l1)), n2 WHERE place <= {CRAWL_BUDGET} - n), n3 AS (SELECT count(*) AS n FROM (SELECT i FROM l0 UNION ALL SELECT i FROM l1 UNION ALL SELECT i FROM l2) JOIN p USING (i) WHERE status = 200),
+c3 AS (SELECT DISTINCT unnest([i * 3 + 1, i * 5 + 2]) AS i FROM l2 JOIN p USING (i) WHERE status = 200),
+l3 AS (SELECT i, 3 AS level FROM (SELECT i, row_number() OVER (ORDER BY '{DOCS}' || i) AS place FROM c3 WHERE i NOT IN (SELECT i FROM p WHERE i % 4 = 0) AND i NOT IN (SELECT i FROM l0) AND i NOT IN (SELECT i FROM l1) AND i NOT IN (SELECT i FROM l2)), n3 WHERE place <= {CRAWL_BUDGET} - n)
+SELECT '{DOCS}' || i AS url, level::INTEGER AS level, coalesce(status, 404)::INTEGER AS status FROM (SELECT * FROM l0 UNION ALL SELECT * FROM l1 UNION ALL SELECT * FROM l2 UNION ALL SELECT * FROM l3) LEFT JOIN p USING (i)""",
     "child_sitemaps": """WITH p AS (SELECT page_id % 4 AS feed, (row_number() OVER (PARTITION BY page_id % 4 ORDER BY page_id) - 1)::INTEGER AS pos, 'https://p.example/' || page_id AS url FROM pages WHERE page_id % 2 = 1),
-c AS (SELECT feed, k, x FROM (SELECT DISTINCT page_id % 4 AS feed FROM pages WHERE page_id % 2 = 0), (VALUES (0), (1), (3)) k(k), (VALUES ('a'), ('b')) x(x))
-SELECT feed, pos, url, NULL::VARCHAR AS lastmod FROM p UNION ALL SELECT feed, (row_number() OVER (PARTITION BY feed ORDER BY k, x) - 1)::INTEGER, 'https://s.example/' || feed || '/' || k || '/' || x, CASE WHEN x = 'b' THEN '2024-01-02' END FROM c""",
+c AS (SELECT feed, k, x FROM (SELECT DISTINCT page_id % 4 AS feed FROM pages WHERE page_id % 4 < 3), (VALUES (0), (1), (3), (4), (5)) k(k), (VALUES ('a'), ('b')) x(x)),
+b AS (SELECT feed, (row_number() OVER (PARTITION BY feed ORDER BY k, x) - 1)::INTEGER AS pos, 'https://s.example/' || feed || '/' || k || '/' || x AS url, CASE WHEN x = 'b' THEN '2024-01-02' END AS lastmod, k FROM c)
+SELECT feed, pos, url, NULL::VARCHAR AS lastmod, rule FROM p, (VALUES ('collect'), ('discover')) r(rule)
+UNION ALL SELECT feed, pos, url, lastmod, 'collect' FROM b WHERE feed <> 1 AND k <= 3 UNION ALL SELECT feed, pos, url, lastmod, 'discover' FROM b""",
     "timeline_items": f"""WITH p AS (SELECT conv_id, turn, {sql_collapse("coalesce(text, '')")} AS t FROM conversations WHERE turn % 5 < 3 AND NOT regexp_matches(coalesce(text, ''), '^(RT )?@')), n AS (SELECT *, (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1)::INTEGER AS pos FROM p),
 z AS (SELECT conv_id, max(CASE WHEN turn = 0 THEN 'u0' END) AS zero FROM conversations GROUP BY 1)
 SELECT conv_id, pos, turn::VARCHAR AS external_id, {sql_truncate('t', 120)} AS title, '2024-01-02 03:04:05' AS published_at, CASE WHEN turn % 4 = 0 THEN 'u' || turn WHEN turn % 2 = 0 THEN 'p' || turn END AS image FROM n WHERE pos < 10""",

@@ -24,7 +24,7 @@ RSS = f"channel struct<item: array<{_ITEM}>>, item array<{_ITEM}>"
 ATOM = f"entry array<{_ENTRY}>"
 SITEMAP = "url array<struct<loc: string, lastmod: string>>, sitemap array<struct<loc: string>>"
 BODY = 8000
-CHILDREN = 4
+CHILDREN, DISCOVERED = 4, 6
 
 
 def _blank(c: Column) -> Column:
@@ -112,14 +112,16 @@ def full_pages(rows: DataFrame, key: str, text: Column) -> DataFrame:
     return opens.join(inside, [key, "section"], "left").select(key, "section", "url", F.coalesce("before", "after").alias("title"), F.trim(F.coalesce("body", F.lit(""))).alias("body"))
 
 
-def follow(top: DataFrame, key: str, read, most: int = CHILDREN) -> DataFrame:
-    """(key, pos, url, lastmod) of sitemaps (key, xml): the pages of a sitemap that lists some; of one that lists only others, those of its first
-    most ones, one level down. read: a function from rows (url) to (url, body), whose failures have a null body and cost their rows alone."""
+def follow(top: DataFrame, key: str, read, most: int | None = None, always: bool = False) -> DataFrame:
+    """(key, pos, url, lastmod) of sitemaps (key, xml): their own pages, then those of other sitemaps that they list, one level down. Collecting
+    follows the first CHILDREN of a sitemap that has no pages of its own; discovery (always) the first DISCOVERED of every one. read: a function
+    from rows (url) to (url, body), whose failures have a null body and cost their rows alone."""
+    most = most or (DISCOVERED if always else CHILDREN)
     found = sitemap(top, key, F.col("xml"))
     direct = found.where(~F.col("child"))
     place = F.row_number().over(Window.partitionBy(key).orderBy("pos"))
-    # sitemaps without pages of their own, and the first of their children
-    wanted = found.where("child").join(direct.select(key).distinct(), key, "left_anti").withColumn("n", place).where(F.col("n") <= most).select(key, "n", "url")
+    children = found.where("child") if always else found.where("child").join(direct.select(key).distinct(), key, "left_anti")
+    wanted = children.withColumn("n", place).where(F.col("n") <= most).select(key, "n", "url")
     bodies = read(wanted.select("url").distinct()).where("body is not null").select("url", F.col("body").alias("xml"))
     below = sitemap(wanted.join(bodies, "url").select(F.struct(key, "n").alias("at"), "xml"), "at", F.col("xml")).where(~F.col("child"))
     order = F.row_number().over(Window.partitionBy(f"at.{key}").orderBy("at.n", "pos"))

@@ -1,23 +1,26 @@
 """Keyed tables in Parquet, in memory and behind a fallback; issues; and the outbox of side effects.
 
-Parquet has no MERGE: a change writes a new folder, then a small pointer row that names the folders of the table. Readers follow the newest
-pointer, so a write that fails half-way is never seen. Inserts add a folder; only changes of stored rows write a whole snapshot. One writer a
-table is assumed.
+Parquet has no MERGE. A table lies in BUCKETS by a hash of its key; a write is a folder with a folder for each bucket that it touched, and a small
+state, which is renamed into place, names the folders of each bucket. Inserts add to the buckets of their rows; a change reads and writes the
+buckets of the keys that change, no others. Readers follow the newest state, so a write that fails half-way is never seen, and a second writer
+that was too late gets an error.
 """
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..storage import file_system, written
+from ..storage import commit, file_system, latest, numbered, written
 from . import corpus, signals
 
-#: Parts of a table that were appended one by one before they become one snapshot.
-MOST_PARTS = 16
+#: Buckets of a table, and folders of a bucket that were appended one by one before they become one.
+BUCKETS, MOST_PARTS = 64, 16
 
 
 def item_id(source: Column, external_id: Column) -> Column:
@@ -29,89 +32,132 @@ class Store:
     """Tables of signals, pages, claims, analyses, days, issues and what happened to them, under one path. write=False reads a real store and
     leaves nothing behind: inserts return rows with ids of their own, every day can be claimed."""
 
-    #: The tables' columns.
+    #: The tables' columns, and the columns by which they lie in buckets.
     TABLES = {
         "items": "id string, source string, external_id string, title string, url string, published_at timestamp, raw string",
-        "pages": "url string, title string, content_hash string, fetched_at timestamp, changed_at timestamp, last_used_at timestamp, retired_at timestamp",
+        "pages": "url string, title string, text string, kind string, content_hash string, fetched_at timestamp, changed_at timestamp, last_used_at timestamp, retired_at timestamp, missing_streak int, discovered_from array<string>",
         "claims": "url string, name string, paragraph string, heading string",
         "analyses": "id string, item_id string, analysis string, posted_at timestamp, created_at timestamp",
         "days": "day date, posted_at timestamp",
         "issues": "number long, title string, body string, labels array<string>, state string, reason string",
         "issue_events": "number long, kind string, body string",
+        "sent": "id string, state string",
     }
+    KEYS = {"items": signals.KEY, "pages": ("url",), "claims": ("url",), "analyses": ("id",), "days": ("day",), "issues": ("number",), "issue_events": ("number",), "sent": ("id",)}
 
     def __init__(self, spark: SparkSession, root: str, write: bool = True):
         self.spark, self.root, self.write = spark, root, write
 
-    def _pointers(self, name: str) -> DataFrame | None:
-        try:
-            return self.spark.read.schema("version long, path string").json(f"{self.root}/{name}/_pointer")
-        except Exception as e:  # noqa: BLE001
-            if "PATH_NOT_FOUND" in str(e):
-                return None
-            raise
+    def _state(self, name: str) -> tuple[int, dict[str, list[str]]]:
+        """(number, folders by bucket) of a table's newest state."""
+        found = latest(self.spark, f"{self.root}/{name}/_state")
+        return (found[0], json.loads(found[1])) if found else (-1, {})
+
+    def _shaped(self, name: str, df: DataFrame) -> DataFrame:
+        """df with the columns of a table; those that it lacks are null."""
+        fields = [c.split(" ", 1) for c in self.TABLES[name].split(", ")]
+        return df.select(*[(F.col(c) if c in df.columns else F.lit(None)).cast(kind).alias(c) for c, kind in fields])
+
+    def bucket(self, name: str) -> Column:
+        """The bucket of a row, by the table's key as text."""
+        return F.pmod(F.xxhash64(*[F.col(k).cast("string") for k in self.KEYS[name]]), F.lit(BUCKETS)).cast("int")
+
+    def _paths(self, name: str, buckets: dict[str, list[str]]) -> list[str]:
+        return [f"{self.root}/{name}/{folder}/bucket={b}" for b, folders in sorted(buckets.items()) for folder in folders]
+
+    def _rows(self, name: str, buckets: dict[str, list[str]]) -> DataFrame:
+        paths = self._paths(name, buckets)
+        return self.spark.read.schema(self.TABLES[name]).parquet(*paths) if paths else self.spark.createDataFrame([], self.TABLES[name])
 
     def read(self, name: str) -> DataFrame:
-        """The table as the newest pointer has it: its snapshot, and the rows appended since."""
-        pointers = self._pointers(name)
-        last = pointers.orderBy(F.desc("version")).first() if pointers is not None else None
-        if last is None:
-            return self.spark.createDataFrame([], self.TABLES[name])
-        return self.spark.read.schema(self.TABLES[name]).parquet(*last["path"].split("\n"))
-
-    def _point(self, name: str, paths: list[str]) -> None:
-        pointers = self._pointers(name)
-        version = 1 + ((pointers.agg(F.max("version")).first()[0] or 0) if pointers is not None else 0)
-        self.spark.createDataFrame([(version, "\n".join(paths))], "version long, path string").coalesce(1).write.mode("append").json(f"{self.root}/{name}/_pointer")
-
-    def _save(self, name: str, df: DataFrame) -> str:
-        columns = [f.name for f in self.spark.createDataFrame([], self.TABLES[name]).schema]
-        path = f"{self.root}/{name}/part-{uuid.uuid4().hex}"
-        df.select(*columns).write.parquet(path)
-        return path
+        """The table as its newest state has it."""
+        return self._rows(name, self._state(name)[1])
+
+    def near(self, name: str, rows: DataFrame) -> DataFrame:
+        """The stored rows of the buckets that rows with the table's key would go to."""
+        touched = self._touched(name, rows)
+        return self._rows(name, {b: f for b, f in self._state(name)[1].items() if b in touched})
+
+    def _touched(self, name: str, rows: DataFrame) -> set[str]:
+        return {str(r[0]) for r in rows.select(self.bucket(name)).distinct().collect()}  # BUCKETS rows at most
+
+    def _save(self, name: str, df: DataFrame) -> tuple[str, list[str]]:
+        """Writes rows to a folder of their own; (its name, the buckets that it has)."""
+        folder = f"part-{uuid.uuid4().hex}"
+        rows = self._shaped(name, df)
+        # a bucket is one task's and so one file's
+        rows.withColumn("bucket", self.bucket(name)).repartitionById(BUCKETS, F.col("bucket")).write.partitionBy("bucket").parquet(f"{self.root}/{name}/{folder}")
+        fs, at = file_system(self.spark, f"{self.root}/{name}/{folder}")
+        return folder, [n[7:] for x in fs.listStatus(at) if (n := x.getPath().getName()).startswith("bucket=")]
+
+    def _commit(self, name: str, number: int, buckets: dict[str, list[str]]) -> None:
+        commit(self.spark, f"{self.root}/{name}/_state", number, json.dumps({b: f for b, f in buckets.items() if f}), strict=True)
 
     def replace(self, name: str, df: DataFrame) -> None:
-        """Writes a whole snapshot, then points to it. A read-only store does neither."""
+        """Writes a whole table. A read-only store doesn't."""
         if self.write:
-            self._point(name, [self._save(name, df)])
+            number, _ = self._state(name)
+            folder, buckets = self._save(name, df)
+            self._commit(name, number + 1, {b: [folder] for b in buckets})
+
+    def change(self, name: str, keys: DataFrame, new: Callable[[DataFrame], DataFrame]) -> None:
+        """Writes the buckets of some keys (rows with the table's key) anew: new makes their rows from the stored ones. Rows that new makes must
+        have keys of these buckets."""
+        if not self.write:
+            return
+        touched, (number, buckets) = self._touched(name, keys), self._state(name)
+        if not touched:
+            return
+        held = self._rows(name, {b: f for b, f in buckets.items() if b in touched})
+        folder, there = self._save(name, new(held))
+        self._commit(name, number + 1, {b: f for b, f in buckets.items() if b not in touched} | {b: [folder] for b in there})
 
     def append(self, name: str, df: DataFrame) -> None:
-        """Adds rows beside the snapshot, which is not written again; past MOST_PARTS all become one snapshot."""
+        """Adds rows beside those of their buckets, which are not written again; a bucket of over MOST_PARTS folders becomes one."""
         if not self.write:
             return
-        pointers = self._pointers(name)
-        last = pointers.orderBy(F.desc("version")).first() if pointers is not None else None
-        paths = [*(last["path"].split("\n") if last else ()), self._save(name, df)]
-        self._point(name, paths)
-        if len(paths) > MOST_PARTS:
-            self.replace(name, self.read(name))
+        number, buckets = self._state(name)
+        folder, there = self._save(name, df)
+        buckets = buckets | {b: [*buckets.get(b, ()), folder] for b in there}
+        full = {b: f for b, f in buckets.items() if len(f) > MOST_PARTS}
+        if full:
+            folder, there = self._save(name, self._rows(name, full))
+            buckets = buckets | {b: [folder] for b in there}
+        self._commit(name, number + 1, buckets)
 
     def vacuum(self, name: str) -> int:
-        """Removes the parts of a table that its newest pointer doesn't name, and older pointers; returns how many parts went. Not while others read."""
-        pointers = self._pointers(name)
-        last = pointers.orderBy(F.desc("version")).first() if pointers is not None else None
-        if last is None or not self.write:
+        """Removes the folders that a table's newest state doesn't name; returns how many went. Not while others read or write."""
+        number, buckets = self._state(name)
+        if number < 0 or not self.write:
             return 0
-        held = {x.rsplit("/", 1)[-1] for x in last["path"].split("\n")}
         fs, at = file_system(self.spark, f"{self.root}/{name}")
-        gone = [x.getPath() for x in fs.listStatus(at) if x.getPath().getName().startswith("part-") and x.getPath().getName() not in held]
-        for path in gone:
-            fs.delete(path, True)
-        return len(gone)
+        path, gone = self.spark._jvm.org.apache.hadoop.fs.Path, 0
+        held = {f for folders in buckets.values() for f in folders}
+        for x in fs.listStatus(at):
+            folder = x.getPath().getName()
+            if folder.startswith("part-") and folder not in held:
+                fs.delete(x.getPath(), True)
+                gone += 1
+            elif folder.startswith("part-"):
+                for b in fs.listStatus(x.getPath()):
+                    n = b.getPath().getName()
+                    if n.startswith("bucket=") and folder not in buckets.get(n[7:], ()):
+                        fs.delete(path(b.getPath().toString()), True)
+        return gone
 
     def insert_new(self, batch: DataFrame) -> DataFrame:
         """Insert-if-absent of items (with an ord column); returns the rows that were new, with their ids."""
-        new = signals.new_items(batch, self.read("items"))
+        new = signals.new_items(batch, self.near("items", batch))
         if not self.write:
-            place = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("ord"))  # a day's batch
-            return new.withColumn("id", F.concat(F.lit("dry-run-"), place))
-        new = written(new.withColumn("id", item_id(*[F.col(c) for c in signals.KEY])), f"{self.root}/items/new-{uuid.uuid4().hex}")
+            return numbered(new, ["ord"], "place").withColumn("id", F.concat(F.lit("dry-run-"), "place")).drop("place")
+        new = written(new.withColumn("id", item_id(*[F.col(c) for c in signals.KEY])))
         self.append("items", new.drop("ord"))
         return new
 
     def find_item(self, source: str, external_id: str) -> str | None:
         """The id of a stored item; null if there is none."""
-        row = self.read("items").where((F.col("source") == source) & (F.col("external_id") == external_id)).select("id").first()
+        asked = self.spark.createDataFrame([(source, external_id)], "source string, external_id string")
+        row = self.near("items", asked).where((F.col("source") == source) & (F.col("external_id") == external_id)).select("id").first()
         return row["id"] if row else None
 
     def known_keys(self, batch: DataFrame) -> DataFrame:
@@ -131,11 +177,20 @@ class Store:
         return signals.pending(self.read("analyses"), items, since, limit)
 
     def record_run(self, books: DataFrame, used: DataFrame, now: Column) -> None:
-        """Retirements and last uses of a run, from bookkeeping() and the pages (url) that were used."""
-        p = self.read("pages").join(books.select("url", "retire"), "url", "left").join(used.select("url", F.lit(True).alias("used")), "url", "left")
-        gone = F.coalesce("retire", F.lit(False))
-        out = p.withColumn("retired_at", F.when(gone, F.coalesce("retired_at", now)).otherwise(F.col("retired_at"))).withColumn("last_used_at", F.when(F.col("used"), now).otherwise(F.col("last_used_at")))
-        self.replace("pages", out)
+        """Streaks, sources, retirements and last uses of a run, from bookkeeping() and the pages (url) that were used; only the buckets of pages
+        that one of these changes are written."""
+        told = written(books.select("url", "retire", "streak", "sources").join(used.select("url", F.lit(True).alias("used")).distinct(), "url", "full"))
+        held = self.read("pages").join(told, "url")
+        differs = F.col("used").isNotNull() | (F.col("retire") & F.col("retired_at").isNull()) | ~F.col("missing_streak").eqNullSafe(F.coalesce("streak", "missing_streak")) | ~F.col("discovered_from").eqNullSafe(F.coalesce("sources", "discovered_from"))
+
+        def new(pages: DataFrame) -> DataFrame:
+            p = pages.join(told, "url", "left")
+            return p.withColumns({
+                "retired_at": F.when(F.coalesce("retire", F.lit(False)), F.coalesce("retired_at", now)).otherwise(F.col("retired_at")), "last_used_at": F.when(F.col("used"), now).otherwise(F.col("last_used_at")),
+                "missing_streak": F.coalesce("streak", "missing_streak"), "discovered_from": F.coalesce("sources", "discovered_from"),
+            })
+
+        self.change("pages", written(held.where(differs).select("url")), new)
 
     def claims_about(self, name: str, limit: int) -> DataFrame:
         from . import routing
@@ -143,17 +198,30 @@ class Store:
         return routing.ranked_claims(self.read("claims").where(F.col("name") == name), name, limit)
 
     def save_pages(self, pages: DataFrame, now: Column) -> None:
-        self.replace("pages", corpus.upsert(self.read("pages"), pages, now))
+        """Writes pages (url, title, content_hash, and what else the table has) over those that are held."""
+        more = [c for c in ("text", "kind", "discovered_from") if c in pages.columns]
+        new = written(pages.withColumn("last_used_at", F.col("last_used_at") if "last_used_at" in pages.columns else F.lit(None).cast("timestamp")).withColumnsRenamed({"sources": "discovered_from"}))
+
+        def over(held: DataFrame) -> DataFrame:
+            rest = [c for c in held.columns if c in ("text", "kind", "missing_streak", "discovered_from")]
+            old = held.select("url", *[F.col(c).alias(f"old_{c}") for c in rest])
+            both = corpus.upsert(held, new, now).join(old, "url", "left")
+            theirs = new.select("url", *[F.col(c).alias(f"new_{c}") for c in {*more, *(["discovered_from"] if "discovered_from" in new.columns else [])}])
+            both = both.join(theirs, "url", "left")
+            return both.select(*[c for c in both.columns if not c.startswith(("old_", "new_"))], *[F.coalesce(*[F.col(x) for x in (f"new_{c}", f"old_{c}") if x in both.columns]).alias(c) for c in rest])
+
+        self.change("pages", new.select("url"), over)
 
     def replace_claims(self, urls: DataFrame, claims: DataFrame) -> None:
-        self.replace("claims", corpus.replace_by_url(self.read("claims"), urls, claims))
+        columns = self.spark.createDataFrame([], self.TABLES["claims"]).columns
+        self.change("claims", urls, lambda held: corpus.replace_by_url(held.select(*columns), urls, claims.select(*columns)))
 
     def record(self, analyses: DataFrame) -> None:
         self.append("analyses", analyses)
 
     def mark_posted(self, ids: DataFrame, now: Column) -> None:
-        a = self.read("analyses").join(ids.select("id", F.lit(True).alias("_now")), "id", "left")
-        self.replace("analyses", a.withColumn("posted_at", F.when(F.col("_now"), now).otherwise(F.col("posted_at"))))
+        mark = lambda held: held.join(ids.select("id", F.lit(True).alias("_now")).distinct(), "id", "left").withColumn("posted_at", F.when(F.col("_now"), now).otherwise(F.col("posted_at")))
+        self.change("analyses", ids, mark)
 
     def claim_day(self, day: str, now: Column) -> bool:
         """True once a day; always true in a read-only store."""
@@ -177,13 +245,20 @@ class MemoryStore(Store):
     def read(self, name: str) -> DataFrame:
         return self.tables[name] if name in self.tables else self.spark.createDataFrame([], self.TABLES[name])
 
+    def near(self, name: str, rows: DataFrame) -> DataFrame:
+        return self.read(name)
+
     def replace(self, name: str, df: DataFrame) -> None:
-        columns = [f.name for f in self.spark.createDataFrame([], self.TABLES[name]).schema]
-        self.tables[name] = written(df.select(*columns))
+        self.tables[name] = written(self._shaped(name, df))
+
+    def change(self, name: str, keys: DataFrame, new: Callable[[DataFrame], DataFrame]) -> None:
+        self.replace(name, new(self.read(name)))
 
     def append(self, name: str, df: DataFrame) -> None:
-        columns = [f.name for f in self.spark.createDataFrame([], self.TABLES[name]).schema]
-        self.tables[name] = self.read(name).unionByName(written(df.select(*columns)))
+        self.tables[name] = self.read(name).unionByName(written(self._shaped(name, df)))
+
+    def vacuum(self, name: str) -> int:
+        return 0
 
     def insert_new(self, batch: DataFrame) -> DataFrame:
         new = written(signals.new_items(batch, self.read("items")).withColumn("id", item_id(*[F.col(c) for c in signals.KEY])))
@@ -225,53 +300,78 @@ class Issues:
     def __init__(self, store: Store, check: Callable[[list[str]], None] = lambda labels: None):
         self.store, self.check = store, check
 
-    def _labels(self, labels: list[str]) -> list[str]:
-        try:
-            self.check(labels)
-            return labels
-        except ValueError:
-            return []
+    def _accepted(self) -> Callable[[Column], Column]:
+        """A column of labels, empty where the check refuses them."""
+        check = self.check
 
-    def create(self, title: str, body: str, labels: list[str]) -> int | None:
-        """The new issue's number, or None."""
+        def keep(labels: pd.Series) -> pd.Series:
+            def one(x):
+                try:
+                    check(list(x))
+                    return list(x)
+                except ValueError:
+                    return []
+
+            return labels.map(one)
+
+        return lambda c: F.pandas_udf(keep, "array<string>")(F.coalesce(c, F.expr("cast(array() as array<string>)")))
+
+    def create_all(self, drafts: DataFrame, order: str) -> DataFrame | None:
+        """Opens an issue for each draft (title, body, labels, and more), numbered by an order after those that are there, in one write a table;
+        returns the drafts with their numbers. None in a read-only store."""
         if not self.store.write:
             return None
+        last = self.store.read("issues").agg(F.max("number")).first()[0] or 0
+        new = written(numbered(drafts, [order], "number").withColumn("number", F.col("number") + F.lit(last)).withColumn("labels", self._accepted()(F.col("labels"))))
+        self.store.append("issues", new.withColumn("state", F.lit("open")).withColumn("reason", F.lit(None).cast("string")))
+        self.store.append("issue_events", new.select("number", F.lit("opened").alias("kind"), F.col("title").alias("body")))
+        return new
+
+    def update_all(self, patches: DataFrame) -> int:
+        """Changes issues by patches (number, and of title, body, labels, state and reason those that change; null leaves a value), one a number,
+        in one write a table; labels that are not accepted are left out of their patch. Returns how many issues were there to be changed."""
+        if not self.store.write:
+            return 0
+        fields = [c for c in ("title", "body", "labels", "state", "reason") if c in patches.columns]
+        p = patches.where("number is not null").select("number", *[F.col(c).alias(f"new_{c}") for c in fields])
+        if "labels" in fields:
+            p = p.withColumn("new_labels", F.when(F.col("new_labels").isNotNull(), F.when(self._accepted()(F.col("new_labels")) == F.col("new_labels"), F.col("new_labels"))))
+        p = written(p.join(self.store.read("issues").select("number"), "number", "left_semi"))
+        n = p.count()
+        if n:
+            self.store.change("issues", p, lambda held: held.join(p, "number", "left").withColumns({c: F.coalesce(f"new_{c}", c) for c in fields}))
+            told = F.array_join(F.filter(F.array(*[F.when(F.col(f"new_{c}").isNotNull(), F.lit(c)) for c in sorted(fields)]), lambda x: x.isNotNull()), ", ")
+            self.store.append("issue_events", p.select("number", F.lit("updated").alias("kind"), told.alias("body")))
+        return n
+
+    def comment_all(self, comments: DataFrame) -> bool:
+        """Adds comments (number, body); those without a number are left out."""
+        if not self.store.write:
+            return False
+        self.store.append("issue_events", comments.where("number is not null").select("number", F.lit("comment").alias("kind"), "body"))
+        return True
+
+    def create(self, title: str, body: str, labels: list[str]) -> int | None:
+        """The new issue's number, or None."""
         try:
-            number = 1 + (self.store.read("issues").agg(F.max("number")).first()[0] or 0)
-            self._event(number, "opened", title)
-            self.store.append("issues", self.store.spark.createDataFrame([(number, title, body, self._labels(labels), "open", None)], Store.TABLES["issues"]))
-            return number
+            new = self.create_all(self.store.spark.createDataFrame([(title, body, labels)], "title string, body string, labels array<string>"), "title")
+            return new.first()["number"] if new is not None else None
         except Exception:  # noqa: BLE001
             return None
 
-    def _event(self, number: int, kind: str, body: str) -> None:
-        self.store.append("issue_events", self.store.spark.createDataFrame([(number, kind, body)], Store.TABLES["issue_events"]))
-
     def update(self, number: int | None, **patch) -> bool:
         """Changes an issue's title, body, labels, state or reason; labels that are not accepted are left out of the patch."""
         if number is None or not self.store.write:
             return False
+        kinds = dict(c.split(" ", 1) for c in Store.TABLES["issues"].split(", "))
         try:
-            if "labels" in patch and self._labels(patch["labels"]) != patch["labels"]:
-                del patch["labels"]
-            kinds = dict(c.split(" ", 1) for c in Store.TABLES["issues"].split(", "))
-            issues = self.store.read("issues")
-            if not issues.where(F.col("number") == number).limit(1).count():
-                return False
-            for c, v in patch.items():
-                new = F.array(*map(F.lit, v)).cast(kinds[c]) if isinstance(v, list) else F.lit(v).cast(kinds[c])
-                issues = issues.withColumn(c, F.when(F.col("number") == number, new).otherwise(F.col(c)))
-            self.store.replace("issues", issues)
-            self._event(number, "updated", ", ".join(sorted(patch)))
-            return True
+            row = self.store.spark.createDataFrame([(number, *patch.values())], ", ".join(["number long", *(f"{c} {kinds[c]}" for c in patch)]))
+            return self.update_all(row) > 0
         except Exception:  # noqa: BLE001
             return False
 
     def comment(self, number: int | None, body: str) -> bool:
-        if number is None or not self.store.write:
-            return False
-        self._event(number, "comment", body)
-        return True
+        return number is not None and self.comment_all(self.store.spark.createDataFrame([(number, body)], "number long, body string"))
 
     def close(self, number: int | None, reason: str, labels: list[str] | None = None) -> bool:
         """Closed with its labels in one change, so that it is never closed and unlabelled."""
@@ -312,3 +412,45 @@ def write_artifact(messages: DataFrame, path: str, made: Column) -> None:
     """One text a message (id, text, payload): as it is read, and the payload as it is sent. made: what it was made by, and of what."""
     text = F.concat(F.lit("# Message "), F.col("id").cast("string"), F.lit("\n\n"), made, F.lit("\n\n## As it is read\n\n"), F.col("text"), F.lit("\n\n## Payload\n\n```json\n"), F.col("payload"), F.lit("\n```\n"))
     messages.select(F.col("id").cast("string").alias("id"), text.alias("value")).write.mode("overwrite").parquet(path)
+
+
+def deliver_once(store: Store, messages: DataFrame, post: Callable[[dict], bool]) -> dict[str, int]:
+    """Posts messages (id, payload) that the store's ledger doesn't have, from the driver, in the order of their ids, and returns how many were
+    sent, failed and skipped. A message is entered as claimed before any of the batch is posted, and as sent or failed after. A batch that runs
+    again after it broke off posts nothing of what it had claimed: it may have been sent, and is told as skipped."""
+    once = written(messages.select("id", "payload").where("id is not null").groupBy("id").agg(F.min("payload").alias("payload")))
+    new = written(once.join(store.near("sent", once).select("id"), "id", "left_anti"))
+    out = {"sent": 0, "failed": 0, "skipped": once.count() - new.count()}
+    store.append("sent", new.select("id", F.lit("claimed").alias("state")))
+    done: list[tuple[str, str]] = []
+
+    def enter() -> None:
+        if done:
+            rows = store.spark.createDataFrame(done, "id string, state string")
+            store.change("sent", rows, lambda held: held.join(rows.select("id", F.col("state").alias("_now")), "id", "left").withColumn("state", F.coalesce("_now", "state")))
+            done.clear()
+
+    for row in new.orderBy("id").toLocalIterator():
+        try:
+            state = "sent" if post(row.asDict(recursive=True)) else "failed"
+        except Exception:  # noqa: BLE001
+            state = "failed"
+        done.append((row["id"], state))
+        out[state] += 1
+        if len(done) == 1000:
+            enter()
+    enter()
+    return out
+
+
+def post_stream(outbox: DataFrame, store: Store, post: Callable[[dict], bool], checkpoint: str) -> dict[str, int]:
+    """Runs a stream of messages (id, payload) to its end; each is posted once, however often its batch runs and its id comes. Returns the
+    counts of `deliver_once` over all batches."""
+    total = {"sent": 0, "failed": 0, "skipped": 0}
+
+    def add(batch: DataFrame, epoch: int) -> None:
+        for k, n in deliver_once(store, batch, post).items():
+            total[k] += n
+
+    outbox.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    return total

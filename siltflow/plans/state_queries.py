@@ -10,7 +10,7 @@ from ..functions import text as T
 from ..functions import urls as U
 from ..operators import corpus as C
 from ..operators import signals as S
-from ..operators.state import Issues, MemoryStore, Store, item_id, write_artifact
+from ..operators.state import Issues, MemoryStore, Store, item_id, post_stream, write_artifact
 from ..sources.fetch import is_gone
 from ..storage import work_dir
 from .base import table
@@ -259,16 +259,38 @@ def issue_tables(spark, sf_dir):
 
     store = Store(spark, f"{work_dir(spark)}/issues-{uuid.uuid4().hex}")
     issues = Issues(store, check)
-    for r in table(spark, sf_dir, "region").orderBy("r_regionkey").collect():  # one issue after another, as they are numbered
-        k = r["r_regionkey"]
-        n = issues.create(r["r_name"], "body", [f"label-{k}"])
-        if k % 2 == 0:
-            issues.comment(n, "seen")
-        else:
-            issues.close(n, "not_planned", ["done"])
+    k = F.col("key")
+    drafts = table(spark, sf_dir, "region").select(F.col("r_regionkey").alias("key"), F.col("r_name").alias("title"), F.lit("body").alias("body"), F.array(F.concat(F.lit("label-"), F.col("r_regionkey").cast("string"))).alias("labels"))
+    new = issues.create_all(drafts, "key")
+    issues.comment_all(new.where(k % 2 == 0).select("number", F.lit("seen").alias("body")))
+    issues.update_all(new.where(k % 2 == 1).select("number", F.lit("closed").alias("state"), F.lit("not_planned").alias("reason"), F.array(F.lit("done")).alias("labels")))
     return store.read("issues").select("number", "title", F.array_join("labels", ",").alias("labels"), "state", "reason")
 
 
+def bucket_changes(spark, sf_dir):
+    """Every page stored, then a hundredth of them read again half of them with another text: the table as it is after."""
+    store = Store(spark, f"{work_dir(spark)}/buckets-{uuid.uuid4().hex}")
+    p = table(spark, sf_dir, "pages").select("page_id", F.concat(F.coalesce("url", F.lit("")), F.lit("/"), F.col("page_id")).alias("url"), F.lit("t").alias("title"))
+    first, again = F.lit("2024-01-01 00:00:00").cast("timestamp"), F.lit("2024-01-09 00:00:00").cast("timestamp")
+    store.save_pages(p.withColumn("content_hash", F.lit("h")), first)
+    store.save_pages(p.where("page_id % 100 = 7").withColumn("content_hash", F.when(F.col("page_id") % 200 == 7, "new").otherwise("h")), again)
+    day = lambda c: F.date_format(c, "yyyy-MM-dd").alias(c)
+    return store.read("pages").select("url", "content_hash", day("fetched_at"), day("changed_at"))
+
+
+def outbox(spark, sf_dir):
+    """Conversations' first turns as messages in a stream, some twice, posted in two batches, of which the second has the first's messages too: each once."""
+    root = f"{work_dir(spark)}/outbox-{uuid.uuid4().hex}"
+    c = table(spark, sf_dir, "conversations").where("turn = 0").select(F.concat(F.lit("m"), F.col("conv_id").cast("string")).alias("id"), F.lit("{}").alias("payload"))
+    store, posted = Store(spark, f"{root}/store"), []
+    post = lambda m: posted.append(m["id"]) or not m["id"].endswith("3")
+    for part in (c.where("id < 'm5'").unionByName(c.where("id < 'm2'")), c):
+        part.write.mode("append").parquet(f"{root}/in")
+        post_stream(spark.readStream.schema("id string, payload string").parquet(f"{root}/in"), store, post, f"{root}/checkpoint")
+    times = spark.createDataFrame([(i,) for i in posted], "id string").groupBy("id").agg(F.count("*").alias("posted"))
+    return store.read("sent").join(times, "id", "left").select("id", "state", "posted")
+
+
 def run_artifact(spark, sf_dir):
     """Each nation's message as a text to look at, with its payload."""
     path = f"{work_dir(spark)}/artifact-{uuid.uuid4().hex}"
@@ -300,7 +322,7 @@ QUERIES = {
     for f in (
         dedupe_insert, known_keys, count_by_source, item_lookup, lookback, select_for_analysis, pending_retry, schedule_day, quiet_day, merge_discoveries, plan_refresh, refresh_summary, plan_bookkeeping,
         record_corpus_run, merge_corpus, page_upsert, replace_claims, live_corpus, page_defaults, page_meta, pages_by_url, gone_pages, workspace_paths, workspace_files, toc, store_roundtrip, memory_store, dry_run,
-        issue_tables, run_artifact, heuristic_analysis, stream_dedupe,
+        issue_tables, bucket_changes, outbox, run_artifact, heuristic_analysis, stream_dedupe,
     )
 }
 
@@ -378,6 +400,9 @@ SELECT source || '/' || slug || CASE WHEN n > 1 THEN '-' || n ELSE '' END || '.m
     "store_roundtrip": _STORED,
     "memory_store": _STORED,
     "dry_run": "SELECT 'dry-run-' || row_number() OVER (ORDER BY event_id) AS id, event_type AS source, user_id::VARCHAR AS external_id FROM (SELECT *, row_number() OVER (PARTITION BY event_type, user_id ORDER BY event_id) AS k FROM events WHERE ts >= TIMESTAMP '2024-01-30 00:00:00') WHERE k = 1",
+    "bucket_changes": """SELECT coalesce(url, '') || '/' || page_id AS url, CASE WHEN page_id % 200 = 7 THEN 'new' ELSE 'h' END AS content_hash, CASE WHEN page_id % 100 = 7 THEN '2024-01-09' ELSE '2024-01-01' END AS fetched_at,
+  CASE WHEN page_id % 200 = 7 THEN '2024-01-09' ELSE '2024-01-01' END AS changed_at FROM pages""",
+    "outbox": "SELECT DISTINCT 'm' || conv_id AS id, CASE WHEN conv_id % 10 = 3 THEN 'failed' ELSE 'sent' END AS state, 1::BIGINT AS posted FROM conversations WHERE turn = 0",
     "issue_tables": "SELECT (r_regionkey + 1)::BIGINT AS number, r_name AS title, CASE WHEN r_regionkey % 2 = 1 THEN 'done' WHEN r_regionkey % 10 = 1 THEN '' ELSE 'label-' || r_regionkey END AS labels, CASE WHEN r_regionkey % 2 = 1 THEN 'closed' ELSE 'open' END AS state, CASE WHEN r_regionkey % 2 = 1 THEN 'not_planned' END AS reason FROM region",
     "run_artifact": """SELECT n_nationkey::VARCHAR AS id, sha1('# Message ' || n_nationkey || chr(10) || chr(10) || 'Made by rules.' || chr(10) || chr(10) || '## As it is read' || chr(10) || chr(10) || n_name || chr(10) || chr(10) || '## Payload' || chr(10) || chr(10) || '```json' || chr(10) || '{"n_name":"' || n_name || '"}' || chr(10) || '```' || chr(10)) AS digest FROM nation""",
     "heuristic_analysis": """SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'minor' ELSE 'minor' END AS impact, CASE doc_id % 3 WHEN 0 THEN 'Acme: It is ' || doc_id || '.' WHEN 1 THEN 'Acme: The body.' ELSE 'Acme published "Signal ' || doc_id || '".' END AS summary,

@@ -8,6 +8,7 @@ import uuid
 from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def work_dir(spark: SparkSession) -> str:
@@ -57,9 +58,9 @@ def fingerprint(spark: SparkSession, path: str) -> str:
     return seen.hexdigest()
 
 
-def commit(spark: SparkSession, folder: str, number: int, text: str) -> None:
+def commit(spark: SparkSession, folder: str, number: int, text: str, strict: bool = False) -> None:
     """Writes a text as the folder's next state: under a temporary name that is then renamed to the number. If another session was first, its
-    state stays, and this is an error, except for number 0, whose states are equal."""
+    state stays, and this is an error, except for number 0, whose states are equal (unless strict)."""
     fs, at = file_system(spark, folder)
     path = spark._jvm.org.apache.hadoop.fs.Path
     fs.mkdirs(at)
@@ -69,7 +70,7 @@ def commit(spark: SparkSession, folder: str, number: int, text: str) -> None:
     out.close()
     if fs.exists(final) or not fs.rename(draft, final):
         fs.delete(draft, False)
-        if number:
+        if number or strict:
             raise RuntimeError(f"another session has written state {number} of {folder}")
 
 
@@ -86,3 +87,17 @@ def latest(spark: SparkSession, folder: str) -> tuple[int, str] | None:
         return int(names[-1]), spark._jvm.org.apache.commons.io.IOUtils.toString(source, "UTF-8")
     finally:
         source.close()
+
+
+def numbered(df: DataFrame, order: list, name: str) -> DataFrame:
+    """df with a column of numbers from 1 on, by an order. Rows are sorted over all tasks and written; a number is a row's place in its partition
+    and the rows of those before, so no task gets all rows."""
+    spark = df.sparkSession
+    place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    held = written(df.orderBy(*order).withColumns({"_part": F.spark_partition_id(), "_at": place}))
+    starts, before = [], 1
+    for r in sorted(held.groupBy("_part").agg(F.count("*").alias("n")).collect()):  # a row a partition
+        starts.append((r["_part"], before))
+        before += r["n"]
+    offsets = spark.createDataFrame(starts, "_part int, _start long")
+    return held.join(F.broadcast(offsets), "_part").withColumn(name, F.col("_start") + F.col("_at")).drop("_part", "_at", "_start")

@@ -374,7 +374,8 @@ def rewrite(clients: DataFrame, clicks: DataFrame, sales: DataFrame, sale_lines:
     folder, stage = f"{work_dir(spark)}/erasure-{token}", f"{work_dir(spark)}/erasure-work-{token}"
     whole = lambda df: F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row")
     by_client = lambda df: df.select(whole(df), _crc(F.col("client_id")).alias("crc"))
-    lines = sale_lines.select(whole(sale_lines), F.col("sale_id").alias("sale")).join(_owners(sales).select(F.col("sale_id").alias("sale"), "owner"), "sale", "left").select("row", _crc(F.col("owner")).alias("crc"))
+    owners = written(_owners(sales), "owners")  # a table, so that a sale with many lines is split in the join
+    lines = sale_lines.select(whole(sale_lines), F.col("sale_id").alias("sale")).join(owners.select(F.col("sale_id").alias("sale"), "owner"), "sale", "left").select("row", _crc(F.col("owner")).alias("crc"))
     sources = {"clients": by_client(clients), "clicks": by_client(clicks), "sales": by_client(sales), "sale_lines": lines}
     manifests = {x.name: lay_out(sources[x.name], x, folder, stage) for x in LAYOUTS}
     masters = victim_masters(clients, clicks)
@@ -383,7 +384,7 @@ def rewrite(clients: DataFrame, clicks: DataFrame, sales: DataFrame, sale_lines:
     by_id = ids.select(_crc(F.col("client_id")).alias("crc"), F.col("client_id").alias("key"))
     # a sale may have rows of several clients: it goes if one of them does, and its lines lie at its owner's crc
     their = sales.where("sale_id is not null").select("sale_id", "client_id").join(ids, "client_id", "left_semi").select("sale_id").distinct()
-    by_sale = _owners(sales).join(their, "sale_id", "left_semi").select(_crc(F.col("owner")).alias("crc"), F.col("sale_id").alias("key"))
+    by_sale = owners.join(their, "sale_id", "left_semi").select(_crc(F.col("owner")).alias("crc"), F.col("sale_id").alias("key"))
     victims = {"clients": gone.select(_crc(F.col("client_id")).alias("crc"), F.col("master_id").alias("key")), "clicks": by_id, "sales": by_id, "sale_lines": by_sale}
     done = erase(manifests, victims, LAYOUTS, folder, stage)
     done = written(done, "done")

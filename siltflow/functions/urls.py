@@ -23,7 +23,7 @@ def normalize(url: Column, keep_fragment: bool = False) -> Column:
     scheme = F.lower(part(url, 1))
     host = F.regexp_replace(F.lower(part(url, 2)), F.when(scheme == "https", ":443$").otherwise(":80$"), "")
     path = F.regexp_replace(part(url, 3), "/+$", "")
-    kept = F.filter(F.split(F.substring(part(url, 4), 2, 1 << 20), "&"), lambda p: (p != "") & ~F.regexp_extract(p, "^[^=]*", 0).rlike(TRACKING))
+    kept = F.filter(F.split(F.substring(part(url, 4), 2, 1 << 30), "&"), lambda p: (p != "") & ~F.regexp_extract(p, "^[^=]*", 0).rlike(TRACKING))
     query = F.when(F.size(kept) > 0, F.concat(F.lit("?"), F.array_join(kept, "&"))).otherwise("")
     tail = part(url, 5) if keep_fragment else F.lit("")
     whole = F.concat(scheme, F.lit("://"), host, F.when(path == "", "/").otherwise(path), query, tail)
@@ -56,7 +56,7 @@ def title(url: Column) -> Column:
     """A title from the last path segment: separators as spaces, first letter capital; of a URL without path the host."""
     last = F.coalesce(F.try_element_at(segments(url), F.lit(-1)), F.lit(""))
     text = F.trim(F.regexp_replace(F.coalesce(F.try_url_decode(last), last), "[-_]+", " "))
-    return F.when(text == "", F.lower(part(url, 2))).otherwise(F.concat(F.upper(F.left(text, F.lit(1))), F.substring(text, 2, 1 << 20)))
+    return F.when(text == "", F.lower(part(url, 2))).otherwise(F.concat(F.upper(F.left(text, F.lit(1))), F.substring(text, 2, 1 << 30)))
 
 
 def section(url: Column) -> Column:
@@ -141,7 +141,7 @@ CREDENTIALS = ("token", "jwt")
 
 def carries_credential(url: Column) -> Column:
     """Whether an address has a parameter that lets its holder in."""
-    names = F.transform(F.split(F.substring(part(url, 4), 2, 1 << 20), "&"), lambda p: F.substring_index(p, "=", 1))
+    names = F.transform(F.split(F.substring(part(url, 4), 2, 1 << 30), "&"), lambda p: F.substring_index(p, "=", 1))
     return F.exists(names, lambda n: n.isin(*CREDENTIALS))
 
 
@@ -170,10 +170,23 @@ def is_anchored(url: Column) -> Column:
     return F.coalesce(url.rlike("#.+"), F.lit(False))
 
 
+#: What a site's default card is named by, beside the word default.
+CARDS = ("seo", "og", "share", "social")
+
+
 def is_generic_preview(url: Column) -> Column:
-    """Whether a picture is a site's default card: default beside what it is for, in either order."""
-    kinds = "(?:seo|og|share|social)"
-    return F.lower(url).rlike(f"default[-_.]?{kinds}|{kinds}[-_.]?default")
+    """Whether a picture is a site's default card: of the parts of its address between hyphens, underscores and dots, one ends with default and
+    the next begins with what the card is for, or the other way round, or one part has both side by side."""
+    parts = F.split(F.lower(url), "[-_.]")
+
+    def card(part: Column, following: Column) -> Column:
+        after, found = F.coalesce(following, F.lit("")), F.lit(False)
+        for k in CARDS:
+            for a, b in (("default", k), (k, "default")):
+                found = found | (part.endswith(a) & after.startswith(b)) | F.contains(part, F.lit(a + b))
+        return found
+
+    return F.exists(F.zip_with(parts, F.slice(parts, F.lit(2), F.size(parts)), card), lambda x: x)
 
 
 def visual_paths(folder: str, url: Column, claim: Column, proposed: Column, day: Column) -> Column:

@@ -292,15 +292,25 @@ def either(phrases) -> str:
     return "(?:" + "|".join(re.escape(p).replace("\\ ", " ").replace("\\'", "'") for p in phrases) + ")"
 
 
-def near(first, then, most: int) -> str:
-    """An expression for one of the first phrases, followed in the same sentence, most characters on at most, by one of the others."""
-    return rf"\b{either(first)}\b[^.?!]{{0,{most}}}?\b{either(then)}\b"
+#: Where a sequence of words may end; as many as there are.
+END: dict = {}
+ALL = 1 << 30
 
 
-def leads(*shapes) -> str:
-    """An expression for a text that opens with one of the shapes: lists of words that follow one another; an empty word may be left out."""
-    part = lambda words: f"(?:{either(filter(None, words))} )?" if "" in words else f"{either(words)} "
-    return "(?i)^(?:" + "|".join("".join(map(part, s)).removesuffix(" ") for s in shapes) + r")\b"
+def opens(words: Column, tree: dict, at: int = 0) -> Column:
+    """Whether words (lower case, as blanks separate them) open with a sequence of a tree: by words, or tuples of words that are followed by the
+    same, what may follow; END where that is all. A sign after a word ends the sequence."""
+    word = F.coalesce(F.get(words, F.lit(at)), F.lit(""))
+    head = F.regexp_extract(word, "^[a-z']*", 0)
+    found = F.lit(False)
+    for keys, rest in tree.items():
+        keys = (keys,) if isinstance(keys, str) else keys
+        found = found | (head.isin(*keys) if not rest else word.isin(*keys) & opens(words, rest, at + 1))
+    return found
+
+
+def opening(text: Column) -> Column:
+    return F.split(F.lower(text), " ")
 
 
 # What says that something is lacking, what nothing is the equal of, and how far from its subject either may be.
@@ -310,9 +320,25 @@ LACKS = (
 EQUALS, LACKS_WITHIN, EQUALS_WITHIN = ("equivalent", "counterpart", "parity"), 140, 40
 
 
-def gap_pattern(product: str) -> str:
-    """Matches a claim that the product lacks something: the product and then a lack, or no equal."""
-    return f"(?i){near([product], LACKS, LACKS_WITHIN)}|{near(['no'], EQUALS, EQUALS_WITHIN)}"
+def word_runs(text: Column) -> Column:
+    """The words of each stretch between full stops, question and exclamation marks, lower case and without the
+    ending of a possessive, as a text with a space before and after each."""
+    words = lambda x: F.transform(F.regexp_extract_all(x, F.lit("[a-z0-9_']+"), F.lit(0)), lambda w: F.regexp_replace(F.trim(w, F.lit("'")), "'s$", ""))
+    return F.transform(F.split(F.lower(text), "[.?!]"), lambda x: F.concat(F.lit(" "), F.array_join(words(x), " "), F.lit(" ")))
+
+
+def said_after(runs: Column, first: str, phrases, within: int) -> Column:
+    """Whether one of the phrases begins in a run at most so many characters after the word first, counted in words and the spaces between."""
+    spaced = lambda x: F.concat(F.lit(" "), x, F.lit(" "))
+    near = lambda tail: F.exists(strings(phrases), lambda p: F.position(spaced(p), spaced(tail)).between(1, within + 1))
+    return F.exists(runs, lambda run: F.exists(F.slice(F.split(run, re.escape(f" {first} ")), 2, ALL), near))
+
+
+def claims_gap(text: Column, product: str) -> Column:
+    """Whether a text claims that the product lacks something: in one stretch the product and, near after it, a lack; or a no and, near after it,
+    the word for an equal."""
+    either_of = lambda r: said_after(r, product.lower(), LACKS, LACKS_WITHIN) | said_after(r, "no", EQUALS, EQUALS_WITHIN)
+    return T.bound(word_runs(F.coalesce(text, F.lit(""))), either_of)
 
 
 # How a question opens, how one does whose stem is missing, and what hedges before one.
@@ -346,7 +372,7 @@ def as_question(line: Column) -> Column:
     """The line as a question: itself if it is one; else its last clause without a hedge, as a question if it opens like one, or with whether
     or if; what stands before that clause is kept. Null if it can't be one without being rewritten."""
     text = T.collapse(line)
-    cased = lambda f, x: F.concat(f(F.left(x, F.lit(1))), F.substring(x, 2, 1 << 20))
+    cased = lambda f, x: F.concat(f(F.left(x, F.lit(1))), F.substring(x, 2, ALL))
 
     def ask(said: Column) -> Column:
         last = F.element_at(said, -1)
@@ -371,15 +397,20 @@ def open_questions(lines: Column, most: int | None = None) -> Column:
     return F.slice(every, 1, most) if most else every
 
 
-# What opens a note about copy, where copy should stand: orders; changes to what is pointed at; parts that are to be added; what is
-# to be made clear; what is to be answered. And the marks of blanks that somebody else should fill.
-ORDERS = (
-    "say", "says", "mention", "mentions", "note that", "state that", "clarify", "call out", "point out", "reword", "rewrite", "revise", "reframe", "acknowledge", "soften", "strengthen", "make sure",
-    "ensure", "consider",
-)
-CHANGES, POINTED = ("update", "edit", "change", "correct", "fix", "replace", "remove", "drop", "expand"), ("the", "this", "that", "these")
-ADDS, ARTICLES, PARTS = ("add", "include"), ("a", "an", "the", "this"), ("line", "row", "bullet", "sentence", "paragraph", "note", "section", "column", "mention", "caveat")
-INSTRUCTION = leads((ORDERS,), (CHANGES, POINTED), (ADDS, ARTICLES, PARTS), (("make",), ("it", "this", "that"), ("clear",)), (("answer",), ("their", "the", "this")))
+# The words of what opens a note about copy, where copy should stand: orders of one word and of two; changes to what is pointed at;
+# parts that are to be added; what is to be made clear; what is to be answered. And the marks of blanks that somebody else should fill.
+SAY = ("say", "says", "mention", "mentions", "clarify", "reword", "rewrite", "revise", "reframe", "acknowledge", "soften", "strengthen", "ensure", "consider")
+CHANGE, POINTED = ("update", "edit", "change", "correct", "fix", "replace", "remove", "drop", "expand"), ("the", "this", "that", "these")
+PARTS = ("line", "row", "bullet", "sentence", "paragraph", "note", "section", "column", "mention", "caveat")
+NOTE = {
+    SAY: END,
+    ("note", "state"): {"that": END},
+    ("call", "point"): {"out": END},
+    "make": {"sure": END, ("it", "this", "that"): {"clear": END}},
+    CHANGE: {POINTED: END},
+    ("add", "include"): {("a", "an", "the", "this"): {PARTS: END}},
+    "answer": {("their", "the", "this"): END},
+}
 MARKS, ELLIPSES, LEAST_COPY = ("TBD", "TODO", "XXX"), ("...", "…"), 40
 
 
@@ -394,7 +425,7 @@ def copy_fault(copy: Column) -> Column:
     """Why proposed copy can't be pasted: missing, too_short (unless a table row), instruction, placeholder; else null."""
     text = F.trim(F.coalesce(copy, F.lit("")))
     row = text.startswith("|") & (F.size(F.split(text, r"\|")) >= 3)
-    return F.when(text == "", "missing").when((F.char_length(text) < LEAST_COPY) & ~row, "too_short").when(text.rlike(INSTRUCTION), "instruction").when(has_blank(text), "placeholder")
+    return F.when(text == "", "missing").when((F.char_length(text) < LEAST_COPY) & ~row, "too_short").when(opens(opening(text), NOTE), "instruction").when(has_blank(text), "placeholder")
 
 
 # Phrases about prices and plans rather than the product; how an action opens that asks for documents alone.
@@ -404,10 +435,13 @@ PACKAGING = (
 )
 PRICING = "Pricing"
 DOCS = ("doc", "docs")
-DOCUMENTATION = leads(
-    (("document", "documenting"),), (("write",), ("", "up"), ("", "the"), ("docs",)), (("add",), ("", "a", "the"), ("doc page", "documentation", *DOCS)), (("publish",), ("", "a", "the"), DOCS),
-    (("update",), ("the",), ("docs",)), (("create",), ("", "a", "the"), DOCS),
-)
+WRITING = {
+    ("document", "documenting"): END,
+    "write": {"docs": END, "the": {"docs": END}, "up": {"docs": END, "the": {"docs": END}}},
+    "add": {("documentation", *DOCS): END, ("a", "the"): {("documentation", *DOCS): END}},
+    ("publish", "create"): {DOCS: END, ("a", "the"): {DOCS: END}},
+    "update": {"the": {"docs": END}},
+}
 
 
 def is_packaging(gap: Column, topics: tuple[Topic, ...] = TOPICS, pricing: str = PRICING) -> Column:
@@ -418,7 +452,7 @@ def is_packaging(gap: Column, topics: tuple[Topic, ...] = TOPICS, pricing: str =
 
 def is_documentation_only(detail: Column) -> Column:
     """Whether an action's first sentence asks for documents to be written."""
-    return F.trim(T.first_sentence(detail, 200)).rlike(DOCUMENTATION)
+    return opens(opening(F.trim(T.first_sentence(detail, 200))), WRITING)
 
 
 # Words that no announcement can be told by.

@@ -32,7 +32,7 @@ class Summary:
 
 
 #: What a run without a model says of itself; labels that changelogs open with; lengths of what is restated.
-UNANALYZED = "No model analysis ran, so nothing has been assessed and nothing is recommended. The open questions name where to start."
+UNANALYZED = "Rules alone read this signal. They judge nothing; the questions below point at pages worth a look."
 LABELS = ("description", "summary", "overview", "what's new", "tl;dr")
 MOST_LEAD, MOST_POINT, MOST_POINTS, MOST_CLAIM, MOST_REFS = 280, 160, 3, 240, 2
 
@@ -52,7 +52,7 @@ def heuristic(items: DataFrame, maker: Column | None = None, refs: Column | None
     points = F.filter(F.transform(F.when(F.size(rest) > 0, rest).otherwise(F.slice(said, 2, MOST_POINTS)), lambda s: T.truncate(F.trim(s), MOST_POINT)), lambda s: s != "")
     none = F.expr("cast(array() as array<struct<url:string,claim:string>>)")
     cited = F.transform(F.slice(refs if refs is not None else none, 1, MOST_REFS), lambda r: F.struct(r["url"].alias("url"), T.truncate(r["claim"], MOST_CLAIM).alias("claim")))
-    questions = F.transform(cited, lambda r: F.concat(F.lit("Nobody has read "), r["url"], F.lit(" against this launch: does anything it says change?")))
+    questions = F.transform(cited, lambda r: F.concat(F.lit("Is "), r["url"], F.lit(" still right in view of this?")))
     analysis = F.struct(
         routing.impact(F.concat_ws(" ", "title", body)).alias("impact"), summary.alias("summary"), F.coalesce(points, F.expr("cast(array() as array<string>)")).alias("key_points"),
         F.struct(F.lit("unanalyzed").alias("kind"), F.lit(UNANALYZED).alias("reason"), F.transform(cited, lambda r: F.struct(r["url"].alias("url"))).alias("evidence")).alias("no_action"), cited.alias("product_refs"),

@@ -12,7 +12,7 @@ from ..operators import retrieval as R
 from ..operators import review as V
 from ..operators import routing as Q
 from .base import indexed, sql_stems, table
-from .rules import _ACTIONS, _CAPABLE, _DOCS, _LINES, _TOPICS, _WC, _actions, _lines, sql_blank, sql_topics
+from .rules import _ACTIONS, _CAPABLE, _DOCS, _LINES, _TOPICS, _WC, _actions, _lines, sql_blank, sql_gap, sql_opens, sql_topics
 from .scalars import SQL_URLS, _slug
 from .search import SQL_INDEX, sql_sentences, sql_truncate
 
@@ -270,7 +270,7 @@ proof AS (SELECT a.id, CASE WHEN trim(coalesce(g.text, '')) = '' THEN 'no_gap' W
   FROM actions a JOIN questions g ON g.qid = a.id LEFT JOIN held p ON p.url = a.evidence_url LEFT JOIN d ON d.doc_id = a.evidence_url),
 gated AS (SELECT (id // 3)::BIGINT AS id, (id % 3)::INTEGER AS place, CASE WHEN id % 9 = 4 THEN 'docs_only' WHEN id % 11 = 5 THEN 'packaging' WHEN proof IS NOT NULL THEN proof WHEN len(urls) > 0 AND NOT list_contains(urls, evidence_url) THEN 'wrong_page_ranked' WHEN misses > 0 THEN 'covered_elsewhere' END AS cause
   FROM proof LEFT JOIN cover ON qid = id)"""
-_FAULT = f"""CASE WHEN trim(coalesce(copy, '')) = '' THEN 5 WHEN length(trim(copy)) < 40 AND NOT (starts_with(trim(copy), '|') AND len(string_split(copy, '|')) >= 3) THEN 4 WHEN regexp_matches(trim(copy), '{Q.INSTRUCTION}') THEN 2
+_FAULT = f"""CASE WHEN trim(coalesce(copy, '')) = '' THEN 5 WHEN length(trim(copy)) < 40 AND NOT (starts_with(trim(copy), '|') AND len(string_split(copy, '|')) >= 3) THEN 4 WHEN {sql_opens('trim(copy)', Q.NOTE)} THEN 2
   WHEN {sql_blank('trim(copy)')} THEN 3 WHEN too_much THEN 1 END"""
 ORACLES = {
     "topic_ties": f"WITH {_TIES} SELECT doc_id, n_terms, n_phrases, ties FROM ties",
@@ -306,7 +306,7 @@ SELECT i AS event_id, coalesce(feed, CASE WHEN i % 3 <> 0 THEN page END, shot, p
 SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'Do we know whether ' || x || ' holds?' WHEN 1 THEN 'The page is old: does ' || x || ' hold?' WHEN 2 THEN 'What is ' || x || '?' WHEN 3 THEN 'Is ' || x || ' so?'
   ELSE CASE WHEN x IN ('whether', 'if') THEN 'Do we know ' || x || '?' WHEN x IN ({', '.join(repr(x) for x in Q.OPENERS)}) THEN upper(left(x, 1)) || substr(x, 2) || '?' END END AS question FROM t""",
     "verify_docs": f"""WITH {_LINES}, llow AS (SELECT doc_id, lower(line) AS low FROM lines), {sql_topics('llow')}, c(label, docs) AS (VALUES {_DOCS}),
-a AS (SELECT doc_id, doc_id % 2 = 0 AS building, regexp_matches(line, '{Q.gap_pattern('acme').replace(chr(39), chr(39) * 2)}') AS claims, label, docs[1] AS doc
+a AS (SELECT doc_id, doc_id % 2 = 0 AS building, {sql_gap('line', 'acme')} AS claims, label, docs[1] AS doc
   FROM lines LEFT JOIN (SELECT doc_id, label, docs FROM topics JOIN c USING (label) WHERE rank = 1 AND doc_id % 3 <> 0) USING (doc_id))
 SELECT doc_id AS id, CASE WHEN building AND doc IS NULL THEN 'consider_building' ELSE 'consider_enhancing' END AS type, label AS feature, CASE WHEN building OR claims THEN doc END AS cites, doc IS NULL AND claims AS asks FROM a""",
     "context_topup": f"""WITH {_TOPICS}, c(label, docs) AS (VALUES {_DOCS}), n AS (SELECT doc_id, rank, label, docs[1] AS doc FROM topics JOIN c USING (label) WHERE NOT (doc_id % 2 = 0 AND rank = 1)),

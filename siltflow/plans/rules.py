@@ -230,7 +230,7 @@ QUERIES = {
         )
     },
     "impact_heuristic": _line(impact=Q.impact),
-    "gap_claim": _line(claims_gap=lambda x: x.rlike(Q.gap_pattern("acme"))),
+    "gap_claim": _line(claims_gap=lambda x: Q.claims_gap(x, "acme")),
     "is_question": _line(asks=Q.is_question),
     "copy_fault": _line(fault=Q.copy_fault),
 }
@@ -320,6 +320,31 @@ def sql_blank(x: str) -> str:
     )
 
 
+def _sql_texts(values) -> str:
+    return "[" + ", ".join("'" + v.replace("'", "''") + "'" for v in values) + "]"
+
+
+def sql_gap(text: str, product: str) -> str:
+    """Whether a text claims a gap, by words between stops."""
+    words = "list_transform(regexp_extract_all(r, '[a-z0-9_'']+'), lambda w: regexp_replace(trim(w, chr(39)), '''s$', ''))"
+    runs = f"list_transform(string_split_regex(lower({text}), '[.?!]'), lambda r: ' ' || array_to_string({words}, ' ') || ' ')"
+
+    def after(first: str, phrases, n: int) -> str:
+        near = f"len(list_filter({_sql_texts(phrases)}, lambda p: instr(' ' || t || ' ', ' ' || p || ' ') BETWEEN 1 AND {n + 1})) > 0"
+        return f"len(list_filter({runs}, lambda r: len(list_filter(string_split(r, ' {first} ')[2:], lambda t: {near})) > 0)) > 0"
+
+    return f"({after(product, Q.LACKS, Q.LACKS_WITHIN)} OR {after('no', Q.EQUALS, Q.EQUALS_WITHIN)})"
+
+
+def sql_opens(text: str, tree: dict, at: int = 1) -> str:
+    """Whether a text opens with a sequence of words of a tree."""
+    word, found = f"coalesce(string_split(lower({text}), ' ')[{at}], '')", []
+    for keys, rest in tree.items():
+        names = ", ".join(repr(k) for k in ((keys,) if isinstance(keys, str) else keys))
+        found.append(f"regexp_extract({word}, '^[a-z'']*') IN ({names})" if not rest else f"({word} IN ({names}) AND {sql_opens(text, rest, at + 1)})")
+    return "(" + " OR ".join(found) + ")"
+
+
 ORACLES = {
     "topic_match": f"WITH {_TOPICS} SELECT * FROM topics",
     "keyword_occurrences": f"WITH low AS (SELECT doc_id, lower(text) AS low FROM documents) SELECT doc_id, {_count('the')}::BIGINT AS n_short, {_count('of the')}::BIGINT AS n_phrase, {_count('thing')}::BIGINT AS n_part FROM low",
@@ -355,11 +380,11 @@ SELECT doc_id, 'signal-watch,acme,source:' || CASE WHEN doc_id % 2 = 0 THEN 'blo
   || ',' || array_to_string(list_transform(teams, lambda x: 'team:' || replace(lower(x), ' ', '-')), ',') || CASE WHEN doc_id % 3 = 0 THEN ',platform:schaft' ELSE '' END AS labels,
   CASE WHEN length(head) <= room THEN head ELSE rtrim(left(head, (room - 1)::INTEGER)) || '…' END || suffix AS title FROM l""",
     "impact_heuristic": f"WITH {_LINES} SELECT doc_id, {_IMPACT} AS impact FROM lines",
-    "gap_claim": f"WITH {_LINES} SELECT doc_id, regexp_matches(line, '{Q.gap_pattern('acme').replace(chr(39), chr(39) * 2)}') AS claims_gap FROM lines",
+    "gap_claim": f"WITH {_LINES} SELECT doc_id, {sql_gap('line', 'acme')} AS claims_gap FROM lines",
     "is_question": f"""WITH {_LINES}, c AS (SELECT doc_id, {sql_collapse('line')} AS t FROM lines), s AS (SELECT doc_id, t, string_split_regex({sql_sentences('t')}[-1], '(?:[:;]| –) +')[-1] AS clause FROM c)
 SELECT doc_id, ends_with(t, '?') AND regexp_extract(lower(clause), '^[a-z'']+') IN ({', '.join(repr(x) for x in Q.OPENERS)}) AS asks FROM s""",
     "copy_fault": f"""WITH {_LINES}, t AS (SELECT doc_id, trim(line) AS t FROM lines) SELECT doc_id, CASE WHEN t = '' THEN 'missing' WHEN length(t) < 40 AND NOT (starts_with(t, '|') AND len(string_split(t, '|')) >= 3) THEN 'too_short'
-  WHEN regexp_matches(t, '{Q.INSTRUCTION}') THEN 'instruction' WHEN {sql_blank('t')} THEN 'placeholder' END AS fault FROM t""",
+  WHEN {sql_opens('t', Q.NOTE)} THEN 'instruction' WHEN {sql_blank('t')} THEN 'placeholder' END AS fault FROM t""",
     "packaging_gap": f"""WITH {_LINES}, g AS (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN lead ELSE line END AS gap FROM lines), glow AS (SELECT doc_id, lower(gap) AS low FROM g), {sql_topics('glow')}
 SELECT doc_id, {_any('gap', Q.PACKAGING)} AND doc_id NOT IN (SELECT doc_id FROM topics) AS packaging, doc_id % 3 <> 1 AS docs_only FROM g""",
     "team_lookup": """SELECT doc_id, ['Core', 'Growth', 'Platform Engineering', 'Platform Engineering', NULL, 'Core'][doc_id % 6 + 1] AS team, ['Growth', 'Platform Engineering', 'Core', ''][doc_id % 4 + 1] AS owners FROM documents""",
@@ -385,6 +410,6 @@ SELECT conv_id, count(*) FILTER (place <= 25 AND total <= 6000)::BIGINT AS n_fie
     "render_no_action": f"""WITH {SQL_URLS}, n AS (SELECT page_id, url, 'the ' || lower(trim(regexp_replace(url_decode(coalesce(segs[-1], '')), '[-_]+', ' ', 'g'))) || ' page' AS page, len(segs) AS n FROM u),
 e AS (SELECT page_id, CASE WHEN page_id % 2 = 0 THEN 'A \\*title\\*' ELSE regexp_replace(CASE WHEN n > 0 THEN page ELSE url END, '([\\\\*_~`|>])', '\\\\\\1', 'g') END AS label, url FROM n),
 l AS (SELECT page_id, ['[' || label || '](' || url || ')', NULL, '[T0](https://e0.example/p' || page_id || ')', '[T1](https://e1.example/p' || page_id || ')'][:(page_id % 6)::INTEGER] AS l FROM e)
-SELECT page_id, '**None – ' || CASE page_id % 5 WHEN 0 THEN 'Acme already ' || CASE WHEN page_id % 2 = 0 THEN 'has Ration' ELSE 'does this' END WHEN 1 THEN 'not a product gap' WHEN 2 THEN 'the gap could not be confirmed' WHEN 3 THEN 'dropped on review' ELSE 'not analyzed this run' END
+SELECT page_id, '**None – ' || CASE page_id % 5 WHEN 0 THEN 'Acme already ' || CASE WHEN page_id % 2 = 0 THEN 'has Ration' ELSE 'does this' END WHEN 1 THEN 'the product lacks nothing here' WHEN 2 THEN 'no proof of a lack' WHEN 3 THEN 'taken back by a reviewer' ELSE 'not assessed' END
   || '**' || chr(10) || 'Because\\_' || page_id || CASE WHEN len(list_filter(l, lambda x: x IS NOT NULL)) > 0 THEN chr(10) || 'See: ' || array_to_string(list_filter(l, lambda x: x IS NOT NULL), ', ') ELSE '' END AS said FROM l""",
 }

@@ -93,7 +93,7 @@ def test_rules(spark):
     assert f("Announcing it", Q.impact) == "major" and f("now faster", Q.impact) == "notable" and f("x", Q.impact) == "minor"
     assert f("Set: what does it do?", Q.is_question) and not f("It works?", Q.is_question) and not f("What", Q.is_question)
     assert [f(x, Q.copy_fault) for x in ("", "short", "Add a line about billing for all of the regions", "x" * 40 + " [fill this in]", "| a | b |", "A sentence that is long enough to be pasted.")] == ["missing", "too_short", "instruction", "placeholder", None, None]
-    assert f("acme has no way to do it", lambda x: x.rlike(Q.gap_pattern("acme"))) and not f("acme can", lambda x: x.rlike(Q.gap_pattern("acme")))
+    assert f("acme has no way to do it", lambda x: Q.claims_gap(x, "acme")) and not f("acme can", lambda x: Q.claims_gap(x, "acme"))
     assert f("the them thes others", lambda x: needle_counts(x, ["the"])[0]) == 2
 
 

@@ -13,6 +13,7 @@ from ..functions import replies as J
 from ..functions import text as T
 from ..functions import urls as U
 from ..operators import gate as G
+from ..operators import replay as P
 from ..sources import crawl as C
 from ..sources import feeds as S
 from ..sources import fetch as X
@@ -39,7 +40,7 @@ def _xml(spark, sf_dir, head, item, tail, keep="true", by=10):
 def _feeds(spark, sf_dir):
     rss = F.concat(
         F.lit("<item><title><![CDATA[Page "), _s(), F.lit(" & more]]></title><link>"), _amp(), F.lit("</link>"), F.when(F.col("page_id") % 3 == 0, F.concat(F.lit('<guid isPermaLink="false">g'), _s(), F.lit("</guid>"))).otherwise(""),
-        F.lit("<pubDate>Tue, 02 Jan 2024 10:00:00 +0000</pubDate>"), F.when(F.col("page_id") % 4 == 0, F.concat(F.lit("<summary>Body "), _s(), F.lit("</summary><description>no</description>"))).otherwise(F.concat(F.lit("<description>&lt;p&gt;Body "), _s(), F.lit("&lt;/p&gt;</description>"))),
+        F.lit("<pubDate>Tue, 02 Jan 2024 10:00:00 +0000</pubDate>"), F.when(F.col("page_id") % 4 == 0, F.concat(F.lit("<summary>Body "), _s(), F.lit("</summary><description>no</description>"))).otherwise(F.concat(F.lit("<description>&lt;p&gt;Body "), _s(), F.lit("&lt;/p&gt;"), F.when(F.col("page_id") % 12 == 2, F.concat(F.lit("&lt;img src='http://b.example/"), _s(), F.lit(".jpg' width='640'&gt;"))).otherwise(""), F.lit("</description>"))),
         F.when(F.col("page_id") % 8 == 0, F.concat(F.lit('<enclosure url="http://e.example/a.mp3" type="audio/mpeg"/><enclosure url="http://e.example/'), _s(), F.lit('.png" type="image/png"/>'))).otherwise(""), F.lit("</item>"),
     )
     atom = F.concat(F.lit("<entry><title type=\"html\">Page "), _s(), F.lit(' &amp; more</title><link href="'), _amp(), F.lit('"/><id>a'), _s(), F.lit("</id><updated>2024-01-03</updated><summary type=\"html\">Body "), _s(), F.lit("</summary>"), F.when(F.col("page_id") % 3 == 0, F.concat(F.lit('<media:thumbnail url="http://t.example/'), _s(), F.lit('"/>'))).otherwise(""), F.lit("</entry>"))
@@ -205,24 +206,42 @@ def timeline_items(spark, sf_dir):
     return found.select("conv_id", "pos", "external_id", "title", F.date_format("published_at", "yyyy-MM-dd HH:mm:ss").alias("published_at"), "image")
 
 
-def analysis_replies(spark, sf_dir):
-    """Events as replies in either spelling, some of which can't be used."""
+def _reply(mended=None):
+    """An event as a reply in either spelling, which may be unusable; where mended holds it is not."""
     i = F.col("event_id")
+    mended = F.lit(False) if mended is None else mended
     q = lambda name, value: F.concat(F.lit(f'"{name}": '), value)
     s = lambda value: F.concat(F.lit('"'), value, F.lit('"'))
     actions = F.concat(F.lit('[{"type": "consider_building", "detail": "Build — it", "evidence_quote": "a—b"}, {"action": "update_pages", "actionDetail": "x", "gap": " "}, {"type": "unknown", "detail": "y"}, {"type": "update_pages", "detail": "'), i.cast("string"), F.lit('"}, {"type": "update_pages", "detail": "z"}]'))
     parts = F.filter(
         F.array(
-            F.when(i % 7 != 0, q("impact", s(F.when(i % 11 == 0, "huge").otherwise("major")))), F.when(i % 5 != 0, q("summary", s(F.when(i % 13 == 0, F.repeat(F.lit("s"), F.lit(601))).otherwise("It — is")))),
-            F.when(i % 3 == 0, q("actions", actions)).when(i % 3 == 1, q("noAction", F.lit('{"kind": "odd", "reason": "None"}'))), q("openQuestions", F.lit('["Unclear if it holds", "No.", "Is it?", " "]')),
+            F.when((i % 7 != 0) | mended, q("impact", s(F.when((i % 11 == 0) & ~mended, "huge").otherwise("major")))), F.when((i % 5 != 0) | mended, q("summary", s(F.when((i % 13 == 0) & ~mended, F.repeat(F.lit("s"), F.lit(601))).otherwise("It — is")))),
+            F.when((i % 3 == 0) | mended, q("actions", actions)).when(i % 3 == 1, q("noAction", F.lit('{"kind": "odd", "reason": "None"}'))), q("openQuestions", F.lit('["Unclear if it holds", "No.", "Is it?", " "]')),
             q("productRefs", F.lit('[{"url": "u", "claim": "c", "editKind": "insert"}, {"url": " ", "claim": "c"}, {"claim": "c"}]')),
         ),
         lambda x: x.isNotNull(),
     )
-    a = table(spark, sf_dir, "events").select("event_id", J.analysis(F.concat(F.lit("{"), F.array_join(parts, ", "), F.lit("}"))).alias("a"))
+    return F.concat(F.lit("{"), F.array_join(parts, ", "), F.lit("}"))
+
+
+def analysis_replies(spark, sf_dir):
+    """Events as replies in either spelling, some of which can't be used."""
+    a = table(spark, sf_dir, "events").select("event_id", J.analysis(_reply()).alias("a"))
     return a.select("event_id", "a.error", "a.impact", "a.summary", F.array_join(F.transform("a.actions", lambda x: F.concat(x["type"], F.lit(":"), x["detail"], F.coalesce(x["evidence_quote"], F.lit("")))), "|").alias("actions"), F.col("a.no_action.kind").alias("verdict"), F.array_join("a.questions", "|").alias("questions"), F.size("a.refs").cast("long").alias("n_refs"))
 
 
+def replayed(spark, sf_dir):
+    """Events as analyses: the replies of analysis_replies() first, then, of those that can't be used, replies that are mended for even events;
+    every seventeenth event has no first reply."""
+    e, i = table(spark, sf_dir, "events"), F.col("event_id")
+    first = e.where(i % 17 != 0).select(i.alias("id"), F.lit(1).alias("attempt"), _reply().alias("reply"))
+    second = e.select(i.alias("id"), F.lit(2).alias("attempt"), _reply(i % 2 == 0).alias("reply"))
+    made = P.attempts(e.select(i.alias("id")), P.recorded(first.unionByName(second)), J.analysis)
+    why = made.where("attempt = 2").select("id", "why")
+    out = P.settled(made).join(why, "id", "left")
+    return out.select("id", "attempts", "why", "error", F.col("answer.summary").alias("summary"), F.size("answer.actions").cast("long").alias("n_actions"))
+
+
 def review_replies(spark, sf_dir):
     i = F.col("event_id")
     review = F.concat(F.lit('{"verdict": "'), F.when(i % 4 == 0, "perhaps").otherwise("revise"), F.lit('", "reason": "'), F.when(i % 5 == 0, " ").otherwise("Too — long"), F.lit('", "pagesChecked": [" a ", ""], "requested_changes": ["x", " "], "actionType": "consider_building"}'))
@@ -280,6 +299,15 @@ def copy_runs(spark, sf_dir):
     return e.select("doc_id", F.posexplode(D.runs_column(F.col("before"), F.col("after"))).alias("pos", "s")).select("doc_id", "pos", "s.kind", "s.text")
 
 
+def edit_runs(spark, sf_dir):
+    """What to paint of an edit of two paragraphs: the first against the line whose place it takes, the other new; of inserts all is new."""
+    e = _edits(spark, sf_dir)
+    two = F.concat(T.first_sentence(F.col("after")), F.lit("\n\n"), T.first_sentence(F.col("before")))
+    kind = F.when(F.col("doc_id") % 3 == 0, "insert").otherwise("replace")
+    runs = e.select("doc_id", F.posexplode(D.edit_runs_column(T.first_sentence(F.col("before")), two, kind)).alias("paragraph", "runs"))
+    return runs.select("doc_id", "paragraph", F.posexplode("runs").alias("pos", "s")).select("doc_id", "paragraph", "pos", "s.kind", "s.text")
+
+
 def edit_proportion(spark, sf_dir):
     e = _edits(spark, sf_dir).withColumn("c", D.changed_column(F.col("before"), F.col("after")))
     allowed = G.allowed_words(T.word_count(F.col("before")), T.word_count(F.col("text")))
@@ -314,7 +342,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         feed_entries, sitemap_entries, llms_urls, llms_sections, markdown_page, extract_links_count, html_title, html_blocks, prose_blocks, article_cards, image_urls, enrich_articles, collect_blog,
-        collect_candidates, read_pages, fetched, crawled, child_sitemaps, timeline_items, analysis_replies, review_replies, alert_roundtrip, word_diff, copy_runs, edit_proportion, loose_span, balanced_json, props_json, payload_roundtrip,
+        collect_candidates, read_pages, fetched, crawled, child_sitemaps, timeline_items, analysis_replies, replayed, review_replies, alert_roundtrip, word_diff, copy_runs, edit_proportion, edit_runs, loose_span, balanced_json, props_json, payload_roundtrip,
     )
 }
 
@@ -323,7 +351,7 @@ ORACLES = {
     "feed_entries": f"""WITH {SQL_URLS}, entry AS (SELECT page_id, CASE WHEN fragment <> '' THEN normal || fragment END AS entry_url FROM u), p AS (SELECT page_id, url, CASE WHEN page_id % 4 = 2 THEN page_id % 10 + 100 ELSE page_id % 10 END AS feed, page_id % 2 = 0 AS rss FROM pages)
 SELECT feed, (row_number() OVER (PARTITION BY feed ORDER BY page_id) - 1)::INTEGER AS pos, CASE WHEN NOT rss THEN 'a' || page_id WHEN page_id % 3 = 0 THEN 'g' || page_id ELSE url END AS external_id, 'Page ' || page_id || ' & more' AS title, url,
   CASE WHEN rss THEN 'Tue, 02 Jan 2024 10:00:00 +0000' ELSE '2024-01-03' END AS published, CASE WHEN rss THEN '2024-01-02' ELSE '2024-01-03' END AS published_at, 'Body ' || page_id AS body,
-  CASE WHEN rss AND page_id % 8 = 0 THEN 'http://e.example/' || page_id || '.png' WHEN NOT rss AND page_id % 3 = 0 THEN 'http://t.example/' || page_id END AS image, entry_url FROM p JOIN entry USING (page_id)""",
+  CASE WHEN rss AND page_id % 8 = 0 THEN 'http://e.example/' || page_id || '.png' WHEN rss AND page_id % 12 = 2 THEN 'http://b.example/' || page_id || '.jpg' WHEN NOT rss AND page_id % 3 = 0 THEN 'http://t.example/' || page_id END AS image, entry_url FROM p JOIN entry USING (page_id)""",
     "sitemap_entries": f"""WITH {SQL_URLS} SELECT url, lastmod FROM (SELECT url, segs, '2024-01-' || lpad((page_id % 28 + 1)::VARCHAR, 2, '0') AS lastmod FROM u WHERE page_id % 4 <> 0) WHERE {_ARTICLE} AND lastmod >= '2024-01-10' ORDER BY lastmod DESC, url LIMIT 40""",
     "llms_urls": f"WITH {SQL_URLS} SELECT page_id, pos::INTEGER AS pos, url FROM (SELECT page_id, 0 AS pos, canonical AS url FROM u UNION ALL SELECT page_id, 1, canonical || '/next' FROM u)",
     "llms_sections": f"""WITH {SQL_URLS}, s AS (SELECT page_id, page_id % 10 AS feed, canonical AS url, row_number() OVER (PARTITION BY page_id % 10 ORDER BY page_id) AS section, lag(page_id) OVER (PARTITION BY page_id % 10 ORDER BY page_id) AS prev FROM u)
@@ -363,6 +391,10 @@ UNION ALL SELECT feed, pos, url, lastmod, 'collect' FROM b WHERE feed <> 1 AND k
     "timeline_items": f"""WITH p AS (SELECT conv_id, turn, {sql_collapse("coalesce(text, '')")} AS t FROM conversations WHERE turn % 5 < 3 AND NOT regexp_matches(coalesce(text, ''), '^(RT )?@')), n AS (SELECT *, (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1)::INTEGER AS pos FROM p),
 z AS (SELECT conv_id, max(CASE WHEN turn = 0 THEN 'u0' END) AS zero FROM conversations GROUP BY 1)
 SELECT conv_id, pos, turn::VARCHAR AS external_id, {sql_truncate('t', 120)} AS title, '2024-01-02 03:04:05' AS published_at, CASE WHEN turn % 4 = 0 THEN 'u' || turn WHEN turn % 2 = 0 THEN 'p' || turn END AS image FROM n WHERE pos < 10""",
+    "replayed": """WITH e AS (SELECT event_id AS id, CASE WHEN event_id % 5 = 0 THEN 'no_summary' WHEN event_id % 13 = 0 THEN 'too_long' WHEN event_id % 3 = 2 THEN 'no_actions' WHEN event_id % 7 = 0 OR event_id % 11 = 0 THEN 'no_impact' END AS plain FROM events),
+a AS (SELECT id, plain, CASE WHEN id % 17 = 0 THEN 'no_reply' ELSE plain END AS first FROM e), b AS (SELECT id, first, CASE WHEN first IS NOT NULL AND id % 2 <> 0 THEN plain END AS error FROM a)
+SELECT id, CASE WHEN first IS NULL THEN 1 ELSE 2 END::INTEGER AS attempts, first AS why, error, CASE WHEN error IS NULL THEN 'It – is' END AS summary,
+  CASE WHEN error IS NULL THEN CASE WHEN id % 3 = 0 OR (first IS NOT NULL AND id % 2 = 0) THEN 3 ELSE 0 END END::BIGINT AS n_actions FROM b""",
     "analysis_replies": """SELECT event_id, CASE WHEN event_id % 5 = 0 THEN 'no_summary' WHEN event_id % 13 = 0 THEN 'too_long' WHEN event_id % 3 = 2 THEN 'no_actions' WHEN event_id % 7 = 0 OR event_id % 11 = 0 THEN 'no_impact' END AS error,
   CASE WHEN event_id % 7 <> 0 AND event_id % 11 <> 0 THEN 'major' END AS impact, CASE WHEN event_id % 5 = 0 THEN NULL WHEN event_id % 13 = 0 THEN repeat('s', 601) ELSE 'It – is' END AS summary,
   CASE WHEN event_id % 3 = 0 THEN 'consider_building:Build – ita—b|update_pages:x|update_pages:' || event_id ELSE '' END AS actions, CASE WHEN event_id % 3 <> 0 THEN 'unverified' END AS verdict, 'Do we know if it holds?|Is it?' AS questions, 1::BIGINT AS n_refs FROM events""",

@@ -10,7 +10,7 @@ from ..functions import text as T
 from ..functions import urls as U
 from ..operators import corpus as C
 from ..operators import signals as S
-from ..operators.state import Issues, MemoryStore, Store, item_id, post_stream, write_artifact
+from ..operators.state import Issues, MemoryStore, Store, item_id, post_stream, with_fallback, write_artifact
 from ..sources.fetch import is_gone
 from ..storage import work_dir
 from .base import table
@@ -79,7 +79,7 @@ def schedule_day(spark, sf_dir):
 def quiet_day(spark, sf_dir):
     e = table(spark, sf_dir, "events")
     runs = e.groupBy(S.schedule_day(F.col("ts")).alias("day")).agg(
-        F.sum((F.col("event_id") % 500 == 7).cast("int")).alias("alerts"), F.sum((F.col("event_id") % 400 == 0).cast("int")).alias("new_items"), F.countDistinct("event_type").alias("sources_read")
+        F.sum((F.col("event_id") % 5000 == 7).cast("int")).alias("alerts"), F.sum((F.col("event_id") % 4000 == 0).cast("int")).alias("new_items"), F.countDistinct("event_type").alias("sources_read")
     )
     claimed = runs.where(F.dayofmonth("day") % 5 == 0).select("day")
     return S.quiet_days(runs, claimed).select(F.col("day").cast("string").alias("day"), "sources_read")
@@ -291,6 +291,61 @@ def outbox(spark, sf_dir):
     return store.read("sent").join(times, "id", "left").select("id", "state", "posted")
 
 
+def fallback_store(spark, sf_dir):
+    """A day of events into a store that can't be reached from the second batch on, and then in memory: what the memory has, which knows
+    nothing of the first batch."""
+
+    class Lost(Store):
+        calls = 0
+
+        def append(self, name, df):
+            self.calls += 1
+            if self.calls > 1:
+                raise ConnectionError(name)
+            super().append(name, df)
+
+    store = with_fallback(lambda: Lost(spark, f"{work_dir(spark)}/lost-{uuid.uuid4().hex}"), lambda: MemoryStore(spark), lambda e: isinstance(e, ConnectionError))
+    return _stored(store, spark, sf_dir)
+
+
+def posted_analyses(spark, sf_dir):
+    """Orders as analyses of customers, of which those of a status are marked as posted by bucket; then what waits, oldest first."""
+    store = Store(spark, f"{work_dir(spark)}/posted-{uuid.uuid4().hex}")
+    o = table(spark, sf_dir, "orders")
+    key = F.col("o_orderkey").cast("string")
+    store.record(o.select(key.alias("id"), F.concat(F.lit("c"), F.col("o_custkey")).alias("item_id"), F.lit("{}").alias("analysis"), F.lit(None).cast("timestamp").alias("posted_at"), F.col("o_orderdate").cast("timestamp").alias("created_at")))
+    c = table(spark, sf_dir, "customer")
+    store.append("items", c.select(F.concat(F.lit("c"), F.col("c_custkey")).alias("id"), F.lit("s").alias("source"), F.col("c_custkey").cast("string").alias("external_id"), F.col("c_name").alias("title")))
+    store.mark_posted(o.where("o_orderstatus <> 'O'").select(key.alias("id")), _now())
+    waiting = store.unposted(F.lit("1996-06-01").cast("timestamp"), 40)
+    return waiting.select("id", "item_id", "title", F.date_format("created_at", "yyyy-MM-dd").alias("created_at"))
+
+
+def claimed_days(spark, sf_dir):
+    """The first days of events, claimed one after another, each twice."""
+    store = Store(spark, f"{work_dir(spark)}/days-{uuid.uuid4().hex}")
+    days = [str(r[0]) for r in table(spark, sf_dir, "events").groupBy(F.to_date("ts").alias("day")).count().orderBy("day").select("day").limit(4).collect()]
+    got = [(d, store.claim_day(d, _now()), store.claim_day(d, _now())) for d in days]
+    return spark.createDataFrame(got, "day string, first boolean, again boolean").join(store.read("days").select(F.col("day").cast("string").alias("day")), "day")
+
+
+def cycle_summary(spark, sf_dir):
+    """Events as two daily batches that overlap, each run twice: what every run says of itself."""
+    from .cycle import run
+
+    root = f"{work_dir(spark)}/cycle-{uuid.uuid4().hex}"
+    store = Store(spark, root)
+    none = F.lit(None).cast("string")
+    i = F.col("event_id")
+    e = table(spark, sf_dir, "events").select(i.alias("ord"), F.col("event_type").alias("source"), i.cast("string").alias("external_id"), F.lit("t").alias("title"), none.alias("url"), F.col("ts").alias("published_at"), F.lit('{"body": "It is new."}').alias("raw"))
+    day = lambda n: F.date_trunc("day", "published_at") == F.lit(f"2024-01-{n:02d}").cast("timestamp")
+    out = []
+    for n, (batch, at) in enumerate([(e.where(day(3)), 4), (e.where(day(3)), 4), (e.where(day(3) | day(4)), 5), (e.where(day(3) | day(4)), 5)]):
+        s = run(store, batch, f"2024-01-{at:02d} 0{n}:00:00", f"2024-01-{at:02d}", lambda m: True)
+        out.append((n, s.candidates, s.new_items, s.analysed, s.retried, s.posted, s.quiet))
+    return spark.createDataFrame(out, "run int, candidates long, new_items long, analysed long, retried long, posted long, quiet boolean")
+
+
 def run_artifact(spark, sf_dir):
     """Each nation's message as a text to look at, with its payload."""
     path = f"{work_dir(spark)}/artifact-{uuid.uuid4().hex}"
@@ -306,7 +361,7 @@ def heuristic_analysis(spark, sf_dir):
     i = F.col("doc_id")
     raw = F.to_json(F.struct(F.when(i % 3 == 0, F.concat(F.lit("Summary: It is "), i.cast("string"), F.lit(". Now faster. More."))).alias("description"), F.when(i % 3 != 2, F.lit("The body. Second one here. Third one.")).alias("body")))
     refs = F.slice(F.array(*[F.struct(F.concat(F.lit(f"https://e{k}.example/"), i.cast("string")).alias("url"), F.lit("claim").alias("claim")) for k in range(3)]), F.lit(1), (i % 4).cast("int"))
-    a = heuristic(table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("Signal "), i.cast("string")).alias("title"), raw.alias("raw")), F.lit("Acme"), refs)
+    a = heuristic(table(spark, sf_dir, "documents").select("doc_id", F.concat(F.when(i % 4 == 1, "Announcing ").when(i % 4 == 2, "Faster ").otherwise(""), F.lit("Signal "), i.cast("string")).alias("title"), raw.alias("raw")), F.lit("Acme"), refs)
     get = lambda path: F.get_json_object("analysis", path)
     return a.select("doc_id", get("$.impact").alias("impact"), get("$.summary").alias("summary"), F.array_join(F.from_json(get("$.key_points"), "array<string>"), "|").alias("points"), get("$.no_action.kind").alias("kind"), F.size(F.from_json(get("$.open_questions"), "array<string>")).cast("long").alias("n_questions"))
 
@@ -322,7 +377,7 @@ QUERIES = {
     for f in (
         dedupe_insert, known_keys, count_by_source, item_lookup, lookback, select_for_analysis, pending_retry, schedule_day, quiet_day, merge_discoveries, plan_refresh, refresh_summary, plan_bookkeeping,
         record_corpus_run, merge_corpus, page_upsert, replace_claims, live_corpus, page_defaults, page_meta, pages_by_url, gone_pages, workspace_paths, workspace_files, toc, store_roundtrip, memory_store, dry_run,
-        issue_tables, bucket_changes, outbox, run_artifact, heuristic_analysis, stream_dedupe,
+        issue_tables, bucket_changes, outbox, fallback_store, posted_analyses, claimed_days, cycle_summary, run_artifact, heuristic_analysis, stream_dedupe,
     )
 }
 
@@ -366,7 +421,7 @@ p AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY published_at DES
 SELECT ord, source, external_id, place FROM p WHERE place <= 8 ORDER BY published_at DESC, ord LIMIT 12""",
     "pending_retry": "SELECT o_orderkey AS id, o_custkey AS item_id, c_name AS title FROM orders JOIN customer ON c_custkey = o_custkey WHERE o_orderstatus = 'O' AND o_orderkey % 7 <> 0 AND o_orderdate >= TIMESTAMP '1997-01-01' ORDER BY o_orderdate, o_orderkey LIMIT 25",
     "schedule_day": f"SELECT {_DAY}::VARCHAR AS day, count(*) AS n FROM events GROUP BY 1",
-    "quiet_day": f"""WITH r AS (SELECT {_DAY} AS day, count(*) FILTER (event_id % 500 = 7) AS alerts, count(*) FILTER (event_id % 400 = 0) AS new_items, count(DISTINCT event_type) AS sources_read FROM events GROUP BY 1)
+    "quiet_day": f"""WITH r AS (SELECT {_DAY} AS day, count(*) FILTER (event_id % 5000 = 7) AS alerts, count(*) FILTER (event_id % 4000 = 0) AS new_items, count(DISTINCT event_type) AS sources_read FROM events GROUP BY 1)
 SELECT day::VARCHAR AS day, sources_read FROM r WHERE alerts = 0 AND new_items = 0 AND sources_read > 0 AND day(day) % 5 <> 0""",
     "merge_discoveries": f"WITH {_FOUND} SELECT url, kind, sources FROM found",
     "plan_refresh": f"""WITH {_META}, j AS (SELECT f.url, m.fetched_at, CASE WHEN m.url IS NULL THEN 'fresh' WHEN m.content_hash = '' OR {_N} - m.fetched_at > (CASE WHEN m.last_used_at >= {_N} - INTERVAL 3 DAY THEN INTERVAL 3 DAY ELSE INTERVAL 14 DAY END) THEN 'due' END AS wanted
@@ -403,8 +458,18 @@ SELECT source || '/' || slug || CASE WHEN n > 1 THEN '-' || n ELSE '' END || '.m
     "bucket_changes": """SELECT coalesce(url, '') || '/' || page_id AS url, CASE WHEN page_id % 200 = 7 THEN 'new' ELSE 'h' END AS content_hash, CASE WHEN page_id % 100 = 7 THEN '2024-01-09' ELSE '2024-01-01' END AS fetched_at,
   CASE WHEN page_id % 200 = 7 THEN '2024-01-09' ELSE '2024-01-01' END AS changed_at FROM pages""",
     "outbox": "SELECT DISTINCT 'm' || conv_id AS id, CASE WHEN conv_id % 10 = 3 THEN 'failed' ELSE 'sent' END AS state, 1::BIGINT AS posted FROM conversations WHERE turn = 0",
+    "fallback_store": """WITH i AS (SELECT event_id, event_type AS source, (event_id * 7 % 503)::VARCHAR AS external_id, ts FROM events WHERE ts >= TIMESTAMP '2024-01-02 00:00:00' AND ts < TIMESTAMP '2024-01-04 00:00:00'),
+f AS (SELECT *, row_number() OVER (PARTITION BY source, external_id ORDER BY event_id) AS k FROM i)
+SELECT sha1(source || '|' || external_id) AS id, source, external_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS published_at FROM f WHERE k = 1""",
+    "posted_analyses": """SELECT o_orderkey::VARCHAR AS id, 'c' || o_custkey AS item_id, c_name AS title, strftime(o_orderdate, '%Y-%m-%d') AS created_at FROM orders JOIN customer ON c_custkey = o_custkey
+WHERE o_orderstatus = 'O' AND o_orderdate >= TIMESTAMP '1996-06-01' ORDER BY o_orderdate, o_orderkey::VARCHAR LIMIT 40""",
+    "claimed_days": "SELECT DISTINCT ts::DATE::VARCHAR AS day, true AS first, false AS again FROM events ORDER BY day LIMIT 4",
+    "cycle_summary": """WITH e AS (SELECT event_type AS source, ts::DATE AS day FROM events WHERE ts::DATE IN (DATE '2024-01-03', DATE '2024-01-04')), n AS (SELECT count(*) FILTER (day = DATE '2024-01-03') AS a, count(*) AS b FROM e),
+c AS (SELECT least(12, sum(least(8, k)))::BIGINT AS k FROM (SELECT count(*) AS k FROM e WHERE day = DATE '2024-01-04' AND source IN (SELECT source FROM e WHERE day = DATE '2024-01-03') GROUP BY source))
+SELECT 0::INTEGER AS run, a AS candidates, a AS new_items, 0::BIGINT AS analysed, 0::BIGINT AS retried, 0::BIGINT AS posted, false AS quiet FROM n UNION ALL SELECT 1, a, 0, 0, 0, 0, true FROM n
+UNION ALL SELECT 2, b, b - a, k, 0, k, false FROM n, c UNION ALL SELECT 3, b, 0, 0, 0, 0, true FROM n""",
     "issue_tables": "SELECT (r_regionkey + 1)::BIGINT AS number, r_name AS title, CASE WHEN r_regionkey % 2 = 1 THEN 'done' WHEN r_regionkey % 10 = 1 THEN '' ELSE 'label-' || r_regionkey END AS labels, CASE WHEN r_regionkey % 2 = 1 THEN 'closed' ELSE 'open' END AS state, CASE WHEN r_regionkey % 2 = 1 THEN 'not_planned' END AS reason FROM region",
     "run_artifact": """SELECT n_nationkey::VARCHAR AS id, sha1('# Message ' || n_nationkey || chr(10) || chr(10) || 'Made by rules.' || chr(10) || chr(10) || '## As it is read' || chr(10) || chr(10) || n_name || chr(10) || chr(10) || '## Payload' || chr(10) || chr(10) || '```json' || chr(10) || '{"n_name":"' || n_name || '"}' || chr(10) || '```' || chr(10)) AS digest FROM nation""",
-    "heuristic_analysis": """SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'minor' ELSE 'minor' END AS impact, CASE doc_id % 3 WHEN 0 THEN 'Acme: It is ' || doc_id || '.' WHEN 1 THEN 'Acme: The body.' ELSE 'Acme published "Signal ' || doc_id || '".' END AS summary,
+    "heuristic_analysis": """SELECT doc_id, CASE doc_id % 4 WHEN 1 THEN 'major' WHEN 2 THEN 'notable' ELSE 'minor' END AS impact, CASE doc_id % 3 WHEN 0 THEN 'Acme: It is ' || doc_id || '.' WHEN 1 THEN 'Acme: The body.' ELSE 'Acme published "' || CASE doc_id % 4 WHEN 1 THEN 'Announcing ' WHEN 2 THEN 'Faster ' ELSE '' END || 'Signal ' || doc_id || '".' END AS summary,
   CASE doc_id % 3 WHEN 0 THEN 'Now faster.|More.' WHEN 1 THEN 'Second one here.' ELSE '' END AS points, 'unanalyzed' AS kind, least(2, doc_id % 4)::BIGINT AS n_questions FROM documents""",
 }

@@ -24,6 +24,8 @@ RSS = f"channel struct<item: array<{_ITEM}>>, item array<{_ITEM}>"
 ATOM = f"entry array<{_ENTRY}>"
 SITEMAP = "url array<struct<loc: string, lastmod: string>>, sitemap array<struct<loc: string>>"
 BODY = 8000
+#: What addresses in an entry without a link are below.
+NOWHERE = "https://example.invalid"
 CHILDREN, DISCOVERED = 4, 6
 
 
@@ -40,7 +42,8 @@ def _attached(e: Column) -> Column:
 
 def entries(rows: DataFrame, key: str, xml: Column) -> DataFrame:
     """(key, pos, title, link, guid, published, body, image) of RSS and Atom feeds; entries with neither title nor link are left out. The body is
-    the first that there is of content:encoded, content, summary and description, as it stands; image is attached."""
+    the first that there is of content:encoded, content, summary and description, as it stands; image is attached, else the
+    first in the body."""
     both = rows.select(key, F.from_xml(xml, RSS).alias("r"), F.from_xml(xml, ATOM).alias("a"))
     parts = lambda e, title, link, guid, value: (
         title.alias("title"), link.alias("link"), guid.alias("guid"), F.coalesce(*[_blank(e[c]) for c in ("pubDate", "published", "updated")]).alias("published"),
@@ -49,7 +52,9 @@ def entries(rows: DataFrame, key: str, xml: Column) -> DataFrame:
     e = F.col("e")
     rss = both.select(key, F.posexplode(F.coalesce("r.channel.item", "r.item")).alias("pos", "e")).select(key, "pos", *parts(e, _blank(e["title"]), _blank(e["link"]), F.coalesce(_blank(e["guid"]["_VALUE"]), _blank(e["id"])), e["description"]))
     atom = both.select(key, F.posexplode("a.entry").alias("pos", "e")).select(key, "pos", *parts(e, _blank(e["title"]["_VALUE"]), F.coalesce(_blank(F.get(e["link"], F.lit(0))["_href"]), _blank(F.get(e["link"], F.lit(0))["_VALUE"])), F.coalesce(_blank(e["guid"]), _blank(e["id"])), e["description"]))
-    return rss.unionByName(atom).where(F.col("title").isNotNull() | F.col("link").isNotNull())
+    found = rss.unionByName(atom).where(F.col("title").isNotNull() | F.col("link").isNotNull())
+    inside = F.get(M.images_column(F.when(F.col("image").isNull() & F.contains("body", F.lit("<")), F.col("body")), F.coalesce("link", F.lit(NOWHERE))), F.lit(0))
+    return found.withColumn("image", F.coalesce("image", inside))
 
 
 def external_id(guid: Column, link: Column, title: Column, published: Column) -> Column:

@@ -8,9 +8,12 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import replies
 from ..functions import text as T
-from ..operators import routing, signals
+from ..functions import urls as U
+from ..operators import actions, messages, replay, retrieval, routing, signals
 from ..operators.state import Store, deliver, item_id
+from ..storage import written
 
 
 @dataclass
@@ -61,6 +64,35 @@ def heuristic(items: DataFrame, maker: Column | None = None, refs: Column | None
     return items.withColumn("analysis", F.to_json(analysis))
 
 
+def judge(items: DataFrame, ask: replay.Ask, index: retrieval.Index, product: str, maker: Column, docs_kind: str = "docs", editable=U.is_editable) -> DataFrame:
+    """(id, attempts, made_by, n_actions, n_dropped, verdict, message) of signals (id, title, source, url, raw): read beside the pages that a
+    search finds for them, analysed by replies, asked for again where they can't be used, or else by rules; their actions checked one after
+    another; and what is left as a message within its limits. A row for each signal, whatever its reply was."""
+    said = items.withColumn("text", retrieval.signal_text(F.col("title"), F.col("raw")))
+    overviews = items.sparkSession.createDataFrame([(t.label, t.docs[0]) for t in routing.TOPICS if t.docs], "label string, url string")  # the catalog
+    overviews = overviews.withColumn("url", F.col("url").try_cast(index.pages.schema["url"].dataType)).where("url is not null")
+    asked = said.select(F.col("id").alias("qid"), "text").withColumn("topics", routing.top_topics(F.col("text"), 3))
+    read = written(retrieval.context(index, asked, overviews).select(F.col("qid").alias("id"), F.col("url").cast("string").alias("url")))
+    got = written(replay.settled(replay.attempts(items, ask, replies.analysis)))
+    by_rules = heuristic(items, maker).select("id", replies.analysis(F.col("analysis")).alias("rules"))
+    answered = got.join(by_rules, "id").withColumn("made_by", F.when(F.col("answer").isNull(), "rules").otherwise("model")).withColumn("a", F.coalesce("answer", "rules"))
+    answered = written(answered.join(said, "id").select("id", "attempts", "made_by", "title", "source", "url", "text", "a.*"))
+    none = F.lit(None).cast("string")
+    proposed = answered.select("id", F.posexplode("actions").alias("place", "x")).select("id", "place", *[F.col(f"x.{c}").alias(c) for c in ("type", "detail", "feature", "gap", "evidence_url", "evidence_quote")])
+    refs = F.transform("refs", lambda r: F.struct(*[r[c].alias(c) for c in ("url", "claim", "suggested_edit", "proposed_text", "edit_kind")]).cast(actions.REF))
+    analyses = answered.select("id", "title", "summary", "impact", "questions", refs.alias("refs"))
+    shown = answered.select("id", F.transform(routing.docs_for_text(F.col("text")), lambda u: F.struct(u.alias("url"), F.lit("").alias("claim"))).alias("docs"))
+    kept, dropped, after = actions.check_actions(written(proposed), written(analyses), written(shown), read, index, product, docs_kind, editable)
+    mine = kept.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "type", "detail", "feature"))), lambda x: F.struct(x["type"].alias("type"), x["detail"].alias("detail"), x["feature"].alias("feature"))).alias("kept"))
+    gone = dropped.groupBy("id").agg(F.count("*").alias("n_dropped"))
+    out = answered.select("id", "attempts", "made_by", "title", "source", "url", "summary", "impact", "points", F.col("no_action").alias("stated")).join(mine, "id", "left").join(gone, "id", "left").join(after.select("id", F.col("no_action").alias("checked")), "id", "left")
+    out = out.withColumn("kept", F.coalesce("kept", actions.empty("struct<type:string,detail:string,feature:string>")))
+    verdict = lambda v: F.struct(v["kind"].alias("kind"), v["feature"].alias("feature"), v["reason"].alias("reason"), F.transform(v["evidence"], lambda e: F.struct(e["url"].alias("url"), e["title"].alias("title"))).alias("evidence"))
+    out = out.withColumn("no_action", F.when(F.size("kept") == 0, F.coalesce(F.when(F.col("checked").isNotNull(), verdict(F.col("checked"))), F.when(F.col("stated").isNotNull(), verdict(F.col("stated"))))))
+    message = messages.alert(maker, F.col("title"), F.col("source"), F.col("url"), F.col("summary"), F.coalesce("impact", F.lit("minor")), F.col("points"), F.col("kept"), F.col("no_action"), none, product)
+    return out.select("id", "attempts", "made_by", F.size("kept").cast("long").alias("n_actions"), F.coalesce("n_dropped", F.lit(0)).alias("n_dropped"), F.col("no_action.kind").alias("verdict"), message.alias("message"))
+
+
 def run(store: Store, batch: DataFrame, now: str, day: str, post: Callable[[dict], bool], analyse: Callable[[DataFrame], DataFrame] = heuristic, sources_read: int = 1) -> Summary:
     """batch: items with ord. Waiting analyses are read before new ones are recorded, so none is posted twice in a run."""
     at = F.lit(now).cast("timestamp")

@@ -8,6 +8,8 @@ from ..functions import replies as J
 from ..functions import text as T
 from ..functions import urls as U
 from ..operators import actions as A
+from ..operators import messages as M
+from ..operators import replay as P
 from ..operators import retrieval as R
 from ..operators import review as V
 from ..operators import routing as Q
@@ -90,9 +92,7 @@ def _analyses(spark, sf_dir):
 
 def _read(spark, sf_dir):
     """Every analysis read every fourth document."""
-    read = table(spark, sf_dir, "documents").where("doc_id % 4 = 0").select(F.col("doc_id").cast("string").alias("url"))
-    ids = _proposed(spark, sf_dir).agg(F.collect_set("id").alias("ids"))  # as many as the benchmark has items
-    return read.join(F.broadcast(ids)).select(F.explode("ids").alias("id"), "url")
+    return table(spark, sf_dir, "documents").where("doc_id % 4 = 0").select(F.col("doc_id").cast("string").alias("url"))
 
 
 def gate_actions(spark, sf_dir):
@@ -228,6 +228,21 @@ def visual_paths(spark, sf_dir):
     return p.select("page_id", paths.alias("p")).select("page_id", "p.before", "p.after")
 
 
+def judged_signals(spark, sf_dir):
+    """Benchmark items as signals: each is analysed by recorded replies (some missing, some mended at the second attempt, else by rules), its
+    actions go through all checks, and what is left becomes a message. A row for each signal."""
+    from .cycle import judge
+
+    i, q = F.col("item_id"), F.to_json
+    b = table(spark, sf_dir, "benchmark").where("item_id is not null")
+    items = b.select(i.alias("id"), F.coalesce(T.truncate(T.first_sentence(F.col("text")), 80), F.lit("")).alias("title"), F.lit("blog").alias("source"), F.concat(F.lit("https://acme.example/"), i.cast("string")).alias("url"), q(F.struct(F.col("text").alias("body"))).alias("raw"))
+    action = F.struct(F.when(i % 4 == 3, "consider_building").otherwise("consider_enhancing").alias("type"), F.concat(F.lit("Support it: "), T.first_sentence(F.col("text"))).alias("detail"), T.first_sentence(F.col("text")).alias("gap"), F.lit("0").alias("evidence_url"), F.col("text").alias("evidence_quote"))
+    good = q(F.struct(F.lit("major").alias("impact"), T.first_sentence(F.col("text")).alias("summary"), F.array(action).alias("actions")))
+    replies = b.where(i % 5 != 0).select(i.alias("id"), F.lit(1).alias("attempt"), F.when(i % 5 == 1, '{"impact": "major"}').otherwise(good).alias("reply")).unionByName(b.where(i % 5 != 0).select(i.alias("id"), F.lit(2).alias("attempt"), good.alias("reply")))
+    out = judge(items, P.recorded(replies), indexed(spark, sf_dir), "acme", F.lit("Acme"), docs_kind="en")
+    return out.select("id", "attempts", "made_by", "n_actions", "n_dropped", "verdict", F.col("message.title").alias("title"), M.message_length(F.col("message")).cast("long").alias("n_chars"))
+
+
 def run_summary(spark, sf_dir):
     e = table(spark, sf_dir, "events")
     return e.agg(F.count("*").alias("n"), F.countDistinct("event_type").alias("n_sources"), F.sum((F.col("event_type") == "error").cast("long")).alias("n_failed"), F.array_join(F.array_sort(F.collect_set("event_type")), ", ").alias("notes"))
@@ -237,7 +252,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         topic_ties, topic_guard, page_target_guard, topic_by_name, page_action_gate, gate_actions, no_action_verdict, check_actions, action_lead, measured_edit, merge_revision, review_states, review_labels, no_action_check,
-        issue_pairs, post_images, image_fallback, question_repair, verify_docs, context_topup, visual_paths, run_summary,
+        issue_pairs, post_images, image_fallback, question_repair, verify_docs, context_topup, visual_paths, judged_signals, run_summary,
     )
 }
 

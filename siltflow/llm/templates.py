@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 
 from .shared import bounded_batches, only, written
 
-#: Share of a host's pages that a valid class needs, and pages from which text in a class counts as the template's.
-SUPPORT, LEAST_PAGES = 0.5, 4
+#: Share of a host's pages that a valid class needs, and pages that it needs in any case: what one page alone has is no template.
+SUPPORT, LEAST_SUPPORT = 0.5, 2
 #: Share of the text in the article's element from which repeated text isn't the template's but that of pages that are copies.
 COPIES = 0.4
 #: A list: this many blocks a page, at most so long on average; or this share of its text in iterated classes. It holds less than half of all.
@@ -48,6 +48,13 @@ DROPPED_NAMES = frozenset(
     "promo promoted sponsor sponsored cookie cookies consent gdpr notice notices notification alert popup modal newsletter subscribe subscription signup "
     "comment comments commentlist respond reply replies disqus share sharing social related recommended widget widgets pagination pager toolbar".split()
 )
+#: Names that tell it beside any other word, but for those of NEGATIONS; the last of a compound as well (usercomments).
+TELLING_NAMES, TELLING_ENDS = frozenset("comment comments commentlist disqus advert adverts advertisement advertisements advertising adsbygoogle adslot breadcrumb breadcrumbs pagination gdpr".split()), ("comments", "advertisement")
+NEGATIONS = frozenset("has have no not with without free off open closed".split())
+#: Words that only names of adverts add.
+ADVERTS, AD_PLACES = frozenset("ad ads promo sponsor sponsored".split()), frozenset("slot unit zone holder label inline sticky leaderboard skyscraper rectangle mpu google frame panel".split())
+#: Elements whose text is a heading, which the pages of a host may share and each mean.
+HEADINGS = ("h1", "h2", "h3", "h4", "h5", "h6", "th", "dt", "caption", "figcaption", "legend")
 #: Words that a class or id may add to a dropped name (site-header, main_nav, ad-1); with any other word (has-sidebar, ad-free) it is kept.
 PLACES = frozenset("site global main primary secondary top bottom left right mobile desktop bar box list links area block wrapper container buttons".split())
 MAIN_NAMES = frozenset("article content post entry story main articlebody".split())
@@ -65,7 +72,12 @@ _CLOSE = {tag: re.compile(f"(?ai)</{tag}(?![a-z0-9:-])[^>]*>") for tag in RAW}
 def _drops(token: str) -> bool:
     """Whether a class or id, taken whole, names what is none of the article."""
     words = {w for w in _SPLIT.split(token) if w and not w.isdigit()}
-    return not words.isdisjoint(DROPPED_NAMES) and words <= DROPPED_NAMES | PLACES
+    if not words.isdisjoint(NEGATIONS):
+        return False
+    if not words.isdisjoint(TELLING_NAMES) or any(w.endswith(TELLING_ENDS) for w in words):
+        return True
+    more = AD_PLACES if not words.isdisjoint(ADVERTS) else frozenset()
+    return not words.isdisjoint(DROPPED_NAMES) and words <= DROPPED_NAMES | PLACES | more
 
 
 def _named(tag: str, attributes: str, in_article: bool) -> tuple[str, bool]:
@@ -262,9 +274,10 @@ def _small(df: DataFrame) -> DataFrame:
 
 def classes(toks: DataFrame, sizes: DataFrame | None = None) -> DataFrame:
     """(host, f1, f2, support, size, elements, times, place): the valid equivalence classes of each host: tokens with one occurrence vector,
-    an element among them, that half of the host's pages have. place is that of the outermost element, so that a class whose place is above
+    an element among them, that half of the host's pages have, and two at
+    least. place is that of the outermost element, so that a class whose place is above
     another's holds it; times counts each token on all pages."""
-    valid = toks.join(_sizes(toks) if sizes is None else sizes, "host").where(F.col("pages") >= SUPPORT * F.col("n_pages"))
+    valid = toks.join(_sizes(toks) if sizes is None else sizes, "host").where(F.col("pages") >= F.greatest(F.lit(LEAST_SUPPORT), SUPPORT * F.col("n_pages")))
     element = F.when(F.col("text") == 0, F.col("path"))
     found = valid.groupBy("host", "f1", "f2").agg(
         F.max("pages").alias("support"), F.count("*").alias("size"), F.count(element).alias("elements"), F.max("times").alias("times"), F.min_by(element, F.when(F.col("text") == 0, F.struct(F.char_length("path"), "path"))).alias("place")
@@ -297,7 +310,7 @@ def templates(pages: DataFrame) -> DataFrame:
     known = written(classes(toks, n), "classes")
     text = toks.where("text <> 0").join(n, "host").join(_small(known.select("host", "f1", "f2", "place")), ["host", "f1", "f2"], "left")
     # text with the vector of elements above it is as fixed as they are
-    fixed = F.coalesce((F.col("n_pages") >= LEAST_PAGES) & ((F.col("place") == "") | _below(F.col("path"), F.col("place"))), F.lit(False))
+    fixed = F.coalesce((F.col("place") == "") | _below(F.col("path"), F.col("place")), F.lit(False))
     text = written(text.select("host", "path", "text", "dropped", "times", "chars", "n_pages", fixed.alias("fixed")), "text")
     iterated = _small(written(toks.where("text = 0").join(_small(known.where("elements > 1 and times > support").select("host", "f1", "f2")), ["host", "f1", "f2"]).select("host", "path").distinct(), "iterated"))
     # every place above slot text gets it: a path has as many prefixes as it is deep, MOST_DEEP at most
@@ -327,7 +340,9 @@ def templates(pages: DataFrame) -> DataFrame:
     # the template's own text in the element, unless there is so much that pages are copies
     inside = text.where("not dropped").join(held, "host").where(_below(F.col("path"), F.col("main")))
     copies = F.sum(F.when(F.col("fixed"), F.col("chars")).otherwise(0)) > COPIES * F.sum("chars")
-    own = inside.groupBy("host").agg(copies.alias("copies"), F.collect_set(F.when(F.col("fixed"), F.concat("path", F.lit(" "), F.col("text").cast("string")))).alias("own"))
+    # headings in an article that names tell are its own, however many pages have them
+    heading = (F.col("telling") > 0) & F.regexp_extract(F.element_at(F.split("path", "/"), -1), "^[a-z0-9:-]*", 0).isin(*HEADINGS)
+    own = inside.groupBy("host").agg(copies.alias("copies"), F.collect_set(F.when(F.col("fixed") & ~heading, F.concat("path", F.lit(" "), F.col("text").cast("string")))).alias("own"))
     own = own.where(~F.col("copies") & (F.size("own") > 0)).select("host", "own")
     short = (F.col("blocks") >= LIST_BLOCKS * F.col("pages")) & (F.col("slot") <= LIST_CHARS * F.col("blocks"))
     listed = found.join(held.where("telling = 0").select("host", "main", "all"), "host").where((F.col("path") != F.col("main")) & _below(F.col("path"), F.col("main")) & (F.col("slot") < 0.5 * F.col("all")))
@@ -370,7 +385,8 @@ def main_text(source: str | None, main: str | None, own: list[str] | None = None
 def extract(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars) of each row of pages: the main text, its blocks joined by one space, and its length in code points.
 
-    A null or empty html, or one without article text, gives an empty text; a null url is a host of its own; repeated rows repeat and count as
+    A null or empty html, or one without article text, gives an empty text; a null url is a host of its own; on a host of one page nothing
+    repeats, so elements and names alone tell what is the article, and what two pages or more share is judged alike on hosts of any size; repeated rows repeat and count as
     pages; an empty table gives an empty one. Nothing is cut or dropped but what is none of the article.
     """
     known = written(templates(pages).where("main is not null"), "templates")

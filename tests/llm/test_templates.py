@@ -105,3 +105,18 @@ def test_malformed_and_deep_pages_take_linear_time(part):
     page = templates.Page(part * (1_000_000 // len(part)))
     assert time.process_time() - began < 5
     assert sum(map(len, page.elements)) < 100_000
+
+
+@pytest.mark.parametrize("n", [2, 3, 4, 12])
+def test_hosts_of_any_size_are_judged_alike(spark, n):
+    page = lambda i: f"<body><div class='x1'>Home About</div><div class='x2'><h1>Title {i}</h1><p>{'Long text ' * 5}{i}</p></div><div class='x4'>All rights</div></body>"
+    rows = [(i, f"https://n{n}.example.com/{i}", page(i)) for i in range(n)]
+    got = {r.page_id: r.text for r in templates.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: f"Title {i} {'Long text ' * 5}{i}" for i in range(n)}
+
+
+def test_headings_stay_and_comments_and_adverts_go_inside_of_an_article(spark):
+    parts = ["user-comments", "comment-thread", "ad-slot", "adsbygoogle", "usercomments", "advert-top", "google-ads"]
+    spam = "".join(f"<div class='{c}'><p>spam {{i}}</p></div>" for c in parts)
+    page = lambda i: f"<body><article><h1>Title {i}</h1><h2>Summary</h2><p>{'Body text ' * 9}{i}</p>{spam.format(i=i)}<h2>Details</h2><p class='no-comments'>More {i}</p><table><tr><th>Price</th><td>{i}</td></tr></table></article></body>"
+    assert texts(spark, page) == {i: f"Title {i} Summary {'Body text ' * 9}{i} Details More {i} Price {i}" for i in range(8)}

@@ -97,24 +97,27 @@ def _log_lower(z: Column) -> Column:
 
 
 def battery(tokens: DataFrame, token: str = "token") -> DataFrame:
-    """tokens with k (alphabet size), chi2, p_runs, p_serial and log_p (natural logarithm of the prose probability) added."""
+    """tokens with k (alphabet size), chi2, p_runs, p_serial and log_p (natural logarithm of the prose probability) added. A token of any length
+    takes time in proportion to it."""
     t = F.col(token)
     kind = F.when(t.rlike("^[0-9a-f]+$|^[0-9A-F]+$"), 16).when(t.rlike("^[A-Z2-7]+$"), 32).when(t.rlike("^[a-z0-9]+$|^[A-Z0-9]+$"), 36).otherwise(64)
     alphabet = F.when(F.col("k") == 64, F.lit("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/")).when(F.col("k") == 32, F.lit("abcdefghijklmnopqrstuvwxyz234567")).otherwise(F.lit("0123456789abcdefghijklmnopqrstuvwxyz"))
     plain = F.when(F.col("k") == 64, F.translate(t, "-_", "+/")).otherwise(F.lower(t))
     out = tokens.withColumn("k", kind).withColumn("_alphabet", alphabet).withColumn("_plain", plain)
-    out = out.withColumn("_v", F.expr("transform(sequence(1, char_length(_plain)), i -> cast(instr(_alphabet, substring(_plain, i, 1)) - 1 as double))"))
+    out = out.withColumn("_v", F.expr("transform(regexp_extract_all(_plain, '(?s).', 0), c -> cast(instr(_alphabet, c) - 1 as double))"))
     n = F.size("_v").cast("double")
-    out = out.withColumn("_n", n).withColumn("_same", F.expr("aggregate(sequence(0, k - 1), 0D, (a, i) -> a + pow(size(filter(_v, x -> x = i)), 2))"))
+    out = out.withColumn("_n", n).withColumn("_same", F.expr("aggregate(sequence(1, k), 0D, (a, i) -> a + pow(char_length(_plain) - char_length(replace(_plain, substring(_alphabet, i, 1), '')), 2))"))
     out = out.withColumn("chi2", F.col("k") * F.col("_same") / F.col("_n") - F.col("_n"))
-    out = out.withColumn("_up", F.expr("transform(_v, x -> if(x >= k / 2, 1, 0))")).withColumn("_n1", F.expr("aggregate(_up, 0D, (a, x) -> a + x)"))
-    out = out.withColumn("_runs", F.expr("1D + aggregate(sequence(1, size(_up) - 1), 0D, (a, i) -> a + if(_up[i] <> _up[i - 1], 1, 0))"))
+    out = out.withColumn("_n1", F.expr("aggregate(_v, 0D, (a, x) -> a + if(x >= k / 2, 1, 0))"))
+    # sums over neighbours carry the value before
+    runs = "aggregate(_v, named_struct('n', 0D, 'up', cast(null as boolean)), (a, x) -> named_struct('n', a.n + if(a.up <=> (x >= k / 2), 0, 1), 'up', x >= k / 2), a -> a.n)"
+    out = out.withColumn("_runs", F.expr(runs))
     out = out.withColumn("_mean_runs", 2 * F.col("_n1") * (F.col("_n") - F.col("_n1")) / F.col("_n") + 1)
     sd = F.sqrt((F.col("_mean_runs") - 1) * (F.col("_mean_runs") - 2) / (F.col("_n") - 1))
     out = out.withColumn("p_runs", F.when((F.col("_mean_runs") <= 2), F.lit(0.0)).otherwise(2 * _tail(F.abs(F.col("_runs") - F.col("_mean_runs")) / sd)))
     out = out.withColumn("_mean", F.expr("aggregate(_v, 0D, (a, x) -> a + x) / _n"))
     out = out.withColumn("_var", F.expr("aggregate(_v, 0D, (a, x) -> a + pow(x - _mean, 2))"))
-    out = out.withColumn("_cov", F.expr("aggregate(sequence(1, size(_v) - 1), 0D, (a, i) -> a + (_v[i] - _mean) * (_v[i - 1] - _mean))"))
+    out = out.withColumn("_cov", F.expr("aggregate(_v, named_struct('s', 0D, 'd', 0D), (a, x) -> named_struct('s', a.s + a.d * (x - _mean), 'd', x - _mean), a -> a.s)"))
     r = F.when(F.col("_var") > 0, F.col("_cov") / F.col("_var")).otherwise(1.0)
     out = out.withColumn("p_serial", 2 * _tail(F.abs(r) * F.sqrt("_n")))
     shift = F.greatest(F.lit(0.1), F.col("k") * PROSE_MATCH - 1) * F.col("_n")

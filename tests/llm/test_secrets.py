@@ -105,3 +105,17 @@ def test_long_text_takes_linear_time(spark):
     (r,) = S.report(docs).collect()
     assert time.time() - began < 90
     assert r.n_hex == 80_000 and r.n_assign == 80_000
+
+
+def test_a_token_takes_time_in_proportion_to_its_length(spark):
+    rng = random.Random(5)
+    seconds = {}
+    for n in (200_000, 1_600_000):
+        token = "".join(rng.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", k=n))
+        df = spark.createDataFrame([(1, token)], "doc_id long, token string")
+        df.count()
+        began = time.time()
+        row = S.battery(df).first()
+        seconds[n] = time.time() - began
+        assert row.k == 64 and row.p_runs > 1e-4 and row.p_serial > 1e-4 and row.log_p < -1000
+    assert seconds[1_600_000] < 16 * seconds[200_000] + 2 and seconds[1_600_000] < 30

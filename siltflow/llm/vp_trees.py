@@ -307,11 +307,13 @@ def _search(pairs: DataFrame, k: int, factor: float) -> DataFrame:
 
 
 def _meet(trees: DataFrame, blocks: DataFrame, tasks: int) -> DataFrame:
-    """Trees and the blocks that ask them, (dim, leaf, part) alike, side by side. A tree goes to as many tasks as its blocks are dealt to."""
+    """Trees and the written blocks that ask them, (dim, leaf, part) alike, side by side. The blocks of a tree are dealt to tasks, and the tree goes
+    to those of them that have a block for it."""
     none = lambda kind, *cols: [F.lit(None).cast(kind).alias(c) for c in cols]
     key = ("dim", "leaf", "part", "task")
-    left = trees.withColumn("task", F.explode(F.sequence(F.lit(0), F.lit(tasks - 1)))).select(*key, "tree", *none("binary", "ids", "keys", "q", "least"))
-    right = blocks.withColumn("task", F.pmod(F.xxhash64("ids"), F.lit(tasks)).cast("int")).select(*key, *none("binary", "tree"), "ids", "keys", "q", "least")
+    dealt = blocks.withColumn("task", F.pmod(F.xxhash64("ids"), F.lit(tasks)).cast("int"))
+    left = trees.select(*key[:3], "tree").join(dealt.select(*key).distinct(), list(key[:3])).select(*key, "tree", *none("binary", "ids", "keys", "q", "least"))
+    right = dealt.select(*key, *none("binary", "tree"), "ids", "keys", "q", "least")
     return left.unionByName(right).repartition(*key).sortWithinPartitions(*key, F.col("tree").isNull())
 
 
@@ -338,7 +340,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = K, factor: float = FA
     dealt, trees = index(base, tops)
     asked = dealt.where("asked").select("dim", "leaf", "part", "row", "vec_id", "v")
     # every query in its own shard; a shard's queries are at most its rows
-    home = asked.withColumn("least", F.lit(float("-inf"))).groupBy("dim", "leaf", "part").applyInPandas(_pack, _BLOCK)
+    home = written(asked.withColumn("least", F.lit(float("-inf"))).groupBy("dim", "leaf", "part").applyInPandas(_pack, _BLOCK), "home")
     near = written(_search(_meet(trees, home, 1), k, factor), "near")
     shards = trees.count()
     if shards <= len(tops):  # a shard each
@@ -370,7 +372,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = K, factor: float = FA
                         for p in to:
                             yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip([r["dim"], leaf, p, *cols], [pa.int32(), pa.int64(), pa.int64(), *[pa.binary()] * 4], strict=True)], [c.split()[0] for c in _BLOCK.split(", ")])
 
-        far = blocks.mapInArrow(spread, _BLOCK)
+        far = written(blocks.mapInArrow(spread, _BLOCK), "far")
         found = near.unionByName(_search(_meet(trees, far, max(1, math.ceil(blocks.count() / BLOCKS_A_TASK))), k, factor))
     rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "vec_id", "row"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from .bpe import WHITE
-from .shared import bounded_batches, char_table, chunks, codepoints, only, ragged, same_runs, span_hashes, work_dir, written
+from .shared import Buffer, bounded_batches, char_table, chunks, codepoints, only, ragged, same_runs, span_hashes, work_dir, written
 
 PRECISION, LOW = 20, 1 << 31
 LANES, CHECKPOINT = 1024, 64
@@ -144,7 +144,7 @@ class _Places:
 
     def __init__(self, most: int):
         self.mask = (1 << (2 * most).bit_length()) - 1
-        self.slot, self.h = np.full(self.mask + 1, -1, np.int32), np.zeros(0, U64)
+        self.slot, self.h = np.full(self.mask + 1, -1, np.int32), Buffer(U64)
 
     def find(self, h: np.ndarray) -> np.ndarray:
         """The place of each hash, -1 if it has none."""
@@ -153,7 +153,7 @@ class _Places:
         while len(todo):
             found = self.slot[at[todo]]
             todo, found = todo[found >= 0], found[found >= 0]
-            same = self.h[found] == h[todo]
+            same = self.h.all()[found] == h[todo]
             out[todo[same]] = found[same]
             todo = todo[~same]
             at[todo] = (at[todo] + 1) & self.mask
@@ -161,8 +161,8 @@ class _Places:
 
     def add(self, h: np.ndarray) -> None:
         """Gives distinct new hashes the next places."""
-        place = np.arange(len(self.h), len(self.h) + len(h), dtype=np.int32)
-        self.h = np.append(self.h, h)
+        place = np.arange(self.h.n, self.h.n + len(h), dtype=np.int32)
+        self.h.add(h)
         at = (h & U64(self.mask)).astype(np.int64)
         todo = np.arange(len(h))
         while len(todo):
@@ -189,8 +189,8 @@ class Words:
         """Forgets the slices kept."""
         self.places = _Places(KEPT)
         #: by place: first id and how many; first character and how many
-        self.first, self.size, self.begin, self.length = (np.zeros(0, np.int32) for _ in range(4))
-        self.flat, self.chars = np.zeros(0, np.int32), np.zeros(0, U32)
+        self.first, self.size, self.begin, self.length = (Buffer(np.int32) for _ in range(4))
+        self.flat, self.chars = Buffer(np.int32), Buffer(U32)
 
     def _encode(self, slices: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(the slices' ids one after another, how many each has). Slices of letters or of SIGNS alone end with the one id that ends a word,
@@ -223,17 +223,19 @@ class Words:
         text = cp.tobytes().decode("utf-32-le", "surrogatepass")
         flat, size = self._encode([text[a:b] for a, b in zip(start.tolist(), end.tolist(), strict=True)])
         self.places.add(h)
-        self.first = np.append(self.first, (len(self.flat) + np.cumsum(size) - size).astype(np.int32))
-        self.size, self.flat = np.append(self.size, size.astype(np.int32)), np.append(self.flat, flat)
         length = (end - start).astype(np.int32)
-        self.begin = np.append(self.begin, (len(self.chars) + np.cumsum(length) - length).astype(np.int32))
-        self.length, self.chars = np.append(self.length, length), np.append(self.chars, ragged(cp, start, length))
+        self.first.add(self.flat.n + np.cumsum(size) - size)
+        self.size.add(size)
+        self.flat.add(flat)
+        self.begin.add(self.chars.n + np.cumsum(length) - length)
+        self.length.add(length)
+        self.chars.add(ragged(cp, start, length))
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         out = []
         texts = [t or "" for t in texts]
         for lo, hi in chunks(texts, 1_000_000):
-            if len(self.places.h) > KEPT:
+            if self.places.h.n > KEPT:
                 self.clear()
             cp, start, end = _slices("\n".join(texts[lo:hi]) + "\n")
             h = span_hashes(cp, start, end)
@@ -241,14 +243,14 @@ class Words:
             new = np.flatnonzero(place < 0)
             if len(new):  # one of the slices with a hash is kept
                 one, back = np.unique(h[new], return_index=True, return_inverse=True)[1:]
-                known = len(self.places.h)
+                known = self.places.h.n
                 self._learn(h[new[one]], cp, start[new[one]], end[new[one]])
                 place[new] = known + back
             # a slice that only shares a kept one's hash is encoded here
-            same = self.length[place] == end - start
+            same = self.length.all()[place] == end - start
             like = np.flatnonzero(same)
-            same[like] = same_runs(self.chars, self.begin[place[like]], cp, start[like], (end - start)[like])
-            first, n, flat = self.first[place], self.size[place], self.flat
+            same[like] = same_runs(self.chars.all(), self.begin.all()[place[like]], cp, start[like], (end - start)[like])
+            first, n, flat = self.first.all()[place], self.size.all()[place], self.flat.all()
             if not same.all():
                 odd = np.flatnonzero(~same)
                 more, n[odd] = self._encode([cp[x:y].tobytes().decode("utf-32-le", "surrogatepass") for x, y in zip(start[odd].tolist(), end[odd].tolist(), strict=True)])

@@ -91,6 +91,25 @@ def ragged(values: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarra
     return values.take(at)
 
 
+class Buffer:
+    """A growing array, whose space doubles when it is full."""
+
+    def __init__(self, kind=np.int64):
+        self.held, self.n = np.zeros(1024, kind), 0
+
+    def add(self, values) -> None:
+        need = self.n + len(values)
+        if need > len(self.held):
+            more = np.zeros(max(need, 2 * len(self.held)), self.held.dtype)
+            more[: self.n] = self.held[: self.n]
+            self.held = more
+        self.held[self.n : need] = values
+        self.n = need
+
+    def all(self) -> np.ndarray:
+        return self.held[: self.n]
+
+
 # ---------------------------------------------------------------- hashing
 
 U64 = np.uint64

@@ -25,8 +25,10 @@ from pyspark.sql import functions as F
 from .shared import SHINGLE, U64, bounded_batches, by_text, mix, only, ragged, sequence_hashes, shingle_hashes, shingle_words, written
 
 THRESHOLD, MISS = 0.8, 1e-7
-#: Characters of item texts in one block (about 16 MB of signatures); more items make more blocks, each a pass over the documents.
+#: Characters of item texts in one block, whose hashes and signatures take some tens of MB; more items make more blocks, each a pass over the documents.
 BLOCK_CHARS = 8_000_000
+#: Items whose words are kept by a task; all others are hashes.
+HELD = 256
 _SCHEMA = "doc_id long, item_id long, n_item int, n_shared int, containment double"
 
 
@@ -47,13 +49,13 @@ class Items:
     """A block of items, partitioned by size, ready to be searched."""
 
     def __init__(self, ids: list, texts: list[str], threshold: float = THRESHOLD):
-        self.threshold, self.ids, self.words, self.shingles = threshold, ids, [], []
+        self.threshold, self.ids, self.texts, self.shingles = threshold, ids, texts, []
+        self._held: dict[int, set[tuple[str, ...]]] = {}
         k, part, picked, owner = permutations(threshold), [], [], []
         #: By number of words the short items: (sequence hash, item), sorted.
         short: dict[int, list[tuple[int, int]]] = defaultdict(list)
         for i, w, lo, hi in by_text(texts):
             sh = np.unique(shingle_hashes(w.h[lo:hi]))
-            self.words.append(shingle_words([w.word(j) for j in range(lo, hi)]))
             self.shingles.append(sh)
             part.append(len(sh).bit_length())
             if 0 < hi - lo < SHINGLE:
@@ -66,12 +68,23 @@ class Items:
         self.short = {n: _sorted(np.array([h for h, _ in x], U64), np.array([i for _, i in x], np.int64)) for n, x in short.items()}
         self.part = np.array(part, np.int64)
         #: By partition the least document size that can contain one of its items to the threshold.
-        self.least = {p: min(math.ceil(threshold * len(s)) for s, q in zip(self.words, part, strict=True) if q == p) for p in set(part)}
+        self.least = {}
+        for s, q in zip(self.shingles, part, strict=True):
+            self.least[q] = min(self.least.get(q, len(s)), math.ceil(threshold * len(s)))
         # 16 places a picked shingle, so that few of a document's other shingles get past
         bits = max(20, (16 * len(self.picked)).bit_length())
         self.shift, self.seen = U64(64 - bits), np.zeros(1 << bits, bool)
         self.seen[(self.picked >> self.shift).astype(np.int64)] = True
 
+    def words(self, j: int) -> set[tuple[str, ...]]:
+        """An item's shingles as words, made when a document may hold it; of the items that documents last did, HELD are kept."""
+        if j not in self._held:
+            if len(self._held) >= HELD:
+                del self._held[next(iter(self._held))]
+            ((_, w, lo, hi),) = by_text([self.texts[j]])
+            self._held[j] = shingle_words([w.word(x) for x in range(lo, hi)])
+        return self._held[j]
+
     def _candidates(self, sh: np.ndarray) -> list[int]:
         """Items whose signature meets the shingles and whose hashed shingles the threshold, ascending."""
         hit = sh[self.seen[(sh >> self.shift).astype(np.int64)]] if len(self.picked) else sh[:0]
@@ -89,8 +102,8 @@ class Items:
             if found := self._candidates(shingle_hashes(w.h[lo:hi])):
                 mine = shingle_words([w.word(j) for j in range(lo, hi)])
                 for j in found:
-                    shared = len(self.words[j] & mine)
-                    if shared and shared >= self.threshold * len(self.words[j]) - 1e-9:
+                    shared = len(self.words(j) & mine)
+                    if shared and shared >= self.threshold * len(self.words(j)) - 1e-9:
                         out.append((j, shared))
             for n, (picked, owner) in self.short.items():
                 seq = sequence_hashes(w.h[lo:hi], n)
@@ -98,7 +111,7 @@ class Items:
                 if len(at):
                     one = at[np.unique(seq[at], return_index=True)[1]]
                     held = {tuple(w.word(lo + x + y) for y in range(n)) for x in one.tolist()}
-                    out += [(j, 1) for j in _owners(picked, owner, np.unique(seq[at])).tolist() if not held.isdisjoint(self.words[j])]
+                    out += [(j, 1) for j in _owners(picked, owner, np.unique(seq[at])).tolist() if not held.isdisjoint(self.words(j))]
             for j, shared in sorted(out):
                 yield i, j, shared
 
@@ -152,7 +165,7 @@ def contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD
             block = Items(*held.value, threshold)
             for batch in batches:
                 ids = batch.column("doc_id").to_pylist()
-                rows = [(ids[i], block.ids[j], len(block.words[j]), n, n / len(block.words[j])) for i, j, n in block.search(batch.column("text").to_pylist())]
+                rows = [(ids[i], block.ids[j], len(block.words(j)), n, n / len(block.words(j))) for i, j, n in block.search(batch.column("text").to_pylist())]
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.float64()), strict=True)], ["doc_id", "item_id", "n_item", "n_shared", "containment"])
 
@@ -177,10 +190,12 @@ def _contains(held, threshold: float):
 
 def decontaminate(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """docs without the rows whose text contains an item; the columns stay. Each row is judged by its own text, so null and repeated ids
-    make no difference; nothing is shuffled or joined."""
+    make no difference; nothing is shuffled or joined. Each further block of items is a pass over the rows that are left, written between."""
     spark = docs.sparkSession
     bounded_batches(spark)
-    for ids, texts in _blocks(items):
+    for k, (ids, texts) in enumerate(_blocks(items)):
         held = spark.sparkContext.broadcast((ids, texts))  # at most BLOCK_CHARS
+        if k:  # what the block before left is written, so that a task holds one block at a time
+            docs = written(docs, "clean")
         docs = docs.where(~_contains(held, threshold)(F.col("text")))
     return docs

@@ -30,14 +30,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .shared import bounded_batches, chunks, only, ragged, written
+from .shared import Buffer, bounded_batches, chunks, only, ragged, written
 
 #: Documents of a block, and pairs of its documents beyond which it ends.
 BLOCK_DOCS, BLOCK_PAIRS = 8192, 4_000_000
 #: Segments, pairs and characters of groups that a worker keeps; a store with more starts anew before the next texts. Transitions kept.
 KEPT, KEPT_PAIRS, KEPT_CHARS, KEPT_STEPS = 500_000, 6_000_000, 64_000_000, 1_000_000
-#: Segments that are encoded at once; pairs of a group beyond which numpy makes them.
-ENCODE, FEW = 4096, 1024
+#: Segments that are encoded at once, and those that go to the library as one text; pairs of a group beyond which numpy makes them.
+ENCODE, TOGETHER, FEW = 4096, 512, 1024
 # a place before a single space between characters that aren't white space
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 SPACE = "▁"
@@ -56,26 +56,22 @@ class Transducer:
 
     def __init__(self, a: list[bytes], b: list[bytes]):
         self.bytes = a, b
-        #: a state is (leading side, residual); the number 0 is the empty residual
-        self.states: list[tuple[int, bytes]] = [(0, b"")]
-        self.number: dict[tuple[int, bytes], int] = {(0, b""): 0}
-        self.steps: dict[tuple[int, int], int] = {}
+        #: a state is (leading side, residual), and the number 0 the empty residual; turn is the side whose token comes next, the first at 0;
+        #: steps are the transitions of each state by token
+        self.states: list[tuple[int, bytes]] = [(1, b"")]
+        self.number: dict[tuple[int, bytes], int] = {(1, b""): 0}
+        self.turn, self.steps, self.known = [0], [{}], 0
 
     def step(self, state: int, token: int) -> int:
-        """The state after the next token of the side that doesn't lead (of the first, if none does); -1 if its bytes differ."""
-        got = self.steps.get((state, token))
+        """The state after the next token of the side whose turn it is; -1 if its bytes differ."""
+        got = self.steps[state].get(token)
         if got is None:
-            lead, residual = self.states[state]
-            own = 1 - lead if state else 0
+            (lead, residual), own = self.states[state], self.turn[state]
             t = self.bytes[own][token]
-            if not state:
-                after = (0, t)
-            elif residual.startswith(t):
+            if residual.startswith(t):
                 after = (lead, residual[len(t) :])
-            elif t.startswith(residual):
-                after = (own, t[len(residual) :])
             else:
-                after = None
+                after = (own, t[len(residual) :]) if t.startswith(residual) else None
             if after is None:
                 got = -1
             elif not after[1]:
@@ -84,48 +80,36 @@ class Transducer:
                 got = self.number.setdefault(after, len(self.states))
                 if got == len(self.states):
                     self.states.append(after)
-            self.steps[state, token] = got
+                    self.turn.append(1 - after[0])
+                    self.steps.append({})
+            self.steps[state][token] = got
+            self.known += 1
         return got
 
     def groups(self, a: list[int], b: list[int]) -> list[tuple[int, int]] | None:
         """Where each group ends, in a and in b; None if the sequences' bytes differ."""
-        if len(self.steps) > KEPT_STEPS:
+        if self.known > KEPT_STEPS:
             self.__init__(*self.bytes)
-        out, i, j, state = [], 0, 0, 0
-        while i < len(a) or j < len(b):
-            lead = self.states[state][0]
-            if state == 0 or lead == 1:
-                if i == len(a):
+        out, i, j, state, n, m = [], 0, 0, 0, len(a), len(b)
+        turn, steps = self.turn, self.steps
+        while i < n or j < m:
+            if turn[state]:
+                if j == m:
                     return None
-                state, i = self.step(state, a[i]), i + 1
+                token, j = b[j], j + 1
             else:
-                if j == len(b):
+                if i == n:
                     return None
-                state, j = self.step(state, b[j]), j + 1
-            if state < 0:
+                token, i = a[i], i + 1
+            after = steps[state].get(token)
+            if after is None:
+                after = self.step(state, token)
+            if after < 0:
                 return None
-            if state == 0:
+            state = after
+            if not state:
                 out.append((i, j))
-        return out if state == 0 else None
-
-
-class Buffer:
-    """A growing array, whose space doubles when it is full."""
-
-    def __init__(self, kind=np.int64):
-        self.held, self.n = np.zeros(1024, kind), 0
-
-    def add(self, values: list[int]) -> None:
-        need = self.n + len(values)
-        if need > len(self.held):
-            more = np.zeros(max(need, 2 * len(self.held)), self.held.dtype)
-            more[: self.n] = self.held[: self.n]
-            self.held = more
-        self.held[self.n : need] = values
-        self.n = need
-
-    def all(self) -> np.ndarray:
-        return self.held[: self.n]
+        return None if state else out
 
 
 class Store:
@@ -178,7 +162,8 @@ class Aligner:
         if any(SPACE in p.lstrip(SPACE) for p in pieces):
             raise ValueError("a piece goes on after a word's end, so texts can't be cut before spaces")
         b = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace(SPACE, " ").encode() for i, p in enumerate(pieces)]
-        self.bytes, self.n_b = (a, b), len(b)
+        self.bytes, self.n_b, self.names = (a, b), len(b), list(map(str, range(max(len(a), len(b)))))
+        self.begins = np.array([x.startswith(b" ") for x in a])
         self.transducer, self.store = Transducer(a, b), Store()
 
     def segment(self, segment: str, a: list[int], b: list[int]) -> tuple[int, int, int, str, dict[int, int], bool]:
@@ -187,28 +172,53 @@ class Aligner:
         if groups is None or b"".join(map(self.bytes[0].__getitem__, a)) != b" " + segment.encode():
             return 0, 0, 0, "", {}, False
         text, pairs, i, j = [], {}, 0, 0
+        names, n_b = self.names, self.n_b
         for p, q in groups:
+            if p - i == q - j == 1:
+                x, y = a[i], b[j]
+                text.append(f"{x}|{y}")
+                k, i, j = x * n_b + y, p, q
+                pairs[k] = pairs.get(k, 0) + 1
+                continue
             x, y = a[i:p], b[j:q]
-            text.append(",".join(map(str, x)) + "|" + ",".join(map(str, y)))
+            text.append(",".join(map(names.__getitem__, x)) + "|" + ",".join(map(names.__getitem__, y)))
             if len(x) * len(y) <= FEW:
                 for u in x:
                     for v in y:
-                        pairs[k] = pairs.get(k := u * self.n_b + v, 0) + 1
+                        pairs[k] = pairs.get(k := u * n_b + v, 0) + 1
             else:
                 # ids that repeat within a group count as often as they pair up
                 (u, m), (v, n) = np.unique(x, return_counts=True), np.unique(y, return_counts=True)
-                for k, t in zip((u[:, None] * self.n_b + v).ravel().tolist(), (m[:, None] * n).ravel().tolist(), strict=True):
+                for k, t in zip((u[:, None] * n_b + v).ravel().tolist(), (m[:, None] * n).ravel().tolist(), strict=True):
                     pairs[k] = pairs.get(k, 0) + t
             i, j = p, q
         return len(a), len(b), len(groups), ";".join(text), pairs, True
 
+    def _encode(self, segments: list[str]) -> list[list[int]]:
+        """A's ids of each segment with the space before it. Of segments without white space, each a word to A, only the first token begins with
+        a space, so the library gets many as one text."""
+        out: list = [None] * len(segments)
+        words = [i for i, s in enumerate(segments) if s.split() == [s]]
+        for lo in range(0, len(words), TOGETHER):
+            part = words[lo : lo + TOGETHER]
+            (enc,) = self.a.encode_batch_fast([" " + " ".join([segments[i] for i in part])], add_special_tokens=False)
+            ids = enc.ids
+            first = np.flatnonzero(self.begins[ids]).tolist()
+            if len(first) == len(part):
+                for i, x, y in zip(part, first, [*first[1:], len(ids)], strict=True):
+                    out[i] = ids[x:y]
+        rest = [i for i, x in enumerate(out) if x is None]
+        if rest:
+            for i, enc in zip(rest, self.a.encode_batch_fast([" " + segments[i] for i in rest], add_special_tokens=False), strict=True):
+                out[i] = enc.ids
+        return out
+
     def _learn(self, segments: set[str]) -> None:
         """Adds what new segments give."""
         every = sorted(segments)
         for lo in range(0, len(every), ENCODE):
             some = every[lo : lo + ENCODE]
-            a = [e.ids for e in self.a.encode_batch([" " + s for s in some], add_special_tokens=False)]
-            self.store.add(some, list(map(self.segment, some, a, self.b.encode(some, num_threads=1))))
+            self.store.add(some, list(map(self.segment, some, self._encode(some), self.b.encode(some, num_threads=1))))
 
     def whole(self, text: str) -> bool:
         """Whether both sides' joined bytes are a space and the text."""

@@ -103,9 +103,11 @@ class Index:
 
 
 #: Postings of a block on average, and blocks of a term by gain: one for each so large a step of it.
-BLOCK_ROWS, GAIN_STEP = 1024, 0.25
+BLOCK_ROWS, GAIN_STEP = 128, 0.25
 #: Pages that are scored first for each query (and section, if these are capped), of its blocks with the greatest gains.
-SEED_ROWS, SEED_BLOCKS = 256, 8
+SEED_ROWS, SEED_BLOCKS = 48, 4
+#: Into how many lists the queries of one page are dealt.
+QUERY_PARTS = 4
 SLACK = 1e-5  # scores are rounded to 6 places
 
 
@@ -129,8 +131,8 @@ def _held(pages: DataFrame) -> DataFrame:
 def _segment(store: str, name: str, held: DataFrame, dead: DataFrame, dropped: DataFrame, before: tuple[int, int]) -> dict:
     """Writes a segment of pages; dead: (seg, url) that it takes away, dropped: their docs. before: pages and total length so far."""
     spark, to = held.sparkSession, f"{store}/{name}"
-    weighed = F.array(F.struct(T.words(F.coalesce("text", F.lit(""))).alias("t"), F.lit(1).alias("w")), F.struct(T.words(F.coalesce("title", F.lit(""))).alias("t"), F.lit(TITLE_WEIGHT).alias("w")))
-    each = held.select("url", F.explode(weighed).alias("x")).select("url", F.explode("x.t").alias("word"), "x.w")
+    said = lambda c, w: held.select("url", F.explode(T.words(F.coalesce(c, F.lit("")))).alias("word"), F.lit(w).alias("w"))
+    each = said("text", 1).unionByName(said("title", TITLE_WEIGHT))
     # a page's distinct words are stemmed, not its tokens
     stems = each.groupBy("url", "word").agg(F.sum("w").alias("f")).select("url", T.stem(F.col("word")).alias("term"), "f").where(searchable(F.col("term")))
     tf = stems.groupBy("url", "term").agg(F.sum("f").cast("long").alias("f"))
@@ -207,7 +209,10 @@ def _scored(index: Index, found: DataFrame, lists: DataFrame, average: float) ->
     """(qid, url, score, matched, section) of pages (qid, seg, url): BM25 with the overview boost, rounded to 6 places. lists: (qid, asked,
     idfs), a query's terms in their order."""
     docs = index.docs.select("seg", "url", "len", "section", "overview", "terms", "fs")
-    held = found.join(docs, ["seg", "url"]).join(lists, "qid").withColumn("matched", F.array_intersect("asked", "terms"))
+    # a page's terms meet it once for some queries, not once for each
+    many = int(found.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    asking = found.groupBy("seg", "url", F.pmod(F.xxhash64("qid"), F.lit(QUERY_PARTS)).alias("some")).agg(F.collect_list("qid").alias("qids")).repartition(many, "seg", "url")
+    held = asking.join(docs, ["seg", "url"]).withColumn("qid", F.explode("qids")).drop("qids", "some").join(lists, "qid").withColumn("matched", F.array_intersect("asked", "terms"))
     at = lambda values, keys, x: F.element_at(values, F.array_position(keys, x).cast("int"))
     add = lambda total, t: total + at("idfs", "asked", t) * gain(at("fs", "terms", t), F.col("len"), average)
     raw = F.aggregate("matched", F.lit(0.0), add)
@@ -238,7 +243,7 @@ def search(index: Index, queries: DataFrame, limit: int = 10, per_section: int |
         raise ValueError("the index has no segment")
     df = index.table("terms").join(query_terms(queries).select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.sum("df").alias("df")).where("df > 0")
     asked = written(query_terms(queries).join(df, "term").withColumn("idf", F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))))
-    lists = asked.groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("pos", "term", "idf"))).alias("x")).select("qid", F.col("x.term").alias("asked"), F.col("x.idf").alias("idfs"))
+    lists = written(asked.groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("pos", "term", "idf"))).alias("x")).select("qid", F.col("x.term").alias("asked"), F.col("x.idf").alias("idfs")))
     # gains of a segment's time are off by the change of the average length at most
     grown = F.lit(1.0)
     for s in index.segments:

@@ -4,8 +4,13 @@ The patterns' spans (email, ip, card, phone) are always reported. Besides, each
 random field with the labels none and the four kinds: a node's own potential comes from its shape, neighbouring nodes share a chain potential,
 and tokens that are equal or similar (the same last seven digits, the same letters and digits) share a skip potential, however far apart they
 are. Nodes in pattern spans are held at their kind. Loopy message passing then carries labels along chains and skips, and further tokens whose
-marginal is high enough become spans. The potentials are trained: smoothed pointwise mutual information of labels with shapes, with neighbours'
-labels and with twins' labels, counted over all documents with the patterns' spans as labels; the tables' size is fixed.
+marginal is high enough become spans.
+
+The potentials maximise the pseudo-likelihood: the chance of each node's label given its shape and its neighbours' and twins' labels, with the
+patterns' spans as labels, over the nodes of all documents. A node enters by its configuration alone, so these are counted by Spark, and the
+table of configurations is bounded whatever the input. Two things follow from labels that come from patterns. A free node with a twin in a span
+is not a counterexample but unknown: it is neither learned from nor a neighbour. And as a label is nearly a function of the shape, a node counts
+a second time with its shape left out, so that chains and skips learn to tell labels without it.
 """
 
 from __future__ import annotations
@@ -22,16 +27,28 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import bounded_batches, only
+from .shared import bounded_batches, only, ragged
 
 KINDS = ("email", "ip", "card", "phone")
 SHAPES, ROUNDS, DAMPING, LEAST = 1 << 13, 12, 0.3, 0.9
+LABELS = len(KINDS) + 1
+NOBODY = 2 * LABELS
 #: Characters between neighbours on the chain; further apart, tokens say nothing of one another but by skips.
 NEAR = 40
+#: Characters between neighbours that touch; these share another potential than others.
+TOUCH = 2
 #: Largest change of a message at which passing ends.
 CHANGE = 1e-4
-#: Potential that holds a node in a pattern's span at its kind; bound of the trained potentials.
-HELD, MOST = 12.0, 4.0
+#: Potential that holds a node in a pattern's span at its kind.
+HELD = 12.0
+#: Training: bounds of the potentials of shapes, chains and skips, weight of their squares, steps and first size of a step.
+MOST_SHAPE, MOST_CHAIN, MOST_SKIP, SQUARES, STEPS, RATE = 3.0, 3.0, 16.0, 0.5, 400, 0.1
+#: Characters (letters and digits) that twins share at least to be firm ones; these share another potential than others.
+FIRM = 7
+#: Potential of two twins of one label, not firm or firm, before any are seen: squares are of the distance from it.
+ALIKE = 3.0, 14.0
+#: Twins that a node can have: the one before and the one after, by at most two keys.
+TWINS = 4
 
 # Parts of the base patterns.
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -90,8 +107,10 @@ def _length(n: int) -> str:
 
 
 def shape(token: str) -> str:
-    """Digit runs become d and their length's class, letter runs a; other characters stay."""
-    return _RUN.sub(lambda m: "d" + _length(len(m[0])) if m[0][0].isdigit() else "a", token)
+    """Digit runs become d and their length's class, letter runs a; other characters stay. After it, whether the digits could be a card's."""
+    digits = "".join(c for c in token if "0" <= c <= "9")
+    valid = "v" if 13 <= len(digits) <= 19 and luhn(digits) else ""
+    return _RUN.sub(lambda m: "d" + _length(len(m[0])) if m[0][0].isdigit() else "a", token) + valid
 
 
 class Field:
@@ -114,7 +133,7 @@ class Field:
                 self.shape.append(zlib.crc32(shape(text[a:b]).encode()) % SHAPES)
                 digits = "".join(c for c in text[a:b] if "0" <= c <= "9")
                 plain = "".join(c for c in text[a:b].lower() if c.isalnum())
-                keys.append({("d", digits[-7:])} if len(digits) >= 7 else {("t", plain)} if len(plain) >= 3 else set())
+                keys.append({("d", digits[-FIRM:])} if len(digits) >= FIRM else {("t", plain)} if len(plain) >= 3 else set())
                 if "@" in text[a:b]:
                     keys[-1].add(("t", plain))
         n = len(self.start)
@@ -125,10 +144,13 @@ class Field:
                 j += 1
             k = j
             while k < len(spans) and spans[k][0] < self.end[i]:
-                self.fixed[i] = 1 + spans[k][2]
+                if spans[k][1] > self.start[i]:
+                    self.fixed[i] = 1 + spans[k][2]
                 k += 1
         self.chain = [(i, i + 1) for i in range(n - 1) if self.start[i + 1] - self.end[i] <= NEAR]
-        last, self.skip = {}, []
+        self.touch = [int(self.start[j] - self.end[i] <= TOUCH) for i, j in self.chain]
+        # a token's keys are all firm or all not: one with two keys has an at sign and FIRM digits
+        last, self.skip, self.firm = {}, [], [int(any(len(text) >= FIRM for _, text in mine)) for mine in keys]
         for i, mine in enumerate(keys):
             for key in mine:
                 if key in last:
@@ -137,70 +159,116 @@ class Field:
 
 
 def counts(text: str) -> Counter:
-    """(table, row, label) -> times: the statistics that training needs of one document."""
+    """(configuration, label) -> times, of the nodes that training learns from. A configuration is a number made of the shape, whether twins are firm, the labels of the
+    neighbours before and after (those that touch, or don't; NOBODY: none there, or unknown), and how many twins have each label."""
     out: Counter = Counter()
-    if _ANY.search(text):
-        f = Field(text, base_spans(text))
-        for s, y in zip(f.shape, f.fixed.tolist(), strict=True):
-            out["shape", s, y] += 1
-        for name, edges in (("chain", f.chain), ("skip", f.skip)):
-            for i, j in edges:
-                # a twin that the patterns miss is unlabelled, not a counterexample
-                if name == "chain" or (f.fixed[i] > 0) == (f.fixed[j] > 0):
-                    out[name, int(f.fixed[i]), int(f.fixed[j])] += 1
+    if not _ANY.search(text):
+        return out
+    f = Field(text, base_spans(text))
+    known = np.ones(len(f.shape), bool)
+    for i, j in f.skip:
+        if (f.fixed[i] > 0) != (f.fixed[j] > 0):
+            known[i if f.fixed[j] else j] = False
+    sides = np.full((len(f.shape), 2), NOBODY)
+    for (i, j), touch in zip(f.chain, f.touch, strict=True):
+        if known[j]:
+            sides[i, 1] = touch * LABELS + f.fixed[j]
+        if known[i]:
+            sides[j, 0] = touch * LABELS + f.fixed[i]
+    twins = np.zeros(len(f.shape), np.int64)
+    for i, j in f.skip:
+        twins[i] += known[j] * (TWINS + 1) ** f.fixed[j]
+        twins[j] += known[i] * (TWINS + 1) ** f.fixed[i]
+    code = (((np.array(f.shape, np.int64) * 2 + f.firm) * (NOBODY + 1) + sides[:, 0]) * (NOBODY + 1) + sides[:, 1]) * (TWINS + 1) ** LABELS + twins
+    out.update(zip(code[known].tolist(), f.fixed[known].tolist(), strict=True))
     return out
 
 
 @dataclass
 class Potentials:
-    shape: np.ndarray  # (SHAPES, 5)
-    chain: np.ndarray  # (5, 5)
-    skip: np.ndarray
+    shape: np.ndarray  # (SHAPES, LABELS), the labels' own potentials added
+    chain: np.ndarray  # (2, LABELS, LABELS): neighbours that don't touch, that do
+    skip: np.ndarray  # (2, LABELS, LABELS): twins that aren't firm, that are
 
 
 def potentials(rows) -> Potentials:
-    """From (table, row, label, times): bounded smoothed log potentials. Labels that never occur can't be added."""
-    size, n = {"shape": SHAPES, "chain": 5, "skip": 5}, len(KINDS) + 1
-    seen = {k: np.zeros((v, n)) for k, v in size.items()}
-    for t, r, y, times in rows:
-        seen[t][r, y] += times
-    prior = (seen["shape"].sum(axis=0) + 0.5) / (seen["shape"].sum() + 0.5 * n)
-    own = np.log((seen["shape"] + 2 * prior) / (seen["shape"].sum(axis=1, keepdims=True) + 2))
-    own[:, seen["shape"].sum(axis=0) == 0] = -HELD
-
-    def pmi(x: np.ndarray) -> np.ndarray:
-        x = x + x.T + 0.5 * np.eye(n) + 0.05
-        p = x / x.sum()
-        return np.clip(np.log(p / (p.sum(axis=1, keepdims=True) * p.sum(axis=0, keepdims=True))), -MOST, MOST)
-
-    return Potentials(np.maximum(own, -HELD), pmi(seen["chain"]) / 2, pmi(seen["skip"]))
+    """Of greatest pseudo-likelihood within the bounds, from (configuration, label, times) in any order. Labels that never occur can't be added."""
+    rows = np.array(sorted(tuple(r) for r in rows), np.int64).reshape(-1, 3)
+    codes, at = np.unique(rows[:, 0], return_inverse=True)
+    seen = np.zeros((len(codes), LABELS))
+    np.add.at(seen, (at, rows[:, 1]), rows[:, 2])
+    rest, twins = np.divmod(codes, (TWINS + 1) ** LABELS)
+    rest, after = np.divmod(rest, NOBODY + 1)
+    shapes, before = np.divmod(rest, NOBODY + 1)
+    shapes, firm = np.divmod(shapes, 2)
+    used, shapes = np.unique(shapes, return_inverse=True)
+    # by label: neighbours that have it, twins that have it, each in two columns for the two kinds of them
+    one = np.eye(NOBODY + 1)[:, :NOBODY]
+    sides = one[before] + one[after]
+    twins = np.stack([twins // (TWINS + 1) ** k % (TWINS + 1) for k in range(LABELS)], axis=1).astype(float)
+    twins = np.hstack([twins * (firm == k)[:, None] for k in (0, 1)])
+    total = seen.sum(axis=1, keepdims=True)
+    w = [np.zeros((1, LABELS)), np.zeros((len(used), LABELS)), np.zeros((NOBODY, LABELS)), np.vstack([np.eye(LABELS) * x for x in ALIKE])]
+    middle = [x.copy() for x in w]
+    most = [HELD, MOST_SHAPE, MOST_CHAIN, MOST_SKIP]
+    mean, square = [np.zeros_like(x) for x in w], [np.zeros_like(x) for x in w]
+    for step in range(1, STEPS + 1 if len(codes) else 1):
+        context = w[0] + sides @ w[2] + twins @ w[3]
+        left = np.zeros_like(seen)  # labels seen less those expected, with and without the shape
+        by_shape = None
+        for own in (w[1][shapes], 0.0):
+            z = context + own
+            p = np.exp(z - z.max(axis=1, keepdims=True))
+            more = seen - total * p / p.sum(axis=1, keepdims=True)
+            left += more
+            by_shape = more if by_shape is None else by_shape
+        pair = [(x.T @ left).reshape(2, LABELS, LABELS) for x in (sides, twins)]
+        grads = [left.sum(axis=0, keepdims=True), np.zeros_like(w[1]), *[(x + x.transpose(0, 2, 1)).reshape(-1, LABELS) for x in pair]]
+        for k in range(LABELS):
+            grads[1][:, k] = np.bincount(shapes, by_shape[:, k], len(used))
+        for i, g in enumerate(grads):
+            g = g - SQUARES * (w[i] - middle[i])
+            mean[i] = 0.9 * mean[i] + 0.1 * g
+            square[i] = 0.99 * square[i] + 0.01 * g * g
+            size = RATE * (1 - step / (STEPS + 1)) / (np.sqrt(square[i] / (1 - 0.99**step)) + 1e-9)
+            w[i] = np.clip(w[i] + size * mean[i] / (1 - 0.9**step), -most[i], most[i])
+    own = np.tile(w[0], (SHAPES, 1))
+    own[used] += w[1]
+    own[:, seen.sum(axis=0) == 0] = -HELD
+    return Potentials(own, *[x.reshape(2, LABELS, LABELS) for x in w[2:]])
 
 
 def marginals(own: np.ndarray, edges: np.ndarray, pair: np.ndarray, rounds: int | None = None) -> np.ndarray:
     """Loopy sum-product: own (nodes, labels) log potentials, edges (m, 2), pair (m, labels, labels). Exact on forests, given enough rounds: if
-    none are given, until messages stay, at most ROUNDS and twice the nodes (no path is longer than the nodes, and damping delays)."""
-    n, k = own.shape
-    if not len(edges):
-        out = own - own.max(axis=1, keepdims=True)
-        return np.exp(out) / np.exp(out).sum(axis=1, keepdims=True)
-    source, target = np.concatenate([edges[:, 0], edges[:, 1]]), np.concatenate([edges[:, 1], edges[:, 0]])
-    table = np.concatenate([pair, pair.transpose(0, 2, 1)])
-    m = len(edges)
-    back = np.concatenate([np.arange(m, 2 * m), np.arange(m)])
-    msg = np.zeros((2 * m, k))
-    for _ in range(rounds or ROUNDS + 2 * n):
-        belief = own.copy()
-        np.add.at(belief, target, msg)
-        x = (belief[source] - msg[back])[:, :, None] + table
-        top = x.max(axis=1, keepdims=True)
-        new = np.log(np.exp(x - top).sum(axis=1)) + top[:, 0]
-        new -= new.max(axis=1, keepdims=True)
-        new = DAMPING * msg + (1 - DAMPING) * new
-        change, msg = np.abs(new - msg).max(), new
-        if rounds is None and change < CHANGE:
-            break
-    belief = own.copy()
-    np.add.at(belief, target, msg)
+    none are given, until messages stay, at most ROUNDS and twice the nodes (no path is longer than the nodes, and damping delays). A round then
+    sends those messages alone whose sender's belief, or that themselves, changed in the round before, so its work is that of what moves."""
+    belief = own.astype(float)
+    if len(edges):
+        n, k = own.shape
+        source, target = np.concatenate([edges[:, 0], edges[:, 1]]), np.concatenate([edges[:, 1], edges[:, 0]])
+        m = len(edges)
+        back = np.concatenate([np.arange(m, 2 * m), np.arange(m)])
+        msg = np.zeros((2 * m, k))
+        leaving = np.argsort(source, kind="stable")
+        first = np.searchsorted(source[leaving], np.arange(n + 1))
+        send = np.arange(2 * m)
+        for _ in range(rounds or ROUNDS + 2 * n):
+            forth = (send < m)[:, None, None]
+            table = np.where(forth, pair[send % m], pair[send % m].transpose(0, 2, 1))
+            x = (belief[source[send]] - msg[back[send]])[:, :, None] + table
+            top = x.max(axis=1, keepdims=True)
+            new = np.log(np.exp(x - top).sum(axis=1)) + top[:, 0]
+            new -= new.max(axis=1, keepdims=True)
+            new = DAMPING * msg[send] + (1 - DAMPING) * new
+            change = new - msg[send]
+            msg[send] = new
+            np.add.at(belief, target[send], change)
+            if rounds is None:
+                moved = send[np.abs(change).max(axis=1) >= CHANGE]
+                if not len(moved):
+                    break
+                nodes = np.unique(target[moved])
+                send = np.unique(np.append(moved, leaving[ragged(np.arange(2 * m), first[nodes], first[nodes + 1] - first[nodes])]))
     belief = np.exp(belief - belief.max(axis=1, keepdims=True))
     return belief / belief.sum(axis=1, keepdims=True)
 
@@ -215,13 +283,11 @@ def added_spans(text: str, base: list[tuple[int, int, int]], p: Potentials, leas
     own[~free] = -HELD
     own[~free, f.fixed[~free]] = HELD
     edges = np.array([*f.chain, *f.skip], np.int64).reshape(-1, 2)
-    pair = np.concatenate([np.broadcast_to(p.chain, (len(f.chain), 5, 5)), np.broadcast_to(p.skip, (len(f.skip), 5, 5))])
+    pair = np.concatenate([p.chain[np.array(f.touch, np.int64)], p.skip[np.array([f.firm[i] for i, _ in f.skip], np.int64)]])
     prob = marginals(own, edges, pair)
     out: list[tuple[int, int, int]] = []
     for i in np.flatnonzero(free & (prob[:, 1:].max(axis=1) >= least)):
         kind, a, b = int(prob[i, 1:].argmax()), f.start[i], f.end[i]
-        if any(s < b and e > a for _, s, e in base):
-            continue
         if out and out[-1][0] == kind and text[out[-1][2] : a] == " ":
             out[-1] = (kind, out[-1][1], b)
         else:
@@ -230,7 +296,8 @@ def added_spans(text: str, base: list[tuple[int, int, int]], p: Potentials, leas
 
 
 def fit(docs: DataFrame) -> Potentials:
-    """Potentials from counts over all documents; what reaches the driver is as large as the tables, whatever the input."""
+    """Potentials from counts over all documents. What reaches the driver is one row a configuration and label that occur: of SHAPES x 2 x 11 x 11 x 126
+    configurations at most, whatever the input."""
     bounded_batches(docs.sparkSession)
 
     def run(batches):
@@ -239,9 +306,9 @@ def fit(docs: DataFrame) -> Potentials:
             for t in batch.column("text").to_pylist():
                 total.update(counts(t or ""))
             keys = list(total)
-            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int32()), pa.array([k[2] for k in keys], pa.int32()), pa.array([total[k] for k in keys], pa.int64())], ["t", "r", "y", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int32()), pa.array([total[k] for k in keys], pa.int64())], ["c", "y", "n"])
 
-    return potentials(only(docs, "text").mapInArrow(run, "t string, r int, y int, n long").groupBy("t", "r", "y").agg(F.sum("n")).collect())
+    return potentials(only(docs, "text").mapInArrow(run, "c long, y int, n long").groupBy("c", "y").agg(F.sum("n")).collect())
 
 
 def listing(spans: list[tuple[int, int, int]]) -> str:

@@ -7,6 +7,8 @@ language, which is guessed from the text's function words, and moved into the sc
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -27,6 +29,11 @@ LEAST_SEEN = 40_000
 #: Calibration rows that a language's own threshold needs; half its weight goes to the common threshold at this number.
 SHRINK = 200
 
+#: Characters of the texts that are held as words at once; a longer text is read in blocks of so many.
+PIECE = 300_000
+#: Where a text may be cut into blocks: no word has such a character, nor does lower case depend on what is beyond it.
+_CUT = re.compile(r"[\s,;!?()\[\]{}<>\"/。、，；！？]")
+
 # Frequent function words that tell the languages apart.
 FUNCTION_WORDS = {
     "en": "the of and to in is that for it was with are this from".split(),
@@ -49,7 +56,7 @@ def _buckets(h: np.ndarray, salt: int) -> np.ndarray:
 
 
 def read(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(bucket of each word, bucket of its first letters, first word of each text and the end, guessed language of each text)."""
+    """(bucket of each word, bucket of its first letters, first word of each text and the end, how many function words of each language)."""
     w = Words(texts)
     stem = span_hashes(w.joined, w.start, np.minimum(w.end, w.start + STEM))
     at = np.searchsorted(w.doc, np.arange(len(texts) + 1))
@@ -57,8 +64,26 @@ def read(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, n
     for k, known in enumerate(_KNOWN.values()):
         hit = known[np.minimum(np.searchsorted(known, w.h), len(known) - 1)] == w.h
         votes[:, k] = np.bincount(w.doc[hit], minlength=len(texts))
-    votes[:, -1] = 1 - np.minimum(1, votes.max(axis=1))
-    return _buckets(w.h, 1), _buckets(stem, 2), at, votes.argmax(axis=1)
+    return _buckets(w.h, 1), _buckets(stem, 2), at, votes
+
+
+def guessed(votes: np.ndarray) -> np.ndarray:
+    """The language that most function words tell; without any, the last."""
+    return np.where(votes.any(axis=1), votes.argmax(axis=1), len(LANGUAGES) - 1)
+
+
+def blocks(text: str | None) -> Iterator[str]:
+    """The text in blocks of PIECE characters and as many more as there are to the next place where it may be cut."""
+    text, lo = text or "", 0
+    while len(text) - lo > PIECE and (m := _CUT.search(text, lo + PIECE)):
+        yield text[lo : m.start()]
+        lo = m.start()
+    yield text[lo:]
+
+
+def whole(text: str | None) -> tuple[np.ndarray, np.ndarray]:
+    """(bucket of each word, bucket of its first letters) of one text."""
+    return tuple(np.concatenate(x) for x in zip(*[read([t])[:2] for t in blocks(text)], strict=True))
 
 
 @dataclass
@@ -91,13 +116,30 @@ class Model:
     def logits(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """(logit of each text before its threshold, its guessed language)."""
         out, langs = np.zeros(len(texts)), np.zeros(len(texts), np.int64)
-        for lo, hi in chunks(texts, 300_000):
-            a, b, at, langs[lo:hi] = read(texts[lo:hi])
-            out[lo:hi] = self.pooled(a, b, at) @ self.out + self.base
+        for lo, hi in chunks(texts, PIECE):
+            if hi - lo == 1 and len(texts[lo] or "") > PIECE:
+                best, votes = self.pooled_long(texts[lo])
+            else:
+                a, b, at, votes = read(texts[lo:hi])
+                best = self.pooled(a, b, at)
+            out[lo:hi] = best @ self.out + self.base
+            langs[lo:hi] = guessed(votes)
         return out, langs
 
+    def pooled_long(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """The maxima and function words of one text, block by block; a block starts with the last words of the one before, so that no filter
+        misses a place."""
+        best, votes = np.zeros((1, len(WIDTHS) * FILTERS), np.float32), np.zeros((1, len(LANGUAGES)), np.int64)
+        kept = np.zeros(0, np.int32), np.zeros(0, np.int32)
+        for block in blocks(text):
+            a, b, _, more = read([block])
+            a, b = np.append(kept[0], a), np.append(kept[1], b)
+            best, votes = np.maximum(best, self.pooled(a, b, np.array([0, len(a)]))), votes + more
+            kept = a[max(0, len(a) - max(WIDTHS) + 1) :], b[max(0, len(b) - max(WIDTHS) + 1) :]
+        return best, votes
+
     def pooled(self, a: np.ndarray, b: np.ndarray, at: np.ndarray) -> np.ndarray:
-        """The maxima, for any number of words: by blocks of a text's words, overlapping by the greatest width less one."""
+        """The maxima of texts by their words."""
         n, docs = len(a), len(at) - 1
         best = np.zeros((docs, len(WIDTHS) * FILTERS), np.float32)
         if not n:
@@ -134,7 +176,7 @@ def train(texts: list[str | None], toxic: np.ndarray) -> Model:
     if not len(y) or y.min() == y.max():
         m.base, m.out = -2.0, m.out * 0
         return m
-    parts = [read([t]) for t in texts]
+    parts = [whole(t) for t in texts]
     order = rng.permutation(len(y))
     check, fit = order[: len(y) // 5], order[len(y) // 5 :]
     weight = np.where(y == 1, 0.5 / max(y.mean(), 0.02), 1.0).clip(1, 5).astype(np.float32)

@@ -1,4 +1,5 @@
 import random
+import tracemalloc
 import zlib
 
 import duckdb
@@ -70,6 +71,47 @@ def test_convolution_equals_loops():
         assert np.allclose(got[d], want, atol=1e-3) and np.allclose(best[d], want, atol=1e-3)
 
 
+def test_scores_equal_loops_and_long_texts_are_read_in_blocks(monkeypatch):
+    rng = np.random.default_rng(2)
+    m = toxicity.Model(
+        rng.normal(size=(toxicity.BUCKETS, toxicity.SIZE)).astype(np.float32) / 4, [rng.normal(size=(w, toxicity.SIZE, toxicity.FILTERS)).astype(np.float32) / 4 for w in toxicity.WIDTHS],
+        [rng.normal(size=toxicity.FILTERS).astype(np.float32) for _ in toxicity.WIDTHS], rng.normal(size=3 * toxicity.FILTERS).astype(np.float32) / 8, -0.3, rng.normal(size=len(toxicity.LANGUAGES)),
+    )
+    word = lambda: "".join(rng.choice(list("abcdeΣ'é日"), rng.integers(1, 9)))
+    texts = [" ".join(word() for _ in range(n)) for n in (0, 1, 2, 3, 40, 400)] + ["der Hund und die Katze", None, "a,b;c" * 30, "x" * 500, "ΟΔΟΣ, ΟΔΟΣ " * 40]
+
+    def loops(text):
+        a, b, _, votes = toxicity.read([text])
+        x = [m.embed[i] + m.embed[j] for i, j in zip(a, b, strict=True)]
+        z = m.base
+        for k, width in enumerate(toxicity.WIDTHS):
+            for f in range(toxicity.FILTERS):
+                found = [float(sum(x[i + j] @ m.filters[k][j][:, f] for j in range(width)) + m.bias[k][f]) for i in range(len(x) - width + 1)]
+                z += max([0.0, *found]) * float(m.out[k * toxicity.FILTERS + f])
+        lang = max(range(len(toxicity.LANGUAGES)), key=lambda i: (votes[0][i], -i)) if votes.any() else len(toxicity.LANGUAGES) - 1
+        return 1 / (1 + np.exp(m.threshold[lang] - z))
+
+    want = [loops(t) for t in texts]
+    assert np.allclose(m.score(texts), want, atol=1e-4)
+    for piece in (7, 60, 300):
+        monkeypatch.setattr(toxicity, "PIECE", piece)
+        assert np.allclose(m.score(texts), want, atol=1e-4)
+        for t in texts:
+            assert "".join(toxicity.blocks(t)) == (t or "") and all(np.array_equal(x, y) for x, y in zip(toxicity.whole(t), toxicity.read([t])[:2], strict=True))
+
+
+def test_memory_of_a_long_text_is_that_of_a_block():
+    m = toxicity.train(["a", "b"], np.zeros(2))
+    peaks = []
+    for n in (1, 8):
+        text = "some words of a very long text " * (n * 100_000)
+        tracemalloc.start()
+        m.score([text])
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+    assert peaks[1] < peaks[0] * 1.3
+
+
 def test_quality_rejects_junk_and_keeps_the_rest(spark):
     docs, labels = rows()
     out = quality.report(spark.createDataFrame(docs, DOCS), spark.createDataFrame(labels, LABELS)).collect()

@@ -192,8 +192,8 @@ def child_sitemaps(spark, sf_dir):
     return S.follow(top, "feed", read).withColumn("rule", F.lit("collect")).unionByName(every.withColumn("rule", F.lit("discover")))
 
 
-def timeline_items(spark, sf_dir):
-    """Conversations as timelines: posts with and without pictures, some of them answers or reposts."""
+def _timelines(spark, sf_dir):
+    """(conv_id, json): conversations as timelines, posts with and without pictures, some of them answers or reposts."""
     c = table(spark, sf_dir, "conversations")
     t = F.col("turn")
     text = F.concat(F.when(t % 5 == 3, "@a ").when(t % 5 == 4, "RT @b ").otherwise(""), F.coalesce("text", F.lit("")))
@@ -202,10 +202,25 @@ def timeline_items(spark, sf_dir):
     media = F.struct(F.concat(F.lit("k"), t).alias("media_key"), F.when(t % 4 == 0, F.concat(F.lit("u"), t)).alias("url"), F.concat(F.lit("p"), t).alias("preview_image_url"))
     both = c.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", post.alias("p"), media.alias("m")))).alias("x"))
     json = F.to_json(F.struct(F.transform("x", lambda x: x["p"]).alias("data"), F.struct(F.transform("x", lambda x: x["m"]).alias("media")).alias("includes")))
-    found = S.timeline_posts(both.select("conv_id", json.alias("json")), "conv_id", F.col("json"))
+    return both.select("conv_id", json.alias("json"))
+
+
+def timeline_items(spark, sf_dir):
+    found = S.timeline_posts(_timelines(spark, sf_dir), "conv_id", F.col("json"))
     return found.select("conv_id", "pos", "external_id", "title", F.date_format("published_at", "yyyy-MM-dd HH:mm:ss").alias("published_at"), "image")
 
 
+def user_timelines(spark, sf_dir):
+    """Users by conversation, read from saved answers: a fifth are nobody's names, the lookup of some and the timeline of others was not saved."""
+    base, i = "http://api.example", F.col("conv_id")
+    t = _timelines(spark, sf_dir).withColumn("user", F.concat(F.lit("user "), i.cast("string"))).withColumn("id", F.concat(F.lit("i"), i.cast("string")))
+    known = F.to_json(F.struct(F.struct("id").alias("data")))
+    lookups = t.where(i % 7 != 3).select(U.user_lookup(base, F.col("user")).alias("url"), F.when(i % 5 == 4, '{"errors": [{"title": "Not Found"}]}').otherwise(known).alias("body"))
+    saved = lookups.unionByName(t.where(i % 6 != 1).select(U.timeline(base, F.col("id"), F.lit(S.MOST_POSTS)).alias("url"), F.col("json").alias("body")))
+    found = S.user_posts(t.select("user"), lambda asked: asked.join(saved, "url"), base)
+    return found.select("user", "pos", "external_id", "title", "url", "image")
+
+
 def _reply(mended=None):
     """An event as a reply in either spelling, which may be unusable; where mended holds it is not."""
     i = F.col("event_id")
@@ -342,7 +357,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         feed_entries, sitemap_entries, llms_urls, llms_sections, markdown_page, extract_links_count, html_title, html_blocks, prose_blocks, article_cards, image_urls, enrich_articles, collect_blog,
-        collect_candidates, read_pages, fetched, crawled, child_sitemaps, timeline_items, analysis_replies, replayed, review_replies, alert_roundtrip, word_diff, copy_runs, edit_proportion, edit_runs, loose_span, balanced_json, props_json, payload_roundtrip,
+        collect_candidates, read_pages, fetched, crawled, child_sitemaps, timeline_items, user_timelines, analysis_replies, replayed, review_replies, alert_roundtrip, word_diff, copy_runs, edit_proportion, edit_runs, loose_span, balanced_json, props_json, payload_roundtrip,
     )
 }
 
@@ -391,6 +406,9 @@ UNION ALL SELECT feed, pos, url, lastmod, 'collect' FROM b WHERE feed <> 1 AND k
     "timeline_items": f"""WITH p AS (SELECT conv_id, turn, {sql_collapse("coalesce(text, '')")} AS t FROM conversations WHERE turn % 5 < 3 AND NOT regexp_matches(coalesce(text, ''), '^(RT )?@')), n AS (SELECT *, (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1)::INTEGER AS pos FROM p),
 z AS (SELECT conv_id, max(CASE WHEN turn = 0 THEN 'u0' END) AS zero FROM conversations GROUP BY 1)
 SELECT conv_id, pos, turn::VARCHAR AS external_id, {sql_truncate('t', 120)} AS title, '2024-01-02 03:04:05' AS published_at, CASE WHEN turn % 4 = 0 THEN 'u' || turn WHEN turn % 2 = 0 THEN 'p' || turn END AS image FROM n WHERE pos < 10""",
+    "user_timelines": f"""WITH p AS (SELECT conv_id, turn, {sql_collapse("coalesce(text, '')")} AS t FROM conversations WHERE turn % 5 < 3 AND NOT regexp_matches(coalesce(text, ''), '^(RT )?@')), n AS (SELECT *, (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1)::INTEGER AS pos FROM p)
+SELECT 'user ' || conv_id AS "user", pos, turn::VARCHAR AS external_id, {sql_truncate('t', 120)} AS title, 'https://x.com/user ' || conv_id || '/status/' || turn AS url,
+  CASE WHEN turn % 4 = 0 THEN 'u' || turn WHEN turn % 2 = 0 THEN 'p' || turn END AS image FROM n WHERE pos < 10 AND conv_id % 5 <> 4 AND conv_id % 7 <> 3 AND conv_id % 6 <> 1""",
     "replayed": """WITH e AS (SELECT event_id AS id, CASE WHEN event_id % 5 = 0 THEN 'no_summary' WHEN event_id % 13 = 0 THEN 'too_long' WHEN event_id % 3 = 2 THEN 'no_actions' WHEN event_id % 7 = 0 OR event_id % 11 = 0 THEN 'no_impact' END AS plain FROM events),
 a AS (SELECT id, plain, CASE WHEN id % 17 = 0 THEN 'no_reply' ELSE plain END AS first FROM e), b AS (SELECT id, first, CASE WHEN first IS NOT NULL AND id % 2 <> 0 THEN plain END AS error FROM a)
 SELECT id, CASE WHEN first IS NULL THEN 1 ELSE 2 END::INTEGER AS attempts, first AS why, error, CASE WHEN error IS NULL THEN 'It – is' END AS summary,

@@ -174,6 +174,19 @@ def timeline_posts(replies: DataFrame, key: str, json: Column, most: int = MOST_
     return posts.select(key, "pos", F.col("p.id").alias("external_id"), truncate(collapse(F.col("p.text")), POST_TITLE).alias("title"), F.try_to_timestamp("p.created_at").alias("published_at"), F.col("p.text").alias("text"), F.get(images, F.lit(0)).alias("image"))
 
 
+def user_posts(users: DataFrame, read, base: str, most: int = MOST_POSTS) -> DataFrame:
+    """(user, external_id, pos, title, url, published_at, text, image) of the latest posts of users (user): each name is looked up, and the
+    timeline of the id found is read and joined. read leads from a table of addresses (url) to (url, body) of those that could be read. A user
+    whose lookup or timeline could not be read, or that nobody has, has no posts; a null name is none; one that repeats is read once."""
+    names = users.select("user").where("user is not null").distinct().withColumn("url", U.user_lookup(base, F.col("user")))
+    found = written(names.join(read(names.select("url")).select("url", "body"), "url").select("user", F.from_json("body", "data struct<id: string>")["data"]["id"].alias("id")).where("id is not null"))
+    asked = found.select("user", U.timeline(base, F.col("id"), F.lit(most)).alias("url"))
+    replies = asked.join(written(read(asked.select("url").distinct()).select("url", "body")), "url").select("user", "body")
+    posts = timeline_posts(replies, "user", F.col("body"), most)
+    url = F.concat(F.lit("https://x.com/"), F.col("user"), F.lit("/status/"), F.col("external_id"))
+    return posts.select("user", "external_id", "pos", "title", url.alias("url"), "published_at", "text", "image")
+
+
 def collect(spark, sources: dict, schema: str) -> tuple[DataFrame, int, list[str]]:
     """The union of all sources (name -> function that returns a DataFrame), how many were read, and notes on those that failed. Each is run and
     written by itself, so one that fails, while it is planned or while it runs, costs its own rows, never the run."""

@@ -129,3 +129,10 @@ def test_title_keeps_what_is_left_of_a_cut_reference(spark, tmp_path):
     compare(spark, catalog.QUERIES["html_title"], catalog.ORACLES["html_title"], _cut_titles(spark, tmp_path))
     # other text follows the standard, where a reference may lack its semicolon
     assert M.page("<title>a&amp</title><body><p>One &amp two three four")["blocks"][0]["text"] == "One & two three four"
+
+
+def test_enriched_titles_keep_what_is_left_of_a_cut_reference(spark, tmp_path):
+    from oracle import compare
+    from siltflow.plans import catalog
+
+    compare(spark, catalog.QUERIES["enrich_articles"], catalog.ORACLES["enrich_articles"], _cut_titles(spark, tmp_path))

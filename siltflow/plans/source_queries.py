@@ -137,11 +137,14 @@ def enrich_articles(spark, sf_dir):
 
 
 def fetched(spark, sf_dir):
-    """Every page read by the data source from saved answers: some are lost, some answer in JSON. What is read is what was saved."""
+    """Every page read by the data source from saved answers: some are lost, some need a second or third attempt, some refuse or don't answer at
+    any, some answer in JSON. What is read is what was saved."""
     folder = f"{work_dir(spark)}/answers-{uuid.uuid4().hex}"
     i = F.col("page_id")
     pages = _pages(spark, sf_dir).select("page_id", F.concat(F.coalesce("url", F.lit("")), F.lit("/"), _s()).alias("url"), F.when(i % 7 == 6, F.concat(F.lit('{"k": '), _s(), F.lit("}"))).otherwise(F.coalesce("html", F.lit(""))).alias("body"))
-    X.save(pages.where(i % 7 != 3), folder)
+    often = lambda status, n: F.array_repeat(F.lit(status), n)
+    fails = F.when(i % 7 == 1, often(0, 1)).when(i % 7 == 2, often(503, 2)).when(i % 7 == 4, often(429, X.ATTEMPTS)).when(i % 7 == 5, often(0, X.ATTEMPTS))
+    X.save(pages.where(i % 7 != 3).withColumn("fails", fails), folder)
     own = {"opener": "siltflow.sources.fetch:saved_opener", "folder": folder, "pause": "none"}
     got = X.fetch_all(pages, **own).select("url", "status", "attempts", F.char_length("body").cast("long").alias("n_chars"))
     told = X.fetch_json(pages, "k long", **own).select("url", F.col("value.k").alias("k"))
@@ -385,8 +388,9 @@ SELECT id, CASE WHEN blog THEN 'blog' ELSE 'feed' END AS source, CASE WHEN blog
   CASE WHEN blog AND read THEN 'text' END AS body, CASE WHEN blog AND read THEN 'i' || id END AS image FROM t""",
     "read_pages": """SELECT 'https://docs.example.com/a-page/' || page_id AS url, CASE WHEN page_id % 3 = 0 THEN 'Head' WHEN page_id % 5 = 0 THEN 'short' END AS begins, CASE WHEN page_id % 3 = 0 THEN '/docs/' || page_id WHEN page_id % 5 = 0 THEN '/x' END AS link, page_id % 6 = 0 AS front FROM pages""",
     "fetched": """WITH k AS (SELECT coalesce(url, '') || '/' || page_id AS url, page_id, page_id % 7 AS r, ltrim(coalesce(html, ''), chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' ') AS t, coalesce(html, '') AS html FROM pages)
-SELECT url, CASE WHEN r = 3 THEN 404 ELSE 200 END::INTEGER AS status, 1::INTEGER AS attempts, CASE WHEN r = 6 THEN length('{"k": ' || page_id || '}') WHEN r <> 3 THEN length(html) END::BIGINT AS n_chars, CASE WHEN r = 6 THEN page_id END AS k,
-  CASE WHEN r = 6 THEN 'application/json' WHEN r <> 3 THEN CASE WHEN t LIKE '<%' THEN 'text/html' WHEN t LIKE '{%' OR t LIKE '[%' THEN 'application/json' ELSE 'text/plain' END END AS content_type, r = 3 AS gone FROM k""",
+SELECT url, CASE r WHEN 3 THEN 404 WHEN 4 THEN 429 WHEN 5 THEN 0 ELSE 200 END::INTEGER AS status, CASE r WHEN 1 THEN 2 WHEN 2 THEN 3 WHEN 4 THEN 3 WHEN 5 THEN 3 ELSE 1 END::INTEGER AS attempts,
+  CASE WHEN r = 6 THEN length('{"k": ' || page_id || '}') WHEN r IN (0, 1, 2) THEN length(html) END::BIGINT AS n_chars, CASE WHEN r = 6 THEN page_id END AS k,
+  CASE WHEN r = 6 THEN 'application/json' WHEN r = 0 THEN CASE WHEN t LIKE '<%' THEN 'text/html' WHEN t LIKE '{%' OR t LIKE '[%' THEN 'application/json' ELSE 'text/plain' END END AS content_type, r = 3 AS gone FROM k""",
     "crawled": f"""WITH p AS (SELECT page_id AS i, CASE WHEN page_id % 11 = 5 THEN 404 WHEN page_id % 13 = 6 THEN 0 ELSE 200 END AS status FROM pages),
 wanted AS (SELECT i, i % 4 = 0 AS held, '{DOCS}' || i AS url FROM p WHERE i % 3 = 0 AND (i % 4 <> 0 OR i % 30 > 14)),
 l0 AS (SELECT i, 0 AS level FROM wanted ORDER BY held, CASE WHEN held THEN -(i % 30) END, url LIMIT {CRAWL_BUDGET})

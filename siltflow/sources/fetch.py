@@ -86,33 +86,43 @@ def saved_name(url: str) -> str:
 
 
 def save(pages: DataFrame, folder: str) -> int:
-    """Saves answers (url, body) for `saved_opener`, a file each, and returns how many."""
+    """Saves answers (url, body) for `saved_opener`, a file each, and returns how many. fails, if pages have it: the statuses (array<int>, 0: no
+    answer) that an address has at its first attempts, before its body is given."""
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, root = _place(folder)
         for batch in batches:
-            for url, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for url, body, fails in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 at = f"{root}/{saved_name(url)}"
                 system.create_dir(at.rpartition("/")[0], recursive=True)
                 draft = f"{at}.{uuid.uuid4().hex}"
                 with system.open_output_stream(draft) as out:
-                    out.write((body or "").encode())
+                    out.write(f"{' '.join(map(str, fails or []))}\n{body or ''}".encode())
                 system.move(draft, at)  # a second try of the task leaves the same file
             yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], ["n"])
 
-    return pages.select("url", "body").mapInArrow(write, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    fails = F.col("fails") if "fails" in pages.columns else F.lit(None)
+    return pages.select("url", "body", fails.cast("array<int>").alias("fails")).mapInArrow(write, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
 
 
 def saved_opener(options: dict[str, str]) -> Opener:
-    """Answers from the folder that the option `folder` names; addresses without a file are not found. The type is told by how the body begins."""
+    """Answers from the folder that the option `folder` names; addresses without a file are not found. The type is told by how the body begins.
+    Attempts at an address follow one another, so only the last one's are counted."""
     system, root = _place(options["folder"])
+    last: list = [None, 0]
 
     def ask(url: str, method: str) -> tuple[int, str, str]:
         try:
             with system.open_input_file(f"{root}/{saved_name(url)}") as f:
-                body = f.read().decode("utf-8", "replace")
+                head, _, body = f.read().decode("utf-8", "replace").partition("\n")
         except FileNotFoundError:
             return 404, "", ""
+        fails = head.split()
+        last[:] = [(url, method), last[1] + 1 if last[0] == (url, method) else 1]
+        if last[1] <= len(fails):
+            if fails[last[1] - 1] == "0":
+                raise OSError("no answer")
+            return int(fails[last[1] - 1]), "", ""
         start = body.lstrip()[:1]
         return 200, "application/json" if start in ("{", "[") else "text/html" if start == "<" else "text/plain", "" if method == "HEAD" else body
 

@@ -107,3 +107,22 @@ def test_settings():
     assert [r.name for r in report.missing] == ["STORE_PATH", "CHANNEL_ID"] and [r.name for r in report.sources] == ["TIMELINE_TOKEN"] and report.failing
     dry = config.check({"DRY_RUN": "1", "CHANNEL_TOKEN": "x", "TIMELINE_TOKEN": "x", "GITHUB_TOKEN": "x"})
     assert not dry.failing and len(dry.warnings) == 1 and "ISSUES_TOKEN" in dry.present and "in memory" in str(dry)
+
+
+def test_saved_answers_fail_as_often_as_told(spark, tmp_path):
+    pages = spark.createDataFrame([("https://a.example/1", "<p>x\ny", [0]), ("https://a.example/2", "\n{", [503, 503]), ("https://a.example/3", "z", [429] * 3), ("https://a.example/4", "w", None), ("https://b.example/5", "v", [0, 0, 0])], "url string, body string, fails array<int>")
+    assert fetch.save(pages, f"{tmp_path}/answers") == 5
+    own = {"opener": "siltflow.sources.fetch:saved_opener", "folder": f"{tmp_path}/answers", "pause": "none"}
+    got = {r.url[-1]: (r.status, r.body, r.attempts) for r in fetch.fetch_all(pages, **own).collect()}
+    assert got == {"1": (200, "<p>x\ny", 2), "2": (200, "\n{", 3), "3": (429, None, 3), "4": (200, "w", 1), "5": (0, None, 3)}
+    kinds = {r.url[-1]: r.content_type for r in fetch.content_type(pages, **own).collect()}
+    assert kinds == {"1": None, "2": None, "3": None, "4": "text/plain", "5": None}
+
+
+def test_fetched_tries_again(spark):
+    from collections import Counter
+
+    from siltflow.plans import catalog
+
+    seen = Counter((r.status, r.attempts) for r in catalog.QUERIES["fetched"](spark, "/root/testdata/sf0.001").collect())
+    assert set(seen) == {(200, 1), (200, 2), (200, 3), (404, 1), (429, 3), (0, 3)}

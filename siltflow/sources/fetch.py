@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from ..storage import place as _place
 from ..storage import work_dir
 
 #: Statuses worth another attempt, and the first pause in seconds; pauses double. Statuses of pages that are gone for good.
@@ -73,12 +74,6 @@ def http_opener(options: dict[str, str]) -> Opener:
     return ask
 
 
-def _place(path: str) -> tuple[arrow_fs.FileSystem, str]:
-    if path.startswith("file:"):
-        path = "/" + path[5:].lstrip("/")
-    return arrow_fs.FileSystem.from_uri(path) if "://" in path else (arrow_fs.LocalFileSystem(), path)
-
-
 def saved_name(url: str) -> str:
     """The file of an address below a folder of saved answers."""
     name = hashlib.sha1(url.encode()).hexdigest()

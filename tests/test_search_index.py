@@ -128,3 +128,31 @@ def test_a_state_is_written_once(spark, tmp_path):
     with pytest.raises(RuntimeError):
         commit(spark, f"{tmp_path}/m", 1, "d")
     assert latest(spark, f"{tmp_path}/m") == (1, "c")
+
+
+def test_tasks_hand_on_the_best_of_each_query_alone(spark, small):
+    """Most pages are copies, so that scores tie; a task hands on at most limit rows a query, whatever the number of pages that have its terms."""
+    from siltflow.storage import work_dir, written
+
+    pages = [(f"u{i:04d}", None, "railway volume" if i % 3 else "railway volume volume region", [None, "a", "b"][i % 5 % 3], "docs", i % 50 == 0) for i in range(900)]
+    frame = spark.createDataFrame(pages, PAGES).repartition(3)
+    index = R.build(frame)
+    for limit, per_section in ((7, None), (7, 2), (4, 3)):
+        same(spark, index, pages, limit, per_section)
+    folder = f"{work_dir(spark)}/asked-few"
+    lists = written(spark.createDataFrame([(i, 10 + i, ["volum", "region"], [0.5, 0.25]) for i in range(5)], "q long, qid int, asked array<string>, idfs array<double>").coalesce(1), folder)
+    met = R._met(index, lists, folder, 7, 2, None, index.counts[1])
+    parts = index.docs.rdd.getNumPartitions()
+    assert 5 * 6 <= met.count() <= 5 * 7 * parts < 900
+
+
+def test_scores_are_rounded_as_spark_rounds(spark):
+    import numpy as np
+
+    values = [0.0000005, 1.0000005, 2.5000015, 0.1 + 0.2, 12.3456785, 12.34567849999, 7.0000025, 1e-7, 3.9999995]
+    r = random.Random(5)
+    values += [r.randrange(10**9) / 1e7 for _ in range(2000)]
+    from pyspark.sql import functions as F
+
+    got = spark.createDataFrame([(v,) for v in values], "x double").select(F.round("x", 6).alias("y")).collect()
+    assert [round(row.y * 1e6) for row in got] == R._micro(np.array(values)).tolist()

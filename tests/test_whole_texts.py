@@ -50,3 +50,31 @@ def test_differences_are_of_whole_texts(spark, documents):
         kept = common(a, b) if max(len(a), len(b)) <= 600 else 0
         assert (len(part("same")), numbers[i].removed, numbers[i].added) == (kept, len(a) - kept, len(b) - kept)
     assert [k for k, _ in spans[3]] == ["removed", "added"]
+
+
+def test_batches_of_whole_texts_are_small(spark):
+    import pyarrow as pa
+    from pyspark.sql import functions as F
+    from siltflow.plans.base import table
+
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
+    rows = table(spark, "/root/testdata/sf0.01", "documents").select(F.col("doc_id").cast("long").alias("doc_id")).coalesce(1)
+    most = rows.mapInArrow(lambda batches: (pa.RecordBatch.from_pydict({"n": [b.num_rows]}) for b in batches), "n long").agg(F.max("n")).first()[0]
+    assert most <= 256
+
+
+def test_a_table_of_differences_is_a_number_a_word():
+    import sys
+
+    from siltflow.functions import diff as D
+
+    a, b = [str(i) for i in range(600)], [str(i) for i in range(0, 1200, 2)]
+    t = D.table(a, b)
+    assert t[0, 0] == 300 and sum(map(sys.getsizeof, t.rows)) < 100_000
+
+
+def test_words_are_counted_as_before():
+    from siltflow.functions import diff as D
+
+    for text in ("", "a, b - 3. ... x-", " K İx ١ ß\x1cq !z", "A b c"):
+        assert D.count(text) == sum(any(c.isascii() and c.isalnum() for c in w) for w in text.lower().split())

@@ -11,6 +11,7 @@ from __future__ import annotations
 import json
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -423,12 +424,21 @@ def deliver_once(store: Store, messages: DataFrame, post: Callable[[dict], bool]
     out = {"sent": 0, "failed": 0, "skipped": once.count() - new.count()}
     store.append("sent", new.select("id", F.lit("claimed").alias("state")))
     done: list[tuple[str, str]] = []
+    kinds, told = "id string, state string", []
 
-    def enter() -> None:
+    def enter(last: bool = False) -> None:
+        """What was done is kept aside by thousands, and entered when there are twice as many as at the time before: a change reads the ledger, so
+        that entering each thousand would read it ever longer and ever more often."""
         if done:
-            rows = store.spark.createDataFrame(done, "id string, state string")
-            store.change("sent", rows, lambda held: held.join(rows.select("id", F.col("state").alias("_now")), "id", "left").withColumn("state", F.coalesce("_now", "state")))
+            told.append(written(store.spark.createDataFrame(done, kinds)))
             done.clear()
+        if told and (last or len(told) >= enter.room):
+            rows = written(reduce(DataFrame.unionByName, told)) if len(told) > 1 else told[0]
+            store.change("sent", rows, lambda held: held.join(rows.select("id", F.col("state").alias("_now")), "id", "left").withColumn("state", F.coalesce("_now", "state")))
+            told.clear()
+            enter.room *= 2
+
+    enter.room = 1
 
     for row in new.orderBy("id").toLocalIterator():
         try:
@@ -439,7 +449,7 @@ def deliver_once(store: Store, messages: DataFrame, post: Callable[[dict], bool]
         out[state] += 1
         if len(done) == 1000:
             enter()
-    enter()
+    enter(last=True)
     return out
 
 

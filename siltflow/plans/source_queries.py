@@ -254,7 +254,7 @@ def replayed(spark, sf_dir):
     e, i = table(spark, sf_dir, "events"), F.col("event_id")
     first = e.where(i % 17 != 0).select(i.alias("id"), F.lit(1).alias("attempt"), _reply().alias("reply"))
     second = e.select(i.alias("id"), F.lit(2).alias("attempt"), _reply(i % 2 == 0).alias("reply"))
-    made = P.attempts(e.select(i.alias("id")), P.recorded(first.unionByName(second)), J.analysis)
+    made = P.attempts(e.select(i.alias("id")), P.recorded(first.unionByName(second)), lambda r: J.analysis(r, ("summary", "actions")))
     why = made.where("attempt = 2").select("id", "why")
     out = P.settled(made).join(why, "id", "left")
     return out.select("id", "attempts", "why", "error", F.col("answer.summary").alias("summary"), F.size("answer.actions").cast("long").alias("n_actions"))

@@ -35,3 +35,18 @@ def test_every_signal_becomes_a_message(spark):
         assert r.n_actions + r.n_dropped == (0 if r.id % 5 == 0 else 1)
         assert (r.verdict is None) == (r.n_actions > 0), r
     assert {r.verdict for r in rows if r.id % 5 == 0} == {"unanalyzed"} or pytest.fail(str({r.verdict for r in rows}))
+
+
+def test_only_the_fields_asked_for_are_read_and_all_is_checked(spark):
+    long = "x" * 1601
+    replies = [
+        '{"impact": "minor", "summary": "It — is", "actions": [{"type": "update_pages", "detail": "“a” — b"}], "openQuestions": ["Is it?"]}',
+        '{"impact": "minor", "summary": "s", "actions": [], "productRefs": [{"url": "u", "claim": "c", "proposedText": "%s"}]}' % long,
+        '{"impact": "huge", "summary": "s", "actions": []}', "no JSON", None,
+    ]
+    rows = spark.createDataFrame([(i, r) for i, r in enumerate(replies)], "id int, reply string")
+    got = rows.select("id", J.analysis(rows.reply).alias("a"), J.analysis(rows.reply, ("summary", "actions")).alias("b")).orderBy("id").collect()
+    assert got[0].b.__fields__ == ["error", "summary", "actions"] and got[0].b.summary == "It – is" and got[0].b.actions[0].detail == '"a" – b'
+    assert [r.b.error for r in got[:4]] == [None, "too_long", "no_impact", "no_summary"]
+    for r in got:
+        assert (r.a is None) == (r.b is None) and (r.a is None or (r.a.error, r.a.summary, r.a.actions) == tuple(r.b))

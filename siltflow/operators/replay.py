@@ -32,7 +32,8 @@ def attempts(rows: DataFrame, ask: Ask, read: Callable[[Column], Column], most:
     """
     left, out = rows.select("id").distinct().withColumn("why", F.lit(None).cast("string")), None
     for n in range(1, most + 1):
-        asked = written(left.withColumn("attempt", F.lit(n)))
+        # the attempt is a literal, not a written column, so that only this attempt's replies are read and shuffled
+        asked = written(left).withColumn("attempt", F.lit(n))
         if n > 1 and asked.isEmpty():
             break
         answers = asked.join(ask(asked), "id", "left").withColumn("answer", read(F.col("reply")))
